@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, language, mixing, quality
+from tessera.llm import chat, hashing, language, mixing, mtree, quality, simhash
 from tessera.session import table
 
 
@@ -26,13 +26,28 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing.approximate(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_source_mixing": op3_source_mixing,
     "op4_language_id": op4_language_id,
+    "op5_exact_top_k": op5_exact_top_k,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_approximate_neighbours": op10_approximate_neighbours,
 }
