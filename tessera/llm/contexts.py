@@ -42,7 +42,7 @@ from tessera.session import keep
 
 DEPTH = 5
 END = 10
-PART_BYTES = 160 << 20
+PART_BYTES = 128 << 20
 #: Distinct strings or words that a counting task holds before it sends them on.
 HELD = 3_000_000
 #: Rows of the input a shard, and the bounds of the number of shards.
@@ -222,7 +222,8 @@ def subtree(key: np.ndarray, n: np.ndarray, down_to: int) -> tuple[dict[int, tup
         k, c = added(key & _U((1 << 8 * (depth + 1)) - 1), n)
         node, zeros, ones = decisions(k, c)
         mixed, chance, own = weigh(zeros, ones, below[1] if below else None)
-        tables[depth] = (node, chance.astype(np.float32), own.astype(np.float32))
+        # the deepest nodes have all the weight themselves
+        tables[depth] = (node, chance.astype(np.float32)) if depth == DEPTH else (node, chance.astype(np.float32), own.astype(np.float32))
         below = added(node & _U((1 << 8 * depth) - 1), mixed)
     k, c = added(key & _U((1 << 8 * down_to) - 1), n)
     node, zeros, ones = decisions(k, c)
@@ -230,27 +231,44 @@ def subtree(key: np.ndarray, n: np.ndarray, down_to: int) -> tuple[dict[int, tup
 
 
 class Tree:
-    """Some part of the nodes: those whose last context byte it holds, and the root's."""
+    """Some part of the nodes: those below the last context bytes that it holds, and the top ones.
 
-    def __init__(self, tables: dict[int, tuple]):
-        self.tables = tables
+    below: for each last context byte the pickled tables of depths 2 and more; top: depths 0 and 1.
+    """
+
+    def __init__(self, below: dict[int, bytes], top: dict[int, tuple]):
+        self.below, self.top = below, top
         self.known, self.logs = np.zeros(0, _U), np.zeros(0)
 
     def log10(self, key: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each string after the bytes before it."""
+        total = np.zeros(len(key))
+        last = ((key >> _U(8)) & _U(255)).astype(np.int64)
+        for c in np.unique(last).tolist():
+            own = last == c
+            tables = self.below.get(c, {})
+            if isinstance(tables, bytes):
+                tables = self.below[c] = pickle.loads(tables)
+            total[own] = self._log10(key[own], self.top | tables)
+        return total
+
+    @staticmethod
+    def _log10(key: np.ndarray, tables: dict[int, tuple]) -> np.ndarray:
         byte, total = key & _U(255), np.zeros(len(key))
         for level in range(8):
             prefix = _U(1 << level) | (byte >> _U(8 - level))
             one = ((byte >> _U(7 - level)) & _U(1)).astype(bool)
             p = np.full(len(key), 0.5)
             for depth in range(DEPTH, -1, -1):
+                if depth not in tables:
+                    continue  # no node of this depth: one half, as p is yet
+                have, chance, *own = tables[depth]
                 node = (((key >> _U(8)) & _U((1 << 8 * depth) - 1)) << _U(8)) | prefix
-                have, chance, own = self.tables.get(depth, (np.zeros(0, _U),) * 3)
                 at = np.searchsorted(have, node)
                 at[at == len(have)] = 0
-                seen = have[at] == node if len(have) else np.zeros(len(key), bool)
-                w = np.where(seen, own[at], 0) if len(have) else 0.0
-                p = np.where(seen, w * np.where(one, chance[at], 1 - chance[at].astype(np.float64)) + (1 - w) * p, 0.5) if len(have) else np.full(len(key), 0.5)
+                weight = own[0][at].astype(np.float64) if own else 1.0
+                said = chance[at].astype(np.float64)
+                p = np.where(have[at] == node, weight * np.where(one, said, 1 - said) + (1 - weight) * p, 0.5)
             total += np.log10(p)
         return total
 
@@ -315,7 +333,7 @@ def build_trees(counts: DataFrame, shards: int, part_bytes: int) -> list[Tree]:
     top = grown.where("shard = -1").mapInArrow(flat, "node bigint, zeros bigint, ones bigint, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow().sort_by("node")
     node = top.column("node").to_numpy().astype(_U)
     if not len(node):
-        return [Tree({})]
+        return [Tree({}, {})]
     zeros, ones = top.column("zeros").to_numpy(), top.column("ones").to_numpy()
     mixed, chance, own = weigh(zeros, ones, top.column("below").to_numpy())
     one = (node, chance.astype(np.float32), own.astype(np.float32))
@@ -340,17 +358,28 @@ class _Part:
         self.grown, self.group, self.one, self.zero = grown, group, one, zero
 
     def tree(self) -> Tree:
+        """The tables as bytes; tasks unpickle what they use."""
+        below: dict[int, list] = {}
+        for row in self.grown.where(F.col("shard").isin(self.group)).select("shard", "blob").toLocalIterator():
+            below.setdefault(row["shard"], []).append(bytes(row["blob"]))
+        for c, parts in below.items():
+            below[c] = parts[0] if len(parts) == 1 else _joined(parts)
         mine = np.isin((self.one[0] >> _U(8)) & _U(255), self.group)
-        tables: dict[int, list] = {}
-        for row in self.grown.where(F.col("shard").isin(self.group)).select("blob").toArrow().column("blob"):
-            for d, t in pickle.loads(row.as_py()).items():
-                tables.setdefault(d, []).append(t)
-        out = {}
-        for d, parts in tables.items():
-            joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            order = np.argsort(joined[0])
-            out[d] = tuple(x[order] for x in joined)
-        return Tree(out | {1: tuple(x[mine] for x in self.one), 0: self.zero})
+        return Tree(below, {1: tuple(x[mine] for x in self.one), 0: self.zero})
+
+
+def _joined(parts: list) -> bytes:
+    tables: dict[int, list] = {}
+    for blob in parts:
+        for d, t in pickle.loads(blob).items():
+            tables.setdefault(d, []).append(t)
+    parts.clear()
+    out = {}
+    for d in sorted(tables):
+        columns = [np.concatenate(x) for x in zip(*tables.pop(d), strict=True)]
+        order = np.argsort(columns[0])
+        out[d] = tuple(x[order] for x in columns)
+    return pickle.dumps(out, protocol=5)
 
 
 _trees: dict[int, Tree] = {}
@@ -360,7 +389,7 @@ def _local(shared) -> Tree:
     """The broadcast part, loaded once by each Python worker."""
     if shared.value[0] not in _trees:
         _trees.clear()
-        _trees[shared.value[0]] = Tree(shared.value[1])
+        _trees[shared.value[0]] = Tree(shared.value[1], shared.value[2])
     return _trees[shared.value[0]]
 
 
@@ -404,7 +433,8 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, part_byt
             group[part.group] = True
             if number == 0:  # contexts that training never saw
                 group |= ~np.isin(np.arange(256), [c for p in parts for c in p.group])
-        shared = spark.sparkContext.broadcast((uuid.uuid4().int, tree.tables))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().int, tree.below, tree.top))
+        del tree
         if number == 0:
             base = _base_pass(rows, counts, shards, n_docs, shared, group)
             base = keep(base, "lm-base") if len(parts) > 1 else base
