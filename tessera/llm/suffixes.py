@@ -47,7 +47,7 @@ PLACE = 24
 SEGMENT = 1 << 23
 #: Input rows a shard of stretches, and bounds of their number; bytes a sorted shard.
 SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 16_000, 16, 4096
-SORTED_BYTES = 6 << 20
+SORTED_BYTES = 3 << 20
 #: Stretches of a shard held in memory; beyond this they go to local files by hash, one of which is held at a time.
 HELD, FILES = 8_000_000, 32
 NO_ID = -(1 << 63)
