@@ -1 +1,65 @@
-QUERIES, ORACLES = {}, {}
+"""The corpus pipeline: documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's docs. All but the last return the
+columns of documents. No stage has an SQL form: the classifier, the
+fingerprints and the packing are not expressible.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import mixing, packing, quality, simhash, suffixes
+from tessera.session import keep, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.one_of_each(docs)
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that start earlier go from the texts; characters go if all their bytes do."""
+    cleaned = suffixes.remove_repeats(docs, carry=docs.columns)
+    text = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    return cleaned.select(*[text.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights, by repeated, dropped and cut documents."""
+    return mixing.mixed_documents(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("simhash near-dedup", near_dedup),
+    ("suffix-array dedup", repeat_removal),
+    ("source mixing", source_mixing),
+    ("best-fit packing", packed_sequences),
+]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {}

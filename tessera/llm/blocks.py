@@ -54,16 +54,21 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, at - at[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with their texts' bytes and offsets, each of about `limit` bytes."""
+def slices(at: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """First and last text of each run of texts of about `limit` bytes."""
+    lo, n = 0, len(at) - 1
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(at, at[lo] + (limit or BLOCK_BYTES), "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with their texts' bytes and offsets, each of about BLOCK_BYTES."""
     for batch in batches:
         data, at = raw_bytes(batch.column(batch.schema.get_field_index("text")))
-        lo = 0
-        while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
-            hi = min(hi, batch.num_rows)
+        for lo, hi in slices(at):
             yield batch.slice(lo, hi - lo), data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-            lo = hi
 
 
 _powers: dict[int, np.ndarray] = {}

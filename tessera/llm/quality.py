@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import SPACE, blocks, bounded_batches, crc_mod, per_text, prefix_hash, span_hash, text_frame, word_spans
+from tessera.llm.blocks import SPACE, blocks, bounded_batches, crc_mod, per_text, prefix_hash, raw_bytes, slices, span_hash, text_frame, word_spans
 from tessera.session import keep
 
 FEATURES = ("log_words", "letters", "upper", "digits", "symbols", "stops", "wide", "word_mean", "word_sd", "adjacent", "distinct", "bare", "glued", "capital", "long_words", "line_repeats", "worst_run", "bars")
@@ -171,3 +171,29 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out
 
     scored = x.mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
+    """The rows of docs that the classifier does not reject, with their columns unchanged.
+
+    Statistics are computed once and written beside the rows, so nothing but
+    labels and statistics is shuffled.
+    """
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("array<double>")
+    def measured(text: pa.Array) -> pa.Array:
+        data, at = raw_bytes(text)
+        found = [statistics(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in slices(at)]
+        x = np.concatenate(found) if found else np.zeros((0, len(FEATURES)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
+
+    marked = keep(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"), measured(docs["text"].cast("string")).alias("x")), "quality-rows")
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").where(crc_mod("doc_id", folds) != held_out)
+    model = fit(marked.select("doc_id", "x"), known)
+
+    @F.arrow_udf("double")
+    def scored(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))))
+
+    return marked.where(scored("x") >= THRESHOLD).select("row.*")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, blocks, bounded_batches, text_frame
+from tessera.llm.blocks import LOWER, blocks, bounded_batches, raw_bytes, text_frame
 from tessera.operators.graph import connected_components
 from tessera.session import keep
 
@@ -191,12 +191,33 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a bigint, b bigint")
 
 
+def components(distinct: DataFrame) -> DataFrame:
+    """(fp, least) from (fp, first), one row a fingerprint: the least `first` of all that fp is linked with."""
+    distinct = keep(distinct, "simhash-distinct")
+    found = connected_components(links(distinct))
+    labelled = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    return labelled.join(labelled.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of (doc_id, text)."""
     marked = keep(fingerprints(text_frame(docs), k), "simhash")
-    distinct = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    found = connected_components(links(distinct))
-    labelled = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = keep(labelled.join(smallest, "root").select("fp", "component_id"), "simhash-groups")
+    groups = keep(components(marked.groupBy("fp").agg(F.min("doc_id").alias("first"))), "simhash-groups").withColumnRenamed("least", "component_id")
     return marked.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """One row of docs for each component, that of the smallest doc_id (a null one last), with its columns unchanged."""
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf("bigint")
+    def marked(text: pa.Array) -> pa.Array:
+        data, at = raw_bytes(text)
+        low = LOWER[data].tobytes()
+        found = [fingerprint(low[a:b].split(), k) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.array(np.array(found, np.uint64).view(np.int64))
+
+    rows = keep(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), marked(docs["text"].cast("string")).alias("fp"), F.monotonically_increasing_id().alias("place"), docs["doc_id"].cast("bigint").alias("doc_id")), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
+    kept = keep(components(rows.groupBy("fp").agg(first)).select(F.col("least.place").alias("place")).distinct(), "simhash-kept")
+    return rows.join(kept, "place", "left_semi").select("row.*")
