@@ -38,6 +38,8 @@ STOP = np.isin(_code, [46, 44, 59, 58, 63, 33])
 SYMBOL = (_code > 32) & (_code < 127) & ~LETTER & ~DIGIT & ~np.isin(_code, [46, 44, 39, 45])
 BAR = np.isin(_code, [124, 60, 62, 123, 125, 91, 93, 92, 95])
 WINDOW = 64
+#: Bytes and words of ordinary prose that each text's shares start from, so that a number in a short text weighs little.
+PRIOR_BYTES, PRIOR_WORDS = 60, 10
 
 
 def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -50,9 +52,9 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     length = (end - start).astype(float)
     mean = np.bincount(owner, length, n) / some
     sd = np.sqrt(np.maximum(np.bincount(owner, length**2, n) / some - mean**2, 0))
-    solid = np.maximum(per_text(~SPACE[data], at), 1).astype(float)
-    share = lambda kind: per_text(kind[data], at) / solid
-    by_word = lambda mask: np.bincount(owner[mask], minlength=n) / some
+    solid = per_text(~SPACE[data], at) + float(PRIOR_BYTES)
+    share = lambda kind, usual=0.0: (per_text(kind[data], at) + usual * PRIOR_BYTES) / solid
+    by_word = lambda mask: np.bincount(owner[mask], minlength=n) / (words + PRIOR_WORDS)
     prefix = prefix_hash(data)
     hashes = span_hash(prefix, start, end)
     same = np.zeros(len(hashes), bool)
@@ -89,8 +91,8 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     repeats = np.bincount(line_owner[line_order][again], minlength=n) / np.maximum(np.bincount(line_owner, minlength=n), 1)
     root = np.sqrt
     return np.column_stack([
-        np.log1p(words), share(LETTER), root(share(UPPER)), root(share(DIGIT)), root(share(SYMBOL)), root(share(STOP)), root(share(_code >= 128)),
-        np.log1p(mean), np.log1p(sd), root(np.bincount(owner[same], minlength=n) / some), np.log1p(distinct) / np.log1p(some), root(by_word(in_word == 0)),
+        np.log1p(words), share(LETTER, 0.97), root(share(UPPER)), root(share(DIGIT)), root(share(SYMBOL)), root(share(STOP)), root(share(_code >= 128)),
+        np.log1p(mean), np.log1p(sd), root(by_word(same)), np.log1p(distinct) / np.log1p(some), root(by_word(in_word == 0)),
         root(by_word(odd)), root(by_word(capital)), root(by_word(length > 25)), root(repeats), root(worst), root(per_text(BAR[data], at) / size),
     ])
 
