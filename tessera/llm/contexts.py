@@ -44,11 +44,11 @@ DEPTH = 5
 END = 10
 PART_BYTES = 128 << 20
 #: Distinct strings or words that a counting task holds before it sends them on.
-HELD = 3_000_000
+HELD = 1_500_000
 #: Rows of the input a shard, and the bounds of the number of shards.
 SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 20_000, 16, 256
 #: Predicted strings that a scoring task remembers.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_500_000
 ROWS = "shard int, kind int, block string, blob binary"
 _U = np.uint64
 
@@ -139,6 +139,7 @@ def corpus_counts(docs: DataFrame, shards: int) -> DataFrame:
     """(shard, kind, block, blob): added counts of the training rows' strings and words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _trees.clear()  # a worker may still hold the model of an earlier query
         held = (Sums(), Sums())
         for _, data, at in blocks(batches):
             joined, start, end = sequences(data, at)
