@@ -7,6 +7,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def number(text: Column) -> Column:
@@ -86,13 +87,13 @@ def on_grid(p: Column, draws: int) -> Column:
     return (F.abs(k - F.round(k)) < 1e-9) & (F.round(k) >= 1) & (F.round(k) <= draws + 1)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def two_sided_p(z: pa.Array) -> pa.Array:
     """Two-sided normal p-value of z; neither Spark nor its SQL has erfc."""
     return pa.array([None if v is None else math.erfc(abs(v) / math.sqrt(2)) for v in z.to_pylist()], pa.float64())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def normal_quantile(p: pa.Array) -> pa.Array:
     """Inverse of the standard normal distribution; null outside (0, 1)."""
     from statistics import NormalDist

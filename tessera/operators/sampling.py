@@ -78,8 +78,10 @@ def greedy_split(units: DataFrame, stratum: str, unit: str, size: str, shares: d
 def even_thin(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
     """k rows of each group spread evenly over its order, first and last among them; all rows of smaller groups."""
     ranked = df.select("*", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).alias("__i"), F.count("*").over(Window.partitionBy(group)).alias("__n"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.bround(j * (F.col("__n") - 1) / (k - 1)).cast("int"))
-    return ranked.where((F.col("__n") <= k) | F.array_contains(places, F.col("__i"))).drop("__i", "__n")
+    # place j is at bround(j (n-1) / (k-1)); row i can only be that of the j next to i (k-1) / (n-1)
+    near = F.floor(F.col("__i") * (k - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))
+    chosen = [F.bround((near + d) * (F.col("__n") - 1) / (k - 1)) == F.col("__i") for d in (-1, 0, 1)]
+    return ranked.where((F.col("__n") <= k) | chosen[0] | chosen[1] | chosen[2]).drop("__i", "__n")
 
 
 def diverse_top(candidates: pd.DataFrame, k: int, conflict: Callable[[pd.Series, pd.Series], bool]) -> pd.DataFrame:
