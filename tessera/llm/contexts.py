@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, SPACE, blocks, bounded_batches, crc_mod, mix, prefix_hash, span_hash, text_frame
+from tessera.llm.blocks import LOWER, SPACE, blocks, bounded_batches, crc_mod, mix, prefix_hash, release, span_hash, text_frame
 from tessera.session import keep
 
 DEPTH = 5
@@ -48,7 +48,7 @@ HELD = 1_500_000
 #: Rows of the input a shard, and the bounds of the number of shards.
 SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 20_000, 16, 256
 #: Predicted strings that a scoring task remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 ROWS = "shard int, kind int, block string, blob binary"
 _U = np.uint64
 
@@ -140,6 +140,7 @@ def corpus_counts(docs: DataFrame, shards: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _trees.clear()  # a worker may still hold the model of an earlier query
+        release()
         held = (Sums(), Sums())
         for _, data, at in blocks(batches):
             joined, start, end = sequences(data, at)
