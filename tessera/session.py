@@ -33,6 +33,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{OWN_SCRATCH}-{os.getuid()}"
 
 
+#: Paths of the tables that keep() has written and forget() has not removed.
+kept_paths: list[str] = []
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Remove kept tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in kept_paths:
+            kept_paths.remove(path)
+
+
 def keep(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
@@ -40,6 +53,7 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    kept_paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
