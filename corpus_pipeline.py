@@ -8,23 +8,55 @@ fingerprints and the packing are not expressible.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, quality, simhash, suffixes
-from tessera.session import keep, table
+from tessera.session import forget, keep, kept_paths, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that the last stage to run still needed for its result.
+_needed: list[str] = []
+
+
+def _follows(stage: Stage) -> Stage:
+    """A stage whose docs were written and read again: the tables behind the stage before it can go."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, _needed)
+        return _first(stage)(spark, docs, sf_dir)
+
+    return run_stage
+
+
+def _first(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before = set(kept_paths)
+        out = stage(spark, docs, sf_dir)
+        _needed[:] = [p for p in kept_paths if p not in before]
+        return out
+
+    return run_stage
 
 
+@_first
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@_follows
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.one_of_each(docs)
 
 
+@_follows
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that start earlier go from the texts; characters go if all their bytes do."""
     cleaned = suffixes.remove_repeats(docs, carry=docs.columns)
@@ -32,11 +64,13 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return cleaned.select(*[text.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
+@_follows
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights, by repeated, dropped and cut documents."""
     return mixing.mixed_documents(docs)
 
 
+@_follows
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences."""
     import public_tokenizers
