@@ -26,8 +26,9 @@ def query(name: str, *rows: int, sql: str | None = None, views: str = "") -> Cal
             body = sql.strip()
             parts = [f"{v} AS ({PRELUDE[v]})" for v in views.split()]
             if parts:
-                rest = body[5:].lstrip() if body[:5].upper() == "WITH " else None
-                body = "WITH " + ",\n".join(parts) + (f",\n{rest}" if rest else f"\n{body}")
+                recursive = body.upper().startswith("WITH RECURSIVE ")
+                rest = body[15 if recursive else 5 :].lstrip() if body[:5].upper() == "WITH " else None
+                body = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + (f",\n{rest}" if rest else f"\n{body}")
             ORACLES[name] = body
         return run
 
