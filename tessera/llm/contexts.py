@@ -224,8 +224,8 @@ def subtree(key: np.ndarray, n: np.ndarray, down_to: int) -> tuple[dict[int, tup
         k, c = added(key & _U((1 << 8 * (depth + 1)) - 1), n)
         node, zeros, ones = decisions(k, c)
         mixed, chance, own = weigh(zeros, ones, below[1] if below else None)
-        # the deepest nodes have all the weight themselves
-        tables[depth] = (node, chance.astype(np.float32)) if depth == DEPTH else (node, chance.astype(np.float32), own.astype(np.float32))
+        # the deepest nodes have all the weight themselves, and their counts are sums over ranges of strings
+        tables[depth] = (k, c) if depth == DEPTH else (node, chance.astype(np.float32), own.astype(np.float32))
         below = added(node & _U((1 << 8 * depth) - 1), mixed)
     k, c = added(key & _U((1 << 8 * down_to) - 1), n)
     node, zeros, ones = decisions(k, c)
@@ -250,7 +250,9 @@ class Tree:
             own = last == c
             tables = self.below.get(c, {})
             if isinstance(tables, bytes):
-                tables = self.below[c] = pickle.loads(tables)
+                tables = pickle.loads(tables)
+                tables[DEPTH] = (tables[DEPTH][0], np.concatenate([[0], np.cumsum(tables[DEPTH][1])]))
+                self.below[c] = tables
             total[own] = self._log10(key[own], self.top | tables)
         return total
 
@@ -261,14 +263,19 @@ class Tree:
             prefix = _U(1 << level) | (byte >> _U(8 - level))
             one = ((byte >> _U(7 - level)) & _U(1)).astype(bool)
             p = np.full(len(key), 0.5)
-            for depth in range(DEPTH, -1, -1):
+            if DEPTH in tables:
+                have, before = tables[DEPTH]
+                low = (key & ~_U(255)) | ((byte >> _U(8 - level)) << _U(8 - level))
+                a, b, c = (before[np.searchsorted(have, low + _U(x))] for x in (0, 1 << (7 - level), 1 << (8 - level)))
+                p = (np.where(one, c - b, b - a) + 0.5) / (c - a + 1.0)
+            for depth in range(DEPTH - 1, -1, -1):
                 if depth not in tables:
                     continue  # no node of this depth: one half, as p is yet
-                have, chance, *own = tables[depth]
+                have, chance, own = tables[depth]
                 node = (((key >> _U(8)) & _U((1 << 8 * depth) - 1)) << _U(8)) | prefix
                 at = np.searchsorted(have, node)
                 at[at == len(have)] = 0
-                weight = own[0][at].astype(np.float64) if own else 1.0
+                weight = own[at].astype(np.float64)
                 said = chance[at].astype(np.float64)
                 p = np.where(have[at] == node, weight * np.where(one, said, 1 - said) + (1 - weight) * p, 0.5)
             total += np.log10(p)
@@ -385,6 +392,8 @@ def _joined(parts: list) -> bytes:
 
 
 _trees: dict[int, Tree] = {}
+#: The driver's broadcasts; those of earlier calls give up their copies and are sent again if still needed.
+_sent: list = []
 
 
 def _local(shared) -> Tree:
@@ -427,6 +436,8 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, part_byt
     vocabulary, tokens = (got[0] or 0) + (n_docs > 0), (got[1] or 0) + n_docs
     parts = build_trees(counts, shards, part_bytes)
     scored = None
+    while _sent:
+        _sent.pop().unpersist()
     for number, part in enumerate(parts):
         tree = part.tree() if isinstance(part, _Part) else part
         group = None
@@ -437,6 +448,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, part_byt
                 group |= ~np.isin(np.arange(256), [c for p in parts for c in p.group])
         shared = spark.sparkContext.broadcast((uuid.uuid4().int, tree.below, tree.top))
         del tree
+        _sent.append(shared)
         if number == 0:
             base = _base_pass(rows, counts, shards, n_docs, shared, group)
             base = keep(base, "lm-base") if len(parts) > 1 else base
