@@ -115,6 +115,8 @@ FOUND = "id bigint, digest bigint, starts array<bigint>, ends array<bigint>, ask
 
 def _settle(ids, digests, lo, n, anchor, content, length: int) -> Iterator[pa.RecordBatch]:
     """Repeats and open questions of the stretches of some anchors."""
+    if not len(ids):
+        return
     order = np.lexsort((lo, digests, ids, content, anchor))
     ids, digests, lo, n, anchor, content = (x[order] for x in (ids, digests, lo, n, anchor, content))
     new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
