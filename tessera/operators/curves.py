@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def tail_mean(curve: DataFrame, upto: int | None = None, count: int = 5) -> DataFrame:
@@ -65,14 +66,19 @@ def _pooled(values: list[float]) -> list[float]:
     return [mean for mean, size in blocks for _ in range(size)]
 
 
-def nonincreasing_fit(curve: DataFrame) -> DataFrame:
-    """Least-squares non-increasing fit of each cell's curve, by pooling neighbours that violate it."""
+@F.arrow_udf(ArrayType(DoubleType()))
+def _fits(metrics: pa.Array) -> pa.Array:
+    return pa.array([_pooled(m) for m in metrics.to_pylist()], pa.list_(pa.float64()))
+
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("step")
-        return frame.assign(fit=_pooled(frame["metric"].tolist()))[["cell", "step", "metric", "fit"]]
+def nonincreasing_fit(curve: DataFrame) -> DataFrame:
+    """Least-squares non-increasing fit of each cell's curve, by pooling neighbours that violate it.
 
-    return curve.groupBy("cell").applyInPandas(fit, "cell string, step bigint, metric double, fit double")
+    A curve is one row of arrays, so that a batch of cells goes through Python at a time.
+    """
+    rows = curve.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("step", "metric"))).alias("c"))
+    fitted = rows.select("cell", F.explode(F.arrays_zip(F.col("c.step").alias("step"), F.col("c.metric").alias("metric"), _fits(F.col("c.metric")).alias("fit"))).alias("z"))
+    return fitted.select("cell", F.col("z.step").alias("step"), F.col("z.metric").alias("metric"), F.col("z.fit").alias("fit"))
 
 
 def acceleration(control: DataFrame, selected: DataFrame, targets: int = 5) -> DataFrame:

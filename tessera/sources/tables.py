@@ -108,7 +108,7 @@ def read_kinship(spark: SparkSession, path: str, threshold: float) -> tuple[Data
 
 def relationship_edges(df: DataFrame, text: str, own: str, allowed: DataFrame) -> DataFrame:
     """Edges from texts such as "sibling: id1,id2" between allowed ids (column id)."""
-    others = F.transform(F.split(F.element_at(F.split(text, ":", 2), -1), ","), F.trim)
+    others = F.transform(F.split(F.element_at(F.split(text, ":", 2), -1), ","), lambda x: F.trim(x))  # noqa: PLW0108  trim has a second parameter
     edges = df.select(F.col(own).alias("x"), F.explode(others).alias("y")).where("x <> y and y <> ''")
     for side in ("x", "y"):
         edges = edges.join(allowed.select(F.col("id").alias(side)), side, "left_semi")
