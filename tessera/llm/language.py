@@ -118,8 +118,12 @@ class Softmax:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Softmax | None:
     """From (doc_id, text, lang); sees at most per_language rows of each language."""
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.where("lang is not null").select("doc_id", "lang").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
+    ranked = Window.partitionBy("lang").orderBy(share, "doc_id")
+    ids = docs.where("lang is not null").select("doc_id", "lang")
+    # by hash, about four times the rows wanted of each language come near the ranking, however many it has
+    near = ids.join(ids.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(share < 4.0 * per_language / F.col("n"))
+    chosen = near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
     # at most per_language rows of each language, so their ids can be sent to every task
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
 
