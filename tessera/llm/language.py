@@ -29,6 +29,8 @@ from tessera.llm.blocks import blocks, bounded_batches, crc_mod, text_frame
 BUCKETS = 1 << 14
 WIDTH = 16
 PER_LANGUAGE = 800
+#: Up to so many languages, their counts are sent to every task; with more they are joined by shuffling.
+MANY_LANGUAGES = 10_000
 EPOCHS, RATE, BATCH = 12, 4.0, 32
 REJECTED = 0.01
 _code = np.arange(256)
@@ -122,7 +124,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Softmax | None:
     ranked = Window.partitionBy("lang").orderBy(share, "doc_id")
     ids = docs.where("lang is not null").select("doc_id", "lang")
     # by hash, about four times the rows wanted of each language come near the ranking, however many it has
-    near = ids.join(ids.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(share < 4.0 * per_language / F.col("n"))
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    few = len(counts.select("n").limit(MANY_LANGUAGES + 1).collect()) <= MANY_LANGUAGES
+    near = ids.join(F.broadcast(counts) if few else counts, "lang").where(share < 4.0 * per_language / F.col("n"))
     chosen = near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
     # at most per_language rows of each language, so their ids can be sent to every task
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
