@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 #: Bytes of text that a vectorised step holds at a time. A single longer text makes a block of its own.
 BLOCK_BYTES = 2 << 20
 #: Whitespace of the word pattern [^\x20\x09-\x0D]+.
@@ -25,7 +27,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to a few MB, however long the texts are."""
+    """Hold Arrow batches to a few MB, however long the texts are; and see that the executors have the code."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
