@@ -22,10 +22,13 @@ import os
 import shutil
 import tempfile
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 
 CHUNK = 1 << 19
+#: Numbers of files, so that no level of the recursion writes over another's.
+_FILES = count()
 
 
 class SuffixQueue:
@@ -46,7 +49,7 @@ class SuffixQueue:
             self.spill()
 
     def spill(self) -> None:
-        path = os.path.join(self.folder, f"run{id(self)}-{len(self.runs)}")
+        path = os.path.join(self.folder, f"run{next(_FILES)}")
         index = {}
         with open(path, "wb") as f:
             for symbol, parts in self.held.items():
@@ -263,7 +266,7 @@ class InducedSorter:
         names, distinct = _names(text, starts)
         if distinct == len(names):
             return starts[np.argsort(names)]
-        path = os.path.join(self.folder, f"names{id(names)}")
+        path = os.path.join(self.folder, f"names{next(_FILES)}")
         names.tofile(path)
         reduced = np.memmap(path, np.int64, "r")
         del names

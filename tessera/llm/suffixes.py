@@ -16,6 +16,11 @@ all suffixes, with disk-backed queues that carry common-prefix values; in each
 run of suffixes that share LENGTH bytes all windows but the earliest are
 repeats. Equal contents are recognised by two 64-bit hashes.
 
+A passage in very many texts gives its anchors as many different stretches,
+each with other bytes around it. Anchors with more than HOT of them are not
+sorted in one shard: their windows are settled one by one, dealt by two hashes
+of their own bytes, so that equal ones meet and all others spread evenly.
+
 Defined cases: null and empty texts have nothing to remove; texts shorter than
 LENGTH neither; a null id counts as the smallest; rows that repeat an id with
 different texts are ordered by their texts' hashes; rows that repeat id and
@@ -37,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import BASE_INV, blocks, bounded_batches, mix, powers, prefix_hash, raw_bytes, span_hash
+from tessera.llm.blocks import BASE, BASE_INV, blocks, bounded_batches, mix, powers, prefix_hash, raw_bytes, span_hash
 from tessera.llm.induced import InducedSorter
 from tessera.session import keep
 
@@ -50,6 +55,10 @@ SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 16_000, 16, 4096
 SORTED_BYTES = 3 << 20
 #: Stretches of a shard held in memory; beyond this they go to local files by hash, one of which is held at a time.
 HELD, FILES = 8_000_000, 32
+#: Different stretches of one anchor beyond which its windows are settled one by one.
+HOT = 100_000
+#: A second odd base, so that a window has two hashes.
+OTHER, OTHER_INV = 0xC2B2AE3D27D4EB4F, pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64)
 NO_ID = -(1 << 63)
 ROWS = "shard int, blob binary"
 SPANS = "id bigint, digest bigint, starts array<bigint>, ends array<bigint>"
@@ -109,11 +118,23 @@ def _lists(schema_names: list[str], ids: np.ndarray, digests: np.ndarray, *colum
     return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(digests[first]), *[pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]], schema_names)
 
 
-#: Stretches that repeat (starts, ends) and those whose bytes are asked for (lo, n, anchor) by text.
-FOUND = "id bigint, digest bigint, starts array<bigint>, ends array<bigint>, ask_lo array<bigint>, ask_n array<bigint>, ask_anchor array<bigint>"
+#: Stretches that repeat (starts, ends), those whose bytes are asked for (lo, n, anchor) and those of hot anchors (lo, n), by text.
+FIELDS = ("starts", "ends", "ask_lo", "ask_n", "ask_anchor", "hot_lo", "hot_n")
+FOUND = "id bigint, digest bigint, " + ", ".join(f"{c} array<bigint>" for c in FIELDS)
+
+
+def windows_of(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Each window of the stretches that a row names in hot_lo and hot_n, as a stretch of its own with its two hashes."""
+    lists = [part.column(part.schema.get_field_index(c)) for c in ("hot_lo", "hot_n")]
+    lo, n = (x.flatten().to_numpy() for x in lists)
+    text = np.repeat(np.repeat(np.arange(part.num_rows), np.diff(lists[0].offsets.to_numpy())), n)
+    window = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    start = at[text] + window
+    own = [span_hash(prefix_hash(data, b), start, start + length, b, i) for b, i in ((BASE, BASE_INV), (OTHER, OTHER_INV))]
+    return text, window, np.ones(len(text), np.int64), *own
 
 
-def _settle(ids, digests, lo, n, anchor, content, length: int) -> Iterator[pa.RecordBatch]:
+def _settle(ids, digests, lo, n, anchor, content, length: int, hot: int) -> Iterator[pa.RecordBatch]:
     """Repeats and open questions of the stretches of some anchors."""
     if not len(ids):
         return
@@ -124,19 +145,19 @@ def _settle(ids, digests, lo, n, anchor, content, length: int) -> Iterator[pa.Re
     lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     itself = (ids == ids[lead]) & (digests == digests[lead]) & (lo == lo[lead])
     group = np.cumsum(new_anchor) - 1
-    several = np.bincount(group, new)[group] > 1
-    repeat, ask = ~itself, new & several
-    some = np.flatnonzero(repeat | ask)
+    contents = np.bincount(group, new)[group]
+    repeat, ask, much = ~itself, new & (contents > 1) & (contents <= hot), new & (contents > max(1, hot))
+    some = np.flatnonzero(repeat | ask | much)
     if not len(some):
         return
     some = some[np.lexsort((lo[some], digests[some], ids[some]))]
     text = np.cumsum(np.concatenate([[True], (ids[some][1:] != ids[some][:-1]) | (digests[some][1:] != digests[some][:-1])])) - 1
     first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     columns = []
-    for mask, values in ((repeat[some], (lo[some], lo[some] + n[some] + length - 1)), (ask[some], (lo[some], n[some], anchor[some].view(np.int64)))):
+    for mask, values in ((repeat[some], (lo[some], lo[some] + n[some] + length - 1)), (ask[some], (lo[some], n[some], anchor[some].view(np.int64))), (much[some], (lo[some], n[some]))):
         offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[mask], minlength=len(first)))]).astype(np.int32))
         columns += [pa.ListArray.from_arrays(offsets, pa.array(v[mask].astype(np.int64))) for v in values]
-    yield pa.RecordBatch.from_arrays([pa.array(ids[some][first]), pa.array(digests[some][first]), *columns], ["id", "digest", "starts", "ends", "ask_lo", "ask_n", "ask_anchor"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids[some][first]), pa.array(digests[some][first]), *columns], ["id", "digest", *FIELDS])
 
 
 class _Held:
@@ -174,13 +195,13 @@ class _Held:
             shutil.rmtree(self.folder, ignore_errors=True)
 
 
-def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD) -> DataFrame:
-    """FOUND rows from docs (id, digest, text)."""
+def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD, hot: int = HOT, hot_windows: bool = False) -> DataFrame:
+    """FOUND rows from docs (id, digest, text); with hot_windows of the windows that docs names, else of all stretches."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in blocks(batches):
             ids, digests = part.column(0).to_numpy(), part.column(1).to_numpy()
-            text, lo, n, anchor, content = stretches(data, at, length, min(ANCHOR, length))
+            text, lo, n, anchor, content = windows_of(part, data, at, length) if hot_windows else stretches(data, at, length, min(ANCHOR, length))
             if not len(text):
                 continue
             # equal stretches of one block: all but the earliest are repeats already, and need not travel as hashes
@@ -211,7 +232,7 @@ def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD)
                 if shard != now:
                     if own is not None:
                         for group in own.groups():
-                            yield from _settle(*group, length)
+                            yield from _settle(*group, length, hot)
                     now, own = shard, _Held(held)
                 known, packed = pickle.loads(blob.as_py())
                 if known:
@@ -221,15 +242,15 @@ def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD)
                     none = np.zeros(len(np.unique(np.stack([ids, digests]), axis=1)[0]) + 1, np.int32)
                     batch_out = _lists(["id", "digest", "starts", "ends"], ids, digests, lo, lo + n + length - 1)
                     empty = pa.ListArray.from_arrays(pa.array(none), pa.array([], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*batch_out.columns, empty, empty, empty], ["id", "digest", "starts", "ends", "ask_lo", "ask_n", "ask_anchor"])
+                    yield pa.RecordBatch.from_arrays([*batch_out.columns, *[empty] * (len(FIELDS) - 2)], ["id", "digest", *FIELDS])
                 else:
                     ids, digests, lo, n, anchor, content = _unpack(packed)
                     own.add((ids, digests, lo.astype(np.int64), n.astype(np.int64), anchor, content))
         if own is not None:
             for group in own.groups():
-                yield from _settle(*group, length)
+                yield from _settle(*group, length, hot)
 
-    sent = docs.select("id", "digest", "text").mapInArrow(deal, ROWS)
+    sent = docs.select("id", "digest", "text", *["hot_lo", "hot_n"] * hot_windows).mapInArrow(deal, ROWS)
     return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, FOUND)
 
 
@@ -345,15 +366,19 @@ def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int,
     return texts.mapInArrow(fetch, ROWS).repartition("shard").sortWithinPartitions("shard").mapInArrow(sort, SPANS)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, sorted_bytes: int = SORTED_BYTES, memory: int = 4_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, sorted_bytes: int = SORTED_BYTES, memory: int = 4_000_000, hot: int = HOT) -> DataFrame:
     """SPANS rows, several for a text and overlapping, from docs (id, digest, text)."""
     shards = min(MANY_SHARDS, max(FEW_SHARDS, -(-docs.count() // SHARD_ROWS)))
-    found = keep(find_stretches(docs, shards, length, held), "stretches")
-    size = found.agg(F.sum(F.aggregate("ask_n", F.lit(0).cast("bigint"), lambda a, n: a + n + length))).first()[0]
+    found = keep(find_stretches(docs, shards, length, held, hot), "stretches")
+    size, many = found.agg(F.sum(F.aggregate("ask_n", F.lit(0).cast("bigint"), lambda a, n: a + n + length)), F.count_if(F.size("hot_lo") > 0)).first()
     spans = found.where(F.size("starts") > 0).select("id", "digest", "starts", "ends")
+    lists = lambda first, *more: found.where(F.size(first) > 0).groupBy("id", "digest").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in (first, *more)])
+    if many:
+        named = docs.select("id", "digest", "text").join(lists("hot_lo", "hot_n").hint("shuffle_hash"), ["id", "digest"])
+        spans = spans.unionByName(find_stretches(named, shards, length, held, hot_windows=True).where(F.size("starts") > 0).select("id", "digest", "starts", "ends"))
     if not size:
         return spans
-    asked = found.where(F.size("ask_lo") > 0).groupBy("id", "digest").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("ask_lo", "ask_n", "ask_anchor")])
+    asked = lists("ask_lo", "ask_n", "ask_anchor")
     return spans.unionByName(sort_stretches(docs, asked, max(FEW_SHARDS, -(-size // sorted_bytes)), length, memory))
 
 

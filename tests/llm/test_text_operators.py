@@ -248,7 +248,7 @@ def brute_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"held": 5, "sorted_bytes": 500, "memory": 50}])
+@pytest.mark.parametrize("limits", [{}, {"held": 5, "sorted_bytes": 500, "memory": 50}, {"hot": 1}, {"hot": 2, "held": 50}])
 @pytest.mark.parametrize("length", [20, 100])
 def test_suffix_dedup(spark, limits, length):
     from tessera.llm import suffixes
@@ -277,7 +277,7 @@ def test_induced_sorter_with_small_queues():
     rng = np.random.default_rng(4)
     chunk, induced.CHUNK = induced.CHUNK, 7
     try:
-        for trial in range(60):
+        for trial in range(300):
             t = rng.integers(1, int(rng.choice([2, 3, 6, 200])), int(rng.integers(1, 60)))
             t = np.concatenate([t, t[: len(t) // 2], [0]]).astype(np.uint8)
             order = sorted(range(len(t) - 1), key=lambda i: bytes(t[i:]))
