@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import SPACE, blocks, bounded_batches, crc_mod, per_text, prefix_hash, raw_bytes, slices, span_hash, text_frame, word_spans
+from tessera.llm.blocks import SPACE, blocks, bounded_batches, crc_mod, per_text, prefix_hash, raw_bytes, release, slices, span_hash, text_frame, word_spans
 from tessera.session import keep
 
 FEATURES = ("log_words", "letters", "upper", "digits", "symbols", "stops", "wide", "word_mean", "word_sd", "adjacent", "distinct", "bare", "glued", "capital", "long_words", "line_repeats", "worst_run", "bars")
@@ -188,6 +188,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int
         data, at = raw_bytes(text)
         found = [statistics(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in slices(at)]
         x = np.concatenate(found) if found else np.zeros((0, len(FEATURES)))
+        release()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
 
     marked = keep(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"), measured(docs["text"].cast("string")).alias("x")), "quality-rows")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, blocks, bounded_batches, raw_bytes, text_frame
+from tessera.llm.blocks import LOWER, blocks, bounded_batches, raw_bytes, release, text_frame
 from tessera.operators.graph import connected_components
 from tessera.session import keep
 
@@ -215,6 +215,7 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         data, at = raw_bytes(text)
         low = LOWER[data].tobytes()
         found = [fingerprint(low[a:b].split(), k) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        release()
         return pa.array(np.array(found, np.uint64).view(np.int64))
 
     rows = keep(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), marked(docs["text"].cast("string")).alias("fp"), F.monotonically_increasing_id().alias("place"), docs["doc_id"].cast("bigint").alias("doc_id")), "simhash-rows")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import BASE, BASE_INV, blocks, bounded_batches, mix, powers, prefix_hash, raw_bytes, span_hash
+from tessera.llm.blocks import BASE, BASE_INV, blocks, bounded_batches, mix, powers, prefix_hash, raw_bytes, release, span_hash
 from tessera.llm.induced import InducedSorter
 from tessera.session import keep
 
@@ -233,6 +233,7 @@ def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD,
                     if own is not None:
                         for group in own.groups():
                             yield from _settle(*group, length, hot)
+                        release()
                     now, own = shard, _Held(held)
                 known, packed = pickle.loads(blob.as_py())
                 if known:
@@ -340,6 +341,7 @@ def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int,
         contents[place] = np.concatenate([np.frombuffer(p[4], np.uint8) for p in parts]) + np.uint8(1)
         with InducedSorter(memory) as sorter:
             entry, offset = repeated_windows(contents, starts, n, (rank << 33) + lo, length, sorter)
+        release()
         if not len(entry):
             return
         window = lo[entry] + offset
