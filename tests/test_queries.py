@@ -31,3 +31,11 @@ def test_contract(spark):
     assert set(QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
     assert all(ROWS[name] for name in QUERIES)
+
+
+def test_nothing_outside_imports_the_llm_subpackage():
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    files = [f for f in root.rglob("*.py") if not {"llm", ".git"} & set(f.relative_to(root).parts) and f.name not in ("__spark_entry__.py", "corpus_pipeline.py")]
+    assert files and not [f for f in files if "tessera" + ".llm" in f.read_text()]
