@@ -29,8 +29,10 @@ from tessera.llm.blocks import blocks, bounded_batches, crc_mod, text_frame
 BUCKETS = 1 << 14
 WIDTH = 16
 PER_LANGUAGE = 800
-#: Up to so many languages, their counts are sent to every task; with more they are joined by shuffling.
-MANY_LANGUAGES = 10_000
+#: Rows of the whole sample, shared evenly where there are many languages.
+MOST_ROWS = 40_000
+#: Up to so many languages, their counts and the sample's ids are sent to every task; with more they are joined by shuffling.
+MANY_LANGUAGES = 500
 EPOCHS, RATE, BATCH = 12, 4.0, 32
 REJECTED = 0.01
 _code = np.arange(256)
@@ -119,17 +121,19 @@ class Softmax:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Softmax | None:
-    """From (doc_id, text, lang); sees at most per_language rows of each language."""
+    """From (doc_id, text, lang); sees at most per_language rows of each language, and MOST_ROWS up to MANY_LANGUAGES of them."""
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
     ranked = Window.partitionBy("lang").orderBy(share, "doc_id")
     ids = docs.where("lang is not null").select("doc_id", "lang")
     # by hash, about four times the rows wanted of each language come near the ranking, however many it has
     counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    few = len(counts.select("n").limit(MANY_LANGUAGES + 1).collect()) <= MANY_LANGUAGES
+    languages = len(counts.select("n").limit(MANY_LANGUAGES + 1).collect())
+    few = languages <= MANY_LANGUAGES
+    per_language = max(1, min(per_language, MOST_ROWS // max(1, languages)))
     near = ids.join(F.broadcast(counts) if few else counts, "lang").where(share < 4.0 * per_language / F.col("n"))
     chosen = near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
-    # at most per_language rows of each language, so their ids can be sent to every task
-    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    # at most MOST_ROWS ids where there are few languages, so these can be sent to every task
+    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen) if few else chosen, ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in blocks(batches):
