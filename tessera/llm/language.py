@@ -133,7 +133,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Softmax | None:
     near = ids.join(F.broadcast(counts) if few else counts, "lang").where(share < 4.0 * per_language / F.col("n"))
     chosen = near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
     # at most MOST_ROWS ids where there are few languages, so these can be sent to every task
-    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen) if few else chosen, ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen) if few else chosen, ["doc_id", "lang"], "left_semi")
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")  # one row of an id that repeats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in blocks(batches):
