@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
 columns of documents. No stage has an SQL form: the classifier, the
-fingerprints and the packing are not expressible.
+shingle sets and the packing are not expressible.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, simhash, suffixes
+from tessera.llm import mixing, packing, quality, similar, suffixes
 from tessera.session import forget, keep, kept_paths, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -52,8 +52,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_follows
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies, of five-word similarity 0.8 or more, stays."""
+    return similar.one_of_similar(docs)
 
 
 @_follows
