@@ -46,6 +46,14 @@ def free_text_edges(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("x.w").alias("a"), F.col("y.w").alias("b")).distinct()
 
 
+@query("free_text_edges_whole", 11, 24)
+def free_text_edges_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of all whole texts: each id is linked to the next one of its text, which connects what all pairs would."""
+    ids = table(spark, sf, "documents").select(F.expr(r"regexp_extract_all(text, '([a-z]{4,5})', 1)").alias("w")).where("size(w) > 1")
+    pairs = ids.select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("x"), F.expr("slice(w, 2, size(w) - 1)").alias("y"))).alias("p"))
+    return pairs.where("p.x <> p.y").select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).distinct()
+
+
 @query("flag_codes", 49, 50, 105, 106, sql="""
 WITH u AS (SELECT 'nation' AS col, CAST(c_nationkey AS DOUBLE) AS x FROM customer UNION ALL SELECT 'thousands', floor(c_acctbal / 1000) FROM customer),
 h AS (SELECT col, CAST(CAST(x AS BIGINT) AS VARCHAR) AS code, CASE WHEN x < 0 THEN 'below' WHEN x > 0 THEN 'above' ELSE 'NA' END AS sign, count(*) AS n FROM u GROUP BY ALL)
