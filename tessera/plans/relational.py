@@ -240,7 +240,16 @@ def build_vote(spark: SparkSession, sf: str) -> DataFrame:
 @query("kinship_thresholds", 12, 109, views="edges", sql="""
 SELECT count(*) AS pairs, count(*) FILTER (WHERE (a * 31 + b) % 1000 >= 354) AS first_degree, count(*) FILTER (WHERE (a * 31 + b) % 1000 >= 177) AS second_degree, min((a * 31 + b) % 1000) AS least, max((a * 31 + b) % 1000) AS most FROM edges""")
 def kinship_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    k = v.edges(spark, sf).select(((F.col("a") * 31 + F.col("b")) % 1000).alias("k"))
+    return _kinship_counts(v.edges(spark, sf))
+
+
+@query("kinship_thresholds_whole", 12, 109)
+def kinship_thresholds_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _kinship_counts(v.all_edges(spark, sf))
+
+
+def _kinship_counts(edges: DataFrame) -> DataFrame:
+    k = edges.select(((F.col("a") * 31 + F.col("b")) % 1000).alias("k"))
     return k.agg(F.count("*").alias("pairs"), F.count_if(F.col("k") >= 354).alias("first_degree"), F.count_if(F.col("k") >= 177).alias("second_degree"), F.min("k").alias("least"), F.max("k").alias("most"))
 
 

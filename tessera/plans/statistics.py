@@ -10,7 +10,7 @@ from tessera.functions import values
 from tessera.functions.keys import unit_draw
 from tessera.operators import components, gates, graph, regression, relational, resample, stats
 from tessera.plans import views as v
-from tessera.plans.registry import query
+from tessera.plans.registry import ROWS, query
 from tessera.session import table
 
 #: The draw that Spark and DuckDB share: 32 bits of an MD5, as SQL over a text.
@@ -78,11 +78,17 @@ def component_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("components"))
 
 
+@query("component_sizes_whole", *ROWS["component_sizes"])
+def component_sizes_whole(spark: SparkSession, sf: str) -> DataFrame:
+    found = graph.connected_components(v.all_edges(spark, sf))
+    return found.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("components"))
+
+
 @query("component_ids", 210, 211)
 def component_ids(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
-    named = components.named_components(nodes, v.edges(spark, sf))
-    again = components.named_components(nodes, v.edges(spark, sf).orderBy(F.desc("a")))
+    named = components.named_components(nodes, v.all_edges(spark, sf))
+    again = components.named_components(nodes, v.all_edges(spark, sf).orderBy(F.desc("a")))
     differing = relational.same_partition(named, again, "node", "component_id").agg(F.count("*").alias("differing"))
     return named.crossJoin(differing)
 

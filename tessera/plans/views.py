@@ -54,8 +54,17 @@ def phenotype(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Those of every 20th order, as in the SQL view."""
+    return _edges(table(spark, sf, "orders").where(F.col("o_orderkey") % 20 == 0))
+
+
+def all_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _edges(table(spark, sf, "orders"))
+
+
+def _edges(orders: DataFrame) -> DataFrame:
     other = F.col("o_orderkey") % 1500 + 1
-    rows = table(spark, sf, "orders").where((F.col("o_orderkey") % 20 == 0) & (F.col("o_custkey") != other))
+    rows = orders.where(F.col("o_custkey") != other)
     return rows.select(F.least("o_custkey", other).alias("a"), F.greatest("o_custkey", other).alias("b")).distinct()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 
@@ -22,3 +23,41 @@ def test_free_text_edges_whole(spark):
         want |= {(min(p), max(p)) for p in zip(ids, ids[1:]) if p[0] != p[1]}  # noqa: B905
     got = [(r.a, r.b) for r in QUERIES["free_text_edges_whole"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def edge_pairs():
+    return {(min(c, o % 1500 + 1), max(c, o % 1500 + 1)) for c, o in columns("orders", "o_custkey", "o_orderkey") if c != o % 1500 + 1}
+
+
+def union_find(pairs, nodes=()):
+    parent = {x: x for x in [*nodes, *[x for p in pairs for x in p]]}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    groups = defaultdict(set)
+    for x in parent:
+        groups[root(x)].add(x)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_components_of_all_orders(spark):
+    want = Counter(len(g) for g in union_find(edge_pairs()))
+    assert {r["size"]: r.components for r in QUERIES["component_sizes_whole"](spark, SF).collect()} == want
+    customers = [c for (c,) in columns("customer", "c_custkey")]
+    own, found = set(customers), defaultdict(set)
+    rows = QUERIES["component_ids"](spark, SF).collect()
+    for r in rows:
+        found[r.component_id].add(r.node)
+    assert {frozenset(g & own) for g in found.values()} - {frozenset()} == {g & own for g in union_find(edge_pairs(), customers)} - {frozenset()}
+    assert {r.differing for r in rows} == {0}
+
+
+def test_kinship_of_all_orders(spark):
+    k = [(31 * a + b) % 1000 for a, b in edge_pairs()]
+    assert tuple(QUERIES["kinship_thresholds_whole"](spark, SF).first()) == (len(k), sum(x >= 354 for x in k), sum(x >= 177 for x in k), min(k), max(k))
