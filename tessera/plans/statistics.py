@@ -358,8 +358,18 @@ s AS (SELECT rep, (sum(a) - sum(b)) / sum(t) AS gain FROM d JOIN n USING (i) GRO
 @query("cluster_bootstrap", 157, 158, 159, sql=f"""
 WITH {_BOOT} SELECT round(quantile_cont(gain, 0.025), 8) AS low, round(quantile_cont(gain, 0.975), 8) AS high, count(gain) AS replicates FROM s""")
 def cluster_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return _gain_interval(table(spark, sf, "orders").where("o_custkey % 25 = 0"))
+
+
+@query("cluster_bootstrap_whole", 157, 158, 159, sql=f"""
+WITH {_BOOT.replace(" WHERE o_custkey % 25 = 0", "")} SELECT round(quantile_cont(gain, 0.025), 8) AS low, round(quantile_cont(gain, 0.975), 8) AS high, count(gain) AS replicates FROM s""")
+def cluster_bootstrap_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _gain_interval(table(spark, sf, "orders"))
+
+
+def _gain_interval(orders: DataFrame) -> DataFrame:
     square = lambda m: F.sum((F.col("o_totalprice") - m) ** 2)
-    u = table(spark, sf, "orders").where("o_custkey % 25 = 0").groupBy(F.col("o_custkey").alias("id")).agg(square(150000).alias("a"), square(140000).alias("b"), square(145000).alias("t"))
+    u = orders.groupBy(F.col("o_custkey").alias("id")).agg(square(150000).alias("a"), square(140000).alias("b"), square(145000).alias("t"))
     units = resample.numbered(u, ["id"])
     weighted = lambda c: F.sum(F.col("w") * F.col(c))
     reps = resample.replicated(units, 100, "boot", [((weighted("a") - weighted("b")) / weighted("t")).alias("gain")])

@@ -61,3 +61,12 @@ def test_components_of_all_orders(spark):
 def test_kinship_of_all_orders(spark):
     k = [(31 * a + b) % 1000 for a, b in edge_pairs()]
     assert tuple(QUERIES["kinship_thresholds_whole"](spark, SF).first()) == (len(k), sum(x >= 354 for x in k), sum(x >= 177 for x in k), min(k), max(k))
+
+
+def test_cluster_bootstrap_takes_all_customers(spark, monkeypatch):
+    from tessera.operators import resample
+
+    units, numbered = [], resample.numbered
+    monkeypatch.setattr(resample, "numbered", lambda u, by: units.append(u) or numbered(u, by))
+    assert QUERIES["cluster_bootstrap_whole"](spark, SF).first().replicates == 100
+    assert {r.id for r in units[0].collect()} == {c for (c,) in columns("orders", "o_custkey")}
