@@ -129,9 +129,14 @@ def curve_nonincreasing_fit(spark: SparkSession, sf: str) -> DataFrame:
     return c.nonincreasing_fit(v.curve(spark, sf).where("step <= 12")).select("cell", "step", F.round("fit", 7).alias("fit"))
 
 
+@query("curve_nonincreasing_fit_whole", 198)
+def curve_nonincreasing_fit_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return c.nonincreasing_fit(v.curve(spark, sf)).select("cell", "step", F.round("fit", 7).alias("fit"))
+
+
 @query("curve_acceleration", 199, 93)
 def curve_acceleration(spark: SparkSession, sf: str) -> DataFrame:
-    curve = v.curve(spark, sf).where("step <= 30")
+    curve = v.curve(spark, sf)
     kind = F.substring_index("cell", ":", -1)
     control = curve.where(kind == "view").withColumn("cell", F.substring_index("cell", ":", 1))
     chosen = curve.where(kind == "click").withColumn("cell", F.substring_index("cell", ":", 1))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
+import statistics
 from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
+import pytest
 
 from tessera.plans.all import QUERIES
 
@@ -70,3 +73,26 @@ def test_cluster_bootstrap_takes_all_customers(spark, monkeypatch):
     monkeypatch.setattr(resample, "numbered", lambda u, by: units.append(u) or numbered(u, by))
     assert QUERIES["cluster_bootstrap_whole"](spark, SF).first().replicates == 100
     assert {r.id for r in units[0].collect()} == {c for (c,) in columns("orders", "o_custkey")}
+
+
+def min_max_fit(values):
+    mean = lambda lo, hi: sum(values[lo : hi + 1]) / (hi + 1 - lo)
+    return [min(max(mean(lo, hi) for hi in range(i, len(values))) for lo in range(i + 1)) for i in range(len(values))]
+
+
+def test_whole_curves(spark, tmp_path):
+    rng = random.Random(2)
+    curves = {(u, kind): [100 - 2 * i * u + rng.gauss(0, 20) + (60 if i >= 35 else 0) for i in range(45)] for u in (1, 2) for kind in ("view", "click")}
+    rows = [(u * 1000 + i * 2 + (kind == "view"), u, kind, x) for (u, kind), xs in curves.items() for i, x in enumerate(xs)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    fits = {f"{u}:{kind}": min_max_fit(xs) for (u, kind), xs in curves.items()}
+    got = {(r.cell, r.step): r.fit for r in QUERIES["curve_nonincreasing_fit_whole"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({(cell, i + 1): x for cell, fit in fits.items() for i, x in enumerate(fit)}, abs=1e-6)
+    want = {}
+    for u in ("1", "2"):
+        a, b = fits[f"{u}:view"], fits[f"{u}:click"]
+        hi, lo = min(a[0], b[0]), max(a[-1], b[-1])
+        first = lambda fit, level: next(i + 1 for i, x in enumerate(fit) if x <= level)
+        levels = [hi - (hi - lo) * k / 6 for k in range(1, 6)]
+        want[u] = statistics.median(first(a, x) / first(b, x) for x in levels)
+    assert {r.cell: r.speedup for r in QUERIES["curve_acceleration"](spark, str(tmp_path)).collect()} == pytest.approx(want)
