@@ -137,8 +137,18 @@ def keyed_update(spark: SparkSession, sf: str) -> DataFrame:
 @query("p_on_grid", 80, sql="""
 SELECT o_orderkey, round((o_orderkey % 1000) / 1000.0, 6) = 0 OR false AS zero, (o_orderkey % 1000) > 0 AS on_grid FROM orders WHERE o_orderkey % 7 = 0""")
 def p_on_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return _on_grid(table(spark, sf, "orders").where("o_orderkey % 7 = 0"))
+
+
+@query("p_on_grid_whole", 80, sql="""
+SELECT o_orderkey, round((o_orderkey % 1000) / 1000.0, 6) = 0 OR false AS zero, (o_orderkey % 1000) > 0 AS on_grid FROM orders""")
+def p_on_grid_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _on_grid(table(spark, sf, "orders"))
+
+
+def _on_grid(orders: DataFrame) -> DataFrame:
     p = (F.col("o_orderkey") % 1000) / 1000.0
-    return table(spark, sf, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", (p == 0).alias("zero"), values.on_grid(p, 999).alias("on_grid"))
+    return orders.select("o_orderkey", (p == 0).alias("zero"), values.on_grid(p, 999).alias("on_grid"))
 
 
 @query("counted_left_join", 81, sql="""
@@ -204,7 +214,17 @@ def group_derangement(spark: SparkSession, sf: str) -> DataFrame:
 SELECT c_custkey, coalesce(nullif(c_mktsegment, ''), CAST(c_custkey AS VARCHAR)) AS family, n_regionkey = r_regionkey AND c_nationkey = n_nationkey AS agrees
 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey % 3 = 0""")
 def metadata_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
-    c, n, g = table(spark, sf, "customer").where("c_custkey % 3 = 0"), table(spark, sf, "nation"), table(spark, sf, "region")
+    return _reconciled(table(spark, sf, "customer").where("c_custkey % 3 = 0"), table(spark, sf, "nation"), table(spark, sf, "region"))
+
+
+@query("metadata_reconciliation_whole", 94, sql="""
+SELECT c_custkey, coalesce(nullif(c_mktsegment, ''), CAST(c_custkey AS VARCHAR)) AS family, n_regionkey = r_regionkey AND c_nationkey = n_nationkey AS agrees
+FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def metadata_reconciliation_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _reconciled(table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region"))
+
+
+def _reconciled(c: DataFrame, n: DataFrame, g: DataFrame) -> DataFrame:
     joined = c.join(n, c.c_nationkey == n.n_nationkey).join(g, n.n_regionkey == g.r_regionkey)
     return joined.select("c_custkey", F.coalesce(F.nullif("c_mktsegment", F.lit("")), F.col("c_custkey").cast("string")).alias("family"), ((F.col("n_regionkey") == F.col("r_regionkey")) & (F.col("c_nationkey") == F.col("n_nationkey"))).alias("agrees"))
 

@@ -96,3 +96,30 @@ def test_whole_curves(spark, tmp_path):
         levels = [hi - (hi - lo) * k / 6 for k in range(1, 6)]
         want[u] = statistics.median(first(a, x) / first(b, x) for x in levels)
     assert {r.cell: r.speedup for r in QUERIES["curve_acceleration"](spark, str(tmp_path)).collect()} == pytest.approx(want)
+
+
+def test_order_invariance_takes_all_variants(spark, monkeypatch):
+    from tessera.operators import guards
+    from tessera.plans import views
+
+    sf, seen, whole = SF.replace("0.001", "0.01"), [], guards.unchanged_by_order
+    monkeypatch.setattr(guards, "unchanged_by_order", lambda df, run: seen.append(df.count()) or whole(df, run))
+    assert QUERIES["order_invariance"](spark, sf).first().unchanged
+    assert seen == [views.genotype(spark, sf).count()]
+
+
+def test_family_wise_p_takes_all_suppliers(spark):
+    sf, values = SF.replace("0.001", "0.01"), defaultdict(list)
+    rows = pq.read_table(f"{sf}/lineitem.parquet", columns=["l_returnflag", "l_suppkey", "l_discount"]).to_pylist()
+    for r in rows:
+        values[r["l_returnflag"], r["l_suppkey"]].append(r["l_discount"] - 0.05)
+    want = {}
+    for flag in {f for f, _ in values}:
+        terms = [sum(x) / len(x) for (f, _), x in values.items() if f == flag]
+        want[flag] = abs(sum(terms)) / sum(t * t for t in terms) ** 0.5
+    assert {r.candidate: r.statistic for r in QUERIES["family_wise_p"](spark, sf).collect()} == pytest.approx(want)
+
+
+def test_rows_outside_the_old_subsets(spark):
+    for name, source in (("p_on_grid_whole", "orders"), ("metadata_reconciliation_whole", "customer"), ("arm_registry_whole", "embeddings")):
+        assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
