@@ -211,7 +211,7 @@ def association_p_values(spark: SparkSession, sf: str) -> DataFrame:
     return scan.select("variant", "z", values.two_sided_p("z").alias("p"))
 
 
-@query("threshold_scores", 132, 133, views="genotype", sql="""
+@query("threshold_scores", 132, views="genotype", sql="""
 WITH e AS (SELECT variant, (variant % 9 - 4) / 10.0::DOUBLE AS beta, (variant % 100) / 100.0::DOUBLE AS p FROM (SELECT DISTINCT variant FROM genotype)),
 s AS (SELECT sample, sum(CASE WHEN p < 0.05 THEN dosage * beta ELSE 0 END) AS s0, sum(CASE WHEN p < 0.5 THEN dosage * beta ELSE 0 END) AS s1 FROM genotype JOIN e USING (variant) WHERE dosage IS NOT NULL GROUP BY sample)
 SELECT sample, round(s0, 9) + 0 AS score_0, round(s1, 9) + 0 AS score_1 FROM s""")
@@ -250,7 +250,7 @@ def rank_inverse_normal(spark: SparkSession, sf: str) -> DataFrame:
     return stats.rank_share(o, "o_totalprice", F.col("o_orderkey") % 10 < 7).select("o_orderkey", values.normal_quantile("share").alias("rint"))
 
 
-@query("train_principal_components", 138, 139, 143)
+@query("train_principal_components", 138, 143)
 def train_principal_components(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     mean, axes, _ = regression.principal_axes(e.where("vec_id % 10 < 7"), "embedding", 3)
@@ -301,7 +301,7 @@ def distance_pooling(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(line.agg(F.avg("l_quantity").alias("uniform"), stats.decayed_mean(F.col("l_quantity"), F.col("l_linenumber"), 3.0).alias("decayed")))
 
 
-@query("wilson_intervals", 147, 148, sql="""
+@query("wilson_intervals", 147, sql="""
 WITH k AS (SELECT l_returnflag, l_linestatus, count(*) FILTER (WHERE l_discount > 0.05)::DOUBLE AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), z AS (SELECT *, 1.959963984540054 AS z, k / n AS p FROM k)
 SELECT l_returnflag, l_linestatus, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS high FROM z""")
 def wilson_intervals(spark: SparkSession, sf: str) -> DataFrame:
