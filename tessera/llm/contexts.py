@@ -8,27 +8,33 @@ training texts, their Krichevsky-Trofimov probability, and the weighted
 mixture of that with its longer contexts. Prediction mixes all depths along
 the path by the nodes' posterior weights.
 
-Counting is distributed: tasks count distinct (DEPTH+1)-byte strings and words
-of their texts, shards add these up, nodes are computed where all strings
-ending in the same two context bytes meet, and depths 0 and 1 (at most 65,792
-nodes a side) on the driver. The node tables are split by last context byte
-into parts of at most PART_BYTES; each part is broadcast only in its own pass
-over the texts, so the model may grow without any task holding more.
-
-The word base needs each word's count: tasks send distinct words with the
-texts that hold them to the words' shards, which return partial sums by text.
-Words are told apart by a 64-bit hash.
+The model is never gathered or broadcast; texts meet it in three shuffles:
+
+1. Texts are written once as blocks of about BLOCK_BYTES. Tasks count the
+   distinct (DEPTH+1)-byte strings and words of a block's training texts and
+   send them to shards. Strings are dealt by their last two context bytes,
+   each pair of bytes spread over SPREAD shards by the byte before, so that no
+   frequent pair is one task's. A shard computes its nodes of depths DEPTH to 3.
+2. Nodes of depth 2 are summed over the SPREAD shards of their byte pairs and
+   sent back to these. Depths 0 and 1 (at most 65,535 nodes, 1 MB) are summed
+   on the driver and broadcast.
+3. Each block asks every shard for its distinct strings and words and gets one
+   number for each; the block sums them up by text.
+
+Words are told apart by 128 bits of a non-linear hash of their bytes and
+length; equal first halves are compared by the second.
 
 Defined cases: null, empty and blank texts are the end token alone; without
 training rows N and V are 0 and every decision has probability one half; rows
-that repeat are scored and counted each; other columns are ignored; an empty
-table gives an empty result.
+that repeat are scored and counted each; a text longer than BLOCK_BYTES is a
+block of its own; equal texts have equal scores; other columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,20 +43,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, SPACE, blocks, bounded_batches, crc_mod, mix, prefix_hash, release, span_hash, text_frame
+from tessera.llm.blocks import LOWER, SPACE, bounded_batches, crc_mod, mix, raw_bytes, release, slices, text_frame
 from tessera.session import keep
 
 DEPTH = 5
 END = 10
-PART_BYTES = 128 << 20
+#: Text bytes of a block.
+BLOCK_BYTES = 6 << 20
 #: Distinct strings or words that a counting task holds before it sends them on.
 HELD = 1_500_000
-#: Rows of the input a shard, and the bounds of the number of shards.
-SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 20_000, 16, 256
-#: Predicted strings that a scoring task remembers.
-REMEMBERED = 1_000_000
-ROWS = "shard int, kind int, block string, blob binary"
+#: Rows of the input a shard, bounds of the number of shards, and shards that share a byte pair.
+SHARD_ROWS, FEW_SHARDS, MANY_SHARDS, SPREAD = 20_000, 16, 8192, 16
+#: Strings that a shard looks up together.
+TOGETHER = 400_000
+#: Words up to so many bytes are hashed together, eight bytes at a time.
+SHORT = 64
 _U = np.uint64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U)
+_ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
+#: Kinds of rows, in the order in which a shard reads them.
+NODES, PAIRS, WORDS, ASK_STRINGS, ASK_WORDS, ABOVE, TEXTS, TOP = range(8)
+ROWS = "shard int, kind int, block bigint, blob binary, keys bigint, total bigint"
 
 
 def sequences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,12 +88,87 @@ def strings(joined: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return code[real], np.concatenate([[0], np.cumsum(end - start + 1)])[:-1]
 
 
-def words(joined: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word."""
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two non-linear 64-bit hashes of each span, which together tell spans apart."""
+    size = last - first
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    one, two = size.astype(_U) * _ODD[0], size.astype(_U) * _ODD[1]
+    rest = np.arange(len(first))
+    for k in range(0, SHORT, 8):
+        rest = rest[size[rest] > k]
+        if not len(rest):
+            break
+        lane = lanes[first[rest] + k] & _MASK[np.minimum(size[rest] - k, 8)]
+        one[rest] = mix(one[rest] ^ lane) * _ODD[2]
+        two[rest] = mix(two[rest] + lane * _ODD[0]) + one[rest]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        digest = hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=16).digest()
+        one[i], two[i] = np.frombuffer(digest, "<u8")
+    return one, two
+
+
+def words(joined: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes and the text number of every word."""
     solid = np.concatenate([[False], ~SPACE[joined], [False]])
     first, last = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(solid[:-1] & ~solid[1:])
-    first = first[: len(last)]
-    return span_hash(prefix_hash(joined), first, last), np.searchsorted(start, first, "right") - 1
+    return *word_hashes(joined, first, last), np.searchsorted(start, first, "right") - 1
+
+
+def word_order(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the words, and whether each in that order differs from the one before."""
+    order = np.argsort(one, kind="stable")
+    for _ in range(2):
+        a, b = one[order], two[order]
+        same = a[1:] == a[:-1]
+        if not (same & (b[1:] != b[:-1])).any():
+            break
+        order = np.lexsort((two, one))  # two words with one first hash
+    return order, np.concatenate([np.ones(min(1, len(a)), bool), ~same | (b[1:] != b[:-1])])
+
+
+def distinct_words(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, sorted, and the number among them of every word."""
+    order, new = word_order(one, two)
+    which = np.empty(len(one), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return one[order][new], two[order][new], which
+
+
+def find_words(known: tuple[np.ndarray, np.ndarray, np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Counts of words, 0 for unknown ones; known: (hashes, second hashes, counts), sorted."""
+    n = np.zeros(len(one), np.int64)
+    at = np.searchsorted(known[0], one)
+    left = np.arange(len(one))
+    while True:
+        left = left[at[left] < len(known[0])]
+        left = left[known[0][at[left]] == one[left]]
+        if not len(left):
+            return n
+        found = known[1][at[left]] == two[left]
+        n[left[found]] = known[2][at[left[found]]]
+        left = left[~found]
+        at[left] += 1
+
+
+class WordSums:
+    """Distinct words with added counts."""
+
+    def __init__(self):
+        self.held = (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
+        self.more, self.waiting = [], 0
+
+    def add(self, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> None:
+        self.more.append((one, two, n))
+        self.waiting += len(one)
+        if self.waiting > max(HELD // 2, len(self.held[0])):
+            self.settle()
+
+    def settle(self) -> None:
+        if self.more:
+            one, two, n = (np.concatenate(x) for x in zip(self.held, *self.more, strict=True))
+            order, new = word_order(one, two)
+            self.held = (one[order][new], two[order][new], np.add.reduceat(n[order], np.flatnonzero(new)) if len(n) else n)
+            self.more, self.waiting = [], 0
 
 
 class Sums:
@@ -115,67 +203,6 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a.astype(np.uint8)
 
 
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(key) % _U(shards)).astype(np.int64)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    shard, kind, block, blob = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.string()), pa.array(blob, pa.binary())], ["shard", "kind", "block", "blob"])
-
-
-def _split(kind: int, key: np.ndarray, n: np.ndarray, shards: int) -> pa.RecordBatch | None:
-    where = shard_of(key, shards)
-    order = np.argsort(where, kind="stable")
-    cut = np.searchsorted(where[order], np.arange(shards + 1))
-    rows = [(s, kind, "", pickle.dumps((key[order[a:b]], narrow(n[order[a:b]])), protocol=5)) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-    return _rows(rows) if rows else None
-
-
-STRINGS, WORDS = 0, 1
-
-
-def corpus_counts(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, kind, block, blob): added counts of the training rows' strings and words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _trees.clear()  # a worker may still hold the model of an earlier query
-        release()
-        held = (Sums(), Sums())
-        for _, data, at in blocks(batches):
-            joined, start, end = sequences(data, at)
-            for kind, key in ((STRINGS, strings(joined, start, end)[0]), (WORDS, words(joined, start)[0])):
-                held[kind].add(*np.unique(key, return_counts=True))
-                if len(held[kind].key) > HELD:
-                    yield _split(kind, held[kind].key, held[kind].n, shards)
-                    held[kind].key, held[kind].n = held[kind].key[:0], held[kind].n[:0]
-        for kind in (STRINGS, WORDS):
-            held[kind].settle()
-            if len(held[kind].key):
-                yield _split(kind, held[kind].key, held[kind].n, shards)
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
-        for batch in batches:
-            for shard, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
-                if (shard, kind) != now:
-                    if now is not None:
-                        yield from _settled(now, held)
-                    now, held = (shard, kind), Sums()
-                held.add(*pickle.loads(blob.as_py()))
-        if now is not None:
-            yield from _settled(now, held)
-
-    sent = docs.select("doc_id", "text").mapInArrow(count, ROWS)
-    return sent.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(reduce, ROWS)
-
-
-def _settled(now: tuple, held: Sums, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    held.settle()
-    for lo in range(0, len(held.key), most):
-        yield _rows([(now[0], now[1], "", pickle.dumps((held.key[lo : lo + most], narrow(held.n[lo : lo + most])), protocol=5))])
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """For x >= 0.5: Stirling's series eight steps up."""
     x = np.asarray(x, np.float64)
@@ -232,308 +259,343 @@ def subtree(key: np.ndarray, n: np.ndarray, down_to: int) -> tuple[dict[int, tup
     return tables, (node, zeros, ones, below[1])
 
 
-class Tree:
-    """Some part of the nodes: those below the last context bytes that it holds, and the top ones.
+def log10_of(key: np.ndarray, tables: dict[int, tuple]) -> np.ndarray:
+    """Log probability of the last byte of each string after the bytes before it."""
+    byte, total = key & _U(255), np.zeros(len(key))
+    for level in range(8):
+        prefix = _U(1 << level) | (byte >> _U(8 - level))
+        one = ((byte >> _U(7 - level)) & _U(1)).astype(bool)
+        p = np.full(len(key), 0.5)
+        if DEPTH in tables:
+            have, before = tables[DEPTH]
+            low = (key & ~_U(255)) | ((byte >> _U(8 - level)) << _U(8 - level))
+            a, b, c = (before[np.searchsorted(have, low + _U(x))] for x in (0, 1 << (7 - level), 1 << (8 - level)))
+            p = (np.where(one, c - b, b - a) + 0.5) / (c - a + 1.0)
+        for depth in range(DEPTH - 1, -1, -1):
+            if depth not in tables:
+                continue  # no node of this depth: one half, as p is yet
+            have, chance, own = tables[depth]
+            node = (((key >> _U(8)) & _U((1 << 8 * depth) - 1)) << _U(8)) | prefix
+            at = np.searchsorted(have, node)
+            at[at == len(have)] = 0
+            weight = own[at].astype(np.float64)
+            said = chance[at].astype(np.float64)
+            p = np.where(have[at] == node, weight * np.where(one, said, 1 - said) + (1 - weight) * p, 0.5)
+        total += np.log10(p)
+    return total
 
-    below: for each last context byte the pickled tables of depths 2 and more; top: depths 0 and 1.
-    """
 
-    def __init__(self, below: dict[int, bytes], top: dict[int, tuple]):
-        self.below, self.top = below, top
-        self.known, self.logs = np.zeros(0, _U), np.zeros(0)
 
-    def log10(self, key: np.ndarray) -> np.ndarray:
-        """Log probability of the last byte of each string after the bytes before it."""
-        total = np.zeros(len(key))
-        last = ((key >> _U(8)) & _U(255)).astype(np.int64)
-        for c in np.unique(last).tolist():
-            own = last == c
-            tables = self.below.get(c, {})
-            if isinstance(tables, bytes):
-                tables = pickle.loads(tables)
-                tables[DEPTH] = (tables[DEPTH][0], np.concatenate([[0], np.cumsum(tables[DEPTH][1])]))
-                self.below[c] = tables
-            total[own] = self._log10(key[own], self.top | tables)
-        return total
-
-    @staticmethod
-    def _log10(key: np.ndarray, tables: dict[int, tuple]) -> np.ndarray:
-        byte, total = key & _U(255), np.zeros(len(key))
-        for level in range(8):
-            prefix = _U(1 << level) | (byte >> _U(8 - level))
-            one = ((byte >> _U(7 - level)) & _U(1)).astype(bool)
-            p = np.full(len(key), 0.5)
-            if DEPTH in tables:
-                have, before = tables[DEPTH]
-                low = (key & ~_U(255)) | ((byte >> _U(8 - level)) << _U(8 - level))
-                a, b, c = (before[np.searchsorted(have, low + _U(x))] for x in (0, 1 << (7 - level), 1 << (8 - level)))
-                p = (np.where(one, c - b, b - a) + 0.5) / (c - a + 1.0)
-            for depth in range(DEPTH - 1, -1, -1):
-                if depth not in tables:
-                    continue  # no node of this depth: one half, as p is yet
-                have, chance, own = tables[depth]
-                node = (((key >> _U(8)) & _U((1 << 8 * depth) - 1)) << _U(8)) | prefix
-                at = np.searchsorted(have, node)
-                at[at == len(have)] = 0
-                weight = own[at].astype(np.float64)
-                said = chance[at].astype(np.float64)
-                p = np.where(have[at] == node, weight * np.where(one, said, 1 - said) + (1 - weight) * p, 0.5)
-            total += np.log10(p)
-        return total
-
-    def remembered(self, key: np.ndarray) -> np.ndarray:
-        """log10 of sorted distinct strings, kept for the next block."""
-        at = np.searchsorted(self.known, key)
-        at[at == len(self.known)] = 0
-        new = self.known[at] != key if len(self.known) else np.ones(len(key), bool)
-        if new.any():
-            if len(self.known) > REMEMBERED:
-                self.known, self.logs, new = self.known[:0], self.logs[:0], np.ones(len(key), bool)
-            fresh = key[new]
-            all_keys, all_logs = np.concatenate([self.known, fresh]), np.concatenate([self.logs, self.log10(fresh)])
-            order = np.argsort(all_keys, kind="stable")
-            self.known, self.logs = all_keys[order], all_logs[order]
-        return self.logs[np.searchsorted(self.known, key)]
-
-    def score(self, key: np.ndarray, first: np.ndarray) -> np.ndarray:
-        distinct = np.unique(key)
-        logs = self.remembered(distinct)
-        slots = 1 << 20
-        place = lambda k: ((k * _U(0x9E3779B97F4A7C15)) >> _U(44)).astype(np.int64)
-        table = np.zeros(slots, np.int64)
-        table[place(distinct)] = np.arange(len(distinct))
-        at = table[place(key)]
-        wrong = np.flatnonzero(distinct[at] != key)
-        at[wrong] = np.searchsorted(distinct, key[wrong])
-        return np.add.reduceat(logs[at], first)
-
-
-def build_trees(counts: DataFrame, shards: int, part_bytes: int) -> list[Tree]:
-    """The node tables, by parts of at most part_bytes (or one last context byte)."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shard_of_strings(key: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each string: its last two context bytes name SPREAD shards, the byte before one of these."""
+    pair = (mix((key >> _U(8)) & _U(0xFFFF)) % _U(shards // SPREAD)).astype(np.int64)
+    return pair * SPREAD + (mix(((key >> _U(24)) & _U(0xFF)) + _U(1)) % _U(SPREAD)).astype(np.int64)
+
+
+def shard_of_words(one: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(one ^ _ODD[1]) % _U(shards)).astype(np.int64)
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by shard, and the cuts between shards in that order."""
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (shard, kind, block, value[, keys, total]); the value is pickled."""
+    full = [(*r[:3], pickle.dumps(r[3], protocol=5), *(r[4:] or (0, 0))) for r in rows]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*full, strict=True), kinds, strict=True)], ["shard", "kind", "block", "blob", "keys", "total"])
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(shard, kind, block, value) of every row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), pickle.loads(batch.column(3)[i].as_buffer())
+
+
+def text_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """TEXTS rows from (doc_id, text, held): keys texts, of which total are for training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, parts, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def done() -> pa.RecordBatch:
+            ids, null, held, joined, texts = zip(*parts, strict=True)
+            held = np.concatenate(held)
+            start = np.concatenate([at + shift for at, shift in zip((t[0] for t in texts), np.cumsum([0, *map(len, joined)]), strict=False)])
+            length = np.concatenate([t[1] for t in texts])
+            value = (np.concatenate(ids), np.concatenate(null), held, np.concatenate(joined), start, length)
+            return _batch([(0, TEXTS, (task << 32) + number, value, len(held), int((~held).sum()))])
+
         for batch in batches:
-            for blob in batch.column(3):
-                key, n = pickle.loads(blob.as_py())
-                where = shard_of((key >> _U(8)) & _U(0xFFFF), shards)
-                for s in np.unique(where):
-                    yield _rows([(int(s), 0, "", pickle.dumps((key[where == s], n[where == s]), protocol=5))])
-
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [pickle.loads(b.as_py()) for batch in batches for b in batch.column(3)]
-        if not got:
-            return
-        key, n = added(np.concatenate([k for k, _ in got]), np.concatenate([c.astype(np.int64) for _, c in got]))
-        tables, above = subtree(key, n, 2)
-        yield _rows([(-1, 0, "", pickle.dumps(above, protocol=5))])
-        last = {d: (t[0] >> _U(8)) & _U(255) for d, t in tables.items()}
-        for c in np.unique((key >> _U(8)) & _U(255)).tolist():
-            own = {d: tuple(x[last[d] == c] for x in t) for d, t in tables.items()}
-            yield _rows([(c, 0, "", pickle.dumps(own, protocol=5))])
-
-    grown = keep(counts.where(F.col("kind") == STRINGS).mapInArrow(deal, ROWS).repartition("shard").mapInArrow(grow, ROWS), "nodes")
-    # depth 1: at most 65,280 nodes, added up over the shards
+            data, at = raw_bytes(batch.column(1))
+            for lo, hi in slices(at):
+                joined, start, end = sequences(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                some = batch.slice(lo, hi - lo)
+                if parts and size + len(joined) > block_bytes:
+                    yield done()
+                    number, parts, size = number + 1, [], 0
+                parts.append((some.column(0).fill_null(0).to_numpy(), np.array(some.column(0).is_null()), np.array(some.column(2)), joined, (start, end - start)))
+                size += len(joined)
+        if parts:
+            yield done()
+        release()
+
+    return docs.select("doc_id", "text", "held").mapInArrow(run, ROWS)
+
+
+def counted(blocks: DataFrame, shards: int) -> DataFrame:
+    """NODES, WORDS and ABOVE rows of the training texts."""
+
+    def send(strings_held: Sums, words_held: WordSums) -> Iterator[pa.RecordBatch]:
+        strings_held.settle()
+        words_held.settle()
+        order, cut = _by_shard(shard_of_strings(strings_held.key, shards), shards)
+        rows = [(s, NODES, 0, (strings_held.key[order[a:b]], narrow(strings_held.n[order[a:b]]))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        one, two, n = words_held.held
+        order, cut = _by_shard(shard_of_words(one, shards), shards)
+        rows += [(s, WORDS, 0, (one[order[a:b]], two[order[a:b]], narrow(n[order[a:b]]))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        if rows:
+            yield _batch(rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (Sums(), WordSums())
+        for *_, (_, _, out, joined, start, size) in _rows_of(batches):
+            if out.all():
+                continue
+            code, _ = strings(joined, start, start + size)
+            held[0].add(*np.unique(code[np.repeat(~out, size + 1)] if out.any() else code, return_counts=True))
+            one, two, owner = words(joined, start)
+            mine = ~out[owner]
+            first, second, which = distinct_words(one[mine], two[mine])
+            held[1].add(first, second, np.bincount(which, minlength=len(first)))
+            if max(len(held[0].key), len(held[1].held[0])) > HELD:
+                yield from send(*held)
+                held = (Sums(), WordSums())
+            release()
+        yield from send(*held)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            held.settle()
+            if now[1] == WORDS:
+                one, two, n = held.held
+                yield _batch([(now[0], WORDS, 0, (one, two, narrow(n)), len(n), int(n.sum()))])
+            else:
+                tables, above = subtree(held.key, held.n, 3)
+                yield _batch([(now[0], NODES, 0, tables)])
+                yield _batch([(now[0] // SPREAD, ABOVE, 0, above)])
+
+        for shard, kind, _, value in _rows_of(batches):
+            if (shard, kind) != now:
+                if now is not None:
+                    yield from settled()
+                now, held = (shard, kind), WordSums() if kind == WORDS else Sums()
+            held.add(*value)
+        if now is not None:
+            yield from settled()
+        release()
+
+    sent = blocks.mapInArrow(count, ROWS)
+    return sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind").mapInArrow(reduce, ROWS)
+
+
+def pair_nodes(model: DataFrame, shards: int) -> DataFrame:
+    """PAIRS rows, the nodes of depth 2 for each shard that needs them, and TOP rows, their sums for depth 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list] = {}
+        for pair, _, _, above in _rows_of(batches):
+            got.setdefault(pair, []).append(above)
+        for pair, parts in got.items():
+            node, zeros, ones, below = added(*map(np.concatenate, zip(*parts, strict=True)))
+            mixed, chance, own = weigh(zeros, ones, below)
+            table = (node, chance.astype(np.float32), own.astype(np.float32))
+            yield _batch([*[(pair * SPREAD + s, PAIRS, 0, table) for s in range(SPREAD)], (0, TOP, 0, added(node & _U(0xFFFF), zeros, ones, mixed))])
+
+    above = model.where(F.col("kind") == ABOVE)
+    return above.repartitionById(shards // SPREAD, F.col("shard")).mapInArrow(run, ROWS)
+
+
+def top_nodes(pairs: DataFrame) -> dict[int, tuple]:
+    """Nodes of depths 1 and 0: at most 65,280 and 255."""
+
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(3):
-                node, zeros, ones, below = pickle.loads(blob.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(zeros), pa.array(ones), pa.array(below)], ["node", "zeros", "ones", "below"])
+        for *_, (node, zeros, ones, below) in _rows_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(zeros), pa.array(ones), pa.array(below)], ["node", "zeros", "ones", "below"])
 
-    top = grown.where("shard = -1").mapInArrow(flat, "node bigint, zeros bigint, ones bigint, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow().sort_by("node")
+    sums = pairs.where(F.col("kind") == TOP).mapInArrow(flat, "node bigint, zeros bigint, ones bigint, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
+    top = sums.toArrow().sort_by("node")
     node = top.column("node").to_numpy().astype(_U)
     if not len(node):
-        return [Tree({}, {})]
+        return {}
     zeros, ones = top.column("zeros").to_numpy(), top.column("ones").to_numpy()
     mixed, chance, own = weigh(zeros, ones, top.column("below").to_numpy())
-    one = (node, chance.astype(np.float32), own.astype(np.float32))
     root, z, o, below = added(node & _U(255), zeros, ones, mixed)
     _, root_chance, root_own = weigh(z, o, below)
-    zero = (root, root_chance.astype(np.float32), root_own.astype(np.float32))
-    size = {r["shard"]: r["n"] for r in grown.where("shard >= 0").groupBy("shard").agg(F.sum(F.octet_length("blob")).alias("n")).collect()}
-    groups, room = [[]], part_bytes
-    for c in sorted(size):
-        if groups[-1] and size[c] > room:
-            groups.append([])
-            room = part_bytes
-        groups[-1].append(c)
-        room -= size[c]
-    return [_Part(grown, group, one, zero) for group in groups]
-
-
-class _Part:
-    """A part that is fetched only when its pass begins."""
-
-    def __init__(self, grown: DataFrame, group: list[int], one: tuple, zero: tuple):
-        self.grown, self.group, self.one, self.zero = grown, group, one, zero
-
-    def tree(self) -> Tree:
-        """The tables as bytes; tasks unpickle what they use."""
-        below: dict[int, list] = {}
-        for row in self.grown.where(F.col("shard").isin(self.group)).select("shard", "blob").toLocalIterator():
-            below.setdefault(row["shard"], []).append(bytes(row["blob"]))
-        for c, parts in below.items():
-            below[c] = parts[0] if len(parts) == 1 else _joined(parts)
-        mine = np.isin((self.one[0] >> _U(8)) & _U(255), self.group)
-        return Tree(below, {1: tuple(x[mine] for x in self.one), 0: self.zero})
-
-
-def _joined(parts: list) -> bytes:
-    tables: dict[int, list] = {}
-    for blob in parts:
-        for d, t in pickle.loads(blob).items():
-            tables.setdefault(d, []).append(t)
-    parts.clear()
-    out = {}
-    for d in sorted(tables):
-        columns = [np.concatenate(x) for x in zip(*tables.pop(d), strict=True)]
-        order = np.argsort(columns[0])
-        out[d] = tuple(x[order] for x in columns)
-    return pickle.dumps(out, protocol=5)
-
-
-_trees: dict[int, Tree] = {}
-#: The driver's broadcasts; those of earlier calls give up their copies and are sent again if still needed.
-_sent: list = []
-
-
-def _local(shared) -> Tree:
-    """The broadcast part, loaded once by each Python worker."""
-    if shared.value[0] not in _trees:
-        _trees.clear()
-        _trees[shared.value[0]] = Tree(shared.value[1], shared.value[2])
-    return _trees[shared.value[0]]
-
-
-def _in_part(key: np.ndarray, group: np.ndarray) -> np.ndarray:
-    return group[((key >> _U(8)) & _U(255)).astype(np.int64)]
-
-
-def _log_scores(tree: Tree, group: np.ndarray | None, key: np.ndarray, first: np.ndarray) -> np.ndarray:
-    if group is None:
-        return tree.score(key, first)
-    mine = _in_part(key, group)
-    owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))[mine]
-    distinct, at = np.unique(key[mine], return_inverse=True)
-    return np.bincount(owner, tree.remembered(distinct)[at], len(first)) if len(distinct) else np.zeros(len(first))
-
-
-def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of (doc_id, text)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = text_frame(docs).withColumn("held", crc_mod("doc_id", folds) == held_out)
-    shards = min(MANY_SHARDS, max(FEW_SHARDS, -(-rows.count() // SHARD_ROWS)))
-    counts = keep(corpus_counts(rows.where("not held"), shards), "lm-counts")
-    n_docs = rows.where("not held").count()
+    return {1: (node, chance.astype(np.float32), own.astype(np.float32)), 0: (root, root_chance.astype(np.float32), root_own.astype(np.float32))}
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(3):
-                key, n = pickle.loads(blob.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([len(key)]), pa.array([int(n.sum(dtype=np.int64))])], ["v", "n"])
-
-    got = counts.where(F.col("kind") == WORDS).mapInArrow(totals, "v bigint, n bigint").agg(F.sum("v"), F.sum("n")).first()
-    vocabulary, tokens = (got[0] or 0) + (n_docs > 0), (got[1] or 0) + n_docs
-    parts = build_trees(counts, shards, part_bytes)
-    scored = None
-    while _sent:
-        _sent.pop().unpersist()
-    for number, part in enumerate(parts):
-        tree = part.tree() if isinstance(part, _Part) else part
-        group = None
-        if len(parts) > 1:
-            group = np.zeros(256, bool)
-            group[part.group] = True
-            if number == 0:  # contexts that training never saw
-                group |= ~np.isin(np.arange(256), [c for p in parts for c in p.group])
-        shared = spark.sparkContext.broadcast((uuid.uuid4().int, tree.below, tree.top))
-        del tree
-        _sent.append(shared)
-        if number == 0:
-            base = _base_pass(rows, counts, shards, n_docs, shared, group)
-            base = keep(base, "lm-base") if len(parts) > 1 else base
+
+class Shard:
+    """The nodes and words of one shard."""
+
+    def __init__(self, number: int, top: dict[int, tuple]):
+        self.number, self.tables = number, dict(top)
+        self.words = (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
+        self.key, self.logs = np.zeros(0, _U), None
+
+    def hold(self, kind: int, value) -> None:
+        if kind == WORDS:
+            self.words = value
+        elif kind == PAIRS:
+            self.tables[2] = value
         else:
-            more = keep(_extra_pass(rows, shared, group), "lm-part").groupBy("doc_id", "digest").agg(F.max("more").alias("more"))
-            scored = more if scored is None else scored.unionByName(more)
-    if scored is not None:
-        extra = scored.groupBy("doc_id", "digest").agg(F.sum("more").alias("more"))
-        base = base.alias("b").join(extra.alias("e"), F.col("b.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("b.digest") == F.col("e.digest"))).select("b.*", "e.more").withColumn("score", F.col("score") + F.col("more"))
-    return base.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(tokens + vocabulary + 1)))).alias("base_score"), "score")
+            self.key, count = value[DEPTH]
+            self.tables |= value | {DEPTH: (self.key, np.concatenate([[0], np.cumsum(count, dtype=np.int64)]))}
+
+    def log10(self, key: np.ndarray) -> np.ndarray:
+        """Log probabilities of distinct strings; those of training's strings are computed once."""
+        if self.logs is None:
+            chunks = range(0, len(self.key), TOGETHER)
+            self.logs = np.concatenate([np.zeros(0), *[log10_of(self.key[lo : lo + TOGETHER], self.tables) for lo in chunks]])
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        out = np.zeros(len(key))
+        known = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+        out[known] = self.logs[at[known]]
+        out[~known] = log10_of(key[~known], self.tables)
+        return out
+
+
+def asked(blocks: DataFrame, shards: int) -> DataFrame:
+    """ASK_STRINGS and ASK_WORDS rows: a block's distinct strings and words of each shard."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, block, (*_, joined, start, size) in _rows_of(batches):
+            code = np.unique(strings(joined, start, start + size)[0])
+            order, cut = _by_shard(shard_of_strings(code, shards), shards)
+            rows = [(s, ASK_STRINGS, block, code[order[a:b]]) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            yield _batch(rows)
+            one, two, _ = distinct_words(*words(joined, start)[:2])
+            order, cut = _by_shard(shard_of_words(one, shards), shards)
+            rows = [(s, ASK_WORDS, block, (one[order[a:b]], two[order[a:b]])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            if rows:
+                yield _batch(rows)
+            release()
+
+    return blocks.mapInArrow(run, ROWS)
 
-def _digests(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(data), at[:-1], at[1:]).view(np.int64)
 
+def answered(requests: DataFrame, model: DataFrame, shards: int, top) -> DataFrame:
+    """The requests with their strings' log probabilities or their words' counts instead."""
 
-def _extra_pass(rows: DataFrame, shared, group: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, at in blocks(batches):
-            key, first = strings(*sequences(data, at))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_digests(data, at)), pa.array(_log_scores(_local(shared), group, key, first))], ["doc_id", "digest", "more"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest bigint, more double")
-
-
-REQUEST, META = 2, 3
-
-
-def _base_pass(rows: DataFrame, counts: DataFrame, shards: int, n_docs: int, shared, group: np.ndarray | None) -> DataFrame:
-    """Scores each text with the tree and asks the words' shards for the base's sums."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (part, data, at) in enumerate(blocks(batches)):
-            name = f"{TaskContext.get().partitionId()}-{number}"
-            joined, start, end = sequences(data, at)
-            key, first = strings(joined, start, end)
-            score = _log_scores(_local(shared), group, key, first)
-            word, owner = words(joined, start)
-            n_tokens = np.bincount(owner, minlength=len(start)) + 1
-            distinct, at_word = np.unique(word, return_inverse=True)
-            pair, times = np.unique(at_word * len(start) + owner, return_counts=True)
-            which, text = pair // len(start), pair % len(start)
-            runs = np.bincount(which, minlength=len(distinct))
-            shard = shard_of(distinct, shards)
-            order = np.argsort(shard, kind="stable")
-            pairs = np.argsort(shard[which], kind="stable")
-            cut, pair_cut = np.searchsorted(shard[order], np.arange(shards + 1)), np.searchsorted(shard[which][pairs], np.arange(shards + 1))
-            out = [(int(s), REQUEST, name, pickle.dumps((len(start), distinct[order[a:b]], narrow(runs[order[a:b]]), narrow(text[pairs[c:d]]), narrow(times[pairs[c:d]])), protocol=5)) for s, (a, b, c, d) in enumerate(zip(cut[:-1], cut[1:], pair_cut[:-1], pair_cut[1:], strict=True)) if b > a]
-            ids = part.column(0)
-            meta = (ids.fill_null(0).to_numpy(), np.array(ids.is_null()), np.array(part.column(2)), n_tokens, score, _digests(data, at))
-            yield _rows([*out, (number % shards, META, name, pickle.dumps(meta, protocol=5))])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, Sums()
-        for batch in batches:
-            out = []
-            for shard, kind, block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if shard != now:
-                    now, known = shard, Sums()
-                if kind == META:
-                    out.append((shard, kind, block, blob.as_py()))
-                    continue
-                got = pickle.loads(blob.as_py())
-                if kind == WORDS:
-                    known.add(*got)
-                    continue
-                known.settle()
-                size, word, runs, text, times = got
-                at = np.searchsorted(known.key, word)
-                at[at == len(known.key)] = 0
-                n = np.where(known.key[at] == word, known.n[at], 0) if len(known.key) else np.zeros(len(word), np.int64)
-                logs = np.repeat(np.log10(n + 1.0), runs) * times
-                out.append((shard, kind, block, pickle.dumps((np.bincount(text, logs, size), np.bincount(text, np.repeat(n > 0, runs) * times.astype(np.float64), size)), protocol=5)))
-            if out:
-                yield _rows(out)
-
-    def finish(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("kind", "descending"), ("shard", "ascending")])
-        ids, null, held, n_tokens, score, digest = pickle.loads(group.column("blob")[0].as_py())
-        logs, known = np.full(len(ids), np.log10(n_docs + 1.0)), np.full(len(ids), float(n_docs > 0))
-        for blob in group.column("blob")[1:]:
-            more, seen = pickle.loads(blob.as_py())
-            logs, known = logs + more, known + seen
-        return pa.table({"doc_id": pa.array(ids, mask=null), "held": pa.array(held), "n_tokens": pa.array(n_tokens), "n_known": pa.array(known.astype(np.int64)), "logs": pa.array(logs), "score": pa.array(score), "digest": pa.array(digest)})
-
-    asked = rows.select("doc_id", "text", "held").mapInArrow(ask, ROWS)
-    met = asked.unionByName(counts.where(F.col("kind") == WORDS)).repartition("shard").sortWithinPartitions("shard", "kind")
-    return met.mapInArrow(answer, ROWS).groupBy("block").applyInArrow(finish, "doc_id bigint, held boolean, n_tokens bigint, n_known bigint, logs double, score double, digest bigint")
+        held: Shard | None = None
+        waiting: list[tuple] = []
+
+        def looked_up() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                key = np.unique(np.concatenate([k for _, k in waiting]))
+                logs = held.log10(key)
+                for block, k in waiting:
+                    yield _batch([(held.number, ASK_STRINGS, block, logs[np.searchsorted(key, k)])])
+                waiting.clear()
+
+        for shard, kind, block, value in _rows_of(batches):
+            if held is None or held.number != shard:
+                yield from looked_up()
+                held = Shard(shard, top.value)
+                release()
+            if kind in (NODES, PAIRS, WORDS):
+                held.hold(kind, value)
+            elif kind == ASK_WORDS:
+                yield _batch([(shard, ASK_WORDS, block, narrow(find_words(held.words, *value)))])
+            else:
+                waiting.append((block, value))
+                if sum(len(k) for _, k in waiting) > TOGETHER:
+                    yield from looked_up()
+        yield from looked_up()
+        release()
+
+    known = model.where(F.col("kind").isin(NODES, PAIRS, WORDS))
+    met = requests.unionByName(known).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
+    return met.mapInArrow(run, ROWS)
+
+
+def _gathered(code: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Place of each string among the sorted distinct ones; through a hash table, checked."""
+    slots = 22
+    place = lambda k: ((k * _ODD[0]) >> _U(64 - slots)).astype(np.int64)
+    table = np.zeros(1 << slots, np.int32)
+    table[place(distinct)] = np.arange(len(distinct), dtype=np.int32)
+    at = table[place(code)]
+    wrong = np.flatnonzero(distinct[at] != code)
+    at[wrong] = np.searchsorted(distinct, code[wrong])
+    return at
+
+
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, bytes bigint"
+
+
+def _finished(shards: int, trained: int):
+    def run(group: pa.Table) -> pa.Table:
+        answers: dict[int, dict[int, np.ndarray]] = {ASK_STRINGS: {}, ASK_WORDS: {}}
+        for batch in group.to_batches():
+            for shard, kind, _, value in _rows_of([batch]):
+                if kind == TEXTS:
+                    ids, null, held, joined, start, size = value
+                else:
+                    answers[kind][shard] = value
+        code, first = strings(joined, start, start + size)
+        distinct = np.unique(code)
+        order, cut = _by_shard(shard_of_strings(distinct, shards), shards)
+        logs = np.zeros(len(distinct))
+        for s, values in answers[ASK_STRINGS].items():
+            logs[order[cut[s] : cut[s + 1]]] = values
+        score = np.add.reduceat(logs[_gathered(code, distinct)], first)
+        del code, logs
+        one, two, owner = words(joined, start)
+        one, two, which = distinct_words(one, two)
+        order, cut = _by_shard(shard_of_words(one, shards), shards)
+        n = np.zeros(len(one), np.int64)
+        for s, values in answers[ASK_WORDS].items():
+            n[order[cut[s] : cut[s + 1]]] = values
+        n = n[which]
+        tokens = np.bincount(owner, minlength=len(start)) + 1
+        known = np.bincount(owner[n > 0], minlength=len(start)) + (trained > 0)
+        base = np.bincount(owner, np.log10(n + 1.0), len(start)) + np.log10(trained + 1.0)
+        columns = [pa.array(ids, mask=null), pa.array(held), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), pa.array(size + 1)]
+        release()
+        return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bytes"])
+
+    return run
+
+
+def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of (doc_id, text).
+
+    bits_per_byte: the code length of the normalised text and its end byte, over their number of bytes.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = text_frame(docs).withColumn("held", crc_mod("doc_id", folds) == held_out)
+    blocks = keep(text_blocks(rows, block_bytes), "lm-blocks")
+    texts, trained, n_blocks = blocks.agg(F.sum("keys"), F.sum("total"), F.count("*")).first()
+    texts, trained = texts or 0, trained or 0
+    shards = min(MANY_SHARDS, max(FEW_SHARDS, -(-texts // SHARD_ROWS)))
+    shards = -(-shards // SPREAD) * SPREAD
+    model = keep(counted(blocks, shards), "lm-model")
+    got = model.where(F.col("kind") == WORDS).agg(F.sum("keys"), F.sum("total")).first()
+    vocabulary, tokens = (got[0] or 0) + (trained > 0), (got[1] or 0) + trained
+    pairs = keep(pair_nodes(model, shards), "lm-pairs")
+    top = spark.sparkContext.broadcast(top_nodes(pairs))
+    answers = answered(asked(blocks, shards), model.unionByName(pairs), shards, top)
+    met = answers.unionByName(blocks).repartition(max(1, n_blocks), "block")
+    scored = met.groupBy("block").applyInArrow(_finished(shards, trained), SCORED)
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(tokens + vocabulary + 1)))
+    bits = -F.col("score") / F.lit(float(np.log10(2))) / F.col("bytes")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))

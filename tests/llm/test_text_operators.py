@@ -346,14 +346,14 @@ def brute_scores(rows, depth):
     return out
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 30, 20_000])
-def test_lm_scores(spark, part_bytes):
+@pytest.mark.parametrize("block_bytes", [6 << 20, 2_000])
+def test_lm_scores(spark, block_bytes):
     from tessera.llm import contexts
 
     docs = documents(spark).where("doc_id is null or length(text) < 3000 or text is null")
     rows = rows_of(docs)
     want = sorted(brute_scores(rows, contexts.DEPTH), key=str)
-    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in contexts.score_documents(docs, part_bytes=part_bytes).collect()), key=str)
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in contexts.score_documents(docs, block_bytes=block_bytes).collect()), key=str)
     assert [g[:5] for g in sorted(got, key=lambda g: (str(g[0]), g[5]))] == [w[:5] for w in sorted(want, key=lambda w: (str(w[0]), w[5]))]
     for g, w in zip(sorted(got, key=lambda g: (str(g[0]), g[5])), sorted(want, key=lambda w: (str(w[0]), w[5])), strict=True):
         assert math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-5, abs_tol=1e-4)
@@ -373,3 +373,34 @@ def test_log_gamma():
 
     x = np.array([0.5, 1.0, 3.5, 100.0, 1e6])
     assert np.allclose(contexts.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+
+
+def test_lm_tells_words_apart_that_a_polynomial_hash_does_not(spark):
+    from tessera.llm import contexts
+
+    parity = [bin(i).count("1") % 2 for i in range(1024)]
+    word, other = ("".join("ab"[b ^ flip] for b in parity) for flip in (0, 1))
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    docs = spark.createDataFrame([(train[0], word), (train[1], word), (held, other)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in contexts.score_documents(docs).collect()}
+    assert (rows[held].n_known, rows[train[0]].n_known) == (1, 2)
+    assert math.isclose(rows[held].bits_per_byte, -rows[held].score / math.log10(2) / 1025)
+
+
+def test_words_with_one_first_hash_are_told_apart_by_the_second():
+    from tessera.llm import contexts
+
+    one = np.array([7, 7, 3, 7, 7], np.uint64)
+    two = np.array([1, 2, 9, 1, 2], np.uint64)
+    a, b, which = contexts.distinct_words(one, two)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(3, 9), (7, 1), (7, 2)] and which.tolist() == [1, 2, 0, 1, 2]
+    sums = contexts.WordSums()
+    sums.add(one, two, np.ones(5, np.int64))
+    sums.settle()
+    assert contexts.find_words(sums.held, np.array([7, 7, 7, 4, 9], np.uint64), np.array([2, 1, 5, 1, 1], np.uint64)).tolist() == [2, 2, 0, 0, 0]
+    spans = [b"", b"a", b"a\0", b"a\0\0", b"abcdefgh", b"abcdefghi", b"x" * 64, b"x" * 65, b"x" * 700]
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    end = np.cumsum([len(x) for x in spans])
+    start = end - [len(x) for x in spans]
+    assert len(set(zip(*[h.tolist() for h in contexts.word_hashes(data, start, end)], strict=True))) == len(spans)
