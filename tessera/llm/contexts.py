@@ -21,8 +21,8 @@ The model is never gathered or broadcast; texts meet it in three shuffles:
 3. Each block asks every shard for its distinct strings and words and gets one
    number for each; the block sums them up by text.
 
-Words are told apart by 128 bits of a non-linear hash of their bytes and
-length; equal first halves are compared by the second.
+Words are told apart by 96 bits of a non-linear hash of their bytes and
+length; where the first 64 are equal the other 32 are compared.
 
 Defined cases: null, empty and blank texts are the end token alone; without
 training rows N and V are 0 and every decision has probability one half; rows
@@ -43,13 +43,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, SPACE, bounded_batches, crc_mod, mix, raw_bytes, release, slices, text_frame
+from tessera.llm.blocks import LOWER, SPACE, bounded_batches, crc_mod, distinct_sorted, mix, raw_bytes, release, slices, text_frame
 from tessera.session import keep
 
 DEPTH = 5
 END = 10
-#: Text bytes of a block.
-BLOCK_BYTES = 6 << 20
+#: Text bytes of a block. Its texts are handled in parts of a few MB.
+BLOCK_BYTES = 16 << 20
 #: Distinct strings or words that a counting task holds before it sends them on.
 HELD = 1_500_000
 #: Rows of the input a shard, bounds of the number of shards, and shards that share a byte pair.
@@ -89,7 +89,7 @@ def strings(joined: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 
 
 def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two non-linear 64-bit hashes of each span, which together tell spans apart."""
+    """Two non-linear hashes of each span, of 64 and 32 bits, which together tell spans apart."""
     size = last - first
     lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
     one, two = size.astype(_U) * _ODD[0], size.astype(_U) * _ODD[1]
@@ -104,7 +104,7 @@ def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[
     for i in np.flatnonzero(size > SHORT).tolist():
         digest = hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=16).digest()
         one[i], two[i] = np.frombuffer(digest, "<u8")
-    return one, two
+    return one, (two >> _U(32)).astype(np.uint32)
 
 
 def words(joined: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +154,7 @@ class WordSums:
     """Distinct words with added counts."""
 
     def __init__(self):
-        self.held = (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
+        self.held = (np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.int64))
         self.more, self.waiting = [], 0
 
     def add(self, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> None:
@@ -316,20 +316,29 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), pickle.loads(batch.column(3)[i].as_buffer())
 
 
+def _texts(part: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A part's joined texts, their starts and their lengths."""
+    return np.frombuffer(pa.decompress(part[4], part[3], "zstd", asbytes=True), np.uint8), part[5], part[6]
+
+
+def _packed_strings(key: np.ndarray) -> tuple[int, bytes]:
+    """Sorted strings, compressed byte by byte place."""
+    return len(key), pa.compress(np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked_strings(packed: tuple[int, bytes]) -> np.ndarray:
+    n, data = packed
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : DEPTH + 1] = np.frombuffer(pa.decompress(data, n * (DEPTH + 1), "zstd", asbytes=True), np.uint8).reshape(DEPTH + 1, n).T
+    return out.view(_U)[:, 0]
+
+
 def text_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """TEXTS rows from (doc_id, text, held): keys texts, of which total are for training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, parts, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def done() -> pa.RecordBatch:
-            ids, null, held, joined, texts = zip(*parts, strict=True)
-            held = np.concatenate(held)
-            start = np.concatenate([at + shift for at, shift in zip((t[0] for t in texts), np.cumsum([0, *map(len, joined)]), strict=False)])
-            length = np.concatenate([t[1] for t in texts])
-            value = (np.concatenate(ids), np.concatenate(null), held, np.concatenate(joined), start, length)
-            return _batch([(0, TEXTS, (task << 32) + number, value, len(held), int((~held).sum()))])
-
+        done = lambda: _batch([(0, TEXTS, (task << 32) + number, parts, sum(len(p[2]) for p in parts), sum(int((~p[2]).sum()) for p in parts))])
         for batch in batches:
             data, at = raw_bytes(batch.column(1))
             for lo, hi in slices(at):
@@ -338,7 +347,8 @@ def text_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                 if parts and size + len(joined) > block_bytes:
                     yield done()
                     number, parts, size = number + 1, [], 0
-                parts.append((some.column(0).fill_null(0).to_numpy(), np.array(some.column(0).is_null()), np.array(some.column(2)), joined, (start, end - start)))
+                packed = pa.compress(joined.tobytes(), "zstd", asbytes=True)
+                parts.append((some.column(0).fill_null(0).to_numpy(), np.array(some.column(0).is_null()), np.array(some.column(2)), len(joined), packed, start, end - start))
                 size += len(joined)
         if parts:
             yield done()
@@ -354,7 +364,7 @@ def counted(blocks: DataFrame, shards: int) -> DataFrame:
         strings_held.settle()
         words_held.settle()
         order, cut = _by_shard(shard_of_strings(strings_held.key, shards), shards)
-        rows = [(s, NODES, 0, (strings_held.key[order[a:b]], narrow(strings_held.n[order[a:b]]))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        rows = [(s, NODES, 0, (_packed_strings(strings_held.key[order[a:b]]), narrow(strings_held.n[order[a:b]]))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
         one, two, n = words_held.held
         order, cut = _by_shard(shard_of_words(one, shards), shards)
         rows += [(s, WORDS, 0, (one[order[a:b]], two[order[a:b]], narrow(n[order[a:b]]))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
@@ -363,18 +373,21 @@ def counted(blocks: DataFrame, shards: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Sums(), WordSums())
-        for *_, (_, _, out, joined, start, size) in _rows_of(batches):
-            if out.all():
-                continue
-            code, _ = strings(joined, start, start + size)
-            held[0].add(*np.unique(code[np.repeat(~out, size + 1)] if out.any() else code, return_counts=True))
-            one, two, owner = words(joined, start)
-            mine = ~out[owner]
-            first, second, which = distinct_words(one[mine], two[mine])
-            held[1].add(first, second, np.bincount(which, minlength=len(first)))
-            if max(len(held[0].key), len(held[1].held[0])) > HELD:
-                yield from send(*held)
-                held = (Sums(), WordSums())
+        for *_, parts in _rows_of(batches):
+            for part in parts:
+                out = part[2]
+                if out.all():
+                    continue
+                joined, start, size = _texts(part)
+                code, _ = strings(joined, start, start + size)
+                held[0].add(*np.unique(code[np.repeat(~out, size + 1)] if out.any() else code, return_counts=True))
+                one, two, owner = words(joined, start)
+                mine = ~out[owner]
+                first, second, which = distinct_words(one[mine], two[mine])
+                held[1].add(first, second, np.bincount(which, minlength=len(first)))
+                if max(len(held[0].key), len(held[1].held[0])) > HELD:
+                    yield from send(*held)
+                    held = (Sums(), WordSums())
             release()
         yield from send(*held)
 
@@ -396,7 +409,7 @@ def counted(blocks: DataFrame, shards: int) -> DataFrame:
                 if now is not None:
                     yield from settled()
                 now, held = (shard, kind), WordSums() if kind == WORDS else Sums()
-            held.add(*value)
+            held.add(*(value if kind == WORDS else (_unpacked_strings(value[0]), value[1])))
         if now is not None:
             yield from settled()
         release()
@@ -446,7 +459,7 @@ class Shard:
 
     def __init__(self, number: int, top: dict[int, tuple]):
         self.number, self.tables = number, dict(top)
-        self.words = (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
+        self.words = (np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.int64))
         self.key, self.logs = np.zeros(0, _U), None
 
     def hold(self, kind: int, value) -> None:
@@ -471,16 +484,24 @@ class Shard:
         return out
 
 
+def _distinct(parts: list[tuple]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """A block's distinct strings and words, sorted."""
+    codes, hashes = [], []
+    for part in parts:
+        joined, start, size = _texts(part)
+        codes.append(distinct_sorted(strings(joined, start, start + size)[0]))
+        hashes.append(distinct_words(*words(joined, start)[:2])[:2])
+    return distinct_sorted(np.concatenate(codes)), distinct_words(*map(np.concatenate, zip(*hashes, strict=True)))[:2]
+
+
 def asked(blocks: DataFrame, shards: int) -> DataFrame:
     """ASK_STRINGS and ASK_WORDS rows: a block's distinct strings and words of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, block, (*_, joined, start, size) in _rows_of(batches):
-            code = np.unique(strings(joined, start, start + size)[0])
+        for _, _, block, parts in _rows_of(batches):
+            code, (one, two) = _distinct(parts)
             order, cut = _by_shard(shard_of_strings(code, shards), shards)
-            rows = [(s, ASK_STRINGS, block, code[order[a:b]]) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            yield _batch(rows)
-            one, two, _ = distinct_words(*words(joined, start)[:2])
+            yield _batch([(s, ASK_STRINGS, block, _packed_strings(code[order[a:b]])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
             order, cut = _by_shard(shard_of_words(one, shards), shards)
             rows = [(s, ASK_WORDS, block, (one[order[a:b]], two[order[a:b]])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             if rows:
@@ -499,7 +520,7 @@ def answered(requests: DataFrame, model: DataFrame, shards: int, top) -> DataFra
 
         def looked_up() -> Iterator[pa.RecordBatch]:
             if waiting:
-                key = np.unique(np.concatenate([k for _, k in waiting]))
+                key = distinct_sorted(np.concatenate([k for _, k in waiting]))
                 logs = held.log10(key)
                 for block, k in waiting:
                     yield _batch([(held.number, ASK_STRINGS, block, logs[np.searchsorted(key, k)])])
@@ -515,7 +536,7 @@ def answered(requests: DataFrame, model: DataFrame, shards: int, top) -> DataFra
             elif kind == ASK_WORDS:
                 yield _batch([(shard, ASK_WORDS, block, narrow(find_words(held.words, *value)))])
             else:
-                waiting.append((block, value))
+                waiting.append((block, _unpacked_strings(value)))
                 if sum(len(k) for _, k in waiting) > TOGETHER:
                     yield from looked_up()
         yield from looked_up()
@@ -544,33 +565,35 @@ SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs
 def _finished(shards: int, trained: int):
     def run(group: pa.Table) -> pa.Table:
         answers: dict[int, dict[int, np.ndarray]] = {ASK_STRINGS: {}, ASK_WORDS: {}}
-        for batch in group.to_batches():
-            for shard, kind, _, value in _rows_of([batch]):
-                if kind == TEXTS:
-                    ids, null, held, joined, start, size = value
-                else:
-                    answers[kind][shard] = value
-        code, first = strings(joined, start, start + size)
-        distinct = np.unique(code)
+        for shard, kind, _, value in _rows_of(group.to_batches()):
+            if kind == TEXTS:
+                parts = value
+            else:
+                answers[kind][shard] = value
+        distinct, (one, two) = _distinct(parts)
         order, cut = _by_shard(shard_of_strings(distinct, shards), shards)
         logs = np.zeros(len(distinct))
         for s, values in answers[ASK_STRINGS].items():
             logs[order[cut[s] : cut[s + 1]]] = values
-        score = np.add.reduceat(logs[_gathered(code, distinct)], first)
-        del code, logs
-        one, two, owner = words(joined, start)
-        one, two, which = distinct_words(one, two)
         order, cut = _by_shard(shard_of_words(one, shards), shards)
         n = np.zeros(len(one), np.int64)
         for s, values in answers[ASK_WORDS].items():
             n[order[cut[s] : cut[s + 1]]] = values
-        n = n[which]
-        tokens = np.bincount(owner, minlength=len(start)) + 1
-        known = np.bincount(owner[n > 0], minlength=len(start)) + (trained > 0)
-        base = np.bincount(owner, np.log10(n + 1.0), len(start)) + np.log10(trained + 1.0)
-        columns = [pa.array(ids, mask=null), pa.array(held), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), pa.array(size + 1)]
+        found = []
+        for part in parts:
+            ids, null, held = part[:3]
+            joined, start, size = _texts(part)
+            code, first = strings(joined, start, start + size)
+            score = np.add.reduceat(logs[_gathered(code, distinct)], first)
+            first_hash, second, owner = words(joined, start)
+            times = find_words((one, two, n), first_hash, second)
+            tokens = np.bincount(owner, minlength=len(start)) + 1
+            known = np.bincount(owner[times > 0], minlength=len(start)) + (trained > 0)
+            base = np.bincount(owner, np.log10(times + 1.0), len(start)) + np.log10(trained + 1.0)
+            columns = [pa.array(ids, mask=null), pa.array(held), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), pa.array(size + 1)]
+            found.append(pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bytes"]))
         release()
-        return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bytes"])
+        return pa.concat_tables(found)
 
     return run
 
