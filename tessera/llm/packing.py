@@ -40,6 +40,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,21 +100,31 @@ class Ids:
         if other:
             for i, e in zip(other, self.model.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
                 found[i] = np.array(e.ids, np.uint32)
-        parts = [texts[i].lower().split() for i in plain]
+        if plain:
+            lists = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+            coded = lists.flatten().dictionary_encode()
+            part, at = coded.indices.to_numpy(), lists.offsets.to_numpy()
+            ids = self._ids_of(coded.dictionary.to_pylist())
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+            flat, first, n = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size, size[part]
+            end = np.cumsum(n)
+            flat = flat[np.repeat(first[part] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+            cut = np.concatenate([[0], end])[at]
+            for i, lo, hi in zip(plain, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                found[i] = flat[lo:hi]
+        return found
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts between white space, with new ones learned first."""
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        known, waiting, fresh = self.parts, [], set()
-        for i, s in zip(plain, parts, strict=True):
-            got = list(map(known.get, s))
-            if None in got:
-                waiting.append((i, s))
-                fresh.update(w for w, ids in zip(s, got, strict=True) if ids is None)
-            else:
-                found[i] = np.frombuffer(b"".join(got), "<u4")
-        self._learn(list(fresh))
-        for i, s in waiting:
-            found[i] = np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4")
-        return found
+        known = self.parts
+        known[""] = b""
+        got = list(map(known.get, parts))
+        if None in got:
+            self._learn([w for w, ids in zip(parts, got, strict=True) if ids is None])
+            got = list(map(known.__getitem__, parts))
+        return got
 
     def _learn(self, fresh: list[str]) -> None:
         """Ids of parts between white space, from those of their words; no word spans white space."""
@@ -147,7 +158,6 @@ def tokenizer(path: str) -> Ids:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, row_key, piece, start, length, ids_crc32[, ids] of every row of (doc_id, text)."""
     bounded_batches(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
