@@ -11,8 +11,10 @@ backslash becomes two, and `<|` becomes `<\\|`, which reads back exactly.
 
 Defined cases: null text or role is empty; a null part list means one text
 part; an unknown part type is kept as an attachment of that type with one
-token; turns with equal numbers follow role, then text; repeated rows are
-turns of their own; rows with a null conv_id form one conversation.
+token; turns with equal numbers follow role, then text, with null as empty;
+repeated rows are turns of their own; rows with a null conv_id form one
+conversation; texts are handled whole, however long; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -144,7 +146,7 @@ class _Running:
 def digest(fragments: DataFrame) -> DataFrame:
     """One row a conversation, read back from its fragments in turn order with constant memory."""
     bounded_batches(fragments.sparkSession)
-    ordered = fragments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "fragment", "loss_spans", "attachment_tokens")
+    ordered = fragments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).select("conv_id", "fragment", "loss_spans", "attachment_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done = None, []

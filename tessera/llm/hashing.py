@@ -3,16 +3,19 @@
 Binary codes come from rotations learned on a bounded sample (the SAMPLE rows
 with the smallest id hashes): principal axes, then iterative quantisation;
 several rotations are learned where the dimension is smaller than the code.
-Each shard keeps one table for each 16-bit substring. For a radius r over m
-substrings, every code within r has a substring within r // m, so probing the
-occupied entries of each table that near retrieves all such codes; these are
-checked in full and reranked by exact cosine. r covers COVERED of the sample
-queries' true neighbours in the sample, which lie farther than those among
-all rows. A query with fewer than k codes within r takes the next codes in
-Hamming order, so that k results come back if there are k candidates.
-
-Defined cases: those of `vectors`; zero vectors take no part; equal cosines go
-to the smaller vec_id.
+Each shard keeps one table for each 16-bit substring, and each table is
+probed up to its threshold; the thresholds add up to the radius less the
+number of tables but one, so that by pigeonhole every code within the radius
+is met by some table. These codes are compared in full and reranked by exact
+cosine.
+
+The radius covers COVERED of the sample queries' true neighbours in the
+sample, which lie farther than those among all rows. While a query has fewer
+than k codes within it, it grows by one bit a table, by the same probing.
+
+Defined cases: those of `vectors`, empty tables and clashing names among them;
+zero vectors take no part; equal cosines go to the smaller vec_id; of fewer
+candidates than k all are returned.
 """
 
 from __future__ import annotations
@@ -25,9 +28,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.vectors import search, usable
 
-BITS, SUB = 128, 16
-SAMPLE, SAMPLE_QUERIES, COVERED, ROUNDS = 4096, 256, 0.985, 25
+BITS, SUB = 256, 16
+SAMPLE, SAMPLE_QUERIES, COVERED, ROUNDS = 4096, 256, 0.97, 25
 _COUNT = np.bitwise_count(np.arange(1 << SUB, dtype=np.uint16))
+#: All values of a substring by their number of ones, and how many have at most so many.
+_NEAREST = np.argsort(_COUNT, kind="stable").astype(np.uint16)
+_WITHIN = np.cumsum(np.bincount(_COUNT))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -72,6 +78,15 @@ class Codes:
         return np.packbits(bits, axis=1).view(np.uint16)
 
 
+def thresholds(radius: int, tables: int) -> list[int]:
+    """How far each table is probed. Of all codes within the radius at least one substring is as near as its table's threshold.
+
+    Were every substring farther, the distances would add up to more than the radius. A table with -1 is not probed.
+    """
+    spare = radius - tables + 1
+    return [max(-1, spare // tables + (s < spare % tables)) for s in range(tables)]
+
+
 class MultiIndex:
     """One shard: codes, a table for each substring, and the vectors for the rerank."""
 
@@ -79,25 +94,44 @@ class MultiIndex:
         self.ids, self.rows, self.codes = ids, rows, codes.encode(rows)
         self.radius = codes.radius
         self.asked_by = codes
-        self.tables = [np.unique(self.codes[:, s], return_inverse=True) for s in range(self.codes.shape[1])]
-
-    def within(self, code: np.ndarray) -> np.ndarray:
-        """Rows whose code lies within the radius, by pigeonhole over the substrings."""
-        reach = self.radius // len(self.tables)
+        # for each substring: rows in order of its value, where each value begins, and the values that occur
+        self.tables = []
+        for s in range(self.codes.shape[1]):
+            count = np.bincount(self.codes[:, s], minlength=1 << SUB)
+            begin = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            self.tables.append((np.argsort(self.codes[:, s], kind="stable").astype(np.int32), begin, np.flatnonzero(count).astype(np.uint16)))
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows that some table holds near enough: by looking up every neighbouring value, or those that occur if they are fewer."""
         hit = np.zeros(len(self.ids), bool)
-        for s, (values, entry) in enumerate(self.tables):
-            hit |= (_COUNT[values ^ code[s]] <= reach)[entry]
-        found = np.flatnonzero(hit)
-        return found[np.bitwise_count(self.codes[found] ^ code).sum(1) <= self.radius]
+        for s, reach in enumerate(thresholds(radius, len(self.tables))):
+            if reach < 0:
+                continue
+            rows, begin, present = self.tables[s]
+            if _WITHIN[reach] < len(present):
+                near = _NEAREST[: _WITHIN[reach]] ^ code[s]
+            else:
+                near = present[_COUNT[present ^ code[s]] <= reach]
+            size = begin[near.astype(np.int64) + 1] - begin[near]
+            near, size = near[size > 0], size[size > 0]
+            hit[rows[np.repeat(begin[near] - (np.cumsum(size) - size), size) + np.arange(size.sum())]] = True
+        return np.flatnonzero(hit)
+
+    def within(self, code: np.ndarray, radius: int | None = None) -> np.ndarray:
+        """Rows whose code lies within the radius."""
+        radius = self.radius if radius is None else radius
+        found = self.probed(code, radius)
+        return found[np.bitwise_count(self.codes[found] ^ code).sum(1) <= radius]
 
     def nearest(self, query_id: int, row: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        found = self.within(code)
-        found = found[self.ids[found] != query_id]
-        if len(found) < k:
-            away = np.bitwise_count(self.codes ^ code).sum(1).astype(np.int64)
-            away[self.ids == query_id] = BITS + 1
-            order = np.lexsort((self.ids, away))[: k + 1]
-            found = order[self.ids[order] != query_id][:k]
+        """The k best of all codes within the radius, which grows while it holds fewer than k and is not all."""
+        radius = self.radius
+        while True:
+            found = self.within(code, radius)
+            found = found[self.ids[found] != query_id]
+            if len(found) >= k or radius >= BITS:
+                break
+            radius += len(self.tables)
         score = cosine(self.rows[found], row)
         best = np.lexsort((self.ids[found], -score))[:k]
         return self.ids[found][best], score[best]

@@ -9,8 +9,10 @@ pivot. The search takes pages in order of their least possible distance, skips
 entries whose stored distances already exclude them, and ends when no page can
 hold a better entry. Scores are exact integers.
 
-Defined cases: those of `vectors`; equal scores go to the smaller vec_id;
-fewer candidates than k are all returned; scores beyond a long are clamped.
+Defined cases: those of `vectors`, empty tables and clashing names among them;
+equal scores go to the smaller vec_id; fewer candidates than k are all
+returned; a shard's search orders scores of any size, and those beyond a long
+are returned as the largest long.
 """
 
 from __future__ import annotations
@@ -44,7 +46,18 @@ def exact_dot(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
             return (rows.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
         if bound < 2.0**62:
             return rows @ q
-    return np.array([min(_LONG, max(-_LONG, sum(int(a) * int(b) for a, b in zip(row, q, strict=True)))) for row in rows], np.int64)
+    out = np.empty(len(rows), object)
+    out[:] = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in rows]
+    return out
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores, equal ones by id; scores may be integers beyond a long."""
+    if scores.dtype == object:
+        best = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], int)
+    else:
+        best = np.lexsort((ids, -scores))[:k]
+    return ids[best], scores[best]
 
 
 class Node:
@@ -116,8 +129,7 @@ class MTree:
                 if len(maybe):
                     ids = np.concatenate([ids, self.ids[maybe]])
                     scores = np.concatenate([scores, exact_dot(self.exact[maybe], q)])
-                    best = np.lexsort((ids, -scores))[:k]
-                    ids, scores = ids[best], scores[best]
+                    ids, scores = best_of(ids, scores, k)
                     if len(ids) == k:
                         limit = max(0.0, base - 2.0 * float(scores[-1])) ** 0.5
                 continue
@@ -129,6 +141,8 @@ class MTree:
                     if least <= limit + slack:
                         heapq.heappush(queue, (least, turn, d, node.children[c]))
                         turn += 1
+        if scores.dtype == object:
+            scores = np.array([min(_LONG, max(-_LONG, x)) for x in scores], np.int64)
         return ids, scores
 
 

@@ -1,14 +1,17 @@
 """A stated query set against all vectors, in blocks: the base of both searches.
 
-Vectors are dealt by id hash into shards of bounded size and each shard becomes
+Vectors are dealt by a hash of their place into shards of bounded size, however
+often an id repeats, and each shard becomes
 one index, held as one row of bytes. Queries are dealt into blocks of bounded
 size. Each block meets each shard of its own dimension once, in a task that
 holds one shard and one block, and gives at most k rows a query; the k best of
 these are the result.
 
 Vectors that are null, empty, or hold null or non-finite components take no
-part, nor do rows without an id; rows that repeat an id count once, by their
-smallest vector. Vectors are compared only with those of their own dimension.
+part, nor do rows without an id. Rows that repeat an id are candidates each,
+but never for a query of that id; queries that repeat an id give one ranking.
+Vectors are compared only with those of their own dimension. An empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,16 +47,14 @@ def _stacked(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     flat = batch.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     rows = flat.reshape(len(ids), -1)
     order = np.lexsort([*rows.T[::-1], ids])
-    ids, rows = ids[order], rows[order]
-    first = np.concatenate([[True], ids[1:] != ids[:-1]])
-    return ids[first], rows[first]
+    return ids[order], rows[order]
 
 
 def _dealt(rows: DataFrame, size: int, make: Callable[[np.ndarray, np.ndarray], object], name: str) -> DataFrame:
     """One row (dim, part, parts, blob) for each part of about `size` vectors of a dimension."""
     counts = rows.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.greatest(F.lit(1), F.ceil(F.col("n") / size)).cast("int").alias("parts"))
     parted = rows.join(F.broadcast(counts), "dim") if _few(counts) else rows.join(counts, "dim")
-    parted = parted.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    parted = parted.withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int"))
 
     def run(group: pa.Table) -> pa.Table:
         ids, values = _stacked(group)
@@ -75,7 +76,7 @@ def search(vectors: DataFrame, queries, k: int, make: Callable, probe: Callable,
     """
     bounded_batches(vectors.sparkSession)
     vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    rows = keep(usable(vectors, id_col, vector_col, nonzero), "vectors")
+    rows = keep(usable(vectors, id_col, vector_col, nonzero).withColumn("place", F.monotonically_increasing_id()), "vectors")
     shards = _dealt(rows, SHARD_ROWS, make, "shards")
     blocks = _dealt(rows.where(queries), BLOCK_ROWS, lambda ids, values: (ids, values), "query-blocks")
     counts = shards.select("dim", F.col("parts").alias("shards")).distinct()

@@ -404,3 +404,11 @@ def test_words_with_one_first_hash_are_told_apart_by_the_second():
     end = np.cumsum([len(x) for x in spans])
     start = end - [len(x) for x in spans]
     assert len(set(zip(*[h.tolist() for h in contexts.word_hashes(data, start, end)], strict=True))) == len(spans)
+
+
+def test_chat_orders_null_and_empty_roles_alike(spark):
+    from tessera.llm import chat
+
+    df = spark.createDataFrame([(1, 0, None, "b"), (1, 0, "", "a"), (1, 0, "", None)], "conv_id long, turn long, role string, text string")
+    row = chat.digest(chat.format_turns(df)).first()
+    assert row.turns_sha256 == hashlib.sha256(b"\n\n\na\n\nb\n").hexdigest()

@@ -51,7 +51,7 @@ def test_mtree_on_ties_and_large_numbers():
     ids, scores = same.nearest(0, np.ones(4), 10)
     assert ids.tolist() == list(range(1, 11)) and set(scores.tolist()) == {4 * 1024**2}
     big = mtree.to_integers(np.array([[1e16, 1.0], [2e16, 3.0]]))
-    assert mtree.exact_dot(big, big[0]).tolist() == [mtree._LONG] * 2
+    assert mtree.exact_dot(big, big[0]).tolist() == [sum(int(a) * int(b) for a, b in zip(r, big[0])) for r in big]
 
 
 def test_searches_on_empty_tables(spark):
@@ -172,3 +172,37 @@ def test_queries_have_all_eleven():
 
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_rows_that_repeat_an_id_are_candidates_each(spark):
+    from tessera.llm import hashing, mtree
+
+    rows = [(0, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [5.0, 0.0]), (7, [5.0, 0.0]), (0, [0.0, 2.0]), (3, [1.0, 2.0]), (5, [-1.0, 9.0]), (5, [-1.0, 8.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    pairs = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(x, y, strict=True)), c) for q, x in rows for c, y in rows if q == 0 and c != 0)
+    got = [(r["rank"], r.vec_id, r.score) for r in mtree.top_k(df).orderBy("rank").collect()]
+    assert got == [(n + 1, c, -s) for n, (s, c) in enumerate(pairs[:10])]
+    cos = lambda x, y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    near = sorted((-round(cos(x, y), 9), c) for q, x in rows for c, y in rows if q == 0 and c != 0)
+    got = [(-round(r.score, 9), r.vec_id) for r in hashing.approximate(df).orderBy("rank").collect()]
+    assert got == near[:5]
+
+
+def test_thresholds_miss_no_code_within_the_radius():
+    from tessera.llm import hashing
+
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(3000, 24))
+    index = hashing.MultiIndex(np.arange(3000), rows, hashing.Codes(rows[:500], 5))
+    away = np.bitwise_count(index.codes[:, None] ^ index.codes[None, :40]).sum(2)
+    for radius in (3, 15, 40, 77, 100, 160):
+        for q in range(40):
+            assert np.array_equal(index.within(index.codes[q], radius), np.flatnonzero(away[:, q] <= radius))
+
+
+def test_mtree_orders_scores_beyond_a_long():
+    from tessera.llm import mtree
+
+    big = mtree.MTree(np.arange(1, 4), np.array([[1e16, 1.0], [4e16, 3.0], [2e16, 3.0]]))
+    ids, scores = big.nearest(0, np.array([1e16, 1.0]), 2)
+    assert ids.tolist() == [2, 3] and scores.tolist() == [mtree._LONG] * 2
