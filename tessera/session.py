@@ -36,6 +36,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{OWN_SCRATCH}-{os.getuid()}"
 
 
+def mounted_scratch(spark: SparkSession) -> str | None:
+    """The shared folder as a path that Python can open, if it is one: made if need be."""
+    named = scratch_dir(spark)
+    if named.startswith("file:"):
+        named = "/" + named[5:].lstrip("/")
+    if not named.startswith("/"):
+        return None
+    Path(named).mkdir(parents=True, exist_ok=True)
+    return named
+
+
 #: Paths of the tables that keep() has written and forget() has not removed.
 kept_paths: list[str] = []
 
