@@ -3,8 +3,11 @@
 Suffix tuples (position, common prefix with the tuple before it) go through
 two monotone priority queues, keyed by first symbol and first-in-first-out
 within one, which is the order of induction. What a queue holds beyond its
-memory goes to run files, each with an index of its symbols; texts, names and
-sorted parts are memory-mapped. Tuples are handled in vectorised chunks.
+memory goes to run files, each with an index of its symbols. Texts, seeds,
+their common prefixes, names and sorted parts of every level are files that
+are mapped, not held; tuples are handled in vectorised chunks. In memory are
+the queues' share, the seeds of one range of first symbols while these are
+named, and a reduced string of at most `base` names.
 
 Larger-type suffixes are induced upwards from the sorted leftmost-smaller
 ones, smaller-type suffixes downwards from those. Leftmost-smaller suffixes
@@ -22,11 +25,13 @@ import os
 import shutil
 import tempfile
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 
 CHUNK = 1 << 19
+#: Seeds that are named together, if no single first symbol has more.
+NAMED = 1 << 20
 #: Numbers of files, so that no level of the recursion writes over another's.
 _FILES = count()
 
@@ -84,10 +89,21 @@ class SuffixQueue:
                 yield pos, common
 
 
-def _read(path: str, at: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def backwards(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Chunks of the symbol's tuples, the last ones first; nothing is pushed meanwhile."""
+        for pos, common in reversed(self.held.pop(symbol, [])):
+            self.count -= len(pos)
+            yield pos, common
+        for path, index in reversed(self.runs):
+            if symbol in index:
+                yield from _read(path, *index.pop(symbol), backwards=True)
+
+
+def _read(path: str, at: int, n: int, backwards: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     pos = np.memmap(path, np.int64, "r", at, (n,))
     common = np.memmap(path, np.uint8, "r", at + 8 * n, (n,))
-    for lo in range(0, n, CHUNK):
+    starts = range(0, n, CHUNK)
+    for lo in reversed(starts) if backwards else starts:
         yield np.array(pos[lo : lo + CHUNK]), np.array(common[lo : lo + CHUNK])
 
 
@@ -136,68 +152,93 @@ def _common(text: np.ndarray, p: int, q: int, cap: int) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _neighbours(text: np.ndarray, pos: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of each suffix of a sorted list with the one before it."""
-    out = np.zeros(len(pos), np.uint8)
-    open_ = np.arange(1, len(pos))
-    for k in range(0, cap, 8):
-        a, b = pos[open_] + k, pos[open_ - 1] + k
-        inside = (a + 8 <= len(text)) & (b + 8 <= len(text))
-        same = np.zeros(len(open_), np.int64)
-        run = np.ones(len(open_), bool)
-        for i in range(8):
-            ok = run & (inside | ((a + i < len(text)) & (b + i < len(text))))
-            run &= ok & (text[np.minimum(a + i, len(text) - 1)] == text[np.minimum(b + i, len(text) - 1)])
-            if not run.any():
+def _lanes(text: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place but the last seven, as one number, first byte lowest."""
+    return np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text).data, strides=(1,))
+
+
+def _neighbours(text: np.ndarray, pos: np.ndarray, cap: int) -> Iterator[np.ndarray]:
+    """Common prefix of each suffix of a sorted list with the one before it, in chunks; bytes after the text count as zeros, as its end."""
+    lanes = _lanes(text if len(text) >= 8 else np.concatenate([text, np.zeros(8, np.uint8)]))
+    top = len(lanes) - 1
+
+    def eight(p: np.ndarray) -> np.ndarray:
+        inside = np.minimum(p, top)
+        beyond = p - inside
+        found = lanes[inside]
+        return np.where(beyond < 8, found >> (8 * np.minimum(beyond, 7)).astype(np.uint64), np.uint64(0)) if beyond.any() else found
+
+    for lo in range(0, len(pos), CHUNK):
+        a = np.array(pos[lo : lo + CHUNK])
+        b = np.array(pos[max(0, lo - 1) : lo + len(a) - 1])
+        out = np.zeros(len(a), np.uint8)
+        open_ = np.arange(len(a) - len(b), len(a))
+        a = a[len(a) - len(b) :]
+        for k in range(0, cap, 8):
+            x = eight(a + k) ^ eight(b + k)
+            same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3)
+            out[open_] = np.minimum(k + same, cap)
+            go = same == 8
+            a, b, open_ = a[go], b[go], open_[go]
+            if not len(open_):
                 break
-            same += run
-        out[open_] = np.minimum(k + same, cap)
-        open_ = open_[same == 8]
-        if not len(open_):
-            break
-    return out
+        yield out
 
 
-def leftmost_smaller(text: np.ndarray) -> np.ndarray:
-    """Positions whose suffix is smaller than the next one while the suffix before it is larger; the sentinel's too."""
-    found, after, n = [], True, len(text)
+def leftmost_smaller(text: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions, from the last, whose suffix is smaller than the next one while the suffix before it is larger; the sentinel's too."""
+    after, n = True, len(text)
+    if n > 1 and not bool(text[n - 2] > text[n - 1]):
+        raise ValueError("the text must end with a smallest symbol of its own")
     hi = n - 1
-    found.append(np.array([n - 1]))
+    yield np.array([n - 1])
     while hi > 0:
         lo = max(0, hi - CHUNK)
-        now, nxt = text[lo:hi], text[lo + 1 : hi + 1]
+        now, nxt = np.array(text[lo:hi]), np.array(text[lo + 1 : hi + 1])
         place = np.where(now != nxt, np.arange(hi - lo), hi - lo)
         place = np.minimum.accumulate(place[::-1])[::-1]
         smaller = np.append(now < nxt, after)[place]
         edge = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1 + lo
         if after and hi < n - 1 and not smaller[-1]:
-            found.append(np.array([hi]))
-        found.append(edge[::-1])
+            yield np.array([hi])
+        yield edge[::-1]
         after, hi = bool(smaller[0]), lo
-    out = np.concatenate(found)[::-1].astype(np.int64)
-    if n > 1 and not bool(text[n - 2] > text[n - 1]):
-        raise ValueError("the text must end with a smallest symbol of its own")
-    return out
 
 
-def _names(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
-    """Order-preserving names of the substrings from each start to the next one, inclusive."""
-    ends = np.append(starts[1:], starts[-1])
+def _symbol_ranges(text: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of first symbols with about NAMED seeds each."""
+    count = np.zeros(0, np.int64)
+    for lo in range(0, len(starts), CHUNK):
+        more = np.bincount(text[starts[lo : lo + CHUNK]], minlength=len(count))
+        more[: len(count)] += count
+        count = more
+    before = np.cumsum(count) // NAMED
+    cut = [0, *(np.flatnonzero(before[1:] != before[:-1]) + 1).tolist(), len(count)]
+    yield from zip(cut[:-1], cut[1:], strict=True)
+
+
+def _names(text: np.ndarray, starts: np.ndarray, marks: np.ndarray, names: np.ndarray) -> int:
+    """Fills in order-preserving names of the substrings from each start to the next one, inclusive; how many there are."""
     wide = text.dtype.itemsize > 1
     step, bits = (1, 33) if wide else (6, 10)
-    marks = np.zeros(len(text) + 1, bool)
-    marks[starts] = True
-    names = np.zeros(len(starts), np.int64)
+    for lo in range(0, len(starts), CHUNK):
+        marks[starts[lo : lo + CHUNK]] = True
     total = 0
-    first = text[starts]
-    for symbol in np.unique(first):
-        group = np.flatnonzero(first == symbol)
+    for least, most in _symbol_ranges(text, starts):
+        group = []
+        for lo in range(0, len(starts), CHUNK):
+            first = text[starts[lo : lo + CHUNK]]
+            group.append(lo + np.flatnonzero((first >= least) & (first < most)))
+        group = np.concatenate(group)
+        if not len(group):
+            continue
+        begin, end = starts[group], starts[np.minimum(group + 1, len(starts) - 1)]
         rank = np.zeros(len(group), np.int64)  # dense ranks by the symbols read so far
         open_ = np.arange(len(group))
         at = 0
         while len(open_):
             word = np.zeros(len(open_), np.uint64)
-            s, e = starts[group[open_]], ends[group[open_]]
+            s, e = begin[open_], end[open_]
             for k in range(step):
                 p = np.minimum(s + at + k, e)
                 inside = s + at + k <= e
@@ -221,16 +262,27 @@ def _names(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
         distinct, names_here = np.unique(rank, return_inverse=True)
         names[group] = names_here + total
         total += len(distinct)
-    return names, total
+    return total
 
 
 def _doubling(names: np.ndarray) -> np.ndarray:
     """Suffix order of a string in memory."""
     n = len(names)
     rank, k = names.astype(np.int64), 1
+    bits = n.bit_length()
     while True:
         key = rank * (n + 1)
         key[: n - k] += rank[k:] + 1
+        if 3 * bits <= 62:  # places fit beside the keys, and numbers sort faster than places
+            key = np.sort((key << bits) | np.arange(n))
+            order, key = key & ((1 << bits) - 1), key >> bits
+            new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+            rank = np.empty(n, np.int64)
+            rank[order] = new
+            if new[-1] == n - 1 or k >= n:
+                return order
+            k = min(2 * k, n)
+            continue
         order = np.argsort(key)
         new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
@@ -245,6 +297,7 @@ class InducedSorter:
 
     def __init__(self, memory: int = 4_000_000, base: int = 8_000_000, folder: str | None = None):
         self.memory, self.base = memory, base
+        self.recursions, self.queues = 0, []
         self.folder = tempfile.mkdtemp(prefix="suffixes-", dir=folder)
 
     def __enter__(self) -> InducedSorter:
@@ -253,24 +306,63 @@ class InducedSorter:
     def __exit__(self, *_) -> None:
         shutil.rmtree(self.folder, ignore_errors=True)
 
+    def mapped(self, chunks: Iterator[np.ndarray], kind: type, backwards: bool = False) -> np.ndarray:
+        """Chunks one after the other in a file, or in the opposite order of all their values."""
+        path = os.path.join(self.folder, f"kept{next(_FILES)}")
+        with open(path, "wb") as f:
+            n = sum(len(c) for c in chunks if f.write(np.ascontiguousarray(c, kind).data) or True)
+        out = np.memmap(path, kind, "r", shape=(n,)) if n else np.zeros(0, kind)
+        os.unlink(path)  # the mapping holds the file until it goes
+        return out[::-1] if backwards else out
+
+    def blank(self, n: int, kind: type) -> np.ndarray:
+        """Zeros in a file."""
+        path = os.path.join(self.folder, f"kept{next(_FILES)}")
+        out = np.memmap(path, kind, "w+", shape=(n,))
+        os.unlink(path)
+        return out
+
     def order(self, text: np.ndarray) -> np.ndarray:
         """All positions in suffix order."""
         if len(text) <= self.base:
-            return _doubling(text)
-        return np.concatenate([pos for pos, _ in self.descending(text, 0)] + [np.array([len(text) - 1])])[::-1]
+            return _doubling(np.array(text))
+        self.recursions += 1
+        last = iter([np.array([len(text) - 1])])
+        return self.mapped(chain((pos for pos, _ in self.descending(text, 0)), last), np.int64, backwards=True)
 
     def sorted_seeds(self, text: np.ndarray) -> np.ndarray:
-        starts = leftmost_smaller(text)
+        starts = self.mapped(leftmost_smaller(text), np.int64, backwards=True)
         if len(starts) == 1:
-            return starts
-        names, distinct = _names(text, starts)
+            return np.array(starts)
+        names = self.blank(len(starts), np.int64)
+        distinct = _names(text, starts, self.blank(len(text) + 1, bool), names)
         if distinct == len(names):
-            return starts[np.argsort(names)]
-        path = os.path.join(self.folder, f"names{next(_FILES)}")
-        names.tofile(path)
-        reduced = np.memmap(path, np.int64, "r")
-        del names
-        return starts[self.order(reduced)]
+            out = self.blank(len(starts), np.int64)
+            for lo in range(0, len(starts), CHUNK):
+                out[names[lo : lo + CHUNK]] = starts[lo : lo + CHUNK]
+            return out
+        order = self.order(names)
+        return self.mapped((starts[order[lo : lo + CHUNK]] for lo in range(0, len(order), CHUNK)), np.int64)
+
+    def _queue(self, ascending: bool = True) -> SuffixQueue:
+        self.queues.append(SuffixQueue(self.folder, self.memory, ascending))
+        return self.queues[-1]
+
+    @property
+    def spills(self) -> int:
+        """Run files that the queues have written."""
+        return sum(len(q.runs) for q in self.queues)
+
+    @staticmethod
+    def _seed_cuts(text: np.ndarray, seeds: np.ndarray) -> tuple[list[int], list[int]]:
+        """The first symbols of the sorted seeds, and where each begins."""
+        symbols, cuts = [], []
+        for lo in range(0, len(seeds), CHUNK):
+            own = text[seeds[lo : lo + CHUNK]]
+            at = np.flatnonzero(np.concatenate([[not symbols or own[0] != symbols[-1]], own[1:] != own[:-1]]))
+            symbols += own[at].tolist()
+            cuts += (at + lo).tolist()
+        return symbols, [*cuts, len(seeds)]
 
     def descending(self, text: np.ndarray, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Chunks of (position, common prefix with the position before it), largest suffix first; without the sentinel.
@@ -280,15 +372,14 @@ class InducedSorter:
         if len(text) < 2:
             return
         seeds = self.sorted_seeds(text)
-        commons = _neighbours(text, seeds, cap) if cap else np.zeros(len(seeds), np.uint8)
+        commons = self.mapped(_neighbours(text, seeds, cap), np.uint8) if cap else self.blank(len(seeds), np.uint8)
         symbols = int(text.max()) + 1
-        up, larger = SuffixQueue(self.folder, self.memory), SuffixQueue(self.folder, self.memory)
+        up, larger = self._queue(), self._queue()
         minima = _Minima(symbols, cap) if cap else None
-        seed_symbol = text[seeds]
-        seed_cut = np.flatnonzero(np.concatenate([[True], seed_symbol[1:] != seed_symbol[:-1]])).tolist() + [len(seeds)]
+        seed_symbol, seed_cut = self._seed_cuts(text, seeds)
         next_seed = 0
         while next_seed < len(seed_cut) - 1 or up.top() is not None:
-            seed_now = int(seed_symbol[seed_cut[next_seed]]) if next_seed < len(seed_cut) - 1 else None
+            seed_now = seed_symbol[next_seed] if next_seed < len(seed_cut) - 1 else None
             symbol = min(x for x in (seed_now, up.top()) if x is not None)
             last = None
             if up.top() == symbol:
@@ -304,13 +395,13 @@ class InducedSorter:
             if seed_now == symbol:
                 a, b = seed_cut[next_seed], seed_cut[next_seed + 1]
                 for lo in range(a, b, CHUNK):
-                    pos, common = seeds[lo : min(b, lo + CHUNK)], commons[lo : min(b, lo + CHUNK)].copy()
+                    pos, common = np.array(seeds[lo : min(b, lo + CHUNK)]), np.array(commons[lo : min(b, lo + CHUNK)])
                     if lo == a:
                         common[0] = _common(text, last, int(pos[0]), cap) if last is not None and cap else 0
                     self._induce(text, pos, common, symbol, up, minima, lambda b, c=symbol: b > c)
                 next_seed += 1
         del seeds, commons
-        down = SuffixQueue(self.folder, self.memory, ascending=False)
+        down = self._queue(ascending=False)
         minima = _Minima(symbols, cap) if cap else None
         left = sorted(larger.queued)
         while left or down.top() is not None:
@@ -329,7 +420,7 @@ class InducedSorter:
             if left and left[-1] == symbol:
                 left.pop()
                 carry = None
-                for pos, common in reversed(list(larger.take(symbol))):
+                for pos, common in larger.backwards(symbol):
                     # the value of a tuple now belongs to the one after it in this direction
                     pos, own = pos[::-1], common[::-1]
                     if carry is None:

@@ -8,24 +8,33 @@ shards that can be sorted alone. Each window of LENGTH bytes has an anchor,
 the leftmost of its ANCHOR-byte strings with the least hash; equal windows
 have equal anchors. Neighbouring windows with one anchor form a stretch, and
 within a stretch no two windows are equal. Stretches, as hashes of anchor and
-content, meet in the anchor's shard: of equal stretches all but the earliest
-are repeats; an anchor with a single content needs nothing more. What is left
-are different stretches around one anchor. Their bytes are fetched from their
-texts and dealt by anchor into shards, where `induced.InducedSorter` sorts
-all suffixes, with disk-backed queues that carry common-prefix values; in each
-run of suffixes that share LENGTH bytes all windows but the earliest are
-repeats. Equal contents are recognised by two 64-bit hashes.
+content, meet in the anchor's shard, which settles what needs no sorting: an
+anchor that occurs once has no repeats, and of equal stretches the copies
+beyond the second are counted before the sort, as copies of the second. All
+other stretches, the first two of every content, are fetched from their texts
+and dealt by anchor into shards, where `induced.InducedSorter` sorts all
+suffixes, with disk-backed queues that carry common-prefix values; in each run
+of suffixes that share LENGTH bytes all windows but the earliest are repeats.
+So the sorter finds, on the bytes themselves, every repeat of a content that
+occurs twice and of different contents that overlap.
 
 A passage in very many texts gives its anchors as many different stretches,
-each with other bytes around it. Anchors with more than HOT of them are not
-sorted in one shard: their windows are settled one by one, dealt by two hashes
-of their own bytes, so that equal ones meet and all others spread evenly.
+each with other bytes around it. Such a hot anchor's stretches are cut again:
+windows whose anchor stands at about the same offset, CLASS offsets together,
+form smaller stretches, dealt by the bytes that all these windows hold, so
+that a hot anchor spreads over many shards of the same sorter.
+
+The sorter's files are in the shared folder where it is mounted as a local
+path, else in the task's own temporary folder; no other task reads them, and
+they go when the task ends.
 
 Defined cases: null and empty texts have nothing to remove; texts shorter than
-LENGTH neither; a null id counts as the smallest; rows that repeat an id with
-different texts are ordered by their texts' hashes; rows that repeat id and
-text are one document and share its result; other columns are ignored, or
-carried unchanged where asked for.
+LENGTH neither; texts are handled whole, a very long one as a block of its
+own; a null id counts as the smallest; rows that repeat an id with different
+texts are ordered by their texts' hashes; rows that repeat id and text are one
+document and share its result; an empty table gives an empty result; other
+columns are ignored, whatever their names, or carried unchanged where asked
+for.
 """
 
 from __future__ import annotations
@@ -36,37 +45,38 @@ import pickle
 import shutil
 import tempfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import BASE, BASE_INV, blocks, bounded_batches, mix, powers, prefix_hash, raw_bytes, release, span_hash
+from tessera.llm.blocks import BASE_INV, blocks, bounded_batches, mix, powers, prefix_hash, raw_bytes, release, span_hash
 from tessera.llm.induced import InducedSorter
-from tessera.session import keep
+from tessera.session import keep, mounted_scratch
 
 LENGTH, ANCHOR = 100, 32
 #: Windows looked at together; their positions fit PLACE bits.
 PLACE = 24
 SEGMENT = 1 << 23
 #: Input rows a shard of stretches, and bounds of their number; bytes a sorted shard.
-SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 16_000, 16, 4096
-SORTED_BYTES = 3 << 20
+SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 16_000, 16, 16_384
+SORTED_BYTES = 6 << 20
+#: Tuples that a queue of the sorter holds before it goes to disk.
+MEMORY = 1_000_000
 #: Stretches of a shard held in memory; beyond this they go to local files by hash, one of which is held at a time.
 HELD, FILES = 8_000_000, 32
-#: Different stretches of one anchor beyond which its windows are settled one by one.
-HOT = 100_000
-#: A second odd base, so that a window has two hashes.
-OTHER, OTHER_INV = 0xC2B2AE3D27D4EB4F, pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64)
+#: Different stretches of one anchor beyond which they are cut again, and offsets of the anchor in a class.
+HOT, CLASS = 100_000, 8
 NO_ID = -(1 << 63)
 ROWS = "shard int, blob binary"
 SPANS = "id bigint, digest bigint, starts array<bigint>, ends array<bigint>"
 _U = np.uint64
 
 
-def stretches(data: np.ndarray, at: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text number, first window's byte in the text, windows, anchor hash, content hash) of each stretch of a block."""
+def stretches(data: np.ndarray, at: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, places: bool = False) -> tuple[np.ndarray, ...]:
+    """(text number, first window's byte in the text, windows, anchor hash, content hash[, anchor's place]) of each stretch of a block."""
     prefix = prefix_hash(data)
     found = []
     inverse = powers(len(data), BASE_INV)
@@ -90,9 +100,9 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int = LENGTH, anchor: in
         first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)]))
         lo, hi = window[first], window[np.append(first[1:], len(window)) - 1]
         text = np.searchsorted(at, lo, "right") - 1
-        found.append((text, lo - at[text], hi - lo + 1, own[place[first]], span_hash(prefix, lo, hi + length)))
+        found.append((text, lo - at[text], hi - lo + 1, own[place[first]], span_hash(prefix, lo, hi + length)) + ((place[first] + begin,) if places else ()))
     if not found:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, _U),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * places
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -118,24 +128,39 @@ def _lists(schema_names: list[str], ids: np.ndarray, digests: np.ndarray, *colum
     return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(digests[first]), *[pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]], schema_names)
 
 
-#: Stretches that repeat (starts, ends), those whose bytes are asked for (lo, n, anchor) and those of hot anchors (lo, n), by text.
+#: Stretches that repeat (starts, ends), those that are to be sorted (lo, n, anchor) and those of hot anchors (lo, n), by text.
 FIELDS = ("starts", "ends", "ask_lo", "ask_n", "ask_anchor", "hot_lo", "hot_n")
 FOUND = "id bigint, digest bigint, " + ", ".join(f"{c} array<bigint>" for c in FIELDS)
 
 
-def windows_of(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Each window of the stretches that a row names in hot_lo and hot_n, as a stretch of its own with its two hashes."""
-    lists = [part.column(part.schema.get_field_index(c)) for c in ("hot_lo", "hot_n")]
-    lo, n = (x.flatten().to_numpy() for x in lists)
-    text = np.repeat(np.repeat(np.arange(part.num_rows), np.diff(lists[0].offsets.to_numpy())), n)
-    window = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    start = at[text] + window
-    own = [span_hash(prefix_hash(data, b), start, start + length, b, i) for b, i in ((BASE, BASE_INV), (OTHER, OTHER_INV))]
-    return text, window, np.ones(len(text), np.int64), *own
+def cut_again(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The stretches that a row names in hot_lo and hot_n, cut into classes of the anchor's offset.
+
+    As `stretches`, with the hash of the bytes that all windows of the class hold in place of the anchor's.
+    """
+    asked_lo = part.column(part.schema.get_field_index("hot_lo"))
+    owner = np.repeat(np.arange(part.num_rows), np.diff(asked_lo.offsets.to_numpy()))
+    wanted = at[owner] + asked_lo.flatten().to_numpy()
+    anchor = min(ANCHOR, length)
+    text, lo, n, _, _, place = stretches(data, at, length, anchor, places=True)
+    mine = np.flatnonzero(np.isin(at[text] + lo, wanted))
+    text, first, n, place = text[mine], at[text[mine]] + lo[mine], n[mine], place[mine]
+    # offsets of the anchor in the stretch's windows run from place - first down to place - (first + n - 1)
+    most, least = (place - first) // CLASS, (place - first - n + 1) // CLASS
+    classes = most - least + 1
+    one = np.repeat(np.arange(len(mine)), classes)
+    kind = most[one] - (np.arange(len(one)) - np.repeat(np.cumsum(classes) - classes, classes))
+    begin = np.maximum(first[one], place[one] - kind * CLASS - CLASS + 1)
+    end = np.minimum(first[one] + n[one] - 1, place[one] - kind * CLASS)
+    prefix = prefix_hash(data)
+    core_from = place[one] - kind * CLASS
+    core_to = np.maximum(core_from, place[one] - kind * CLASS - CLASS + 1 + length)
+    core = mix(span_hash(prefix, core_from, core_to) ^ (kind.astype(_U) + _U(1)))
+    return text[one], begin - at[text[one]], end - begin + 1, core, span_hash(prefix, begin, end + length)
 
 
 def _settle(ids, digests, lo, n, anchor, content, length: int, hot: int) -> Iterator[pa.RecordBatch]:
-    """Repeats and open questions of the stretches of some anchors."""
+    """Copies beyond the second, and what is to be sorted, of the stretches of some anchors."""
     if not len(ids):
         return
     order = np.lexsort((lo, digests, ids, content, anchor))
@@ -146,7 +171,11 @@ def _settle(ids, digests, lo, n, anchor, content, length: int, hot: int) -> Iter
     itself = (ids == ids[lead]) & (digests == digests[lead]) & (lo == lo[lead])
     group = np.cumsum(new_anchor) - 1
     contents = np.bincount(group, new)[group]
-    repeat, ask, much = ~itself, new & (contents > 1) & (contents <= hot), new & (contents > max(1, hot))
+    passed = np.cumsum(~itself)
+    second = ~itself & (passed - passed[lead] == 1)
+    copied = np.bincount(np.cumsum(new) - 1, second)[np.cumsum(new) - 1] > 0
+    needed = second | (new & (copied | (contents > 1)))
+    repeat, ask, much = ~itself & ~second, needed & (contents <= hot), needed & (contents > hot)
     some = np.flatnonzero(repeat | ask | much)
     if not len(some):
         return
@@ -195,27 +224,30 @@ class _Held:
             shutil.rmtree(self.folder, ignore_errors=True)
 
 
-def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD, hot: int = HOT, hot_windows: bool = False) -> DataFrame:
-    """FOUND rows from docs (id, digest, text); with hot_windows of the windows that docs names, else of all stretches."""
+def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD, hot: int = HOT, again_cut: bool = False) -> DataFrame:
+    """FOUND rows from docs (id, digest, text); with again_cut of the stretches that docs names, cut again, else of all."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in blocks(batches):
             ids, digests = part.column(0).to_numpy(), part.column(1).to_numpy()
-            text, lo, n, anchor, content = windows_of(part, data, at, length) if hot_windows else stretches(data, at, length, min(ANCHOR, length))
+            text, lo, n, anchor, content = cut_again(part, data, at, length) if again_cut else stretches(data, at, length, min(ANCHOR, length))
             if not len(text):
                 continue
-            # equal stretches of one block: all but the earliest are repeats already, and need not travel as hashes
+            # equal stretches of one block: those beyond the second are copies already, and need not travel as hashes
             rank = np.empty(len(ids), np.int64)
             rank[np.lexsort((digests, ids))] = np.arange(len(ids))
             order = np.lexsort((lo, rank[text], content, anchor))
             new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])])
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-            again = order[~new & ~((ids[text[order]] == ids[text[lead]]) & (digests[text[order]] == digests[text[lead]]) & (lo[order] == lo[lead]))]
+            other = ~new & ~((ids[text[order]] == ids[text[lead]]) & (digests[text[order]] == digests[text[lead]]) & (lo[order] == lo[lead]))
+            passed = np.cumsum(other)
+            second = other & (passed - passed[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] == 1)
+            again = order[other & ~second]
             rows = []
             if len(again):
                 again = again[np.lexsort((lo[again], text[again]))]
                 rows.append((int(rank[0]) % shards, pickle.dumps((True, _pack(ids, digests, text[again], _narrow(lo[again]), _narrow(n[again]))), protocol=5)))
-            first = np.sort(order[new])
+            first = np.sort(order[new | second])
             shard = (mix(anchor[first]) % _U(shards)).astype(np.int64)
             by = first[np.argsort(shard, kind="stable")]
             cut = np.searchsorted(np.sort(shard, kind="stable"), np.arange(shards + 1))
@@ -251,8 +283,8 @@ def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD,
             for group in own.groups():
                 yield from _settle(*group, length, hot)
 
-    sent = docs.select("id", "digest", "text", *["hot_lo", "hot_n"] * hot_windows).mapInArrow(deal, ROWS)
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, FOUND)
+    sent = docs.select("id", "digest", "text", *["hot_lo"] * again_cut).mapInArrow(deal, ROWS)
+    return sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(meet, FOUND)
 
 
 def repeated_windows(contents: np.ndarray, starts: np.ndarray, n: np.ndarray, key: np.ndarray, length: int, sorter: InducedSorter) -> tuple[np.ndarray, np.ndarray]:
@@ -263,6 +295,10 @@ def repeated_windows(contents: np.ndarray, starts: np.ndarray, n: np.ndarray, ke
     """
     entry_out, offset_out = [], []
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    # entries are longer than 1 << coarse bytes, so that so many bytes meet two of them at most
+    coarse = max(0, int(n.min()) + length - 1).bit_length() - 1
+    begins = np.append(starts, len(contents))
+    entry_at = np.maximum(0, np.searchsorted(starts, np.arange(0, len(contents), 1 << coarse), "right") - 1).astype(np.int32)
 
     def close(entry: np.ndarray, offset: np.ndarray, group: np.ndarray) -> None:
         if not len(entry):
@@ -275,8 +311,9 @@ def repeated_windows(contents: np.ndarray, starts: np.ndarray, n: np.ndarray, ke
         offset_out.append(offset[again])
 
     def members(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        entry = np.searchsorted(starts, pos, "right") - 1
-        entry[entry < 0] = 0
+        entry = entry_at[pos >> coarse]
+        entry = entry + (begins[entry + 1] <= pos)
+        entry[entry == len(starts)] = 0
         offset = pos - starts[entry]
         real = offset < n[entry]
         return entry, offset, real
@@ -308,7 +345,7 @@ def repeated_windows(contents: np.ndarray, starts: np.ndarray, n: np.ndarray, ke
 
 
 def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int, memory: int) -> DataFrame:
-    """SPANS rows: the windows that repeat among different stretches of one anchor."""
+    """SPANS rows: the windows that repeat among the stretches that are to be sorted."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in blocks(batches):
@@ -328,19 +365,17 @@ def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int,
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
 
-    def finish(parts: list) -> Iterator[pa.RecordBatch]:
+    def finish(parts: list, folder: str) -> Iterator[pa.RecordBatch]:
         ids, digests, lo, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
         rank = np.zeros(len(ids), np.int64)
         by = np.lexsort((digests, ids))
         rank[by] = np.cumsum(np.concatenate([[0], (ids[by][1:] != ids[by][:-1]) | (digests[by][1:] != digests[by][:-1])]))
         span = n + length - 1
         starts = np.cumsum(span + 1) - span - 1
-        contents = np.full(int((span + 1).sum()) + 1, 255, np.uint8)
-        contents[-1] = 0
-        place = np.repeat(starts - (np.cumsum(span) - span), span) + np.arange(span.sum())
-        contents[place] = np.concatenate([np.frombuffer(p[4], np.uint8) for p in parts]) + np.uint8(1)
-        with InducedSorter(memory) as sorter:
+        contents = np.memmap(os.path.join(folder, "text"), np.uint8, "r")
+        with InducedSorter(memory, folder=folder) as sorter:
             entry, offset = repeated_windows(contents, starts, n, (rank << 33) + lo, length, sorter)
+        del contents
         release()
         if not len(entry):
             return
@@ -352,32 +387,43 @@ def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int,
         last = np.append(first[1:], len(window)) - 1
         yield _lists(["id", "digest", "starts", "ends"], ids[entry[first]], digests[entry[first]], window[first], window[last] + length)
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        for batch in batches:
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if shard != now and parts:
-                    yield from finish(parts)
-                    parts = []
-                now = shard
-                parts.append(_unpack(blob.as_py()))
-        if parts:
-            yield from finish(parts)
+    def received(file, blob: pa.BinaryScalar) -> tuple[np.ndarray, ...]:
+        """Writes a blob's stretches to the shard's text, each byte plus 1 and 255 after each; the rest of it is held."""
+        ids, digests, lo, n, data = _unpack(blob.as_py())
+        lo, n = lo.astype(np.int64), n.astype(np.int64)
+        span = n + length - 1
+        text = np.full(int((span + 1).sum()), 255, np.uint8)
+        text[np.arange(span.sum()) + np.repeat(np.arange(len(span)), span)] = np.frombuffer(data, np.uint8) + np.uint8(1)
+        file.write(text.data)
+        return ids, digests, lo, n
 
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((shard, blob) for batch in batches for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            folder = tempfile.mkdtemp(prefix="sorted-", dir=shared if shared and os.path.isdir(shared) else None)
+            try:
+                with open(os.path.join(folder, "text"), "wb") as file:
+                    parts = [received(file, blob) for _, blob in own]
+                    file.write(b"\0")
+                yield from finish(parts, folder)
+            finally:
+                shutil.rmtree(folder, ignore_errors=True)
+
+    shared = mounted_scratch(docs.sparkSession)
     texts = docs.select("id", "digest", "text").join(asked.hint("shuffle_hash"), ["id", "digest"]).select("id", "digest", "text", "ask_lo", "ask_n", "ask_anchor")
-    return texts.mapInArrow(fetch, ROWS).repartition("shard").sortWithinPartitions("shard").mapInArrow(sort, SPANS)
+    return texts.mapInArrow(fetch, ROWS).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(sort, SPANS)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, sorted_bytes: int = SORTED_BYTES, memory: int = 4_000_000, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, sorted_bytes: int = SORTED_BYTES, memory: int = MEMORY, hot: int = HOT) -> DataFrame:
     """SPANS rows, several for a text and overlapping, from docs (id, digest, text)."""
     shards = min(MANY_SHARDS, max(FEW_SHARDS, -(-docs.count() // SHARD_ROWS)))
     found = keep(find_stretches(docs, shards, length, held, hot), "stretches")
-    size, many = found.agg(F.sum(F.aggregate("ask_n", F.lit(0).cast("bigint"), lambda a, n: a + n + length)), F.count_if(F.size("hot_lo") > 0)).first()
-    spans = found.where(F.size("starts") > 0).select("id", "digest", "starts", "ends")
     lists = lambda first, *more: found.where(F.size(first) > 0).groupBy("id", "digest").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in (first, *more)])
-    if many:
-        named = docs.select("id", "digest", "text").join(lists("hot_lo", "hot_n").hint("shuffle_hash"), ["id", "digest"])
-        spans = spans.unionByName(find_stretches(named, shards, length, held, hot_windows=True).where(F.size("starts") > 0).select("id", "digest", "starts", "ends"))
+    if found.where(F.size("hot_lo") > 0).limit(1).count():
+        named = docs.select("id", "digest", "text").join(lists("hot_lo").hint("shuffle_hash"), ["id", "digest"])
+        found = found.unionByName(keep(find_stretches(named, shards, length, held, 1 << 62, again_cut=True), "stretches"))
+    size = found.agg(F.sum(F.aggregate("ask_n", F.lit(0).cast("bigint"), lambda a, n: a + n + length))).first()[0]
+    spans = found.where(F.size("starts") > 0).select("id", "digest", "starts", "ends")
     if not size:
         return spans
     asked = lists("ask_lo", "ask_n", "ask_anchor")

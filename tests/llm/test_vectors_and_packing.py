@@ -23,11 +23,12 @@ def vector_table(spark, n=400, dim=16, extra=True):
 
 
 def usable(rows, nonzero):
-    out = {}
+    """(id, vector) of the rows that take part; rows that repeat an id are candidates each."""
+    out = []
     for r in rows:
         v = r.embedding
         if r.vec_id is not None and v and all(a is not None and np.isfinite(a) for a in v) and (not nonzero or any(v)):
-            out[r.vec_id] = np.array(v, float)
+            out.append((r.vec_id, np.array(v, float)))
     return out
 
 
@@ -35,12 +36,11 @@ def test_mtree_is_exact(spark):
     from tessera.llm import mtree
 
     df = vector_table(spark)
-    own = {i: np.floor(1024 * v).astype(np.int64) for i, v in usable(df.collect(), False).items()}
+    own = [(i, np.floor(1024 * v).astype(np.int64)) for i, v in usable(df.collect(), False)]
     want = set()
-    for q in own:
-        if q % 100 == 0:
-            ranked = sorted((-int(own[q] @ own[c]), c) for c in own if c != q and len(own[c]) == len(own[q]))
-            want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(ranked[:10])}
+    for q in {i for i, _ in own if i % 100 == 0}:
+        ranked = sorted((-int(x @ y), c) for i, x in own for c, y in own if i == q and c != q and len(x) == len(y))
+        want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(ranked[:10])}
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(df).collect()} == want
 
 
@@ -72,15 +72,15 @@ def test_multi_index_recall(spark):
     got = defaultdict(list)
     for r in hashing.approximate(df).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r)
-    for q in own:
-        if q % 50 == 0:
-            score = {c: float((own[q] * v).sum() / (np.sqrt((v * v).sum()) * np.sqrt((own[q] ** 2).sum()))) for c, v in own.items() if c != q and len(v) == len(own[q])}
-            best = sorted(score, key=lambda c: (-score[c], c))[:5]
-            assert [r["rank"] for r in got[q]] == list(range(1, len(best) + 1))
-            assert all(abs(r.score - score[r.vec_id]) < 1e-12 for r in got[q])
-            assert [(-r.score, r.vec_id) for r in got[q]] == sorted((-r.score, r.vec_id) for r in got[q])
-            hits += len({r.vec_id for r in got[q]} & set(best))
-            total += len(best)
+    for q in {i for i, _ in own if i % 50 == 0}:
+        score = [(float((x * v).sum() / (np.sqrt((v * v).sum()) * np.sqrt((x**2).sum()))), c) for i, x in own for c, v in own if i == q and c != q and len(v) == len(x)]
+        best = sorted(score, key=lambda s: (-s[0], s[1]))[:5]
+        of = {c: s for s, c in score}
+        assert [r["rank"] for r in got[q]] == list(range(1, len(best) + 1))
+        assert all(abs(r.score - of[r.vec_id]) < 1e-12 for r in got[q])
+        assert [(-r.score, r.vec_id) for r in got[q]] == sorted((-r.score, r.vec_id) for r in got[q])
+        hits += len({r.vec_id for r in got[q]} & {c for _, c in best})
+        total += len({c for _, c in best})
     assert hits >= 0.9 * total and 91000 not in got and 91500 not in got
 
 
