@@ -53,7 +53,7 @@ BLOCK_BYTES = 16 << 20
 #: Distinct strings or words that a counting task holds before it sends them on.
 HELD = 1_500_000
 #: Rows of the input a shard, bounds of the number of shards, and shards that share a byte pair.
-SHARD_ROWS, FEW_SHARDS, MANY_SHARDS, SPREAD = 20_000, 16, 8192, 16
+SHARD_ROWS, FEW_SHARDS, MANY_SHARDS, SPREAD = 8_000, 16, 8192, 16
 #: Strings that a shard looks up together.
 TOGETHER = 400_000
 #: Words up to so many bytes are hashed together, eight bytes at a time.
