@@ -11,9 +11,11 @@ part, and a bucket gives a spanning forest of its verified links, never all
 of its pairs; connected components over these links finish the job.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like
-any other; texts of one or two words have one shingle; equal texts and
+any other; texts of one or two words have one shingle; very long texts are
+voted on whole, a bounded number of shingles at a time; equal texts and
 repeated rows share a fingerprint; a component of null ids only has a null
-component id; other columns are ignored; an empty table gives an empty result.
+component id; other columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -206,8 +208,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return marked.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """One row of docs for each component, that of the smallest doc_id (a null one last), with its columns unchanged."""
+def one_of_each(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """One row of docs for each component, that of the smallest doc_id (a null one last), with its columns unchanged.
+
+    With a similarity (a fraction) links are those of shingle sets that reach it: fingerprints' links
+    are verified on the sets, and links that fingerprints miss are found exactly.
+    """
+    if similarity is not None:
+        from tessera.llm import similar
+
+        return similar.one_of_similar(docs, k, similarity)
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("bigint")

@@ -57,6 +57,25 @@ def copies():
     return [(i, t) for i, t in enumerate([None, "", " \n", "One two", "one  TWO", *out])]
 
 
+def test_parities_never_exclude_a_link():
+    import numpy as np
+
+    from tessera.llm import similar
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 120, 127, 128, 130, 255, 256, 700):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 1 << 62, max(1, n // 20)).astype(np.uint64)]))
+            differ = len(np.setxor1d(a, b))
+            assert similar.least_difference(similar.parity(a), similar.parity(b)) <= differ
+            size = np.array([len(a), len(b)])
+            bits = np.stack([np.frombuffer(similar._folded(similar.signature(x, similar.LIMIT)), np.uint64) for x in (a, b)])
+            found = [p for i, j in similar.crossed_pairs(np.zeros(2, int), size, np.zeros(2, int), np.arange(2), bits) for p in zip(i.tolist(), j.tolist(), strict=True)]
+            both = len(np.intersect1d(a, b))
+            assert (0, 1) in found or 5 * both < 4 * (len(a) + len(b) - both)
+
+
 def stayed(df):
     return sorted(str((r.doc_id is None, r.doc_id or 0)) for r in df.collect())
 
