@@ -14,7 +14,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, similar, suffixes
+from tessera.llm import mixing, packing, quality, simhash, suffixes
 from tessera.session import forget, keep, kept_paths, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -53,7 +53,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_follows
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, of five-word similarity 0.8 or more, stays."""
-    return similar.one_of_similar(docs)
+    return simhash.one_of_each(docs, k=5, similarity=(4, 5))
 
 
 @_follows
