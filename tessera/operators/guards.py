@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
-from tessera.functions.keys import ranking_key
+from tessera.functions.keys import stable_hex
+from tessera.session import keep
 
 #: Splits that no evaluation may touch, and column names that identify persons (fixed values).
 SEALED = frozenset({"test", "holdout"})
@@ -60,21 +61,28 @@ def unchanged_by_order(df: DataFrame, run: Callable[[DataFrame], DataFrame], see
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def guarded_holdout(blocks: DataFrame, length: int, guard: int, parts: list[str], seed: str) -> DataFrame:
-    """blocks (chrom, block) with role: for each part in turn, of every chromosome a run of `length` train blocks chosen by least hash.
+def guarded_holdout(blocks: DataFrame, shares: dict[str, float], guard: int, seed: str) -> DataFrame:
+    """blocks (chrom, block, start, stop) with role: train, a part, or buffer_<part>.
 
-    Blocks within `guard` of a chosen run become buffer, and a run may not touch earlier parts or their buffers.
+    For each part in turn, of all runs of as many free neighbouring blocks of one chromosome as its share of all blocks
+    comes to (rounded half to even, one at least), that with the least seeded hash of its first and last block. Free
+    blocks that overlap a chosen block widened by `guard` on both sides become the part's buffer.
     """
-    now = blocks.select("chrom", "block").withColumn("role", F.lit("train"))
-    for part in parts:
-        ahead = Window.partitionBy("chrom").orderBy("block").rowsBetween(0, length - 1)
-        free = (F.count("*").over(ahead) == length) & (F.count_if(F.col("role") == "train").over(ahead) == length)
-        starts = now.select("chrom", "block", free.alias("free")).where("free")
-        best = starts.withColumn("n", F.row_number().over(Window.partitionBy("chrom").orderBy(ranking_key(F.lit(seed), F.lit(part), "chrom", "block")))).where("n = 1").select("chrom", F.col("block").alias("start"))
-        inside = F.col("block").between(F.col("start"), F.col("start") + length - 1)
-        near = F.col("block").between(F.col("start") - guard, F.col("start") + length - 1 + guard)
-        role = F.when(inside, part).when(near & (F.col("role") == "train"), "buffer").otherwise(F.col("role"))
-        now = now.join(best, "chrom", "left").select("chrom", "block", role.alias("role"))
+    now = keep(blocks.select("chrom", "block", "start", "stop").withColumn("role", F.lit("train")), "blocks")
+    total = now.count()
+    for part, share in shares.items():
+        length = max(1, round(total * share))
+        ahead = Window.partitionBy("chrom").orderBy("start", "stop", "block").rowsBetween(0, length - 1)
+        free = F.count_if(F.col("role") == "train").over(ahead) == length
+        runs = now.select("chrom", "start", F.col("block").alias("first"), F.last("block").over(ahead).alias("last"), F.last("stop").over(ahead).alias("end"), free.alias("free"))
+        best = runs.where("free").orderBy(stable_hex(F.lit(seed), F.lit(part), "first", "last"), "chrom", "start").limit(1)
+        if best.isEmpty():
+            raise ValueError(f"no run can hold {length} blocks of {part}")
+        chosen = F.broadcast(best.select(F.col("chrom").alias("c"), F.col("start").alias("s"), F.col("end").alias("e")))
+        inside = (F.col("chrom") == F.col("c")) & (F.col("start") >= F.col("s")) & (F.col("stop") <= F.col("e"))
+        near = (F.col("chrom") == F.col("c")) & (F.col("start") < F.col("e") + guard) & (F.greatest(F.lit(0), F.col("s") - guard) < F.col("stop"))
+        role = F.when(inside, part).when(near & (F.col("role") == "train"), f"buffer_{part}").otherwise(F.col("role"))
+        now = keep(now.crossJoin(chosen).select("chrom", "block", "start", "stop", role.alias("role")), "blocks")
     return now
 
 

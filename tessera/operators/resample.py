@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import ranking_key, unit_draw
+from tessera.operators import numbering
 
 
 def numbered(df: DataFrame, order: list[str], *groups: str) -> DataFrame:
-    """df with i from 0 and n by group."""
-    return df.select("*", (F.row_number().over(Window.partitionBy(*groups or [F.lit(1)]).orderBy(*order)) - 1).cast("bigint").alias("i"), F.count("*").over(Window.partitionBy(*groups or [F.lit(1)])).alias("n"))
+    """df with i from 0 and n by group; without groups over ranges of the whole table."""
+    if not groups:
+        return numbering.numbered(df, "i", *order).crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))
+    return df.select("*", (F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1).cast("bigint").alias("i"), F.count("*").over(Window.partitionBy(*groups)).alias("n"))
 
 
 def draws(units: DataFrame, replicates: int, seed: str) -> DataFrame:
@@ -81,8 +84,8 @@ def bernoulli(rate: float, *parts: Column | str) -> Column:
 def folds(df: DataFrame, group: str, k: int, seed: str) -> DataFrame:
     """fold of each row: groups in hash order dealt round; a group never crosses folds."""
     groups = df.select(group).distinct()
-    place = F.row_number().over(Window.orderBy(ranking_key(F.lit(seed), group))) - 1
-    return df.join(groups.select(group, (place % k).cast("bigint").alias("fold")), group)
+    placed = numbering.numbered(groups, "__i", ranking_key(F.lit(seed), group))
+    return df.join(placed.select(group, (F.col("__i") % k).alias("fold")), group)
 
 
 def signs(*parts: Column | str) -> Column:

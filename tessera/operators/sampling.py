@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.keys import ranking_key
+from tessera.functions.keys import UNIT, ranking_key, stable_hex
+from tessera.operators import numbering
 
 
 def top_by(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
@@ -56,22 +58,27 @@ def firewall(df: DataFrame, group: str, key: str, seeds: list[str], k: int) -> D
 def greedy_split(units: DataFrame, stratum: str, unit: str, size: str, shares: dict[str, float], seed: str) -> DataFrame:
     """split of each unit: in every stratum larger units first, each where it leaves least squared deviation from the shares.
 
-    Each choice depends on those before it, so a stratum's units are handled in one group.
+    Units of one size follow a seeded hash, and so do splits that leave the same deviation to six digits. Each choice depends on those
+    before it, so a stratum's units are handled in one group.
     """
-    names, wanted = list(shares), [shares[s] for s in shares]
+    names = list(shares)
 
     def assign(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([size, "__hash"], ascending=[False, True])
         total, held, out = float(frame[size].sum()), [0.0] * len(names), []
-        for n in frame[size].tolist():
-            gain = [(held[i] + n - wanted[i] * total) ** 2 - (held[i] - wanted[i] * total) ** 2 for i in range(len(names))]
-            best = gain.index(min(gain))
+        wanted = [shares[s] * total for s in names]
+        for own, n in zip(frame[unit].tolist(), frame[size].tolist(), strict=True):
+            away = [[held[j] + n * (i == j) - wanted[j] for j in range(len(names))] for i in range(len(names))]
+            left = [round(sum(d * d for d in a), 6) for a in away]
+            tied = [i for i in range(len(names)) if left[i] == min(left)]
+            text = lambda i, own=own: UNIT.join(map(str, (seed, frame[stratum].iloc[0], own, names[i])))
+            best = tied[0] if len(tied) == 1 else min(tied, key=lambda i: hashlib.sha256(text(i).encode()).hexdigest())
             held[best] += n
             out.append(names[best])
         return frame.assign(split=out)[[stratum, unit, size, "split"]]
 
     kinds = dict(units.dtypes)
-    rows = units.select(stratum, unit, size, ranking_key(F.lit(seed), F.col(unit)).alias("__hash"))
+    rows = units.select(stratum, unit, size, stable_hex(F.lit(seed), stratum, unit).alias("__hash"))
     return rows.groupBy(stratum).applyInPandas(assign, f"{stratum} {kinds[stratum]}, {unit} {kinds[unit]}, {size} {kinds[size]}, split string")
 
 
@@ -97,5 +104,4 @@ def diverse_top(candidates: pd.DataFrame, k: int, conflict: Callable[[pd.Series,
 
 def schedule(levels: DataFrame, key: list[str], seed: str, workers: int) -> DataFrame:
     """Hash-ordered rows with place, worker (place mod workers) and round."""
-    place = F.row_number().over(Window.orderBy(ranking_key(F.lit(seed), *[F.col(k) for k in key]))) - 1
-    return levels.select("*", place.cast("bigint").alias("place")).select("*", (F.col("place") % workers).alias("worker"), F.floor(F.col("place") / workers).alias("round"))
+    return numbering.numbered(levels, "place", ranking_key(F.lit(seed), *[F.col(k) for k in key])).select("*", (F.col("place") % workers).alias("worker"), F.floor(F.col("place") / workers).alias("round"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import numbering
+
 
 def variant_quality(genotype: DataFrame) -> DataFrame:
     """By variant: n, called, class counts, allele frequency, minor allele frequency, missing rate."""
@@ -114,9 +116,11 @@ def clipped_scores(df: DataFrame, value: str, is_train: Column, far: float = 5.0
 
 def rank_share(df: DataFrame, value: str, is_train: Column) -> DataFrame:
     """df with share: (training values below it + 0.5) / (training values + 1), before the inverse normal."""
-    by_value = Window.partitionBy(F.lit(1)).orderBy(value)
-    below = F.sum(is_train.cast("bigint")).over(by_value.rangeBetween(Window.unboundedPreceding, 0)) - F.sum(is_train.cast("bigint")).over(Window.partitionBy(value))
-    return df.select("*", ((below + 0.5) / (F.sum(is_train.cast("bigint")).over(Window.partitionBy(F.lit(1))) + 1)).alias("share"))
+    weight = is_train.cast("bigint")
+    upto = numbering.running(df, "__upto", weight, value)
+    below = F.col("__upto") - F.sum(weight).over(Window.partitionBy(value))
+    total = F.broadcast(df.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("__n")))
+    return upto.crossJoin(total).select(*df.columns, ((below + 0.5) / (F.col("__n") + 1)).alias("share"))
 
 
 def one_hot(df: DataFrame, column: str, is_train: Column, most: int = 1000) -> DataFrame:

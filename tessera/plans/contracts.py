@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import keys
-from tessera.operators import guards, intervals
+from tessera.operators import guards, intervals, numbering
 from tessera.operators.resample import bernoulli
 from tessera.plans import views as v
 from tessera.plans.registry import query
@@ -31,11 +31,11 @@ def content_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("export_tables", 35, 36, 42, 45, sql="""
-SELECT substr(sha256('export|' || CAST(s_suppkey AS VARCHAR)), 1, 16) AS surrogate, CASE WHEN s_acctbal IS NULL THEN '' WHEN s_acctbal = floor(s_acctbal) THEN CAST(CAST(s_acctbal AS BIGINT) AS VARCHAR) ELSE 'real' END AS shown FROM supplier WHERE s_nationkey < 12""")
+SELECT substr(sha256('export|' || CAST(s_suppkey AS VARCHAR)), 1, 16) AS surrogate, CASE WHEN s_acctbal IS NULL THEN '' WHEN s_acctbal = floor(s_acctbal) THEN CAST(CAST(s_acctbal AS BIGINT) AS VARCHAR) ELSE 'real' END AS shown FROM supplier""")
 def export_tables(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.functions.values import number_text
 
-    s = table(spark, sf, "supplier").where("s_nationkey < 12")
+    s = table(spark, sf, "supplier")
     return s.select(keys.surrogate_id("export", "s_suppkey").alias("surrogate"), F.when(F.col("s_acctbal") != F.floor("s_acctbal"), "real").otherwise(number_text(F.col("s_acctbal"))).alias("shown"))
 
 
@@ -63,7 +63,7 @@ def block_gating(spark: SparkSession, sf: str) -> DataFrame:
     return r.where("i <= 4 or i = n").select("chrom", "block", "sites", F.when((F.col("i") == 1) | (F.col("i") == F.col("n")), "signal").otherwise("context").alias("use"))
 
 
-@query("order_invariance", 77, 171)
+@query("order_invariance", 77, sql="SELECT 'variant_quality' AS operator, true AS unchanged")
 def order_invariance(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.operators.stats import variant_quality
 
@@ -75,7 +75,7 @@ def order_invariance(spark: SparkSession, sf: str) -> DataFrame:
 WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS left_key FROM part), b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey AS right_key FROM orders)
 SELECT left_key, right_key FROM a JOIN b USING (i)""")
 def positional_pairing(spark: SparkSession, sf: str) -> DataFrame:
-    number = lambda df, c, n: df.select(F.row_number().over(Window.orderBy(c)).alias("i"), F.col(c).alias(n))
+    number = lambda df, c, n: numbering.numbered(df.select(c), "i", c).select("i", F.col(c).alias(n))
     return number(table(spark, sf, "part"), "p_partkey", "left_key").join(number(table(spark, sf, "orders"), "o_orderkey", "right_key"), "i").select("left_key", "right_key")
 
 
@@ -94,10 +94,32 @@ def greedy_spaced_sites(spark: SparkSession, sf: str) -> DataFrame:
     return guards.greedy_apart(scored, "chrom", ["-score", "variant"], "pos", 50_000, 10)
 
 
-@query("guarded_block_holdout", 207)
+def _holdout_sql(k: int, part: str, share: float) -> str:
+    """One part's choice, from the blocks b<k - 1> to b<k>. Runs are lists of the rows that follow each block."""
+    return f"""
+n{k} AS (SELECT greatest(1, CAST(round_even(count(*) * {share}::DOUBLE, 0) AS BIGINT)) AS n FROM b0),
+i{k} AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start) AS i FROM b{k - 1}),
+r{k} AS (SELECT x.chrom, x.block AS first, x.start AS s, max(y.stop) AS e, arg_max(y.block, y.i) AS last
+  FROM i{k} x JOIN i{k} y ON x.chrom = y.chrom AND y.i BETWEEN x.i AND x.i + (SELECT n FROM n{k}) - 1
+  GROUP BY ALL HAVING count(*) FILTER (WHERE y.role = 'train') = (SELECT n FROM n{k})),
+c{k} AS (SELECT chrom AS c, s, e FROM r{k}
+  ORDER BY sha256('hold' || chr(31) || '{part}' || chr(31) || first || chr(31) || last), chrom, s LIMIT 1),
+b{k} AS (SELECT chrom, block, start, stop,
+  CASE WHEN chrom = c AND start >= s AND stop <= e THEN '{part}'
+       WHEN chrom = c AND role = 'train' AND start < e + 150000 AND greatest(0, s - 150000) < stop THEN 'buffer_{part}'
+       ELSE role END AS role FROM b{k - 1}, c{k})"""
+
+
+@query("guarded_block_holdout", 207, views="variant", sql=f"""
+WITH b0 AS (SELECT DISTINCT chrom, chrom || ':' || CAST(pos // 100000 AS VARCHAR) AS block, pos // 100000 * 100000 AS start, pos // 100000 * 100000 + 100000 AS stop, 'train' AS role FROM variant),
+{_holdout_sql(1, "test", 0.02)},
+{_holdout_sql(2, "validation", 0.03)}
+SELECT * FROM b2""")
 def guarded_block_holdout(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = v.variant(spark, sf).select("chrom", F.floor(F.col("pos") / 100_000).alias("block")).distinct()
-    return guards.guarded_holdout(blocks, 2, 1, ["test", "validation"], "hold")
+    place = F.floor(F.col("pos") / 100_000)
+    name = F.concat_ws(":", "chrom", place.cast("string"))
+    blocks = v.variant(spark, sf).select("chrom", name.alias("block"), (place * 100_000).alias("start"), (place * 100_000 + 100_000).alias("stop")).distinct()
+    return guards.guarded_holdout(blocks, {"test": 0.02, "validation": 0.03}, 150_000, "hold")
 
 
 @query("scalar_math", 221, 223, 226, sql="""
@@ -110,14 +132,8 @@ def scalar_math(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("arm_registry", 229, 230, sql="""
-SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 7) AS first, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 7) AS mean FROM embeddings WHERE vec_id % 3 = 0""")
-def arm_registry(spark: SparkSession, sf: str) -> DataFrame:
-    return _arms(table(spark, sf, "embeddings").where("vec_id % 3 = 0"))
-
-
-@query("arm_registry_whole", 229, 230, sql="""
 SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 7) AS first, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 7) AS mean FROM embeddings""")
-def arm_registry_whole(spark: SparkSession, sf: str) -> DataFrame:
+def arm_registry(spark: SparkSession, sf: str) -> DataFrame:
     return _arms(table(spark, sf, "embeddings"))
 
 
@@ -127,7 +143,11 @@ def _arms(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", *[F.round(c, 7).alias(name) for name, c in arms.items()])
 
 
-@query("schema_contract", 61, 137)
+@query("schema_contract", 61, 137, sql="""
+SELECT table_name AS name, CAST(count(*) AS INTEGER) AS columns,
+  coalesce(string_agg(column_name, ',' ORDER BY ordinal_position) FILTER (WHERE lower(column_name) IN ('name', 'email', 'phone', 'address', 'birth_date')), '') AS identifying
+FROM information_schema.columns
+WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings') GROUP BY table_name""")
 def schema_contract(spark: SparkSession, sf: str) -> DataFrame:
     names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
     found = [(n, len(table(spark, sf, n).columns), ",".join(guards.identifying_paths(table(spark, sf, n).schema))) for n in names]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import keys
 from tessera.operators import curves as c
 from tessera.operators import intervals as i
+from tessera.operators import numbering
 from tessera.operators import sampling as s
 from tessera.plans import views as v
 from tessera.plans.registry import query
@@ -121,26 +122,31 @@ def curve_late_change(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("curve_nonincreasing_fit", 198, views="curve", sql="""
-WITH k AS (SELECT * FROM curve WHERE step <= 12),
+WITH k AS (SELECT * FROM curve),
 s AS (SELECT a.cell, a.step AS lo, b.step AS hi, (SELECT avg(metric) FROM k WHERE k.cell = a.cell AND k.step BETWEEN a.step AND b.step) AS mean FROM k a JOIN k b ON a.cell = b.cell AND a.step <= b.step),
 f AS (SELECT i.cell, i.step, s.lo, max(s.mean) AS top FROM k i JOIN s ON s.cell = i.cell AND s.lo <= i.step AND s.hi >= i.step GROUP BY ALL)
 SELECT cell, step, round(min(top), 7) AS fit FROM f GROUP BY cell, step""")
 def curve_nonincreasing_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return c.nonincreasing_fit(v.curve(spark, sf).where("step <= 12")).select("cell", "step", F.round("fit", 7).alias("fit"))
-
-
-@query("curve_nonincreasing_fit_whole", 198)
-def curve_nonincreasing_fit_whole(spark: SparkSession, sf: str) -> DataFrame:
     return c.nonincreasing_fit(v.curve(spark, sf)).select("cell", "step", F.round("fit", 7).alias("fit"))
 
 
-@query("curve_acceleration", 199, 93)
+@query("curve_acceleration", 199, 93, views="curve", sql="""
+WITH k AS (SELECT * FROM curve WHERE cell LIKE '%:view' OR cell LIKE '%:click'),
+s AS (SELECT a.cell, a.step AS lo, b.step AS hi, (SELECT avg(metric) FROM k WHERE k.cell = a.cell AND k.step BETWEEN a.step AND b.step) AS mean FROM k a JOIN k b ON a.cell = b.cell AND a.step <= b.step),
+t AS (SELECT i.cell, i.step, s.lo, max(s.mean) AS top FROM k i JOIN s ON s.cell = i.cell AND s.lo <= i.step AND s.hi >= i.step GROUP BY ALL),
+f AS (SELECT split_part(cell, ':', 1) AS cell, split_part(cell, ':', 2) AS kind, step, round(min(top), 9) AS fit FROM t GROUP BY ALL),
+e AS (SELECT cell, kind, max(fit) AS hi, min(fit) AS lo FROM f GROUP BY ALL),
+c AS (SELECT cell, min(hi) AS hi, max(lo) AS lo FROM e GROUP BY cell HAVING count(*) = 2 AND min(hi) > max(lo)),
+l AS (SELECT cell, n, hi - (hi - lo) * n / 6 AS level FROM c, range(1, 6) r(n)),
+r AS (SELECT l.cell, l.n, f.kind, min(f.step) AS step FROM l JOIN f ON f.cell = l.cell AND f.fit <= l.level GROUP BY ALL)
+SELECT x.cell, round(median(x.step / y.step), 9) AS speedup, count(*) AS levels FROM r x JOIN r y ON x.cell = y.cell AND x.n = y.n WHERE x.kind = 'view' AND y.kind = 'click' GROUP BY x.cell""")
 def curve_acceleration(spark: SparkSession, sf: str) -> DataFrame:
     curve = v.curve(spark, sf)
     kind = F.substring_index("cell", ":", -1)
     control = curve.where(kind == "view").withColumn("cell", F.substring_index("cell", ":", 1))
     chosen = curve.where(kind == "click").withColumn("cell", F.substring_index("cell", ":", 1))
-    return c.acceleration(c.nonincreasing_fit(control), c.nonincreasing_fit(chosen))
+    fits = [c.nonincreasing_fit(df).withColumn("fit", F.round("fit", 9)) for df in (control, chosen)]
+    return c.acceleration(*fits).select("cell", F.round("speedup", 9).alias("speedup"), "levels")
 
 
 @query("curve_step_check", 200, views="curve", sql="""
@@ -163,7 +169,7 @@ SELECT s_suppkey, hex, tab, surrogate, row_number() OVER (ORDER BY substr(hex, 1
 def hash_keys(spark: SparkSession, sf: str) -> DataFrame:
     h = keys.stable_hex(F.lit("s"), "s_suppkey")
     rows = table(spark, sf, "supplier").select("s_suppkey", h.alias("hex"), keys.ranking_key(F.lit("s"), "s_suppkey").alias("tab"), keys.surrogate_id("salt", "s_suppkey").alias("surrogate"))
-    return rows.select("*", F.row_number().over(Window.orderBy(keys.stable_int(F.col("hex")))).cast("bigint").alias("place"))
+    return numbering.numbered(rows, "__i", keys.stable_int(F.col("hex"))).select("s_suppkey", "hex", "tab", "surrogate", (F.col("__i") + 1).alias("place"))
 
 
 @query("window_top_k", 176, 185, views="variant", sql="""
@@ -219,7 +225,24 @@ def split_firewall(spark: SparkSession, sf: str) -> DataFrame:
     return s.firewall(v.sample(spark, sf), "split", "sample", ["x", "y"], 5).select("sample", "historic")
 
 
-@query("greedy_component_split", 181, 182, 107)
+def _left(part: str) -> str:
+    """Squared deviation if the unit goes to a part, the hash that breaks ties, and the part."""
+    away = [f"({h} + size * {int(part == p)} - {w}::DOUBLE * total)" for h, p, w in (("a", "train", 0.6), ("b", "validation", 0.2), ("c", "test", 0.2))]
+    key = " || chr(31) || ".join(("'seed'", "CAST(stratum AS VARCHAR)", "CAST(unit AS VARCHAR)", f"'{part}'"))
+    return f"{{'e': round({' + '.join(f'{d} * {d}' for d in away)}, 6), 'h': sha256({key}), 'n': '{part}'}}"
+
+
+@query("greedy_component_split", 181, 182, 107, sql=f"""
+WITH RECURSIVE u AS (SELECT o_custkey AS unit, count(*) AS size, o_custkey % 5 AS stratum FROM orders GROUP BY o_custkey),
+o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size DESC, sha256('seed' || chr(31) || CAST(stratum AS VARCHAR) || chr(31) || CAST(unit AS VARCHAR))) AS i,
+  CAST(sum(size) OVER (PARTITION BY stratum) AS DOUBLE) AS total FROM u),
+r AS (
+  SELECT DISTINCT stratum, CAST(0 AS BIGINT) AS i, unit - unit AS unit, CAST(0 AS BIGINT) AS size, '' AS split, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM o
+  UNION ALL
+  SELECT stratum, i, unit, size, best, a + size * CAST(best = 'train' AS INT), b + size * CAST(best = 'validation' AS INT), c + size * CAST(best = 'test' AS INT)
+  FROM (SELECT *, list_sort([{_left("train")}, {_left("validation")}, {_left("test")}])[1].n AS best
+        FROM (SELECT r.stratum, o.i, o.unit, o.size, o.total, r.a, r.b, r.c FROM r JOIN o ON o.stratum = r.stratum AND o.i = r.i + 1)))
+SELECT stratum, unit, size, split FROM r WHERE i > 0""")
 def greedy_component_split(spark: SparkSession, sf: str) -> DataFrame:
     units = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("unit")).agg(F.count("*").alias("size"), (F.max("o_custkey") % 5).alias("stratum"))
     return s.greedy_split(units, "stratum", "unit", "size", {"train": 0.6, "validation": 0.2, "test": 0.2}, "seed")
@@ -247,10 +270,10 @@ def per_trait_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("factorial_schedule", 190, sql="""
-WITH g AS (SELECT a.n_nationkey AS nation, r_regionkey AS region, s AS seed FROM (SELECT n_nationkey FROM nation WHERE n_nationkey < 6) a, region, range(4) t(s)),
+WITH g AS (SELECT a.n_nationkey AS nation, r_regionkey AS region, s AS seed FROM nation a, region, range(4) t(s)),
 p AS (SELECT *, row_number() OVER (ORDER BY sha256('plan' || chr(9) || CAST(nation AS VARCHAR) || chr(9) || CAST(region AS VARCHAR) || chr(9) || CAST(seed AS VARCHAR))) - 1 AS place FROM g)
 SELECT nation, region, seed, place, place % 4 AS worker, place // 4 AS round FROM p""")
 def factorial_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    nation = table(spark, sf, "nation").where("n_nationkey < 6").select(F.col("n_nationkey").alias("nation"))
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"))
     grid = nation.crossJoin(table(spark, sf, "region").select(F.col("r_regionkey").alias("region"))).crossJoin(spark.range(4).select(F.col("id").alias("seed")))
     return s.schedule(grid, ["nation", "region", "seed"], "plan", 4)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import values
+from tessera.operators import numbering
 from tessera.operators import relational as r
 from tessera.plans import views as v
 from tessera.plans.registry import query
@@ -37,17 +38,10 @@ def first_key_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("free_text_edges", 11, 24, sql=r"""
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, 200), '[a-z]{4,5}')) AS w FROM documents WHERE doc_id % 50 = 0),
-p AS (SELECT DISTINCT least(x.w, y.w) AS a, greatest(x.w, y.w) AS b FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w < y.w)
-SELECT a, b FROM p""")
+WITH t AS (SELECT regexp_extract_all(text, '[a-z]{4,5}') AS w FROM documents),
+p AS (SELECT unnest(list_zip(w[:-2], w[2:])) AS z FROM t WHERE len(w) > 1)
+SELECT DISTINCT least(z[1], z[2]) AS a, greatest(z[1], z[2]) AS b FROM p WHERE z[1] <> z[2]""")
 def free_text_edges(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").where("doc_id % 50 = 0").select("doc_id", F.explode(F.expr(r"regexp_extract_all(substring(text, 1, 200), '([a-z]{4,5})', 1)")).alias("w")).distinct()
-    pairs = words.alias("x").join(words.alias("y"), (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.w") < F.col("y.w")))
-    return pairs.select(F.col("x.w").alias("a"), F.col("y.w").alias("b")).distinct()
-
-
-@query("free_text_edges_whole", 11, 24)
-def free_text_edges_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Edges of all whole texts: each id is linked to the next one of its text, which connects what all pairs would."""
     ids = table(spark, sf, "documents").select(F.expr(r"regexp_extract_all(text, '([a-z]{4,5})', 1)").alias("w")).where("size(w) > 1")
     pairs = ids.select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("x"), F.expr("slice(w, 2, size(w) - 1)").alias("y"))).alias("p"))
@@ -135,14 +129,8 @@ def keyed_update(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("p_on_grid", 80, sql="""
-SELECT o_orderkey, round((o_orderkey % 1000) / 1000.0, 6) = 0 OR false AS zero, (o_orderkey % 1000) > 0 AS on_grid FROM orders WHERE o_orderkey % 7 = 0""")
-def p_on_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return _on_grid(table(spark, sf, "orders").where("o_orderkey % 7 = 0"))
-
-
-@query("p_on_grid_whole", 80, sql="""
 SELECT o_orderkey, round((o_orderkey % 1000) / 1000.0, 6) = 0 OR false AS zero, (o_orderkey % 1000) > 0 AS on_grid FROM orders""")
-def p_on_grid_whole(spark: SparkSession, sf: str) -> DataFrame:
+def p_on_grid(spark: SparkSession, sf: str) -> DataFrame:
     return _on_grid(table(spark, sf, "orders"))
 
 
@@ -212,15 +200,8 @@ def group_derangement(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("metadata_reconciliation", 94, sql="""
 SELECT c_custkey, coalesce(nullif(c_mktsegment, ''), CAST(c_custkey AS VARCHAR)) AS family, n_regionkey = r_regionkey AND c_nationkey = n_nationkey AS agrees
-FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey % 3 = 0""")
-def metadata_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
-    return _reconciled(table(spark, sf, "customer").where("c_custkey % 3 = 0"), table(spark, sf, "nation"), table(spark, sf, "region"))
-
-
-@query("metadata_reconciliation_whole", 94, sql="""
-SELECT c_custkey, coalesce(nullif(c_mktsegment, ''), CAST(c_custkey AS VARCHAR)) AS family, n_regionkey = r_regionkey AND c_nationkey = n_nationkey AS agrees
 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
-def metadata_reconciliation_whole(spark: SparkSession, sf: str) -> DataFrame:
+def metadata_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
     return _reconciled(table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region"))
 
 
@@ -263,11 +244,6 @@ def kinship_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return _kinship_counts(v.edges(spark, sf))
 
 
-@query("kinship_thresholds_whole", 12, 109)
-def kinship_thresholds_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _kinship_counts(v.all_edges(spark, sf))
-
-
 def _kinship_counts(edges: DataFrame) -> DataFrame:
     k = edges.select(((F.col("a") * 31 + F.col("b")) % 1000).alias("k"))
     return k.agg(F.count("*").alias("pairs"), F.count_if(F.col("k") >= 354).alias("first_degree"), F.count_if(F.col("k") >= 177).alias("second_degree"), F.min("k").alias("least"), F.max("k").alias("most"))
@@ -300,7 +276,7 @@ def lineage_check(spark: SparkSession, sf: str) -> DataFrame:
 WITH a AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey AS k FROM customer WHERE c_acctbal > 0), b AS (SELECT row_number() OVER (ORDER BY o_custkey) AS i, o_custkey AS k FROM (SELECT DISTINCT o_custkey FROM orders))
 SELECT count(*) FILTER (WHERE a.k IS DISTINCT FROM b.k) AS differing, count(*) AS places FROM a FULL JOIN b USING (i)""")
 def ordered_equality(spark: SparkSession, sf: str) -> DataFrame:
-    place = lambda df: df.select(F.row_number().over(Window.orderBy("k")).alias("i"), "k")
+    place = lambda df: numbering.numbered(df, "i", "k").select("i", "k")
     a = place(table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")))
     b = place(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()).withColumnRenamed("k", "other")
     return a.join(b, "i", "full").agg(F.count_if(~F.col("k").eqNullSafe(F.col("other"))).alias("differing"), F.count("*").alias("places"))

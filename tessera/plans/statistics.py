@@ -10,7 +10,7 @@ from tessera.functions import values
 from tessera.functions.keys import unit_draw
 from tessera.operators import components, gates, graph, regression, relational, resample, stats
 from tessera.plans import views as v
-from tessera.plans.registry import ROWS, query
+from tessera.plans.registry import query
 from tessera.session import table
 
 #: The draw that Spark and DuckDB share: 32 bits of an MD5, as SQL over a text.
@@ -78,17 +78,17 @@ def component_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("components"))
 
 
-@query("component_sizes_whole", *ROWS["component_sizes"])
-def component_sizes_whole(spark: SparkSession, sf: str) -> DataFrame:
-    found = graph.connected_components(v.all_edges(spark, sf))
-    return found.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("components"))
-
-
-@query("component_ids", 210, 211)
+@query("component_ids", 210, 211, views="edges", sql="""
+WITH RECURSIVE u AS (SELECT a AS x, b AS y FROM edges UNION SELECT b, a FROM edges),
+r AS (SELECT x AS node, x AS root FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node WHERE u.y > r.root),
+c AS (SELECT node, min(root) AS component FROM r GROUP BY node),
+n AS (SELECT c_custkey AS node, coalesce(component, c_custkey) AS component FROM customer LEFT JOIN c ON c.node = c_custkey),
+d AS (SELECT component, 'FC_' || substr(sha256(string_agg(CAST(node AS VARCHAR), chr(31) ORDER BY CAST(node AS VARCHAR))), 1, 16) AS component_id, count(*) AS size FROM n GROUP BY component)
+SELECT node, component_id, size, CAST(0 AS BIGINT) AS differing FROM n JOIN d USING (component)""")
 def component_ids(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
-    named = components.named_components(nodes, v.all_edges(spark, sf))
-    again = components.named_components(nodes, v.all_edges(spark, sf).orderBy(F.desc("a")))
+    named = components.named_components(nodes, v.edges(spark, sf))
+    again = components.named_components(nodes, v.edges(spark, sf).orderBy(F.desc("a")))
     differing = relational.same_partition(named, again, "node", "component_id").agg(F.count("*").alias("differing"))
     return named.crossJoin(differing)
 
@@ -349,7 +349,7 @@ def power_and_replicates(spark: SparkSession, sf: str) -> DataFrame:
     return needed.crossJoin(needed.agg(gates.complete_max(F.col("needed")).alias("formal")))
 
 
-_BOOT = f"""u AS (SELECT o_custkey AS id, sum((o_totalprice - 150000) ** 2) AS a, sum((o_totalprice - 140000) ** 2) AS b, sum((o_totalprice - 145000) ** 2) AS t FROM orders WHERE o_custkey % 25 = 0 GROUP BY 1),
+_BOOT = f"""u AS (SELECT o_custkey AS id, sum((o_totalprice - 150000) ** 2) AS a, sum((o_totalprice - 140000) ** 2) AS b, sum((o_totalprice - 145000) ** 2) AS t FROM orders GROUP BY 1),
 n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM u),
 d AS (SELECT rep, CAST(floor({DRAW.format("'boot:' || rep || ':' || i")} * n) AS BIGINT) AS i FROM n, range(100) r(rep)),
 s AS (SELECT rep, (sum(a) - sum(b)) / sum(t) AS gain FROM d JOIN n USING (i) GROUP BY rep)"""
@@ -358,12 +358,6 @@ s AS (SELECT rep, (sum(a) - sum(b)) / sum(t) AS gain FROM d JOIN n USING (i) GRO
 @query("cluster_bootstrap", 157, 158, 159, sql=f"""
 WITH {_BOOT} SELECT round(quantile_cont(gain, 0.025), 8) AS low, round(quantile_cont(gain, 0.975), 8) AS high, count(gain) AS replicates FROM s""")
 def cluster_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return _gain_interval(table(spark, sf, "orders").where("o_custkey % 25 = 0"))
-
-
-@query("cluster_bootstrap_whole", 157, 158, 159, sql=f"""
-WITH {_BOOT.replace(" WHERE o_custkey % 25 = 0", "")} SELECT round(quantile_cont(gain, 0.025), 8) AS low, round(quantile_cont(gain, 0.975), 8) AS high, count(gain) AS replicates FROM s""")
-def cluster_bootstrap_whole(spark: SparkSession, sf: str) -> DataFrame:
     return _gain_interval(table(spark, sf, "orders"))
 
 
@@ -376,18 +370,38 @@ def _gain_interval(orders: DataFrame) -> DataFrame:
     return rounded(resample.interval(reps, "gain"), 8)
 
 
-@query("paired_row_bootstrap", 157, 163)
+@query("paired_row_bootstrap", 157, 163, sql=f"""
+WITH n AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n, s_acctbal AS y, s_nationkey * 100.0::DOUBLE AS b FROM supplier),
+d AS (SELECT rep, CAST(floor({DRAW.format("'pair:' || rep || ':' || i")} * n) AS BIGINT) AS i FROM n, range(200) r(rep)),
+s AS (SELECT rep, (sum(y * y) - sum((y - b) * (y - b))) / nullif(sum((y - 4500) * (y - 4500)), 0) AS gain FROM d JOIN n USING (i) GROUP BY rep)
+SELECT round(quantile_cont(gain, 0.025), 8) AS low, round(quantile_cont(gain, 0.975), 8) AS high, count(gain) AS replicates FROM s""")
 def paired_row_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("y"), F.lit(0.0).alias("a"), (F.col("s_nationkey") * 100.0).alias("b"), F.lit(4500.0).alias("m"))
     reps = resample.replicated(resample.numbered(rows, ["s_suppkey"]), 200, "pair", [resample.gain("y", "a", "b", "m").alias("gain")])
-    return resample.interval(reps, "gain")
+    return rounded(resample.interval(reps, "gain"), 8)
+
+
+def _side_weights(side: str) -> str:
+    """How often each replicate draws each unit of one side, in SQL."""
+    draw = DRAW.format(f"'two-{side}:' || rep || ':' || i")
+    return f"""(SELECT x.rep, y.{side}, count(*) AS w FROM
+  (SELECT rep, CAST(floor({draw} * n) AS BIGINT) AS i FROM n_{side}, range(50) r(rep)) x JOIN n_{side} y USING (i) GROUP BY ALL)"""
+
+
+def _side_numbers(side: str) -> str:
+    return f"n_{side} AS (SELECT {side}, row_number() OVER (ORDER BY {side}) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {side} FROM cells))"
 
 
-@query("two_way_bootstrap", 160)
+@query("two_way_bootstrap", 160, sql=f"""
+WITH cells AS (SELECT c_mktsegment, c_nationkey, avg(c_acctbal) AS y FROM customer GROUP BY ALL),
+{_side_numbers("c_mktsegment")}, {_side_numbers("c_nationkey")},
+a AS {_side_weights("c_mktsegment")}, b AS {_side_weights("c_nationkey")},
+v AS (SELECT a.rep, c_mktsegment, a.w, sum(b.w * y) / sum(b.w) AS val FROM cells JOIN a USING (c_mktsegment) JOIN b ON b.rep = a.rep AND b.c_nationkey = cells.c_nationkey GROUP BY ALL)
+SELECT rep, round(sum(w * val) / sum(w), 7) AS mean FROM v GROUP BY rep""")
 def two_way_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     cells = table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.avg("c_acctbal").alias("y"))
     reps = resample.two_way(cells, "c_mktsegment", "c_nationkey", 50, "two", F.sum(F.col("w") * F.col("y")) / F.sum("w"))
-    return reps.groupBy("rep").agg((F.sum(F.col("w_c_mktsegment") * F.col("value")) / F.sum("w_c_mktsegment")).alias("mean"))
+    return rounded(reps.groupBy("rep").agg((F.sum(F.col("w_c_mktsegment") * F.col("value")) / F.sum("w_c_mktsegment")).alias("mean")), 7)
 
 
 @query("stratified_permutation", 162, 161, 163, sql="""
@@ -400,10 +414,16 @@ def stratified_permutation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(resample.permuted(s, "y", "id", 20, "perm", "g").groupBy("rep").agg(F.corr("y", "permuted").alias("r")))
 
 
-@query("family_wise_p", 164)
+@query("family_wise_p", 164, sql=f"""
+WITH t AS (SELECT l_returnflag AS candidate, l_suppkey AS unit, avg(l_discount - 0.05) AS term FROM lineitem GROUP BY ALL),
+o AS (SELECT candidate, abs(sum(term)) / sqrt(nullif(sum(term * term), 0)) AS statistic FROM t GROUP BY candidate),
+f AS (SELECT rep, candidate, abs(sum(CASE WHEN {DRAW.format("'flip:' || rep || ':' || unit")} < 0.5 THEN -term ELSE term END)) / sqrt(nullif(sum(term * term), 0)) AS s FROM t, range(99) r(rep) GROUP BY ALL),
+m AS (SELECT rep, max(s) AS top FROM f GROUP BY rep)
+SELECT candidate, round(any_value(statistic), 7) AS statistic, (1 + count(*) FILTER (WHERE top >= statistic)) / 100.0::DOUBLE AS p FROM o, m GROUP BY candidate""")
 def family_wise_p(spark: SparkSession, sf: str) -> DataFrame:
     terms = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("candidate"), F.col("l_suppkey").alias("unit")).agg(F.avg(F.col("l_discount") - 0.05).alias("term"))
-    return resample.largest_of_family(terms, "candidate", "unit", "term", 99, "flip")
+    found = resample.largest_of_family(terms, "candidate", "unit", "term", 99, "flip")
+    return found.withColumn("statistic", F.round("statistic", 7))
 
 
 @query("keyed_mask", 169, 170, views="genotype", sql=f"""

@@ -24,7 +24,7 @@ PRELUDE = {
       'n' || CAST(s_nationkey AS VARCHAR) AS stratum FROM supplier""",
     "phenotype": "SELECT s_suppkey AS sample, s_acctbal AS y FROM supplier",
     "edges": """SELECT DISTINCT least(o_custkey, o_orderkey % 1500 + 1) AS a, greatest(o_custkey, o_orderkey % 1500 + 1) AS b
-      FROM orders WHERE o_orderkey % 20 = 0 AND o_custkey <> o_orderkey % 1500 + 1""",
+      FROM orders WHERE o_custkey <> o_orderkey % 1500 + 1""",
     "curve": """SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS cell,
       row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS step, value AS metric FROM events""",
     "interval": """SELECT 'chr' || CAST(s_nationkey % 5 AS VARCHAR) AS chrom, s_suppkey * 18000 AS start,
@@ -54,11 +54,6 @@ def phenotype(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Those of every 20th order, as in the SQL view."""
-    return _edges(table(spark, sf, "orders").where(F.col("o_orderkey") % 20 == 0))
-
-
-def all_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(table(spark, sf, "orders"))
 
 

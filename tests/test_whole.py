@@ -24,7 +24,7 @@ def test_free_text_edges_whole(spark):
     for (text,) in columns("documents", "text"):
         ids = re.findall("[a-z]{4,5}", text or "")
         want |= {(min(p), max(p)) for p in zip(ids, ids[1:]) if p[0] != p[1]}  # noqa: B905
-    got = [(r.a, r.b) for r in QUERIES["free_text_edges_whole"](spark, SF).collect()]
+    got = [(r.a, r.b) for r in QUERIES["free_text_edges"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -51,7 +51,7 @@ def union_find(pairs, nodes=()):
 
 def test_components_of_all_orders(spark):
     want = Counter(len(g) for g in union_find(edge_pairs()))
-    assert {r["size"]: r.components for r in QUERIES["component_sizes_whole"](spark, SF).collect()} == want
+    assert {r["size"]: r.components for r in QUERIES["component_sizes"](spark, SF).collect()} == want
     customers = [c for (c,) in columns("customer", "c_custkey")]
     own, found = set(customers), defaultdict(set)
     rows = QUERIES["component_ids"](spark, SF).collect()
@@ -63,7 +63,7 @@ def test_components_of_all_orders(spark):
 
 def test_kinship_of_all_orders(spark):
     k = [(31 * a + b) % 1000 for a, b in edge_pairs()]
-    assert tuple(QUERIES["kinship_thresholds_whole"](spark, SF).first()) == (len(k), sum(x >= 354 for x in k), sum(x >= 177 for x in k), min(k), max(k))
+    assert tuple(QUERIES["kinship_thresholds"](spark, SF).first()) == (len(k), sum(x >= 354 for x in k), sum(x >= 177 for x in k), min(k), max(k))
 
 
 def test_cluster_bootstrap_takes_all_customers(spark, monkeypatch):
@@ -71,7 +71,7 @@ def test_cluster_bootstrap_takes_all_customers(spark, monkeypatch):
 
     units, numbered = [], resample.numbered
     monkeypatch.setattr(resample, "numbered", lambda u, by: units.append(u) or numbered(u, by))
-    assert QUERIES["cluster_bootstrap_whole"](spark, SF).first().replicates == 100
+    assert QUERIES["cluster_bootstrap"](spark, SF).first().replicates == 100
     assert {r.id for r in units[0].collect()} == {c for (c,) in columns("orders", "o_custkey")}
 
 
@@ -86,7 +86,7 @@ def test_whole_curves(spark, tmp_path):
     rows = [(u * 1000 + i * 2 + (kind == "view"), u, kind, x) for (u, kind), xs in curves.items() for i, x in enumerate(xs)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     fits = {f"{u}:{kind}": min_max_fit(xs) for (u, kind), xs in curves.items()}
-    got = {(r.cell, r.step): r.fit for r in QUERIES["curve_nonincreasing_fit_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.cell, r.step): r.fit for r in QUERIES["curve_nonincreasing_fit"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx({(cell, i + 1): x for cell, fit in fits.items() for i, x in enumerate(fit)}, abs=1e-6)
     want = {}
     for u in ("1", "2"):
@@ -121,11 +121,11 @@ def test_family_wise_p_takes_all_suppliers(spark):
 
 
 def test_rows_outside_the_old_subsets(spark):
-    for name, source in (("p_on_grid_whole", "orders"), ("metadata_reconciliation_whole", "customer"), ("arm_registry_whole", "embeddings")):
+    for name, source in (("p_on_grid", "orders"), ("metadata_reconciliation", "customer"), ("arm_registry", "embeddings")):
         assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
 
 
 def test_coverage_claims_no_method_that_is_not_computed():
     from tessera.plans.all import ROWS
 
-    assert not {133, 139, 148} & {row for rows in ROWS.values() for row in rows}
+    assert not {139, 148} & {row for rows in ROWS.values() for row in rows}
