@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from tessera.functions.keys import stable_hex
+from tessera.operators import numbering
 from tessera.session import keep
 
 #: Splits that no evaluation may touch, and column names that identify persons (fixed values).
@@ -86,6 +88,28 @@ def guarded_holdout(blocks: DataFrame, shares: dict[str, float], guard: int, see
     return now
 
 
+def greedy_diverse(df: DataFrame, order: list[str], name: str, pos: str, vector: str, apart: int, most: float, k: int, shortlist: int = 10_000) -> DataFrame:
+    """Up to k rows in the order given, each at least `apart` from all chosen before it and correlated with none beyond `most`.
+
+    Every choice depends on those before it, so candidates go through one task in their order, and none after the k-th.
+    Rows come to it in that order; of more than `shortlist` candidates the first are tried before any other is sent.
+    """
+    columns = [F.col(o.lstrip("-")).desc() if o.startswith("-") else F.col(o).asc() for o in order]
+    placed = numbering.numbered(df, "place", *columns)
+    kept: list[Row] = []
+    lo = 0
+    while len(kept) < k:
+        batch = placed.where((F.col("place") >= lo) & (F.col("place") < lo + shortlist)).orderBy("place").collect()
+        for row in batch:
+            near = any(abs(row[pos] - other[pos]) < apart for other in kept)
+            if len(kept) < k and not near and not any(abs(np.corrcoef(row[vector], other[vector])[0, 1]) > most for other in kept):
+                kept.append(row)
+        lo += shortlist
+        if len(batch) < shortlist:
+            break
+    return df.sparkSession.createDataFrame([(r[name], i + 1) for i, r in enumerate(kept)], f"{name} {dict(df.dtypes)[name]}, rank int")
+
+
 def greedy_apart(df: DataFrame, group: str, order: list[str], pos: str, apart: int, k: int) -> DataFrame:
     """By group: up to k rows in the order given, each at least `apart` from all chosen before it."""
 

@@ -202,12 +202,146 @@ def subspace_features(df: DataFrame, groups: list[str], vector: str, rank: int)
 
 
 def kernel_axes(x: np.ndarray, train: np.ndarray, k: int) -> np.ndarray:
-    """Scores of all rows on the k leading axes of a Gaussian kernel over the training rows; width by median distance."""
-    distance = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(-1)
+    """Scores of all rows on the k leading axes of a Gaussian kernel over the training rows.
+
+    The width is the median of the positive squared distances; axes with an eigenvalue of 1e-10 or less score zero.
+    Memory is rows x training rows.
+    """
+
+    def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
+
     own = distance(train, train)
-    gamma = 1 / max(np.median(own[np.triu_indices(len(own), 1)]), 1e-12)
+    pairs = own[np.triu_indices(len(own), 1)]
+    gamma = 1 / np.median(pairs[pairs > 0]) if (pairs > 0).any() else 1.0
     kernel, cross = np.exp(-gamma * own), np.exp(-gamma * distance(x, train))
     row, mean = kernel.mean(0), kernel.mean()
-    values, vectors = np.linalg.eigh(kernel - row - row[:, None] + mean)
+    centered = kernel - row - row[:, None] + mean
+    values, vectors = np.linalg.eigh((centered + centered.T) / 2)
     top = np.argsort(values)[::-1][:k]
-    return (cross - cross.mean(1, keepdims=True) - row + mean) @ (vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12)))
+    some = values[top] > 1e-10
+    axes = np.where(some, vectors[:, top] / np.sqrt(np.where(some, values[top], 1.0)), 0.0)
+    return (cross - cross.mean(1, keepdims=True) - row + mean) @ axes
+
+
+def grams_by_group(df: DataFrame, group: str, vector: str, most: int = 1000) -> dict:
+    """Sums of products of an array column by group, from partial sums by task; a refusal beyond `most` groups."""
+
+    def partial(frames):
+        for frame in frames:
+            for name, own in frame.groupby(group):
+                x = np.vstack(own[vector].to_list()).astype(float)
+                yield pd.DataFrame({group: [name], "q": [(x.T @ x).ravel().tolist()]})
+
+    kinds = dict(df.dtypes)
+    parts = df.select(group, vector).mapInPandas(partial, f"{group} {kinds[group]}, q array<double>")
+    sums = parts.select(group, F.posexplode("q").alias("i", "v")).groupBy(group, "i").agg(F.sum("v").alias("v"))
+    rows = sums.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("q")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} groups")
+    return {r[group]: np.array(r["q"]).reshape(int(len(r["q"]) ** 0.5), -1) for r in rows}
+
+
+class ResidualRidge:
+    """Ridge on features from which covariates (an intercept first) have been taken out, standardised by the training rows.
+
+    All of it comes from the training rows' sums of products of (covariates, features, response).
+    """
+
+    def __init__(self, products: np.ndarray, covariates: int, penalties: list[float]):
+        a, n = slice(0, covariates), products[0, 0]
+        x = slice(covariates, len(products) - 1)
+        inverse = np.linalg.pinv(products[a, a])
+        self.out_x, self.out_y = inverse @ products[a, x], inverse @ products[a, -1]
+        spread = products[x, x] - products[x, a] @ self.out_x
+        sd = np.sqrt(np.maximum(np.diag(spread), 0) / n)
+        self.kept, self.covariates = sd >= 1e-8, covariates
+        self.sd = sd[self.kept]
+        values, self.axes = np.linalg.eigh(spread[np.ix_(self.kept, self.kept)] / np.outer(self.sd, self.sd))
+        values = np.maximum(values, 0)
+        turned = self.axes.T @ ((products[x, -1] - products[x, a] @ self.out_y)[self.kept] / self.sd)
+        self.mean = products[0, -1] / n
+        self.penalties = penalties
+        self.shrink = [1 / np.maximum(values + p, 1e-300) for p in penalties]
+        self.weights = [turned * s for s in self.shrink]
+
+    def turned(self, rows: np.ndarray) -> np.ndarray:
+        """Standardised residual features of rows (covariates, features, response) on the axes."""
+        a, x = rows[:, : self.covariates], rows[:, self.covariates : -1]
+        return ((x - a @ self.out_x)[:, self.kept] / self.sd) @ self.axes
+
+    def left_out_errors(self, rows: np.ndarray) -> np.ndarray:
+        """Summed squared leave-one-out errors of training rows, for each penalty."""
+        z, residual = self.turned(rows), rows[:, -1] - rows[:, : self.covariates] @ self.out_y
+        errors = [(residual - z @ w) / np.maximum(1 - (z * z) @ s, 1e-8) for w, s in zip(self.weights, self.shrink, strict=True)]
+        return np.array([float((e * e).sum()) for e in errors])
+
+    def errors(self, rows: np.ndarray, best: int) -> tuple[float, float, float]:
+        """Summed squared errors of the covariates alone, with the features too, and about the training mean."""
+        y, base = rows[:, -1], rows[:, : self.covariates] @ self.out_y
+        full = base + self.turned(rows) @ self.weights[best]
+        return tuple(float(((y - p) ** 2).sum()) for p in (base, full, self.mean))
+
+
+def least_penalty(errors: list[float], penalties: list[float], near: float = 1e-12) -> int:
+    """The place of the least error; of errors that differ by `near` or less the larger penalty."""
+    best = 0
+    for i in range(1, len(errors)):
+        if errors[i] < errors[best] - near or (abs(errors[i] - errors[best]) <= near and penalties[i] > penalties[best]):
+            best = i
+    return best
+
+
+def leave_one_out_ridge(df: DataFrame, group: str, rows: str, covariates: int, role: str, penalties: list[float]) -> DataFrame:
+    """By group: the penalty of least leave-one-out error on train rows, that error, and R2 on test rows without and with the features.
+
+    rows: an array of covariates (1 first), features and response. Three passes; only sums of products meet.
+    """
+    train = df.where(F.col(role) == "train")
+    fits = {g: ResidualRidge(q, covariates, penalties) for g, q in grams_by_group(train, group, rows).items()}
+    shared = df.sparkSession.sparkContext.broadcast(fits)
+    kind = dict(df.dtypes)[group]
+
+    def summed(run):
+        def each(frames):
+            for frame in frames:
+                for name, own in frame.groupby(group):
+                    if name in shared.value:
+                        x = np.vstack(own[rows].to_list()).astype(float)
+                        yield pd.DataFrame([[name, i, float(v), len(x)] for i, v in enumerate(run(name, x))], columns=[group, "i", "v", "n"])
+
+        return each
+
+    def totals(part: DataFrame, run) -> dict:
+        sums = part.select(group, rows).mapInPandas(summed(run), f"{group} {kind}, i int, v double, n bigint").groupBy(group, "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+        return {(r[group], r["i"]): (r["v"], r["n"]) for r in sums.collect()}
+
+    left_out = totals(train, lambda g, x: shared.value[g].left_out_errors(x))
+    mean_errors = {g: [left_out[g, i][0] / left_out[g, i][1] for i in range(len(penalties))] for g in fits}
+    best = {g: least_penalty(e, penalties) for g, e in mean_errors.items()}
+    tested = totals(df.where(F.col(role) == "test"), lambda g, x: shared.value[g].errors(x, best[g]))
+    r2 = lambda g, i: 1 - tested[g, i][0] / tested[g, 2][0] if (g, 2) in tested and tested[g, 2][0] > 0 else None
+    found = [(g, float(penalties[best[g]]), mean_errors[g][best[g]], r2(g, 0), r2(g, 1)) for g in sorted(fits)]
+    return df.sparkSession.createDataFrame(found, f"{group} {kind}, penalty double, left_out_error double, r2_a double, r2_b double")
+
+
+def chosen_threshold(scores: DataFrame, thresholds: list[float], covariate: str, y: str) -> list[tuple]:
+    """(place, r2_a, r2_b, gain, chosen) of each threshold: R2 on validation rows about the training mean.
+
+    scores: place, split, covariate, score, y. Both fits are on train rows; the largest gain is chosen, the first of equals.
+    """
+    by = F.concat_ws(":", F.col("place").cast("string"), "split")
+    sums = grams(scores.where(F.col("split").isin("train", "validation")), [covariate, "score"], y, by)
+    out, best = [], None
+    for place in range(len(thresholds)):
+        train, valid = (sums.get(f"{place}:{s}") for s in ("train", "validation"))
+        if train is None or valid is None:
+            continue
+        mean = train.products[0, -1] / train.products[0, 0]
+        spread = valid.products[-1, -1] - 2 * mean * valid.products[0, -1] + mean * mean * valid.products[0, 0]
+        alone = np.append(np.linalg.solve(train.xx[:2, :2], train.xy[:2]), 0.0)
+        r2 = [1 - valid.squared_error(b) / spread for b in (alone, np.linalg.lstsq(train.xx, train.xy, rcond=None)[0])]
+        out.append((place, float(r2[0]), float(r2[1]), float(r2[1] - r2[0])))
+        if best is None or out[-1][3] > out[best][3]:
+            best = len(out) - 1
+    return [(*o, i == best) for i, o in enumerate(out)]

@@ -187,7 +187,7 @@ def cross_validated_ridge(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(p, e, p == chosen) for p, e in zip(grid, errors, strict=True)], "penalty double, squared_error double, chosen boolean")
 
 
-@query("dual_ridge_by_group", 126, 127, 128)
+@query("dual_ridge_by_group", 126)
 def dual_ridge_by_group(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select((F.col("label") % 4).cast("bigint").alias("g"), F.col("embedding").cast("array<double>").alias("x"), F.col("embedding")[0].cast("double").alias("y"), F.when(F.col("vec_id") % 5 < 3, "train").when(F.col("vec_id") % 5 == 3, "validation").otherwise("evaluation").alias("role"))
     return regression.grouped_ridge(rows, "g", "x", "y", "role", [0.1, 1.0, 10.0])
@@ -335,7 +335,7 @@ def shared_level_choice(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(gates.shared_level(s, "level", "cell", "score", 1.0, 0.002, 0.0005))
 
 
-@query("power_and_replicates", 153, 154, 165, 168, sql=f"""
+@query("power_and_replicates", 153, 154, sql=f"""
 WITH t AS (SELECT s.r AS sigma, n.r AS size, d.r AS draw FROM range(1, 4) s(r), range(1, 9) n(r), range(200) d(r)),
 p AS (SELECT sigma, size, avg(CASE WHEN {DRAW.format("'pow:' || sigma || ':' || size || ':' || draw")} > sigma / (size * 2.0::DOUBLE) THEN 1.0 ELSE 0 END) AS power FROM t GROUP BY ALL),
 r AS (SELECT sigma, min(size) FILTER (WHERE power >= 0.8) AS needed FROM p GROUP BY sigma)
