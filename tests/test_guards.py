@@ -24,17 +24,6 @@ def test_only_eligible(spark):
     assert guards.only_eligible(df.withColumn("e", F.lit(True)), "n", "e") is None
 
 
-def test_guarded_holdout(spark):
-    blocks = spark.range(40).select((F.col("id") % 2).cast("string").alias("chrom"), F.floor(F.col("id") / 2).alias("block"))
-    rows = guards.guarded_holdout(blocks, 3, 1, ["test", "validation"], "s").collect()
-    for c in "01":
-        role = {r.block: r.role for r in rows if r.chrom == c}
-        for part in ("test", "validation"):
-            own = sorted(b for b, x in role.items() if x == part)
-            assert len(own) == 3 and own[-1] - own[0] == 2
-            assert all(role.get(b, "buffer") != "train" for b in (own[0] - 1, own[-1] + 1))
-
-
 def test_greedy_apart_and_order(spark):
     df = spark.createDataFrame([("g", i, float(-i % 7)) for i in range(30)], "g string, pos long, score double")
     run = lambda d: guards.greedy_apart(d, "g", ["-score", "pos"], "pos", 5, 4)
