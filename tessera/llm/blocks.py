@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,11 @@ LOWER[65:91] += 32
 #: An odd base for polynomial hashes modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
+#: Odd factors of the hash of spans.
+ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
+#: Spans up to so many bytes are hashed together, eight bytes at a time.
+SHORT = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -126,6 +132,25 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
     return mix((prefix[end] - prefix[start]) * powers(len(prefix), inverse)[start] + (end - start).astype(np.uint64))
 
 
+def span_words(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two non-linear hashes of each span, of 64 and 32 bits, which together tell spans apart."""
+    size = last - first
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    one, two = size.astype(np.uint64) * ODD[0], size.astype(np.uint64) * ODD[1]
+    rest = np.arange(len(first))
+    for k in range(0, SHORT, 8):
+        rest = rest[size[rest] > k]
+        if not len(rest):
+            break
+        lane = lanes[first[rest] + k] & _MASK[np.minimum(size[rest] - k, 8)]
+        one[rest] = mix(one[rest] ^ lane) * ODD[2]
+        two[rest] = mix(two[rest] + lane * ODD[0]) + one[rest]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        digest = hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=16).digest()
+        one[i], two[i] = np.frombuffer(digest, "<u8")
+    return one, (two >> np.uint64(32)).astype(np.uint32)
+
+
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and its text's number; words never cross texts."""
     solid = ~SPACE[data]

@@ -33,7 +33,6 @@ whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -43,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, SPACE, bounded_batches, crc_mod, distinct_sorted, mix, raw_bytes, release, slices, text_frame
+from tessera.llm.blocks import LOWER, ODD, SPACE, bounded_batches, crc_mod, distinct_sorted, mix, raw_bytes, release, slices, span_words, text_frame
 from tessera.session import keep
 
 DEPTH = 5
@@ -56,11 +55,7 @@ HELD = 1_500_000
 SHARD_ROWS, FEW_SHARDS, MANY_SHARDS, SPREAD = 8_000, 16, 8192, 16
 #: Strings that a shard looks up together.
 TOGETHER = 400_000
-#: Words up to so many bytes are hashed together, eight bytes at a time.
-SHORT = 64
 _U = np.uint64
-_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U)
-_ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
 #: Kinds of rows, in the order in which a shard reads them.
 NODES, PAIRS, WORDS, ASK_STRINGS, ASK_WORDS, ABOVE, TEXTS, TOP = range(8)
 ROWS = "shard int, kind int, block bigint, blob binary, keys bigint, total bigint"
@@ -88,30 +83,11 @@ def strings(joined: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return code[real], np.concatenate([[0], np.cumsum(end - start + 1)])[:-1]
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two non-linear hashes of each span, of 64 and 32 bits, which together tell spans apart."""
-    size = last - first
-    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
-    one, two = size.astype(_U) * _ODD[0], size.astype(_U) * _ODD[1]
-    rest = np.arange(len(first))
-    for k in range(0, SHORT, 8):
-        rest = rest[size[rest] > k]
-        if not len(rest):
-            break
-        lane = lanes[first[rest] + k] & _MASK[np.minimum(size[rest] - k, 8)]
-        one[rest] = mix(one[rest] ^ lane) * _ODD[2]
-        two[rest] = mix(two[rest] + lane * _ODD[0]) + one[rest]
-    for i in np.flatnonzero(size > SHORT).tolist():
-        digest = hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=16).digest()
-        one[i], two[i] = np.frombuffer(digest, "<u8")
-    return one, (two >> _U(32)).astype(np.uint32)
-
-
 def words(joined: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both hashes and the text number of every word."""
     solid = np.concatenate([[False], ~SPACE[joined], [False]])
     first, last = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(solid[:-1] & ~solid[1:])
-    return *word_hashes(joined, first, last), np.searchsorted(start, first, "right") - 1
+    return *span_words(joined, first, last), np.searchsorted(start, first, "right") - 1
 
 
 def word_order(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +269,7 @@ def shard_of_strings(key: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_of_words(one: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(one ^ _ODD[1]) % _U(shards)).astype(np.int64)
+    return (mix(one ^ ODD[1]) % _U(shards)).astype(np.int64)
 
 
 def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -550,7 +526,7 @@ def answered(requests: DataFrame, model: DataFrame, shards: int, top) -> DataFra
 def _gathered(code: np.ndarray, distinct: np.ndarray) -> np.ndarray:
     """Place of each string among the sorted distinct ones; through a hash table, checked."""
     slots = 22
-    place = lambda k: ((k * _ODD[0]) >> _U(64 - slots)).astype(np.int64)
+    place = lambda k: ((k * ODD[0]) >> _U(64 - slots)).astype(np.int64)
     table = np.zeros(1 << slots, np.int32)
     table[place(distinct)] = np.arange(len(distinct), dtype=np.int32)
     at = table[place(code)]

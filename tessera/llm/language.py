@@ -4,14 +4,18 @@ A text's subwords are its byte 3- and 4-grams after lower-casing A-Z and
 turning ASCII non-letters into spaces. Each hashes to a bucket; the mean of
 the buckets' embeddings goes through a linear softmax. Both layers learn by
 stochastic gradient descent in numpy, on a bounded sample of labelled rows:
-the PER_LANGUAGE rows of each language with the smallest id hashes. A
+the PER_LANGUAGE rows of each language with the smallest id hashes, as far as
+their features take MOST_BYTES together, shared evenly by the languages. A
 temperature fitted on a fifth of the sample calibrates the probabilities, and
 REJECTED of that fifth lies under the rejection limit.
 
 Defined cases: null text, and text without a letter, is `und` with score 0;
 with no labelled rows every text is; texts too short for a subword get the
-prior; `rejected` marks scores under the limit and every `und`; repeated rows
-and ties are scored alike; other columns are ignored.
+prior; very long texts are predicted whole, a block at a time, and teach by
+the shares of at most BUCKETS buckets; `rejected` marks scores under the limit
+and every `und`; repeated rows and ties are scored alike, and an id that
+repeats teaches once; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import blocks, bounded_batches, crc_mod, text_frame
+from tessera.session import keep
 
 BUCKETS = 1 << 14
 WIDTH = 16
 PER_LANGUAGE = 800
 #: Rows of the whole sample, shared evenly where there are many languages.
 MOST_ROWS = 40_000
+#: Bytes of features that the driver gathers.
+MOST_BYTES = 256 << 20
 #: Up to so many languages, their counts and the sample's ids are sent to every task; with more they are joined by shuffling.
 MANY_LANGUAGES = 500
 EPOCHS, RATE, BATCH = 12, 4.0, 32
@@ -141,7 +148,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Softmax | None:
             found = text_features(data, at)
             yield pa.RecordBatch.from_arrays([part.column(2), pa.array([f[0].tobytes() for f in found]), pa.array([f[1].tobytes() for f in found])], ["lang", "bucket", "share"])
 
-    rows = texts.mapInArrow(run, "lang string, bucket binary, share binary").toArrow().to_pylist()
+    made = keep(texts.mapInArrow(run, "lang string, bucket binary, share binary"), "language-sample")
+    so_far = Window.partitionBy("lang").orderBy(F.xxhash64("bucket", "share"), "bucket", "share").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.sum(F.octet_length("bucket") + F.octet_length("share")).over(so_far)
+    rows = made.withColumn("held", held).where(F.col("held") <= MOST_BYTES // max(1, languages)).drop("held").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["lang"], r["bucket"], r["share"]))
     samples = [(r["lang"], np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows]
     return Softmax(samples) if samples else None

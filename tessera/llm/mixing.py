@@ -6,10 +6,12 @@ rows spreads over every range; range sums give each range its offset, and a
 window inside a range finishes the distributed prefix sum. The source's whole
 budget is then whole epochs of all its rows plus a cut through that order.
 
-Defined cases: null text has size 0 and takes nothing; a null source is a
-source of its own, last in order; rows that repeat an id stand beside each
-other in the order and each counts; a table without words has targets 0; an
-empty table gives an empty result; other columns are ignored.
+Defined cases: null text has size 0 and takes nothing; very long texts count
+and are cut whole, by words; a null source is a source of its own, last in
+order; rows that repeat an id stand beside each other in the order and each
+counts, those that are alike in size too in any order; a table without words
+has targets 0; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -8,10 +8,12 @@ logistic of the difference of the two Mahalanobis log-densities plus the log
 prior, with each Cholesky factor computed once.
 
 Defined cases: null and empty texts have the statistics of no words and are
-scored like any other; rows whose label or id is null teach nothing; a label
-row that repeats counts as often as it stands; a table without labels of both
-classes gives every text the share of label 1 (0.5 if there are none); other
-columns are ignored.
+scored like any other; very long texts are measured whole; rows whose label or
+id is null teach nothing; a label row or a document that repeats counts as
+often as it stands; equal texts score alike; a table without labels of both
+classes gives every text the share of label 1 (0.5 if there are none); an
+empty table gives an empty result; other columns are ignored, or carried
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import SPACE, blocks, bounded_batches, crc_mod, per_text, prefix_hash, raw_bytes, release, slices, span_hash, text_frame, word_spans
+from tessera.llm.blocks import SPACE, blocks, bounded_batches, crc_mod, per_text, raw_bytes, release, slices, span_words, text_frame, word_spans
 from tessera.session import keep
 
 FEATURES = ("log_words", "letters", "upper", "digits", "symbols", "stops", "wide", "word_mean", "word_sd", "adjacent", "distinct", "bare", "glued", "capital", "long_words", "line_repeats", "worst_run", "bars")
@@ -55,8 +57,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     solid = per_text(~SPACE[data], at) + float(PRIOR_BYTES)
     share = lambda kind, usual=0.0: (per_text(kind[data], at) + usual * PRIOR_BYTES) / solid
     by_word = lambda mask: np.bincount(owner[mask], minlength=n) / (words + PRIOR_WORDS)
-    prefix = prefix_hash(data)
-    hashes = span_hash(prefix, start, end)
+    hashes = span_words(data, start, end)[0]
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
     order = np.lexsort((hashes, owner))
@@ -84,7 +85,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     keep_line = right - left > 20
     left, right = left[keep_line], right[keep_line]
     line_owner = np.searchsorted(at, left, "right") - 1
-    line_hash = span_hash(prefix, left, np.where(data[right - 1] == 10, right - 1, right)) if len(left) else np.zeros(0, np.uint64)
+    line_hash = span_words(data, left, np.where(data[right - 1] == 10, right - 1, right))[0] if len(left) else np.zeros(0, np.uint64)
     line_order = np.lexsort((line_hash, line_owner))
     again = np.zeros(len(left), bool)
     again[1:] = (line_hash[line_order][1:] == line_hash[line_order][:-1]) & (line_owner[line_order][1:] == line_owner[line_order][:-1])

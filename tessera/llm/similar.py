@@ -53,8 +53,8 @@ LIMIT = (4, 5)
 BUCKET, HUBS = 4, 3
 #: Candidates of a text that one task verifies.
 TOGETHER = 500
-#: Turns in which crowded shingles link a text to the next ones, and how many, before those left apart are compared in full.
-TURNS, NEXT = 2, 8
+#: Turns in which crowded shingles link a text to the next ones, and to how many, before those left apart are compared in full.
+TURNS, NEXT = 1, 16
 #: Bytes of parity that a text takes along where its crowded shingles are compared in full.
 FOLDED = 64
 #: Texts sampled for shared shingles, the texts of the sample that share one, and the most that are ordered last.
@@ -345,6 +345,21 @@ def _simhash_pairs(signs: DataFrame) -> DataFrame:
     return linked.unionByName(same)
 
 
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links: components are joined as nodes of a graph of their own, which is much smaller."""
+    of = lambda name, column: groups.select(F.col("node").alias(name), F.col("component").alias(column))
+    both = links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    named = keep(both.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")), "similar-joined")
+    edges = named.where("x <> y").select("x", "y")
+    if edges.isEmpty():
+        return groups
+    ends = named.select(F.col("a").alias("node"), F.col("x").alias("component")).unionByName(named.select(F.col("b").alias("node"), F.col("y").alias("component")))
+    fresh = ends.where("node = component").distinct().join(groups, "node", "left_anti")
+    least = connected_components(edges, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("least"))
+    merged = groups.unionByName(fresh).join(least, "component", "left")
+    return keep(merged.select("node", F.coalesce("least", "component").alias("component")), "similar-groups")
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose nodes are not in one component yet."""
     of = lambda name, column: labels.select(F.col("node").alias(name), F.col("component").alias(column))
@@ -370,18 +385,13 @@ def one_of_similar(docs: DataFrame, k: int = SHINGLE, limit: tuple[int, int] = L
     signs = alone.select("node", F.col("marks").substr(F.lit(1), 40 + length).alias("sign"))
     texts = rows.select("node", F.col("row.text").cast("string").alias("text"))
     check = lambda pairs: keep(_verified(pairs, signs, texts, k, limit), "similar-links")
-    links = check(_simhash_pairs(signs))
-    groups = connected_components(links)
+    groups = connected_components(check(_simhash_pairs(signs)))
     found = keep(_candidates(alone.select("node", "marks"), limit), "similar-found")
-    links = links.unionByName(check(_across(found.where("key is null").select("a", "b"), groups)))
-    groups = connected_components(links)
+    groups = _joined(groups, check(_across(found.where("key is null").select("a", "b"), groups)))
     crowded = found.where("key is not null")
     for turn in range(TURNS):
-        links = links.unionByName(check(_neighbouring(crowded, groups, limit, turn)))
-        groups = connected_components(links)
-    more = check(_crossed(crowded, groups, signs, limit))
-    if not more.isEmpty():
-        groups = connected_components(links.unionByName(more))
+        groups = _joined(groups, check(_neighbouring(crowded, groups, limit, turn)))
+    groups = _joined(groups, check(_crossed(crowded, groups, signs, limit)))
     labelled = alone.select("node", "first").join(groups, "node", "left").select(F.coalesce("component", "node").alias("root"), "first")
     kept = keep(labelled.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.node").alias("node")), "similar-kept")
     return rows.join(kept, "node", "left_semi").select("row.*")

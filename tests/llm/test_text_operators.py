@@ -389,7 +389,7 @@ def test_lm_tells_words_apart_that_a_polynomial_hash_does_not(spark):
 
 
 def test_words_with_one_first_hash_are_told_apart_by_the_second():
-    from tessera.llm import contexts
+    from tessera.llm import blocks, contexts
 
     one = np.array([7, 7, 3, 7, 7], np.uint64)
     two = np.array([1, 2, 9, 1, 2], np.uint64)
@@ -403,7 +403,7 @@ def test_words_with_one_first_hash_are_told_apart_by_the_second():
     data = np.frombuffer(b"".join(spans), np.uint8)
     end = np.cumsum([len(x) for x in spans])
     start = end - [len(x) for x in spans]
-    assert len(set(zip(*[h.tolist() for h in contexts.word_hashes(data, start, end)], strict=True))) == len(spans)
+    assert len(set(zip(*[h.tolist() for h in blocks.span_words(data, start, end)], strict=True))) == len(spans)
 
 
 def test_chat_orders_null_and_empty_roles_alike(spark):
