@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
 columns of documents. No stage has an SQL form: the classifier, the
 shingle sets and the packing are not expressible.
+
+Defined cases, for every stage: an empty table gives an empty result; null and
+empty texts are texts without words, kept or dropped like others; very long
+texts are handled whole; rows that repeat are rows of their own, of which the
+near-dedup stage keeps one; a null id or source is a value of its own; columns
+that documents may have besides are carried, whatever their names. Each stage's
+docstring says what it does beyond that.
 """
 
 from __future__ import annotations
@@ -18,8 +25,8 @@ from tessera.llm import mixing, packing, quality, simhash, suffixes
 from tessera.session import forget, keep, kept_paths, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Tables that the last stage to run still needed for its result.
-_needed: list[str] = []
+#: By input, the tables that the last stage to run over it still needed for its result.
+_needed: dict[str, list[str]] = {}
 
 
 def _follows(stage: Stage) -> Stage:
@@ -27,7 +34,7 @@ def _follows(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget(spark, _needed)
+        forget(spark, _needed.pop(sf_dir, []))
         return _first(stage)(spark, docs, sf_dir)
 
     return run_stage
@@ -38,7 +45,7 @@ def _first(stage: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         before = set(kept_paths)
         out = stage(spark, docs, sf_dir)
-        _needed[:] = [p for p in kept_paths if p not in before]
+        _needed[sf_dir] = [p for p in kept_paths if p not in before]
         return out
 
     return run_stage
@@ -46,19 +53,22 @@ def _first(stage: Stage) -> Stage:
 
 @_first
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; without labels of both classes all have one score and stay if it is 0.3 or more."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 @_follows
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, of five-word similarity 0.8 or more, stays."""
+    """One document of each group of near copies, of five-word similarity 0.8 or more, stays: that of the smallest id, a null id last.
+
+    Texts without words are copies of each other.
+    """
     return simhash.one_of_each(docs, k=5, similarity=(4, 5))
 
 
 @_follows
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that start earlier go from the texts; characters go if all their bytes do."""
+    """Byte strings of 100 bytes that start earlier go from the texts; characters go if all their bytes do. Null text stays null or becomes empty."""
     cleaned = suffixes.remove_repeats(docs, carry=docs.columns)
     text = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
     return cleaned.select(*[text.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
@@ -66,13 +76,13 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_follows
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights, by repeated, dropped and cut documents."""
+    """Sources at their target weights, by repeated, dropped and cut documents; texts without words take nothing and go."""
     return mixing.mixed_documents(docs)
 
 
 @_follows
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences; an empty text is its end id."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

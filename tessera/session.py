@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -33,6 +36,8 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", spark.sparkContext.master):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{OWN_SCRATCH}-{os.getuid()}"
 
 
@@ -51,6 +56,13 @@ def mounted_scratch(spark: SparkSession) -> str | None:
 kept_paths: list[str] = []
 
 
+@atexit.register
+def _forget_mounted() -> None:
+    """At the end of the driver, remove the kept tables that are still there, where their folder is mounted."""
+    for path in kept_paths:
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
 def forget(spark: SparkSession, paths: list[str]) -> None:
     """Remove kept tables that nothing reads any more."""
     for path in paths:
