@@ -345,3 +345,30 @@ def chosen_threshold(scores: DataFrame, thresholds: list[float], covariate: str,
         if best is None or out[-1][3] > out[best][3]:
             best = len(out) - 1
     return [(*o, i == best) for i, o in enumerate(out)]
+
+
+def block_components(df: DataFrame, key: str, vector: str, is_train: Column, size: int, k: int) -> DataFrame:
+    """(key, block, scores, share): each block of `size` neighbouring components on its own k leading axes over the train rows.
+
+    Largest loadings are positive, scores are standardised by the train rows, and share is the axes' part of the block's variance.
+    """
+    blocks = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / size).cast("int")), lambda b: F.concat(F.array(F.lit(1.0)), F.slice(F.col(vector).cast("array<double>"), b * size + 1, size)))).alias("block", "x")
+    rows = df.select(key, is_train.alias("__train"), blocks)
+    fitted = {}
+    for block, q in grams_by_group(rows.where("__train"), "block", "x").items():
+        mean = q[0, 1:] / q[0, 0]
+        values, axes = np.linalg.eigh(q[1:, 1:] / q[0, 0] - np.outer(mean, mean))
+        values, axes = np.maximum(values[::-1], 0), axes[:, ::-1][:, :k]
+        sign = np.sign(axes[np.abs(axes).argmax(0), range(axes.shape[1])])
+        sd = np.sqrt(values[: axes.shape[1]])
+        fitted[block] = (mean, axes * np.where(sign == 0, 1, sign) / np.where(sd > 1e-12, sd, np.inf), float(values[:k].sum() / max(values.sum(), 1e-300)))
+    shared = df.sparkSession.sparkContext.broadcast(fitted)
+
+    def project(frames):
+        for frame in frames:
+            for block, own in frame.groupby("block"):
+                mean, axes, share = shared.value[block]
+                scores = (np.vstack(own["x"].to_list())[:, 1:] - mean) @ axes
+                yield pd.DataFrame({key: own[key], "block": block, "scores": scores.tolist(), "share": share})
+
+    return rows.select(key, "block", "x").mapInPandas(project, f"{key} {dict(df.dtypes)[key]}, block int, scores array<double>, share double")

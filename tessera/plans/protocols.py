@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.keys import unit_draw
-from tessera.operators import gates, guards, power, regression
+from tessera.operators import gates, guards, power, regression, resample
 from tessera.plans import views as v
 from tessera.plans.registry import query
-from tessera.plans.statistics import DRAW, rounded
+from tessera.plans.statistics import _TWO, DRAW, rounded
 from tessera.session import table
 
 THRESHOLDS = [0.0, 0.01, 0.05, 0.2, 0.5]
@@ -73,7 +73,7 @@ def detection_power(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(needed.join(found.groupBy("effect", "spread").agg(F.max("power").alias("best")), ["effect", "spread"]))
 
 
-@query("cell_spread", 154, 168, sql=f"""
+@query("cell_spread", 154, 167, 168, sql=f"""
 WITH c AS (SELECT c_mktsegment AS cell, c_custkey AS id, c_custkey % 2 AS fold, c_acctbal / 10000.0::DOUBLE AS x FROM customer),
 r AS (SELECT rep, cell, fold, x, x * x AS x2, x + 0.5::DOUBLE * x * x + {DRAW.format("'cell:' || rep || ':' || id")} AS y FROM c, range(6) p(rep)),
 f AS (SELECT rep, cell, fold, regr_slope(y, x) AS s1, regr_intercept(y, x) AS i1, regr_slope(y, x2) AS s2, regr_intercept(y, x2) AS i2 FROM r GROUP BY ALL),
@@ -119,3 +119,58 @@ def diverse_choice(spark: SparkSession, sf: str) -> DataFrame:
     vector = F.transform(F.sort_array(F.collect_list(F.struct("c_mktsegment", "y"))), lambda s: s["y"])
     candidates = m.groupBy("nation").agg(vector.alias("vec"), F.max("y").alias("score")).where(F.size("vec") == 5)
     return guards.greedy_diverse(candidates, ["-score", "nation"], "nation", "nation", "vec", 2, 0.8, 6)
+
+
+@query("feasibility_grid", 148, sql="""
+WITH c AS (SELECT c_nationkey AS stratum, c_mktsegment AS cell, c_custkey % 2 = 0 AS null_row, c_acctbal AS score FROM customer),
+q AS (SELECT stratum, quantile_cont(score, 0.95) AS threshold FROM c WHERE null_row GROUP BY stratum),
+g AS (SELECT stratum, cell, count(*) AS n, avg(CASE WHEN score > threshold THEN 1.0 ELSE 0.0 END) AS exceeding, quantile_cont(score, 0.5) AS median
+  FROM c JOIN q USING (stratum) WHERE NOT null_row GROUP BY ALL)
+SELECT stratum, cell, n, round(exceeding, 9) AS exceeding, round(median, 6) AS median,
+  round(avg(CASE WHEN exceeding >= 0.05 AND n >= 5 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY stratum), 9) AS workable FROM g""")
+def feasibility_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells against their stratum's null quantile: share beyond it, median, and the stratum's share of workable cells."""
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("stratum"), F.col("c_mktsegment").alias("cell"), (F.col("c_custkey") % 2 == 0).alias("null_row"), F.col("c_acctbal").alias("score"))
+    thresholds = c.where("null_row").groupBy("stratum").agg(F.percentile("score", F.lit(0.95)).alias("threshold"))
+    beyond = F.avg((F.col("score") > F.col("threshold")).cast("double"))
+    g = c.where("not null_row").join(F.broadcast(thresholds), "stratum").groupBy("stratum", "cell").agg(F.count("*").alias("n"), beyond.alias("exceeding"), F.percentile("score", F.lit(0.5)).alias("median"))
+    workable = F.avg(((F.col("exceeding") >= 0.05) & (F.col("n") >= 5)).cast("double")).over(Window.partitionBy("stratum"))
+    return g.select("stratum", "cell", "n", F.round("exceeding", 9).alias("exceeding"), F.round("median", 6).alias("median"), F.round(workable, 9).alias("workable"))
+
+
+_RANK = "rank() OVER (PARTITION BY rep ORDER BY {0}) + (count(*) OVER (PARTITION BY rep, {0}) - 1) / 2.0::DOUBLE"
+
+
+@query("paired_rank_bootstrap", 161, sql=f"""
+WITH n AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n, s_acctbal AS y, CAST(s_nationkey AS DOUBLE) AS a, CAST(s_suppkey % 13 AS DOUBLE) AS b FROM supplier),
+d AS (SELECT rep, CAST(floor({DRAW.format("'rank:' || rep || ':' || i")} * n) AS BIGINT) AS i FROM n, range(40) r(rep)),
+k AS (SELECT rep, {_RANK.format("y")} AS ry, {_RANK.format("a")} AS ra, {_RANK.format("b")} AS rb FROM d JOIN n USING (i)),
+s AS (SELECT rep, corr(ra, ry) - corr(rb, ry) AS difference FROM k GROUP BY rep)
+SELECT round(quantile_cont(difference, 0.025), 8) AS low, round(quantile_cont(difference, 0.975), 8) AS high, count(difference) AS replicates FROM s""")
+def paired_rank_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Interval of the difference of two rank correlations with one response, over the same draws of units."""
+    units = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("y"), F.col("s_nationkey").cast("double").alias("a"), (F.col("s_suppkey") % 13).cast("double").alias("b"))
+    units = resample.numbered(units, ["s_suppkey"])
+    drawn = resample.draws(units, 40, "rank").join(units.select("i", "y", "a", "b"), "i")
+    rank = lambda c: F.rank().over(Window.partitionBy("rep").orderBy(c)) + (F.count("*").over(Window.partitionBy("rep", c)) - 1) / 2.0
+    ranked = drawn.select("rep", *[rank(c).alias(f"r{c}") for c in ("y", "a", "b")])
+    reps = ranked.groupBy("rep").agg((F.corr("ra", "ry") - F.corr("rb", "ry")).alias("difference"))
+    return rounded(resample.interval(reps, "difference"), 8)
+
+
+@query("fit_equivariance", 171, sql=_TWO + """, s AS (SELECT (p * d - q * b) / (a * d - b * b) AS bx, (q * a - p * b) / (a * d - b * b) AS bz FROM c)
+SELECT 'l_quantity' AS term, round(bx, 4) AS plain, round(2 * bx + 100, 4) AS moved, true AS equivariant FROM s
+UNION ALL SELECT 'l_discount', round(bz, 4), round(2 * bz, 4), true FROM s""")
+def fit_equivariance(spark: SparkSession, sf: str) -> DataFrame:
+    """Coefficients refitted after the response is scaled and turned towards a predictor: they must scale and move with it."""
+    rows = table(spark, sf, "lineitem").withColumn("moved", 2 * F.col("l_extendedprice") + 100 * F.col("l_quantity"))
+    terms = ["l_quantity", "l_discount"]
+    plain, moved = (regression.grams(rows, terms, y)[0].solve() for y in ("l_extendedprice", "moved"))
+    want = 2 * plain[1:] + [100.0, 0.0]
+    same = [bool(abs(m - w) <= 1e-6 * max(1.0, abs(w))) for m, w in zip(moved[1:], want, strict=True)]
+    return spark.createDataFrame([(t, round(float(a), 4), round(float(b), 4), s) for t, a, b, s in zip(terms, plain[1:], moved[1:], same, strict=True)], "term string, plain double, moved double, equivariant boolean")
+
+
+@query("block_components", 139)
+def block_components(spark: SparkSession, sf: str) -> DataFrame:
+    return regression.block_components(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 10 < 7, 8, 2)

@@ -404,7 +404,7 @@ def two_way_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reps.groupBy("rep").agg((F.sum(F.col("w_c_mktsegment") * F.col("value")) / F.sum("w_c_mktsegment")).alias("mean")), 7)
 
 
-@query("stratified_permutation", 162, 161, 163, sql="""
+@query("stratified_permutation", 162, 163, sql="""
 WITH r AS (SELECT rep, s_nationkey AS g, s_suppkey AS id, s_acctbal AS y FROM supplier, range(20) t(rep)),
 k AS (SELECT *, row_number() OVER (PARTITION BY rep, g ORDER BY id) AS i FROM r),
 h AS (SELECT rep, g, y AS permuted, row_number() OVER (PARTITION BY rep, g ORDER BY sha256('perm' || chr(9) || CAST(rep AS VARCHAR) || chr(9) || CAST(id AS VARCHAR)), id) AS i FROM r)
@@ -435,7 +435,7 @@ def keyed_mask(spark: SparkSession, sf: str) -> DataFrame:
     return resample.folds(v.genotype(spark, sf), "sample", 5, "fold").select("variant", "sample", "fold").join(masked, ["variant", "sample"], "left_semi").groupBy("fold").agg(F.count("*").alias("masked"))
 
 
-@query("perturbation_score", 238, 167, views="curve", sql="""
+@query("perturbation_score", 238, views="curve", sql="""
 SELECT cell, round(stddev_samp(metric - prev), 9) AS score FROM (SELECT cell, metric, lag(metric) OVER (PARTITION BY cell ORDER BY step) AS prev FROM curve) GROUP BY cell""")
 def perturbation_score(spark: SparkSession, sf: str) -> DataFrame:
     step = F.col("metric") - F.lag("metric").over(Window.partitionBy("cell").orderBy("step"))

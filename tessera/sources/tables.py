@@ -85,6 +85,14 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schema, mode="FAILFAST")
 
 
+def named_in_head(spark: SparkSession, path: str, pattern: str, head: int = 64 << 20, overlap: int = 64) -> list[str]:
+    """Distinct matches of a pattern in the first `head` bytes of one file of any format: the columns that its header names."""
+    raw = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head).alias("b"))
+    pieces = raw.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("b"), F.lit(1 << 20)), lambda lo: F.expr("b").substr(lo + 1, F.lit((1 << 20) + overlap)))).alias("piece"))
+    found = pieces.select(F.explode(F.regexp_extract_all(F.decode("piece", "ISO-8859-1"), F.lit(f"({pattern})"), F.lit(1))).alias("name"))
+    return sorted(r["name"] for r in found.distinct().collect())
+
+
 def pair_columns(columns: list[str]) -> dict[str, str]:
     """Which columns hold the pair's ids and its value; what is missing is left out."""
     low = {c.lower(): c for c in columns}

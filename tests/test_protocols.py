@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import guards, regression, sampling
 
@@ -112,3 +113,29 @@ def test_diverse_choice_goes_on_beyond_a_shortlist(spark):
     for shortlist in (4, 100):
         got = guards.greedy_diverse(df, ["-score", "name"], "name", "name", "vec", 3, 0.3, 5, shortlist).orderBy("rank").collect()
         assert [r.name for r in got] == want
+
+
+def test_block_components_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 10)) @ rng.normal(size=(10, 10))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>").repartition(3)
+    got = {(r.id, r.block): r for r in regression.block_components(df, "id", "v", F.col("id") < 60, 4, 2).collect()}
+    assert len(got) == 80 * 3
+    for block in range(3):
+        own = x[:, block * 4 : block * 4 + 4]
+        values, axes = np.linalg.eigh(np.cov(own[:60], rowvar=False, bias=True))
+        axes = axes[:, ::-1][:, :2]
+        axes = axes * np.sign(axes[np.abs(axes).argmax(0), range(axes.shape[1])])
+        scores = (own - own[:60].mean(0)) @ axes
+        scores = scores / scores[:60].std(0)
+        assert all(np.allclose(got[i, block].scores, scores[i], atol=1e-6) for i in range(80))
+        assert got[0, block].share == pytest.approx(values[::-1][:2].sum() / values.sum())
+
+
+def test_columns_named_in_the_head_of_a_file(spark, tmp_path):
+    from tessera.sources.tables import named_in_head
+
+    (tmp_path / "data.bin").write_bytes(b"\x00\xffn_31_0_0\x00junk f.21022.0.0\xfe" + b"\x01" * (1 << 20) + b"n_50_0_1")
+    pattern = r"n_[0-9]+_[0-9]+_[0-9]+|f\.[0-9]+\.[0-9]+\.[0-9]+"
+    assert named_in_head(spark, str(tmp_path / "data.bin"), pattern) == ["f.21022.0.0", "n_31_0_0", "n_50_0_1"]
+    assert named_in_head(spark, str(tmp_path / "data.bin"), pattern, head=1000) == ["f.21022.0.0", "n_31_0_0"]
