@@ -32,6 +32,8 @@ import numpy as np
 CHUNK = 1 << 19
 #: Seeds that are named together, if no single first symbol has more.
 NAMED = 1 << 20
+#: Whole binary logarithms.
+_LOG = np.frexp(np.arange(CHUNK + 1))[1].astype(np.int8) - 1
 #: Numbers of files, so that no level of the recursion writes over another's.
 _FILES = count()
 
@@ -137,10 +139,10 @@ class _Minima:
 
     @staticmethod
     def _ranges(levels: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        level = np.log2(np.maximum(end - begin, 1)).astype(int)
+        level = _LOG[np.maximum(end - begin, 1)]
         out = np.zeros(len(begin), np.uint8)
-        for n in np.unique(level):
-            own = level == n
+        for n in np.flatnonzero(np.bincount(level)):
+            own = np.flatnonzero(level == n)
             out[own] = np.minimum(levels[n][begin[own]], levels[n][end[own] - (1 << n)])
         return out
 
@@ -157,31 +159,33 @@ def _lanes(text: np.ndarray) -> np.ndarray:
     return np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text).data, strides=(1,))
 
 
+def _eight(lanes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place, also near the text's end; bytes after it are zeros."""
+    inside = np.minimum(p, len(lanes) - 1)
+    beyond = p - inside
+    return np.where(beyond < 8, lanes[inside] >> (8 * np.minimum(beyond, 7)).astype(np.uint64), np.uint64(0))
+
+
 def _neighbours(text: np.ndarray, pos: np.ndarray, cap: int) -> Iterator[np.ndarray]:
     """Common prefix of each suffix of a sorted list with the one before it, in chunks; bytes after the text count as zeros, as its end."""
     lanes = _lanes(text if len(text) >= 8 else np.concatenate([text, np.zeros(8, np.uint8)]))
-    top = len(lanes) - 1
-
-    def eight(p: np.ndarray) -> np.ndarray:
-        inside = np.minimum(p, top)
-        beyond = p - inside
-        found = lanes[inside]
-        return np.where(beyond < 8, found >> (8 * np.minimum(beyond, 7)).astype(np.uint64), np.uint64(0)) if beyond.any() else found
-
     for lo in range(0, len(pos), CHUNK):
         a = np.array(pos[lo : lo + CHUNK])
         b = np.array(pos[max(0, lo - 1) : lo + len(a) - 1])
         out = np.zeros(len(a), np.uint8)
-        open_ = np.arange(len(a) - len(b), len(a))
+        at = np.arange(len(a) - len(b), len(a))
         a = a[len(a) - len(b) :]
-        for k in range(0, cap, 8):
-            x = eight(a + k) ^ eight(b + k)
-            same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3)
-            out[open_] = np.minimum(k + same, cap)
-            go = same == 8
-            a, b, open_ = a[go], b[go], open_[go]
-            if not len(open_):
-                break
+        late = np.maximum(a, b) + cap >= len(lanes)
+        for own, read in ((np.flatnonzero(~late), lambda p: lanes[p]), (np.flatnonzero(late), lambda p: _eight(lanes, p))):
+            x, y, left = a[own], b[own], at[own]
+            for k in range(0, cap, 8):
+                if not len(left):
+                    break
+                differ = read(x) ^ read(y)
+                same = np.flatnonzero(differ == 0)
+                low = differ & (~differ + np.uint64(1))
+                out[left] = np.minimum(k + (np.bitwise_count(low - np.uint64(1)) >> 3), cap)
+                x, y, left = x[same] + 8, y[same] + 8, left[same]
         yield out
 
 
@@ -245,7 +249,7 @@ def _names(text: np.ndarray, starts: np.ndarray, marks: np.ndarray, names: np.nd
                 # a substring's end is a start; marked, it sorts after the same symbol unmarked
                 value = (text[p].astype(np.uint64) << np.uint64(1)) | (marks[p] & ((at + k) > 0)).astype(np.uint64)
                 word = (word << np.uint64(bits)) | np.where(inside, value + np.uint64(1), np.uint64(0))
-            order = np.lexsort((word, rank[open_]))
+            order = np.argsort(word, kind="stable") if at == 0 else np.lexsort((word, rank[open_]))
             r, w = rank[open_][order], word[order]
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])
             # ranks are places, so that splitting one rank leaves the others' order
@@ -273,7 +277,7 @@ def _doubling(names: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 1)
         key[: n - k] += rank[k:] + 1
-        if 3 * bits <= 62:  # places fit beside the keys, and numbers sort faster than places
+        if 3 * bits <= 63:  # places fit beside the keys, and numbers sort faster than places
             key = np.sort((key << bits) | np.arange(n))
             order, key = key & ((1 << bits) - 1), key >> bits
             new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])

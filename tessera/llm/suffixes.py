@@ -62,7 +62,7 @@ PLACE = 24
 SEGMENT = 1 << 23
 #: Input rows a shard of stretches, and bounds of their number; bytes a sorted shard.
 SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 16_000, 16, 16_384
-SORTED_BYTES = 6 << 20
+SORTED_BYTES = 4 << 20
 #: Tuples that a queue of the sorter holds before it goes to disk.
 MEMORY = 1_000_000
 #: Stretches of a shard held in memory; beyond this they go to local files by hash, one of which is held at a time.
@@ -128,9 +128,23 @@ def _lists(schema_names: list[str], ids: np.ndarray, digests: np.ndarray, *colum
     return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(digests[first]), *[pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]], schema_names)
 
 
-#: Stretches that repeat (starts, ends), those that are to be sorted (lo, n, anchor) and those of hot anchors (lo, n), by text.
-FIELDS = ("starts", "ends", "ask_lo", "ask_n", "ask_anchor", "hot_lo", "hot_n")
-FOUND = "id bigint, digest bigint, " + ", ".join(f"{c} array<bigint>" for c in FIELDS)
+#: By text: stretches that repeat (starts, ends), those that are to be sorted (ASK records) and how many bytes they have, and those of hot anchors (their lo).
+FOUND = "id bigint, digest bigint, starts array<bigint>, ends array<bigint>, ask binary, hot binary, bytes bigint"
+ASK = np.dtype([("lo", "<u4"), ("n", "<u2"), ("anchor", "<u4")])
+
+
+def _records(lists: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of every record in rows of lists of bytes."""
+    flat = lists.flatten()
+    size = np.diff(np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]) if len(flat) else np.zeros(0, int)
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return np.repeat(row, size // kind.itemsize), np.frombuffer(b"".join(flat.to_pylist()), kind)
+
+
+def _by_text(records: np.ndarray, count: np.ndarray) -> pa.Array:
+    """The records' bytes, as many for each text as counted."""
+    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32) * records.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(records.tobytes())])
 
 
 def cut_again(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -138,9 +152,8 @@ def cut_again(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, length: in
 
     As `stretches`, with the hash of the bytes that all windows of the class hold in place of the anchor's.
     """
-    asked_lo = part.column(part.schema.get_field_index("hot_lo"))
-    owner = np.repeat(np.arange(part.num_rows), np.diff(asked_lo.offsets.to_numpy()))
-    wanted = at[owner] + asked_lo.flatten().to_numpy()
+    owner, asked_lo = _records(part.column(part.schema.get_field_index("hot")), np.dtype("<u4"))
+    wanted = at[owner] + asked_lo.astype(np.int64)
     anchor = min(ANCHOR, length)
     text, lo, n, _, _, place = stretches(data, at, length, anchor, places=True)
     mine = np.flatnonzero(np.isin(at[text] + lo, wanted))
@@ -182,11 +195,15 @@ def _settle(ids, digests, lo, n, anchor, content, length: int, hot: int) -> Iter
     some = some[np.lexsort((lo[some], digests[some], ids[some]))]
     text = np.cumsum(np.concatenate([[True], (ids[some][1:] != ids[some][:-1]) | (digests[some][1:] != digests[some][:-1])])) - 1
     first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-    columns = []
-    for mask, values in ((repeat[some], (lo[some], lo[some] + n[some] + length - 1)), (ask[some], (lo[some], n[some], anchor[some].view(np.int64))), (much[some], (lo[some], n[some]))):
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[mask], minlength=len(first)))]).astype(np.int32))
-        columns += [pa.ListArray.from_arrays(offsets, pa.array(v[mask].astype(np.int64))) for v in values]
-    yield pa.RecordBatch.from_arrays([pa.array(ids[some][first]), pa.array(digests[some][first]), *columns], ["id", "digest", *FIELDS])
+    count = lambda mask: np.bincount(text[mask], minlength=len(first))
+    again, asked, hot_ones = repeat[some], ask[some], much[some]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(count(again))]).astype(np.int32))
+    spans = [pa.ListArray.from_arrays(offsets, pa.array(v[some][again].astype(np.int64))) for v in (lo, lo + n + length - 1)]
+    records = np.zeros(int(asked.sum()), ASK)
+    records["lo"], records["n"], records["anchor"] = lo[some][asked], n[some][asked], mix(anchor[some][asked]) >> _U(32)
+    size = np.bincount(text[asked], n[some][asked] + length, len(first)).astype(np.int64)
+    columns = [*spans, _by_text(records, count(asked)), _by_text(lo[some][hot_ones].astype("<u4"), count(hot_ones)), pa.array(size)]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[some][first]), pa.array(digests[some][first]), *columns], ["id", "digest", "starts", "ends", "ask", "hot", "bytes"])
 
 
 class _Held:
@@ -272,10 +289,9 @@ def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD,
                     ids, digests, lo, n = _unpack(packed)
                     order = np.lexsort((digests, ids))
                     ids, digests, lo, n = ids[order], digests[order], lo[order].astype(np.int64), n[order].astype(np.int64)
-                    none = np.zeros(len(np.unique(np.stack([ids, digests]), axis=1)[0]) + 1, np.int32)
-                    batch_out = _lists(["id", "digest", "starts", "ends"], ids, digests, lo, lo + n + length - 1)
-                    empty = pa.ListArray.from_arrays(pa.array(none), pa.array([], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*batch_out.columns, *[empty] * (len(FIELDS) - 2)], ["id", "digest", *FIELDS])
+                    found = _lists(["id", "digest", "starts", "ends"], ids, digests, lo, lo + n + length - 1)
+                    empty = pa.array([b""] * found.num_rows, pa.binary())
+                    yield pa.RecordBatch.from_arrays([*found.columns, empty, empty, pa.array([0] * found.num_rows, pa.int64())], [*found.schema.names, "ask", "hot", "bytes"])
                 else:
                     ids, digests, lo, n, anchor, content = _unpack(packed)
                     own.add((ids, digests, lo.astype(np.int64), n.astype(np.int64), anchor, content))
@@ -283,7 +299,7 @@ def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD,
             for group in own.groups():
                 yield from _settle(*group, length, hot)
 
-    sent = docs.select("id", "digest", "text", *["hot_lo"] * again_cut).mapInArrow(deal, ROWS)
+    sent = docs.select("id", "digest", "text", *["hot"] * again_cut).mapInArrow(deal, ROWS)
     return sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(meet, FOUND)
 
 
@@ -349,19 +365,17 @@ def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int,
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in blocks(batches):
-            lists = [part.column(part.schema.get_field_index(c)) for c in ("ask_lo", "ask_n", "ask_anchor")]
-            size = np.diff(lists[0].offsets.to_numpy())
-            lo, n, anchor = (x.flatten().to_numpy() for x in lists)
-            text = np.repeat(np.arange(part.num_rows), size)
-            order = np.lexsort((lo, text))
-            text, lo, n, shard = text[order], lo[order], n[order], (mix(anchor[order].view(_U) + _U(1)) % _U(shards)).astype(np.int64)
+            text, records = _records(part.column(part.schema.get_field_index("ask")), ASK)
+            order = np.lexsort((records["lo"], text))
+            text, lo, n = text[order], records["lo"][order].astype(np.int64), records["n"][order].astype(np.int64)
+            shard = (records["anchor"][order] % shards).astype(np.int64)
             ids, digests = part.column(0).to_numpy(), part.column(1).to_numpy()
             rows = []
             for s in np.unique(shard).tolist():
                 k = np.flatnonzero(shard == s)
                 span = n[k] + length - 1
                 place = np.repeat(at[text[k]] + lo[k] - (np.cumsum(span) - span), span) + np.arange(span.sum())
-                rows.append((s, _pack(ids, digests, text[k], lo[k], n[k], data[place].tobytes())))
+                rows.append((s, _pack(ids, digests, text[k], _narrow(lo[k]), n[k].astype(np.uint16), pa.compress(data[place].tobytes(), "zstd", asbytes=True))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
 
@@ -392,6 +406,7 @@ def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int,
         ids, digests, lo, n, data = _unpack(blob.as_py())
         lo, n = lo.astype(np.int64), n.astype(np.int64)
         span = n + length - 1
+        data = pa.decompress(data, int(span.sum()), "zstd", asbytes=True)
         text = np.full(int((span + 1).sum()), 255, np.uint8)
         text[np.arange(span.sum()) + np.repeat(np.arange(len(span)), span)] = np.frombuffer(data, np.uint8) + np.uint8(1)
         file.write(text.data)
@@ -410,7 +425,7 @@ def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int,
                 shutil.rmtree(folder, ignore_errors=True)
 
     shared = mounted_scratch(docs.sparkSession)
-    texts = docs.select("id", "digest", "text").join(asked.hint("shuffle_hash"), ["id", "digest"]).select("id", "digest", "text", "ask_lo", "ask_n", "ask_anchor")
+    texts = docs.select("id", "digest", "text").join(asked.hint("shuffle_hash"), ["id", "digest"]).select("id", "digest", "text", "ask")
     return texts.mapInArrow(fetch, ROWS).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(sort, SPANS)
 
 
@@ -418,16 +433,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, sort
     """SPANS rows, several for a text and overlapping, from docs (id, digest, text)."""
     shards = min(MANY_SHARDS, max(FEW_SHARDS, -(-docs.count() // SHARD_ROWS)))
     found = keep(find_stretches(docs, shards, length, held, hot), "stretches")
-    lists = lambda first, *more: found.where(F.size(first) > 0).groupBy("id", "digest").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in (first, *more)])
-    if found.where(F.size("hot_lo") > 0).limit(1).count():
-        named = docs.select("id", "digest", "text").join(lists("hot_lo").hint("shuffle_hash"), ["id", "digest"])
-        found = found.unionByName(keep(find_stretches(named, shards, length, held, 1 << 62, again_cut=True), "stretches"))
-    size = found.agg(F.sum(F.aggregate("ask_n", F.lit(0).cast("bigint"), lambda a, n: a + n + length))).first()[0]
+    named = lambda rows, column: rows.where(F.octet_length(column) > 0).groupBy("id", "digest").agg(F.collect_list(column).alias(column))
+    if found.where(F.octet_length("hot") > 0).limit(1).count():
+        hot_ones = docs.select("id", "digest", "text").join(named(found, "hot").hint("shuffle_hash"), ["id", "digest"])
+        found = found.unionByName(keep(find_stretches(hot_ones, shards, length, held, 1 << 62, again_cut=True), "stretches"))
+    size = found.agg(F.sum("bytes")).first()[0]
     spans = found.where(F.size("starts") > 0).select("id", "digest", "starts", "ends")
     if not size:
         return spans
-    asked = lists("ask_lo", "ask_n", "ask_anchor")
-    return spans.unionByName(sort_stretches(docs, asked, max(FEW_SHARDS, -(-size // sorted_bytes)), length, memory))
+    return spans.unionByName(sort_stretches(docs, named(found, "ask"), max(FEW_SHARDS, -(-size // sorted_bytes)), length, memory))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
