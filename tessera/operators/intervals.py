@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import numbering
+
 BIN = 100_000
 
 
@@ -49,10 +51,8 @@ def nearest_distance(points: DataFrame, sites: DataFrame, key: str) -> DataFrame
     Both tables in one sorted pass: the last site at or before a point and the first at or after it.
     """
     both = points.select("chrom", "pos", key, F.lit(None).cast("bigint").alias("site")).unionByName(sites.select("chrom", F.col("site").alias("pos"), F.lit(None).cast(points.schema[key].dataType).alias(key), F.col("site").cast("bigint").alias("site")))
-    by_pos = Window.partitionBy("chrom").orderBy("pos")
-    back = F.last("site", ignorenulls=True).over(by_pos.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("site", ignorenulls=True).over(by_pos.rangeBetween(0, Window.unboundedFollowing))
-    return both.select("*", F.least(F.col("pos") - back, ahead - F.col("pos")).alias("distance")).where(F.col(key).isNotNull()).select("chrom", "pos", key, "distance")
+    found = numbering.nearest_known(both, "chrom", "pos", F.col("site"))
+    return found.withColumn("distance", F.least(F.col("pos") - F.col("__back"), F.col("__ahead") - F.col("pos"))).where(F.col(key).isNotNull()).select("chrom", "pos", key, "distance")
 
 
 def overlapping(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
@@ -78,10 +78,7 @@ def interpolated(points: DataFrame, curve: DataFrame, key: str) -> DataFrame:
     """points (chrom, pos) with y read off the curve (chrom, x, y) by straight lines, held at its ends."""
     both = points.select("chrom", F.col("pos").alias("x"), key, F.lit(None).cast("double").alias("y")).unionByName(curve.select("chrom", "x", F.lit(None).cast(points.schema[key].dataType).alias(key), F.col("y").cast("double").alias("y")))
     known = F.when(F.col("y").isNotNull(), F.struct("x", "y"))
-    by_x = Window.partitionBy("chrom").orderBy("x")
-    left = F.last(known, ignorenulls=True).over(by_x.rangeBetween(Window.unboundedPreceding, 0))
-    right = F.first(known, ignorenulls=True).over(by_x.rangeBetween(0, Window.unboundedFollowing))
-    found = both.select("*", left.alias("l"), right.alias("r")).where(F.col(key).isNotNull())
+    found = numbering.nearest_known(both, "chrom", "x", known).withColumnsRenamed({"__back": "l", "__ahead": "r"}).where(F.col(key).isNotNull())
     inner = F.col("l.y") + (F.col("r.y") - F.col("l.y")) * (F.col("x") - F.col("l.x")) / (F.col("r.x") - F.col("l.x"))
     y = F.when(F.col("l").isNull(), F.col("r.y")).when(F.col("r").isNull() | (F.col("l.x") == F.col("r.x")), F.col("l.y")).otherwise(inner)
     return found.select("chrom", F.col("x").alias("pos"), key, y.alias("value"))

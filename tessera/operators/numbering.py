@@ -39,3 +39,37 @@ def running(df: DataFrame, name: str, weight: Column, *order: Column | str) -> D
     inside = F.sum(weight.cast("bigint")).over(Window.partitionBy("__range").orderBy(*order).rangeBetween(Window.unboundedPreceding, 0))
     placed = ranges.withColumn("__place", inside).join(F.broadcast(offsets(ranges, F.sum(weight.cast("bigint")))), "__range")
     return placed.withColumn(name, F.col("__before") + F.col("__place")).drop("__range", "__before", "__place")
+
+
+def average_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
+    """df with the rank from 1 of each value among its group's, equal values sharing their mean rank, and __n, the group's rows.
+
+    Ranks come from the counts of distinct values, in ranges over all groups, so a group may hold any share of the rows.
+    """
+    counts = df.groupBy(*groups, value).agg(F.count("*").alias("__k"))
+    upto = running(counts, "__upto", F.col("__k"), *groups, value)
+    starts = upto.groupBy(*groups).agg(F.min(F.col("__upto") - F.col("__k")).alias("__start"), F.sum("__k").alias("__n"))
+    same = lambda left, right, columns: [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
+    ranked = upto.alias("u").join(F.broadcast(starts).alias("s"), same("u", "s", groups))
+    rank = F.col("__upto") - F.col("__start") - F.col("__k") + (F.col("__k") + 1) / 2.0
+    table = ranked.select(*[F.col(f"u.{c}").alias(c) for c in (*groups, value)], rank.alias(name), "__n")
+    return df.alias("d").join(table.alias("t"), same("d", "t", (*groups, value))).select("d.*", f"t.{name}", "t.__n")
+
+
+def nearest_known(df: DataFrame, group: str, order: str, known: Column) -> DataFrame:
+    """df with __back and __ahead: the last known value at or before each row of its group, and the first at or after it.
+
+    Windows stay inside ranges of the order; each range's first and last known values, one row a range, carry over.
+    """
+    ranges = in_ranges(df.withColumn("__known", known), group, order)
+    inside = Window.partitionBy("__range", group).orderBy(order)
+    back = F.last("__known", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("__known", ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing))
+    placed = F.when(F.col("__known").isNotNull(), F.struct(F.col(order).alias("at"), F.col("__known").alias("known")))
+    ends = ranges.groupBy("__range", group).agg(F.min(placed)["known"].alias("__first"), F.max(placed)["known"].alias("__last"))
+    by_range = Window.partitionBy(group).orderBy("__range")
+    before = F.last("__last", ignorenulls=True).over(by_range.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("__first", ignorenulls=True).over(by_range.rowsBetween(1, Window.unboundedFollowing))
+    carried = F.broadcast(ends.select("__range", group, before.alias("__before"), after.alias("__after")))
+    found = ranges.withColumn("__in_back", back).withColumn("__in_ahead", ahead).join(carried, ["__range", group])
+    return found.select(*df.columns, F.coalesce("__in_back", "__before").alias("__back"), F.coalesce("__in_ahead", "__after").alias("__ahead"))

@@ -156,10 +156,10 @@ def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
             if len(x):
                 yield pd.DataFrame({"n": [len(x)], "s": [x.sum(0).tolist()], "q": [(x.T @ x).ravel().tolist()]})
 
-    width = F.posexplode(F.concat("s", "q")).alias("i", "v")
+    width = F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "q")).alias("i", "v")
     rows = df.select(vector).where(F.col(vector).isNotNull()).mapInPandas(partial, "n bigint, s array<double>, q array<double>")
-    total = rows.agg(F.sum("n")).first()[0] or 0
     flat = rows.select(width).groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
+    total, flat = int(flat[0]) if len(flat) else 0, flat[1:]
     d = int((np.sqrt(1 + 4 * len(flat)) - 1) / 2)
     mean = flat[:d] / max(total, 1)
     return total, mean, flat[d:].reshape(d, d) / max(total, 1) - np.outer(mean, mean)

@@ -70,22 +70,17 @@ def upper_quantile(value: str, q: float) -> Column:
     return F.element_at(ordered, (F.ceil((F.count(value) - 1) * q) + 1).cast("int"))
 
 
-def average_rank(value: Column, *groups: str) -> Column:
-    """Rank from 1 among the group's values, equal values sharing their mean rank."""
-    by_value, equal = Window.partitionBy(*groups).orderBy(value), Window.partitionBy(*groups, value)
-    return F.rank().over(by_value) + (F.count("*").over(equal) - 1) / 2.0
-
-
 def spearman(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation by group; 0 where either side is constant."""
-    ranked = df.select(*groups, average_rank(F.col(x), *groups).alias("rx"), average_rank(F.col(y), *groups).alias("ry"))
+    ranked = numbering.average_ranks(df.select(*groups, x, y), groups, x, "rx").drop("__n")
+    ranked = numbering.average_ranks(ranked, groups, y, "ry")
     return ranked.groupBy(*groups).agg(F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
 
-def strata_by_rank(value: Column, bins: int, *groups: str) -> Column:
-    """Bin of (average rank - 1) / n, from 0; unlike ntile, equal values share a bin."""
-    n = F.count("*").over(Window.partitionBy(*groups))
-    return F.least(F.floor((average_rank(value, *groups) - 1) / n * bins), F.lit(bins - 1))
+def strata_by_rank(df: DataFrame, value: str, bins: int, groups: list[str], name: str) -> DataFrame:
+    """df with the bin of (average rank - 1) / n, from 0; unlike ntile, equal values share a bin."""
+    ranked = numbering.average_ranks(df, groups, value, "__rank")
+    return ranked.select(*df.columns, F.least(F.floor((F.col("__rank") - 1) / F.col("__n") * bins), F.lit(bins - 1)).cast("bigint").alias(name))
 
 
 def r2_from_train_mean(y: str, prediction: str, train_mean: str) -> Column:

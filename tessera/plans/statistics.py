@@ -158,7 +158,7 @@ d AS (SELECT g, least(CAST(floor((rank() OVER (PARTITION BY g ORDER BY x) + (cou
 SELECT g, decile, count(*) AS n FROM d GROUP BY ALL""")
 def rank_deciles(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select((F.col("o_custkey") % 3).alias("g"), (F.col("o_orderkey") % 50).alias("x"))
-    return rows.select("g", stats.strata_by_rank(F.col("x"), 10, "g").cast("bigint").alias("decile")).groupBy("g", "decile").agg(F.count("*").alias("n"))
+    return stats.strata_by_rank(rows, "x", 10, ["g"], "decile").groupBy("g", "decile").agg(F.count("*").alias("n"))
 
 
 _TWO = """WITH m AS (SELECT count(*) AS n, sum(l_quantity) AS x, sum(l_discount) AS z, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS xx, sum(l_discount * l_discount) AS zz, sum(l_quantity * l_discount) AS xz, sum(l_quantity * l_extendedprice) AS xy, sum(l_discount * l_extendedprice) AS zy FROM lineitem),

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, values
-from tessera.operators import components, curves, graph, intervals, regression, relational, resample, sampling, stats
+from tessera.operators import components, curves, graph, intervals, numbering, regression, relational, resample, sampling, stats
 
 
 def test_components_match_union_find(spark):
@@ -205,6 +205,21 @@ def test_same_partition_finds_differences(spark):
 
 def test_average_rank_and_value_shape(spark):
     df = spark.createDataFrame([("g", v) for v in (1.0, 2.0, 2.0, 5.0)], "g string, v double")
-    assert sorted(r.r for r in df.select(stats.average_rank(F.col("v"), "g").alias("r")).collect()) == [1.0, 2.5, 2.5, 4.0]
+    assert sorted(r.r for r in numbering.average_ranks(df, ["g"], "v", "r").collect()) == [1.0, 2.5, 2.5, 4.0]
     shape = stats.value_shape(df, ["g"], "v").first()
     assert (shape["distinct"], shape["mode"], shape["mode_share"]) == (3, 2.0, 0.5)
+
+
+def test_neighbours_and_ranks_carry_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [(str(g), int(x), int(x) if rng.random() < 0.1 else None) for g in range(2) for x in rng.choice(4000, 900, replace=False)]
+    df = spark.createDataFrame(rows, "g string, x long, k long").repartition(6)
+    known = {g: sorted(k for h, _, k in rows if h == g and k is not None) for g in "01"}
+    for r in numbering.nearest_known(df, "g", "x", F.col("k")).collect():
+        below, above = [k for k in known[r.g] if k <= r.x], [k for k in known[r.g] if k >= r.x]
+        assert (r["__back"], r["__ahead"]) == (max(below, default=None), min(above, default=None))
+    tied = spark.createDataFrame([(i % 2, float(i * i % 17)) for i in range(300)], "g int, v double").repartition(5)
+    values = {g: [r.v for r in tied.collect() if r.g == g] for g in (0, 1)}
+    for r in numbering.average_ranks(tied, ["g"], "v", "rank").collect():
+        own = values[r.g]
+        assert r["rank"] == sum(v < r.v for v in own) + (own.count(r.v) + 1) / 2 and r["__n"] == len(own)
