@@ -74,10 +74,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
 
     The row that a source's cut goes through gives one more copy, of its
     first words joined by single spaces. Rows that repeat (doc_id, source,
-    size) are told apart by their text's digest.
+    size) are told apart by a digest of all their columns.
     """
     names = docs.columns
-    unique = docs.withColumn("__id", F.sha2(F.concat_ws("\u001f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("\u0000")), F.coalesce(F.col("text"), F.lit(""))), 256))
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]), {"ignoreNullFields": "false"})
+    unique = docs.withColumn("__id", F.sha2(F.concat_ws("\u001f", others, F.col("text").isNull().cast("string"), F.coalesce(F.col("text"), F.lit(""))), 256))
     plan = mix_to_weights(unique.select("__id", "text", "source"), weights, most, id_col="__id")
     plan = plan.groupBy(F.col("doc_id").alias("__id")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
     full = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(F.lit(0))

@@ -60,7 +60,7 @@ TASKS = 10_000
 #: Bins with at most this much room left are final below the last level.
 NEARLY = 4
 #: Parts between white space whose ids a tokenizing process remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 # The words of the tokenizer's own pre-tokenizer, for texts of plain characters, on which no two libraries differ.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0132-\u0148\u014a-\u017e]*")
