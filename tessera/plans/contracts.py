@@ -45,7 +45,7 @@ def open_splits_only(spark: SparkSession, sf: str) -> DataFrame:
     return v.sample(spark, sf).where(F.col("split").isin(*map(guards.open_split, ("train", "validation")))).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("head_audit", 68, 14, 15, 16, sql="""
+@query("head_audit", 68, 15, 16, sql="""
 WITH h AS (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100)
 SELECT count(*) AS called, count(*) FILTER (WHERE l_returnflag = 'N') AS phased, round(count(*) FILTER (WHERE l_returnflag = 'N') / nullif(count(*), 0)::DOUBLE, 9) AS share FROM h""")
 def head_audit(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,7 +75,7 @@ def map_interpolation(spark: SparkSession, sf: str) -> DataFrame:
     return i.interpolated(variants, curve, "variant").select("variant", F.round("value", 9).alias("value"))
 
 
-@query("monotone_check", 203, 20, views="curve", sql="""
+@query("monotone_check", 203, views="curve", sql="""
 SELECT cell, step, metric, before FROM (SELECT *, lag(metric) OVER (PARTITION BY cell ORDER BY step) AS before FROM curve) WHERE metric <= before""")
 def monotone_check(spark: SparkSession, sf: str) -> DataFrame:
     return i.sorted_violations(v.curve(spark, sf), "cell", "step", "metric").select("cell", "step", "metric", "before")
