@@ -153,7 +153,7 @@ def approximate(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "
         own = codes.get(rows.shape[1]) or Codes(rows[:SAMPLE], k)  # a dimension too rare for the sample
         return MultiIndex(ids, rows, own)
 
-    def probe(index: MultiIndex, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def probe(index: MultiIndex, ids: np.ndarray, rows: np.ndarray, floors: dict[int, float]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for query, row, code in zip(ids.tolist(), rows, index.asked_by.encode(rows), strict=True):
             found, scores = index.nearest(query, row, code, k)
             yield query, found, scores

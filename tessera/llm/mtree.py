@@ -7,7 +7,8 @@ bulk-loaded into pages; each routing entry keeps its pivot, covering radius
 and distance to the parent's pivot, each leaf entry its distance to the leaf's
 pivot. The search takes pages in order of their least possible distance, skips
 entries whose stored distances already exclude them, and ends when no page can
-hold a better entry. Scores are exact integers.
+hold a better entry; it begins with the bound that the first shard has found.
+Scores are exact integers.
 
 Defined cases: those of `vectors`, empty tables and clashing names among them;
 equal scores go to the smaller vec_id; fewer candidates than k are all
@@ -106,13 +107,15 @@ class MTree:
         node.to_self = np.array([c.to_parent for c in node.children])
         return node
 
-    def nearest(self, query_id: int, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (vec_ids, scores) other than query_id itself."""
+    def nearest(self, query_id: int, raw: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (vec_ids, scores) other than query_id itself; those under a floor may be left out."""
         q = to_integers(raw[None])[0]
         point = np.append(q.astype(np.float64), 0.0)
         slack = 1e-9 * (1 + float((point**2).sum()) + self.most) ** 0.5 + 1e-6
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        limit, base = np.inf, float((point**2).sum()) + self.most
+        base = float((point**2).sum()) + self.most
+        # a score of a long's end may stand for a larger one, and so bounds nothing
+        limit = max(0.0, base - 2.0 * float(floor)) ** 0.5 if floor is not None and abs(floor) < _LONG else np.inf
 
         def reach(at: np.ndarray) -> np.ndarray:
             return np.sqrt(((self.points[at] - point) ** 2).sum(1))
@@ -131,7 +134,7 @@ class MTree:
                     scores = np.concatenate([scores, exact_dot(self.exact[maybe], q)])
                     ids, scores = best_of(ids, scores, k)
                     if len(ids) == k:
-                        limit = max(0.0, base - 2.0 * float(scores[-1])) ** 0.5
+                        limit = min(limit, max(0.0, base - 2.0 * float(scores[-1])) ** 0.5)
                 continue
             maybe = np.flatnonzero(np.abs(to_pivot - node.to_self) - node.radii <= limit + slack)
             if len(maybe):
@@ -149,9 +152,9 @@ class MTree:
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each row whose id `every` divides."""
 
-    def probe(tree: MTree, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def probe(tree: MTree, ids: np.ndarray, rows: np.ndarray, floors: dict[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for query, row in zip(ids.tolist(), rows, strict=True):
-            found, scores = tree.nearest(query, row, k)
+            found, scores = tree.nearest(query, row, k, floors.get(query))
             yield query, found, scores
 
     return search(vectors, F.col("vec_id") % every == 0, k, MTree, probe, "bigint", id_col, vector_col)

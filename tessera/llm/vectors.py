@@ -5,7 +5,8 @@ often an id repeats, and each shard becomes
 one index, held as one row of bytes. Queries are dealt into blocks of bounded
 size. Each block meets each shard of its own dimension once, in a task that
 holds one shard and one block, and gives at most k rows a query; the k best of
-these are the result.
+these are the result. A dimension's first shard is searched before its others,
+which then need no rows that score less than a query's k-th best there.
 
 Vectors that are null, empty, or hold null or non-finite components take no
 part, nor do rows without an id. Rows that repeat an id are candidates each,
@@ -72,7 +73,8 @@ def search(vectors: DataFrame, queries, k: int, make: Callable, probe: Callable,
     """query_id, rank, vec_id, score.
 
     queries: predicate column over vec_id. make(ids, rows) gives a shard's
-    index; probe(index, ids, rows) yields (query_id, vec_ids, scores).
+    index; probe(index, ids, rows, floors) yields (query_id, vec_ids, scores), and
+    may leave out rows that score less than the query's floor, if it has one.
     """
     bounded_batches(vectors.sparkSession)
     vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -81,7 +83,7 @@ def search(vectors: DataFrame, queries, k: int, make: Callable, probe: Callable,
     blocks = _dealt(rows.where(queries), BLOCK_ROWS, lambda ids, values: (ids, values), "query-blocks")
     counts = shards.select("dim", F.col("parts").alias("shards")).distinct()
     sent = blocks.select("dim", F.col("part").alias("block"), F.col("blob").alias("asked")).join(counts, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("part"), "block", "asked")
-    met = shards.select("dim", "part", "blob").join(sent, ["dim", "part"]).select("dim", "part", "blob", "asked")
+    met = shards.select("dim", "part", "blob").join(sent, ["dim", "part"]).select("dim", "part", "block", "blob", "asked")
     kind = pa.int64() if score_type == "bigint" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,16 +92,28 @@ def search(vectors: DataFrame, queries, k: int, make: Callable, probe: Callable,
             for i in range(batch.num_rows):
                 name = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
                 if name != held:
-                    held, index = name, pickle.loads(batch.column(2)[i].as_py())
-                ids, values = pickle.loads(batch.column(3)[i].as_py())
+                    held, index = name, pickle.loads(batch.column(3)[i].as_buffer())
+                ids, values = pickle.loads(batch.column(4)[i].as_buffer())
+                floors = {f["query_id"]: f["score"] for f in batch.column(5)[i].as_py() or []}
                 q, v, s = [], [], []
-                for query, found, scores in probe(index, ids, values):
+                for query, found, scores in probe(index, ids, values, floors):
                     q.append(np.full(len(found), query, np.int64))
                     v.append(found)
                     s.append(scores)
                 if q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(v)), pa.array(np.concatenate(s), kind)], ["query_id", "vec_id", "score"])
-
-    hits = met.mapInArrow(run, HITS.format(score=score_type))
+                    n = sum(map(len, q))
+                    block = np.full(n, batch.column(2)[i].as_py(), np.int32)
+                    columns = [pa.array(np.full(n, name[0], np.int32)), pa.array(block), pa.array(np.concatenate(q)), pa.array(np.concatenate(v)), pa.array(np.concatenate(s), kind)]
+                    yield pa.RecordBatch.from_arrays(columns, ["dim", "block", "query_id", "vec_id", "score"])
+
+    schema = "dim int, block int, " + HITS.format(score=score_type)
+    columns = ["dim", "part", "block", "blob", "asked", "floors"]
+    hits_of = lambda rows: rows.select(columns).mapInArrow(run, schema)
+    # the first shard's k-th best scores are floors for all other shards
+    none = F.lit(None).cast(f"array<struct<query_id:bigint,score:{score_type}>>")
+    first = keep(hits_of(met.where("part = 0").withColumn("floors", none)), "hits")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("dim", "query_id").orderBy(F.col("score").desc(), "vec_id")))
+    floors = ranked.where(F.col("rank") == k).groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "score")).alias("floors"))
+    hits = first.unionByName(hits_of(met.where("part > 0").join(floors, ["dim", "block"], "left")))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

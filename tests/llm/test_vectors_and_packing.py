@@ -206,3 +206,20 @@ def test_mtree_orders_scores_beyond_a_long():
     big = mtree.MTree(np.arange(1, 4), np.array([[1e16, 1.0], [4e16, 3.0], [2e16, 3.0]]))
     ids, scores = big.nearest(0, np.array([1e16, 1.0]), 2)
     assert ids.tolist() == [2, 3] and scores.tolist() == [mtree._LONG] * 2
+
+
+def test_floors_of_the_first_shard_lose_nothing(spark, monkeypatch):
+    from tessera.llm import mtree, vectors
+
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 40)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 3)
+    test_mtree_is_exact(spark)
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-40, 40, (900, 6)).astype(float) / 8
+    tree = mtree.MTree(np.arange(900), rows)
+    for q in range(0, 900, 90):
+        ids, scores = tree.nearest(q, rows[q], 10)
+        for floor in (int(scores[-1]), int(scores[3])):
+            kept = [(i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True) if s >= floor]
+            again = list(zip(*[x.tolist() for x in tree.nearest(q, rows[q], 10, floor)], strict=True))
+            assert again[: len(kept)] == kept
