@@ -249,7 +249,7 @@ def _names(text: np.ndarray, starts: np.ndarray, marks: np.ndarray, names: np.nd
                 # a substring's end is a start; marked, it sorts after the same symbol unmarked
                 value = (text[p].astype(np.uint64) << np.uint64(1)) | (marks[p] & ((at + k) > 0)).astype(np.uint64)
                 word = (word << np.uint64(bits)) | np.where(inside, value + np.uint64(1), np.uint64(0))
-            order = np.argsort(word, kind="stable") if at == 0 else np.lexsort((word, rank[open_]))
+            order = np.argsort(word) if at == 0 else np.lexsort((word, rank[open_]))
             r, w = rank[open_][order], word[order]
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])
             # ranks are places, so that splitting one rank leaves the others' order
@@ -263,9 +263,11 @@ def _names(text: np.ndarray, starts: np.ndarray, marks: np.ndarray, names: np.nd
             alone[order] = size[np.cumsum(new) - 1] == 1
             done = s + at > e
             open_ = open_[~alone & ~done]
-        distinct, names_here = np.unique(rank, return_inverse=True)
-        names[group] = names_here + total
-        total += len(distinct)
+        taken = np.zeros(len(rank), np.int64)
+        taken[rank] = 1
+        number = np.cumsum(taken)
+        names[group] = number[rank] - 1 + total
+        total += int(number[-1])
     return total
 
 
