@@ -8,7 +8,9 @@ words one bit apart always share one of these codeword numbers (one or six
 for each word). Equal segment and codeword number make a key; fingerprints
 that share a key are verified bit by bit. Only distinct fingerprints take
 part, and a bucket gives a spanning forest of its verified links, never all
-of its pairs; connected components over these links finish the job.
+of its pairs; a bucket of more than SPLIT fingerprints, as of a family of
+templates, is dealt again by parts of the segment that its key leaves out.
+Connected components over these links finish the job.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like
 any other; texts of one or two words have one shingle; very long texts are
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, blocks, bounded_batches, raw_bytes, release, text_frame
+from tessera.llm.blocks import LOWER, blocks, bounded_batches, mix, raw_bytes, release, text_frame
 from tessera.operators.graph import connected_components
 from tessera.session import keep
 
@@ -38,6 +40,8 @@ GOLAY = 0b110001110101
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Shingles voted on at a time.
 VOTES = 1 << 16
+#: Fingerprints of a bucket that one task holds; those of larger buckets get narrower keys and meet again.
+SPLIT = 20_000
 
 
 def fingerprint(words: list[bytes], k: int = SHINGLE) -> int:
@@ -177,20 +181,62 @@ def links(distinct: DataFrame) -> DataFrame:
                 at, keys = fuzzy_keys(fp[lo : lo + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[lo : lo + 20_000][at])], ["key", "fp"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keyed = distinct.select("fp").mapInArrow(emit, "key bigint, fp bigint")
+    met = keep(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(SPLIT), MET), "simhash-met")
+    again = met.where("key is not null").select("key", F.col("a").alias("fp")).repartition("key").sortWithinPartitions("key")
+    return met.where("key is null").select("a", "b").unionByName(again.mapInArrow(_meet(None), MET).select("a", "b"))
+
+
+MET = "a bigint, b bigint, key bigint"
+
+
+def split_keys(key: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fp): narrower keys of the fingerprints of a crowded bucket, three each.
+
+    Two of them within two bits of each other have one of three parts of the segment that the key leaves out in common.
+    """
+    j, i = [(j, i) for j in range(3) for i in range(3) if i != j][key >> 40]
+    begin, width = SEGMENTS[3 - i - j]
+    cut = [begin + width * part // 3 for part in range(4)]
+    parts = [(fp.view(np.uint64) >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+    keys = [mix(mix(np.full(len(fp), key * 3 + n, np.uint64)) ^ part) for n, part in enumerate(parts)]
+    return np.concatenate(keys).view(np.int64), np.tile(fp, 3)
+
+
+def _meet(split: int | None):
+    """Links of buckets of rows sorted by key; buckets of more than `split` rows pass on as rows with narrower keys, never held whole."""
+
+    def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a, b = bucket_links(key, fp)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+
+    def passed(key: int, fp: np.ndarray) -> pa.RecordBatch:
+        keys, again = split_keys(key, fp)
+        return pa.RecordBatch.from_arrays([pa.array(again), pa.nulls(len(again), pa.int64()), pa.array(keys)], ["a", "b", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_k, held_f, crowded = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
-            held_k, held_f = np.concatenate([held_k, batch.column(0).to_numpy()]), np.concatenate([held_f, batch.column(1).to_numpy()])
-            whole = int(np.searchsorted(held_k, held_k[-1], "left")) if len(held_k) else 0
-            a, b = bucket_links(held_k[:whole], held_f[:whole])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if crowded is not None:
+                n = int(np.searchsorted(k, crowded, "right"))
+                if n:
+                    yield passed(crowded, f[:n])
+                k, f = k[n:], f[n:]
+            if not len(k):
+                continue
+            crowded = None
+            held_k, held_f = np.concatenate([held_k, k]), np.concatenate([held_f, f])
+            whole = int(np.searchsorted(held_k, held_k[-1], "left"))
+            yield linked(held_k[:whole], held_f[:whole])
             held_k, held_f = held_k[whole:], held_f[whole:]
-        a, b = bucket_links(held_k, held_f)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if split is not None and len(held_k) > split:
+                crowded = int(held_k[0])
+                yield passed(crowded, held_f)
+                held_k, held_f = held_k[:0], held_f[:0]
+        yield linked(held_k, held_f)
 
-    keyed = distinct.select("fp").mapInArrow(emit, "key bigint, fp bigint")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a bigint, b bigint")
+    return run
 
 
 def components(distinct: DataFrame) -> DataFrame:

@@ -412,3 +412,34 @@ def test_chat_orders_null_and_empty_roles_alike(spark):
     df = spark.createDataFrame([(1, 0, None, "b"), (1, 0, "", "a"), (1, 0, "", None)], "conv_id long, turn long, role string, text string")
     row = chat.digest(chat.format_turns(df)).first()
     assert row.turns_sha256 == hashlib.sha256(b"\n\n\na\n\nb\n").hexdigest()
+
+
+def test_crowded_buckets_are_dealt_again(spark, monkeypatch):
+    from tessera.llm import simhash
+
+    rng = np.random.default_rng(12)
+    base = int(rng.integers(0, 1 << 62))
+    family = {base ^ sum(1 << int(b) for b in rng.choice(18, 3, replace=False)) << 46 >> 0 for _ in range(300)}
+    fp = np.array(sorted({f & ((1 << 63) - 1) for f in family} | {int(x) for x in rng.integers(0, 1 << 62, 200)}), np.int64)
+    want = {tuple(sorted(p)) for p in ((int(a), int(b)) for i, a in enumerate(fp) for b in fp[:i]) if (p[0] ^ p[1]).bit_count() <= 2}
+
+    def groups(links):
+        parent = {int(x): int(x) for x in fp}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        out = {}
+        for x in parent:
+            out.setdefault(root(x), set()).add(x)
+        return {frozenset(g) for g in out.values()}
+
+    frame = spark.createDataFrame([(int(x),) for x in fp], "fp long").repartition(3)
+    for split in (20_000, 5):
+        monkeypatch.setattr(simhash, "SPLIT", split)
+        found = {tuple(sorted((r.a, r.b))) for r in simhash.links(frame).collect()}
+        assert found <= want and groups(found) == groups(want)
