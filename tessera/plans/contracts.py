@@ -14,15 +14,20 @@ from tessera.session import table
 
 
 @query("wide_to_long", 22, 23, sql="""
-SELECT l_orderkey, l_linenumber, name, round(value, 6) AS value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem WHERE l_linestatus = 'F') ON l_quantity, l_discount INTO NAME name VALUE value)""")
+SELECT l_orderkey, l_linenumber, name, round(value, 6) AS value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax
+  FROM lineitem WHERE l_linestatus = 'F') ON l_quantity, l_discount INTO NAME name VALUE value)""")
 def wide_to_long(spark: SparkSession, sf: str) -> DataFrame:
     wide = table(spark, sf, "lineitem").where("l_linestatus = 'F'").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
     return wide.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount"], "name", "value").withColumn("value", F.round("value", 6))
 
 
 @query("content_manifest", 38, 39, 40, 33, 92, 222, sql="""
-WITH f AS (SELECT source, CAST(doc_id AS VARCHAR) AS name, sha256(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS bytes, len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS newlines FROM documents)
-SELECT source, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(newlines) AS BIGINT) AS newlines, sha256(string_agg(name || '  ' || h, chr(10) ORDER BY name)) AS tree FROM f GROUP BY source""")
+WITH f AS (SELECT source, CAST(doc_id AS VARCHAR) AS name, sha256(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS bytes,
+    len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS newlines
+  FROM documents)
+SELECT source, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(newlines) AS BIGINT) AS newlines,
+    sha256(string_agg(name || '  ' || h, chr(10) ORDER BY name)) AS tree
+  FROM f GROUP BY source""")
 def content_manifest(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     f = table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("name"), F.sha2(text, 256).alias("h"), F.octet_length(text).cast("bigint").alias("bytes"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint").alias("newlines"))
@@ -31,7 +36,9 @@ def content_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("export_tables", 35, 36, 42, 45, sql="""
-SELECT substr(sha256('export|' || CAST(s_suppkey AS VARCHAR)), 1, 16) AS surrogate, CASE WHEN s_acctbal IS NULL THEN '' WHEN s_acctbal = floor(s_acctbal) THEN CAST(CAST(s_acctbal AS BIGINT) AS VARCHAR) ELSE 'real' END AS shown FROM supplier""")
+SELECT substr(sha256('export|' || CAST(s_suppkey AS VARCHAR)), 1, 16) AS surrogate,
+    CASE WHEN s_acctbal IS NULL THEN '' WHEN s_acctbal = floor(s_acctbal) THEN CAST(CAST(s_acctbal AS BIGINT) AS VARCHAR) ELSE 'real' END AS shown
+  FROM supplier""")
 def export_tables(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.functions.values import number_text
 
@@ -47,7 +54,9 @@ def open_splits_only(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("head_audit", 68, 15, 16, sql="""
 WITH h AS (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100)
-SELECT count(*) AS called, count(*) FILTER (WHERE l_returnflag = 'N') AS phased, round(count(*) FILTER (WHERE l_returnflag = 'N') / nullif(count(*), 0)::DOUBLE, 9) AS share FROM h""")
+SELECT count(*) AS called, count(*) FILTER (WHERE l_returnflag = 'N') AS phased,
+    round(count(*) FILTER (WHERE l_returnflag = 'N') / nullif(count(*), 0)::DOUBLE, 9) AS share
+  FROM h""")
 def head_audit(spark: SparkSession, sf: str) -> DataFrame:
     head = table(spark, sf, "lineitem").orderBy("l_orderkey", "l_linenumber").limit(100)
     return head.agg(F.count("*").alias("called"), F.count_if(F.col("l_returnflag") == "N").alias("phased")).withColumn("share", F.round(F.try_divide("phased", "called"), 9))
@@ -72,7 +81,8 @@ def order_invariance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("positional_pairing", 96, 216, sql="""
-WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS left_key FROM part), b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey AS right_key FROM orders)
+WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS left_key
+  FROM part), b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey AS right_key FROM orders)
 SELECT left_key, right_key FROM a JOIN b USING (i)""")
 def positional_pairing(spark: SparkSession, sf: str) -> DataFrame:
     number = lambda df, c, n: numbering.numbered(df.select(c), "i", c).select("i", F.col(c).alias(n))
@@ -80,7 +90,9 @@ def positional_pairing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("simulated_genotypes", 166, sql="""
-WITH g AS (SELECT s.r AS site, p.r AS person, (('0x' || substr(md5('sim:' || s.r || ':' || p.r || ':a'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) < 0.3 AS a, (('0x' || substr(md5('sim:' || s.r || ':' || p.r || ':b'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) < 0.3 AS b FROM range(50) s(r), range(200) p(r))
+WITH g AS (SELECT s.r AS site, p.r AS person, (('0x' || substr(md5('sim:' || s.r || ':' || p.r || ':a'), 1,
+    8))::BIGINT / 4294967296.0::DOUBLE) < 0.3 AS a, (('0x' || substr(md5('sim:' || s.r || ':' || p.r || ':b'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) < 0.3 AS b
+  FROM range(50) s(r), range(200) p(r))
 SELECT site, count(*) AS n, CAST(sum(CAST(a AS INT) + CAST(b AS INT)) AS BIGINT) AS dosage FROM g GROUP BY site""")
 def simulated_genotypes(spark: SparkSession, sf: str) -> DataFrame:
     grid = spark.range(50).select(F.col("id").alias("site")).crossJoin(spark.range(200).select(F.col("id").alias("person")))
@@ -111,7 +123,9 @@ b{k} AS (SELECT chrom, block, start, stop,
 
 
 @query("guarded_block_holdout", 207, views="variant", sql=f"""
-WITH b0 AS (SELECT DISTINCT chrom, chrom || ':' || CAST(pos // 100000 AS VARCHAR) AS block, pos // 100000 * 100000 AS start, pos // 100000 * 100000 + 100000 AS stop, 'train' AS role FROM variant),
+WITH b0 AS (SELECT DISTINCT chrom, chrom || ':' || CAST(pos // 100000 AS VARCHAR) AS block, pos // 100000 * 100000 AS start,
+    pos // 100000 * 100000 + 100000 AS stop, 'train' AS role
+  FROM variant),
 {_holdout_sql(1, "test", 0.02)},
 {_holdout_sql(2, "validation", 0.03)}
 SELECT * FROM b2""")
@@ -123,8 +137,12 @@ def guarded_block_holdout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("scalar_math", 221, 223, 226, sql="""
-SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS argmax, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm, round(ln(1 + abs(CAST(embedding[1] AS DOUBLE))), 9) AS log1p, round_even(CAST(label AS DOUBLE) / 4, 0) AS half_even,
-  round(least(greatest(CAST(embedding[2] AS DOUBLE), -0.1), 0.1), 7) AS clipped, strftime(make_timestamp(1700000000000000 + vec_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM embeddings""")
+SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS argmax,
+    round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm,
+    round(ln(1 + abs(CAST(embedding[1] AS DOUBLE))), 9) AS log1p, round_even(CAST(label AS DOUBLE) / 4, 0) AS half_even,
+  round(least(greatest(CAST(embedding[2] AS DOUBLE), -0.1), 0.1), 7) AS clipped,
+      strftime(make_timestamp(1700000000000000 + vec_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp
+    FROM embeddings""")
 def scalar_math(spark: SparkSession, sf: str) -> DataFrame:
     e = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     stamp = F.date_format(F.timestamp_seconds(F.lit(1700000000) + F.col("vec_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -132,7 +150,8 @@ def scalar_math(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("arm_registry", 229, 230, sql="""
-SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 7) AS first, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 7) AS mean FROM embeddings""")
+SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 7) AS first, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 7) AS mean
+  FROM embeddings""")
 def arm_registry(spark: SparkSession, sf: str) -> DataFrame:
     return _arms(table(spark, sf, "embeddings"))
 
@@ -145,9 +164,11 @@ def _arms(embeddings: DataFrame) -> DataFrame:
 
 @query("schema_contract", 61, 137, sql="""
 SELECT table_name AS name, CAST(count(*) AS INTEGER) AS columns,
-  coalesce(string_agg(column_name, ',' ORDER BY ordinal_position) FILTER (WHERE lower(column_name) IN ('name', 'email', 'phone', 'address', 'birth_date')), '') AS identifying
+  coalesce(string_agg(column_name, ',' ORDER BY ordinal_position) FILTER (WHERE lower(column_name) IN ('name', 'email', 'phone', 'address',
+      'birth_date')), '') AS identifying
 FROM information_schema.columns
-WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings') GROUP BY table_name""")
+WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings')
+  GROUP BY table_name""")
 def schema_contract(spark: SparkSession, sf: str) -> DataFrame:
     names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
     found = [(n, len(table(spark, sf, n).columns), ",".join(guards.identifying_paths(table(spark, sf, n).schema))) for n in names]
@@ -155,7 +176,8 @@ def schema_contract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("interval_contract", 59, views="interval", sql="""
-SELECT 'empty' AS problem, chrom, start FROM interval WHERE start >= stop UNION ALL SELECT 'overlap', a.chrom, a.start FROM interval a JOIN interval b ON a.chrom = b.chrom AND a.start < b.start AND b.start < a.stop GROUP BY ALL""")
+SELECT 'empty' AS problem, chrom, start FROM interval WHERE start >= stop UNION ALL SELECT 'overlap', a.chrom, a.start FROM interval a
+  JOIN interval b ON a.chrom = b.chrom AND a.start < b.start AND b.start < a.stop GROUP BY ALL""")
 def interval_contract(spark: SparkSession, sf: str) -> DataFrame:
     spans = v.interval(spark, sf).select("chrom", "start", "stop")
     crossing = intervals.overlapping(spans, spans).where("start < r_start").select(F.lit("overlap").alias("problem"), "chrom", "start").distinct()

@@ -16,14 +16,16 @@ from tessera.session import table
 
 
 @query("interval_cover_value", 84, 31, views="variant interval", sql="""
-WITH c AS (SELECT v.variant, arg_max(i.score, (i.start, i.stop, i.score)) AS value FROM variant v JOIN interval i ON v.chrom = i.chrom AND i.start <= v.pos AND v.pos < i.stop GROUP BY v.variant)
+WITH c AS (SELECT v.variant, arg_max(i.score, (i.start, i.stop, i.score)) AS value FROM variant v
+  JOIN interval i ON v.chrom = i.chrom AND i.start <= v.pos AND v.pos < i.stop GROUP BY v.variant)
 SELECT v.variant, coalesce(c.value, 0.0) AS value FROM variant v LEFT JOIN c USING (variant)""")
 def interval_cover_value(spark: SparkSession, sf: str) -> DataFrame:
     return i.cover_value(v.variant(spark, sf), v.interval(spark, sf), "variant").select("variant", "value")
 
 
 @query("interval_coverage", 85, 89, views="variant interval", sql="""
-SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM interval i WHERE i.chrom = v.chrom AND i.start <= v.pos AND v.pos < i.stop)) AS covered, count(*) AS points FROM variant v""")
+SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM interval i WHERE i.chrom = v.chrom AND i.start <= v.pos AND v.pos < i.stop)) AS covered, count(*) AS points
+  FROM variant v""")
 def interval_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return i.covered_count(v.variant(spark, sf), v.interval(spark, sf))
 
@@ -37,14 +39,16 @@ def nearest_site_decay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("cis_window_join", 87, views="variant interval", sql="""
-SELECT v.variant, i.start AS center, v.pos - i.start AS offset_bp FROM variant v JOIN interval i ON v.chrom = i.chrom AND abs(v.pos - i.start) <= 50000""")
+SELECT v.variant, i.start AS center, v.pos - i.start AS offset_bp FROM variant v
+  JOIN interval i ON v.chrom = i.chrom AND abs(v.pos - i.start) <= 50000""")
 def cis_window_join(spark: SparkSession, sf: str) -> DataFrame:
     centers = v.interval(spark, sf).select("chrom", F.col("start").alias("center"))
     return i.within_radius(centers, v.variant(spark, sf), 50_000).select("variant", "center", (F.col("pos") - F.col("center")).alias("offset_bp"))
 
 
 @query("interval_overlap_join", 88, views="interval", sql="""
-SELECT a.chrom, a.start, b.start AS r_start, least(a.stop, b.stop) - greatest(a.start, b.start) AS shared FROM interval a JOIN interval b ON a.chrom = b.chrom AND a.start < b.stop AND b.start < a.stop AND a.start < b.start""")
+SELECT a.chrom, a.start, b.start AS r_start, least(a.stop, b.stop) - greatest(a.start, b.start) AS shared FROM interval a
+  JOIN interval b ON a.chrom = b.chrom AND a.start < b.stop AND b.start < a.stop AND a.start < b.start""")
 def interval_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
     spans = v.interval(spark, sf).select("chrom", "start", "stop")
     return i.overlapping(spans, spans).where("start < r_start").select("chrom", "start", "r_start", (F.least("stop", "r_stop") - F.greatest("start", "r_start")).alias("shared"))
@@ -66,7 +70,8 @@ def block_tiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("map_interpolation", 206, 30, views="variant", sql="""
 WITH m AS (SELECT chrom, pos AS x, CAST(variant % 97 + variant AS DOUBLE) / 100 AS y FROM variant WHERE variant % 11 = 0),
-b AS (SELECT v.chrom, v.pos, v.variant, (SELECT max(x) FROM m WHERE m.chrom = v.chrom AND x <= v.pos) AS lx, (SELECT min(x) FROM m WHERE m.chrom = v.chrom AND x >= v.pos) AS rx FROM variant v)
+b AS (SELECT v.chrom, v.pos, v.variant, (SELECT max(x) FROM m WHERE m.chrom = v.chrom AND x <= v.pos) AS lx, (SELECT min(x)
+  FROM m WHERE m.chrom = v.chrom AND x >= v.pos) AS rx FROM variant v)
 SELECT b.variant, round(CASE WHEN lx IS NULL THEN r.y WHEN rx IS NULL OR lx = rx THEN l.y ELSE l.y + (r.y - l.y) * (b.pos - lx) / (rx - lx) END, 9) AS value
 FROM b LEFT JOIN m l ON l.chrom = b.chrom AND l.x = lx LEFT JOIN m r ON r.chrom = b.chrom AND r.x = rx""")
 def map_interpolation(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,20 +87,25 @@ def monotone_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("curve_tail_mean", 192, views="curve", sql="""
-SELECT cell, round(CASE WHEN count(*) = 5 THEN avg(metric) END, 9) AS tail FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY step DESC) AS n FROM curve WHERE step <= 40) WHERE n <= 5 GROUP BY cell""")
+SELECT cell, round(CASE WHEN count(*) = 5 THEN avg(metric) END, 9) AS tail
+  FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY step DESC) AS n FROM curve WHERE step <= 40) WHERE n <= 5 GROUP BY cell""")
 def curve_tail_mean(spark: SparkSession, sf: str) -> DataFrame:
     return c.tail_mean(v.curve(spark, sf), 40).select("cell", F.round("tail", 9).alias("tail"))
 
 
 @query("curve_rolling_mean", 193, views="curve", sql="""
-SELECT cell, step, round(rolling, 9) AS rolling FROM (SELECT cell, step, avg(metric) OVER w AS rolling, count(*) OVER w AS n FROM curve WINDOW w AS (PARTITION BY cell ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE n = 5""")
+SELECT cell, step, round(rolling, 9) AS rolling FROM (SELECT cell, step, avg(metric) OVER w AS rolling, count(*) OVER w AS n
+  FROM curve WINDOW w AS (PARTITION BY cell ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE n = 5""")
 def curve_rolling_mean(spark: SparkSession, sf: str) -> DataFrame:
     return c.rolling_mean(v.curve(spark, sf)).select("cell", "step", F.round("rolling", 9).alias("rolling"))
 
 
 @query("curve_interval_drops", 194, 195, views="curve", sql="""
-WITH m AS (SELECT cell, step, CASE WHEN count(*) OVER w = 5 THEN avg(metric) OVER w END AS mean FROM curve WINDOW w AS (PARTITION BY cell ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
-t AS (SELECT cell, arg_max(mean, step) FILTER (WHERE step <= 5) AS t5, arg_max(mean, step) FILTER (WHERE step <= 8) AS t8, arg_max(mean, step) FILTER (WHERE step <= 12) AS t12 FROM m GROUP BY cell HAVING max(step) >= 12),
+WITH m AS (SELECT cell, step, CASE WHEN count(*) OVER w = 5 THEN avg(metric) OVER w END AS mean
+  FROM curve WINDOW w AS (PARTITION BY cell ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+t AS (SELECT cell, arg_max(mean, step) FILTER (WHERE step <= 5) AS t5, arg_max(mean, step) FILTER (WHERE step <= 8) AS t8,
+    arg_max(mean, step) FILTER (WHERE step <= 12) AS t12
+  FROM m GROUP BY cell HAVING max(step) >= 12),
 d AS (SELECT cell, t5 - t8 AS a, t8 - t12 AS b FROM t)
 SELECT cell, round(a, 9) AS drop_5_8, round(b, 9) AS drop_8_12, a <= 2 AND b <= 2 AS all_small, a > 0 AND b > 0 AS all_positive,
   CASE WHEN NOT (a <= 2 AND b <= 2) THEN 'NOT_STABLE' WHEN b / a > 1 THEN 'STABLE_BUT_ACCELERATING' ELSE 'STABLE' END AS shape FROM d""")
@@ -107,7 +117,8 @@ def curve_interval_drops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("curve_degradation", 196, views="curve", sql="""
-WITH r AS (SELECT cell, step, avg(metric) OVER w AS x, count(*) OVER w AS n FROM curve WINDOW w AS (PARTITION BY cell ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+WITH r AS (SELECT cell, step, avg(metric) OVER w AS x, count(*) OVER w AS n
+  FROM curve WINDOW w AS (PARTITION BY cell ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
 d AS (SELECT cell, arg_max(x, step) - min(x) AS rise FROM r WHERE n = 5 GROUP BY cell)
 SELECT cell, round(rise, 9) AS rise, rise > 0.002 AS degraded FROM d""")
 def curve_degradation(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,14 +127,16 @@ def curve_degradation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("curve_late_change", 197, views="curve", sql="""
 WITH n AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY step DESC) AS n FROM curve)
-SELECT cell, round(CASE WHEN count(*) = 8 THEN avg(metric) FILTER (WHERE n <= 4) - avg(metric) FILTER (WHERE n > 4) END, 9) AS change FROM n WHERE n <= 8 GROUP BY cell""")
+SELECT cell, round(CASE WHEN count(*) = 8 THEN avg(metric) FILTER (WHERE n <= 4) - avg(metric) FILTER (WHERE n > 4) END, 9) AS change
+  FROM n WHERE n <= 8 GROUP BY cell""")
 def curve_late_change(spark: SparkSession, sf: str) -> DataFrame:
     return c.late_change(v.curve(spark, sf), 4).select("cell", F.round("change", 9).alias("change"))
 
 
 @query("curve_nonincreasing_fit", 198, views="curve", sql="""
 WITH k AS (SELECT * FROM curve),
-s AS (SELECT a.cell, a.step AS lo, b.step AS hi, (SELECT avg(metric) FROM k WHERE k.cell = a.cell AND k.step BETWEEN a.step AND b.step) AS mean FROM k a JOIN k b ON a.cell = b.cell AND a.step <= b.step),
+s AS (SELECT a.cell, a.step AS lo, b.step AS hi, (SELECT avg(metric) FROM k WHERE k.cell = a.cell AND k.step BETWEEN a.step AND b.step) AS mean
+  FROM k a JOIN k b ON a.cell = b.cell AND a.step <= b.step),
 f AS (SELECT i.cell, i.step, s.lo, max(s.mean) AS top FROM k i JOIN s ON s.cell = i.cell AND s.lo <= i.step AND s.hi >= i.step GROUP BY ALL)
 SELECT cell, step, round(min(top), 7) AS fit FROM f GROUP BY cell, step""")
 def curve_nonincreasing_fit(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,14 +145,16 @@ def curve_nonincreasing_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("curve_acceleration", 199, 93, views="curve", sql="""
 WITH k AS (SELECT * FROM curve WHERE cell LIKE '%:view' OR cell LIKE '%:click'),
-s AS (SELECT a.cell, a.step AS lo, b.step AS hi, (SELECT avg(metric) FROM k WHERE k.cell = a.cell AND k.step BETWEEN a.step AND b.step) AS mean FROM k a JOIN k b ON a.cell = b.cell AND a.step <= b.step),
+s AS (SELECT a.cell, a.step AS lo, b.step AS hi, (SELECT avg(metric) FROM k WHERE k.cell = a.cell AND k.step BETWEEN a.step AND b.step) AS mean
+  FROM k a JOIN k b ON a.cell = b.cell AND a.step <= b.step),
 t AS (SELECT i.cell, i.step, s.lo, max(s.mean) AS top FROM k i JOIN s ON s.cell = i.cell AND s.lo <= i.step AND s.hi >= i.step GROUP BY ALL),
 f AS (SELECT split_part(cell, ':', 1) AS cell, split_part(cell, ':', 2) AS kind, step, round(min(top), 9) AS fit FROM t GROUP BY ALL),
 e AS (SELECT cell, kind, max(fit) AS hi, min(fit) AS lo FROM f GROUP BY ALL),
 c AS (SELECT cell, min(hi) AS hi, max(lo) AS lo FROM e GROUP BY cell HAVING count(*) = 2 AND min(hi) > max(lo)),
 l AS (SELECT cell, n, hi - (hi - lo) * n / 6 AS level FROM c, range(1, 6) r(n)),
 r AS (SELECT l.cell, l.n, f.kind, min(f.step) AS step FROM l JOIN f ON f.cell = l.cell AND f.fit <= l.level GROUP BY ALL)
-SELECT x.cell, round(median(x.step / y.step), 9) AS speedup, count(*) AS levels FROM r x JOIN r y ON x.cell = y.cell AND x.n = y.n WHERE x.kind = 'view' AND y.kind = 'click' GROUP BY x.cell""")
+SELECT x.cell, round(median(x.step / y.step), 9) AS speedup, count(*) AS levels FROM r x
+  JOIN r y ON x.cell = y.cell AND x.n = y.n WHERE x.kind = 'view' AND y.kind = 'click' GROUP BY x.cell""")
 def curve_acceleration(spark: SparkSession, sf: str) -> DataFrame:
     curve = v.curve(spark, sf)
     kind = F.substring_index("cell", ":", -1)
@@ -150,21 +165,25 @@ def curve_acceleration(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("curve_step_check", 200, views="curve", sql="""
-SELECT cell, count(*) AS n FROM (SELECT cell, step * CASE WHEN cell LIKE '%:view' AND step > 10 THEN 2 ELSE 1 END AS step FROM curve) GROUP BY cell HAVING max(step) <> count(*) OR min(step) <> 1""")
+SELECT cell, count(*) AS n FROM (SELECT cell, step * CASE WHEN cell LIKE '%:view' AND step > 10 THEN 2 ELSE 1 END AS step FROM curve)
+  GROUP BY cell HAVING max(step) <> count(*) OR min(step) <> 1""")
 def curve_step_check(spark: SparkSession, sf: str) -> DataFrame:
     odd = F.when(F.col("cell").like("%:view") & (F.col("step") > 10), F.col("step") * 2).otherwise(F.col("step"))
     return c.step_violations(v.curve(spark, sf).withColumn("step", odd), 1, 1)
 
 
 @query("curve_boundary_change", 201, 202, views="curve", sql="""
-SELECT cell, round(arg_max(metric, step) FILTER (WHERE step <= 6) - arg_min(metric, step) FILTER (WHERE step > 6), 9) AS change FROM curve GROUP BY cell HAVING max(step) > 6""")
+SELECT cell, round(arg_max(metric, step) FILTER (WHERE step <= 6) - arg_min(metric, step) FILTER (WHERE step > 6), 9) AS change FROM curve
+  GROUP BY cell HAVING max(step) > 6""")
 def curve_boundary_change(spark: SparkSession, sf: str) -> DataFrame:
     curve = v.curve(spark, sf)
     return c.boundary_change(curve.where("step <= 6"), curve.where("step > 6")).select("cell", F.round("change", 9).alias("change"))
 
 
 @query("hash_keys", 172, 173, 174, 175, 222, sql="""
-WITH h AS (SELECT s_suppkey, sha256('s' || chr(31) || CAST(s_suppkey AS VARCHAR)) AS hex, sha256('s' || chr(9) || CAST(s_suppkey AS VARCHAR)) AS tab, substr(sha256('salt|' || CAST(s_suppkey AS VARCHAR)), 1, 16) AS surrogate FROM supplier)
+WITH h AS (SELECT s_suppkey, sha256('s' || chr(31) || CAST(s_suppkey AS VARCHAR)) AS hex, sha256('s' || chr(9) || CAST(s_suppkey AS VARCHAR)) AS tab,
+    substr(sha256('salt|' || CAST(s_suppkey AS VARCHAR)), 1, 16) AS surrogate
+  FROM supplier)
 SELECT s_suppkey, hex, tab, surrogate, row_number() OVER (ORDER BY substr(hex, 1, 16)) AS place FROM h""")
 def hash_keys(spark: SparkSession, sf: str) -> DataFrame:
     h = keys.stable_hex(F.lit("s"), "s_suppkey")
@@ -175,16 +194,20 @@ def hash_keys(spark: SparkSession, sf: str) -> DataFrame:
 @query("window_top_k", 176, 185, views="variant", sql="""
 WITH w AS (SELECT *, pos // 40000 AS win, sha256('seed' || chr(9) || CAST(variant AS VARCHAR)) AS h FROM variant),
 f AS (SELECT * FROM w QUALIFY dense_rank() OVER (PARTITION BY chrom ORDER BY win) <= 20)
-SELECT chrom, win, variant, row_number() OVER (PARTITION BY chrom, win ORDER BY h) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY chrom, win ORDER BY h) <= 3""")
+SELECT chrom, win, variant, row_number() OVER (PARTITION BY chrom, win ORDER BY h) AS rank FROM f
+  QUALIFY row_number() OVER (PARTITION BY chrom, win ORDER BY h) <= 3""")
 def window_top_k(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.variant(spark, sf).withColumn("win", F.floor(F.col("pos") / 40000))
     return s.top_by(s.first_windows(rows, "chrom", "win", 20), ["chrom", "win"], [keys.ranking_key(F.lit("seed"), "variant")], 3).select("chrom", "win", "variant", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("window_qc_retry", 58, 57, 98, views="genotype variant", sql="""
-WITH q AS (SELECT variant, count(*) AS n, count(dosage) AS called, least(sum(dosage) / (2.0 * count(dosage)), 1 - sum(dosage) / (2.0 * count(dosage))) AS maf FROM genotype GROUP BY variant),
-w AS (SELECT q.*, chrom, pos // 40000 AS win, row_number() OVER (PARTITION BY chrom, pos // 40000 ORDER BY sha256('qc' || chr(9) || CAST(variant AS VARCHAR))) AS try FROM q JOIN variant USING (variant)),
-r AS (SELECT *, CASE WHEN 1 - called / n::DOUBLE > 0.05 THEN 'missing' WHEN maf = 0 THEN 'monomorphic' WHEN maf < 0.4 THEN 'maf' ELSE 'pass' END AS reason FROM w WHERE try <= 6),
+WITH q AS (SELECT variant, count(*) AS n, count(dosage) AS called, least(sum(dosage) / (2.0 * count(dosage)), 1 - sum(dosage) / (2.0 * count(dosage))) AS maf
+  FROM genotype GROUP BY variant),
+w AS (SELECT q.*, chrom, pos // 40000 AS win, row_number() OVER (PARTITION BY chrom, pos // 40000 ORDER BY sha256('qc' || chr(9) || CAST(variant AS VARCHAR))) AS try
+  FROM q JOIN variant USING (variant)),
+r AS (SELECT *, CASE WHEN 1 - called / n::DOUBLE > 0.05 THEN 'missing' WHEN maf = 0 THEN 'monomorphic' WHEN maf < 0.4 THEN 'maf' ELSE 'pass' END AS reason
+  FROM w WHERE try <= 6),
 f AS (SELECT chrom, win, min(try) FILTER (WHERE reason = 'pass') AS hit FROM r GROUP BY ALL)
 SELECT r.reason, count(*) AS reads FROM r JOIN f USING (chrom, win) WHERE f.hit IS NULL OR r.try <= f.hit GROUP BY r.reason""")
 def window_qc_retry(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +221,8 @@ def window_qc_retry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("proportional_sample", 177, views="sample", sql="""
-WITH n AS (SELECT split, greatest(1, CAST(round_even(40 * count(*) / (SELECT count(*) FROM sample)::DOUBLE, 0) AS BIGINT)) AS quota FROM sample GROUP BY split)
+WITH n AS (SELECT split, greatest(1, CAST(round_even(40 * count(*) / (SELECT count(*) FROM sample)::DOUBLE, 0) AS BIGINT)) AS quota FROM sample
+  GROUP BY split)
 SELECT sample, split FROM sample JOIN n USING (split) QUALIFY row_number() OVER (PARTITION BY split ORDER BY sha256('p' || chr(9) || CAST(sample AS VARCHAR))) <= any_value(quota) OVER (PARTITION BY split)""")
 def proportional_sample(spark: SparkSession, sf: str) -> DataFrame:
     return s.proportional(v.sample(spark, sf), "split", [keys.ranking_key(F.lit("p"), "sample")], 40).select("sample", "split")
@@ -214,13 +238,15 @@ def largest_remainder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("population_split", 179, views="sample", sql="""
-SELECT sample, row_number() OVER (PARTITION BY stratum ORDER BY sha256('v' || chr(9) || CAST(sample AS VARCHAR))) <= least(greatest(floor(count(*) OVER (PARTITION BY stratum) * 0.25 + 0.5), 1), count(*) OVER (PARTITION BY stratum) - 1) AS is_validation FROM sample""")
+SELECT sample, row_number() OVER (PARTITION BY stratum ORDER BY sha256('v' || chr(9) || CAST(sample AS VARCHAR))) <= least(greatest(floor(count(*) OVER (PARTITION BY stratum) * 0.25 + 0.5), 1), count(*) OVER (PARTITION BY stratum) - 1) AS is_validation
+  FROM sample""")
 def population_split(spark: SparkSession, sf: str) -> DataFrame:
     return s.hash_split(v.sample(spark, sf), "stratum", "sample", "v", 0.25).select("sample", "is_validation")
 
 
 @query("split_firewall", 180, views="sample", sql="""
-SELECT sample, row_number() OVER (PARTITION BY split ORDER BY sha256('x' || chr(9) || CAST(sample AS VARCHAR))) <= 5 OR row_number() OVER (PARTITION BY split ORDER BY sha256('y' || chr(9) || CAST(sample AS VARCHAR))) <= 5 AS historic FROM sample""")
+SELECT sample, row_number() OVER (PARTITION BY split ORDER BY sha256('x' || chr(9) || CAST(sample AS VARCHAR))) <= 5 OR row_number() OVER (PARTITION BY split ORDER BY sha256('y' || chr(9) || CAST(sample AS VARCHAR))) <= 5 AS historic
+  FROM sample""")
 def split_firewall(spark: SparkSession, sf: str) -> DataFrame:
     return s.firewall(v.sample(spark, sf), "split", "sample", ["x", "y"], 5).select("sample", "historic")
 
@@ -234,10 +260,12 @@ def _left(part: str) -> str:
 
 @query("greedy_component_split", 181, 182, 107, sql=f"""
 WITH RECURSIVE u AS (SELECT o_custkey AS unit, count(*) AS size, o_custkey % 5 AS stratum FROM orders GROUP BY o_custkey),
-o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size DESC, sha256('seed' || chr(31) || CAST(stratum AS VARCHAR) || chr(31) || CAST(unit AS VARCHAR))) AS i,
+o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size DESC,
+    sha256('seed' || chr(31) || CAST(stratum AS VARCHAR) || chr(31) || CAST(unit AS VARCHAR))) AS i,
   CAST(sum(size) OVER (PARTITION BY stratum) AS DOUBLE) AS total FROM u),
 r AS (
-  SELECT DISTINCT stratum, CAST(0 AS BIGINT) AS i, unit - unit AS unit, CAST(0 AS BIGINT) AS size, '' AS split, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM o
+  SELECT DISTINCT stratum, CAST(0 AS BIGINT) AS i, unit - unit AS unit, CAST(0 AS BIGINT) AS size, '' AS split, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c
+    FROM o
   UNION ALL
   SELECT stratum, i, unit, size, best, a + size * CAST(best = 'train' AS INT), b + size * CAST(best = 'validation' AS INT), c + size * CAST(best = 'test' AS INT)
   FROM (SELECT *, list_sort([{_left("train")}, {_left("validation")}, {_left("test")}])[1].n AS best
@@ -249,7 +277,8 @@ def greedy_component_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("mode_stratum", 183, sql="""
-SELECT o_custkey, o_orderpriority FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) = 1""")
+SELECT o_custkey, o_orderpriority FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) = 1""")
 def mode_stratum(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
     return s.top_by(n, ["o_custkey"], [F.desc("n"), F.asc("o_orderpriority")], 1).select("o_custkey", "o_orderpriority")
@@ -263,7 +292,8 @@ def even_thinning(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("per_trait_top_k", 188, 189, 191, sql="""
-SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 10""")
+SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank
+  FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 10""")
 def per_trait_top_k(spark: SparkSession, sf: str) -> DataFrame:
     top = s.top_by(table(spark, sf, "lineitem"), ["l_returnflag"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 10)
     return top.select("l_returnflag", "l_orderkey", "l_linenumber", F.col("rank").cast("bigint").alias("rank"))
@@ -271,7 +301,8 @@ def per_trait_top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("factorial_schedule", 190, sql="""
 WITH g AS (SELECT a.n_nationkey AS nation, r_regionkey AS region, s AS seed FROM nation a, region, range(4) t(s)),
-p AS (SELECT *, row_number() OVER (ORDER BY sha256('plan' || chr(9) || CAST(nation AS VARCHAR) || chr(9) || CAST(region AS VARCHAR) || chr(9) || CAST(seed AS VARCHAR))) - 1 AS place FROM g)
+p AS (SELECT *, row_number() OVER (ORDER BY sha256('plan' || chr(9) || CAST(nation AS VARCHAR) || chr(9) || CAST(region AS VARCHAR) || chr(9) || CAST(seed AS VARCHAR))) - 1 AS place
+  FROM g)
 SELECT nation, region, seed, place, place % 4 AS worker, place // 4 AS round FROM p""")
 def factorial_schedule(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"))

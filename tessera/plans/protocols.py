@@ -16,20 +16,24 @@ THRESHOLDS = [0.0, 0.01, 0.05, 0.2, 0.5]
 
 
 @query("threshold_selection", 132, 133, views="genotype sample phenotype", sql="""
-WITH e AS (SELECT variant, (variant % 9 - 4) / 10.0::DOUBLE AS beta, (variant % 100) / 100.0::DOUBLE AS p FROM (SELECT DISTINCT variant FROM genotype)),
+WITH e AS (SELECT variant, (variant % 9 - 4) / 10.0::DOUBLE AS beta, (variant % 100) / 100.0::DOUBLE AS p FROM (SELECT DISTINCT variant
+  FROM genotype)),
 k AS (SELECT CAST(k AS INTEGER) AS place, [0.0, 0.01, 0.05, 0.2, 0.5][k + 1]::DOUBLE AS threshold FROM range(5) r(k)),
 n AS (SELECT place, threshold, count(*) FILTER (WHERE p < threshold) AS selected FROM k, e GROUP BY ALL),
 s AS (SELECT place, sample, sum(CASE WHEN p < threshold THEN dosage * beta ELSE 0 END) AS x
   FROM genotype JOIN e USING (variant), k WHERE dosage IS NOT NULL GROUP BY ALL),
-d AS (SELECT s.place, split, y, CAST(s.sample % 7 AS DOUBLE) AS c, x FROM s JOIN sample USING (sample) JOIN phenotype USING (sample) JOIN n USING (place) WHERE selected > 0),
+d AS (SELECT s.place, split, y, CAST(s.sample % 7 AS DOUBLE) AS c, x FROM s JOIN sample USING (sample) JOIN phenotype USING (sample)
+  JOIN n USING (place) WHERE selected > 0),
 m AS (SELECT place, avg(y) AS my, avg(c) AS mc, avg(x) AS mx FROM d WHERE split = 'train' GROUP BY place),
-t AS (SELECT d.place, sum((c - mc) * (c - mc)) AS cc, sum((x - mx) * (x - mx)) AS xx, sum((c - mc) * (x - mx)) AS cx, sum((c - mc) * (y - my)) AS cy, sum((x - mx) * (y - my)) AS xy
+t AS (SELECT d.place, sum((c - mc) * (c - mc)) AS cc, sum((x - mx) * (x - mx)) AS xx, sum((c - mc) * (x - mx)) AS cx, sum((c - mc) * (y - my)) AS cy,
+    sum((x - mx) * (y - my)) AS xy
   FROM d JOIN m USING (place) WHERE split = 'train' GROUP BY d.place),
 b AS (SELECT place, cy / cc AS a, (cy * xx - xy * cx) / (cc * xx - cx * cx) AS bc, (xy * cc - cy * cx) / (cc * xx - cx * cx) AS bx FROM t),
 r AS (SELECT d.place, 1 - sum(power(y - my - a * (c - mc), 2)) / sum(power(y - my, 2)) AS r2_a,
   1 - sum(power(y - my - bc * (c - mc) - bx * (x - mx), 2)) / sum(power(y - my, 2)) AS r2_b
   FROM d JOIN m USING (place) JOIN b USING (place) WHERE split = 'validation' GROUP BY d.place)
-SELECT threshold, selected, round(r2_a, 6) AS r2_a, round(r2_b, 6) AS r2_b, round(r2_b - r2_a, 6) AS gain, row_number() OVER (ORDER BY r2_b - r2_a DESC, place) = 1 AS chosen
+SELECT threshold, selected, round(r2_a, 6) AS r2_a, round(r2_b, 6) AS r2_b, round(r2_b - r2_a, 6) AS gain,
+    row_number() OVER (ORDER BY r2_b - r2_a DESC, place) = 1 AS chosen
 FROM r JOIN n USING (place)""")
 def threshold_selection(spark: SparkSession, sf: str) -> DataFrame:
     g = v.genotype(spark, sf)
@@ -60,7 +64,8 @@ _NORMAL = f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {DRAW.format("{0} || ':r'")}))
 @query("detection_power", 153, 165, sql=f"""
 WITH u AS (SELECT s.size, m.m, i.i FROM (SELECT unnest([5, 10, 20])::BIGINT AS size) s, range(100) m(m), range(20) i(i) WHERE i.i < s.size),
 x AS (SELECT *, {_NORMAL.format("'det:' || size || ':' || m || ':' || i")} AS x FROM u),
-d AS (SELECT size, m, b, CAST(floor({DRAW.format("'det-boot:' || size || ':' || m || ':' || b || ':' || i")} * size) AS BIGINT) AS i FROM u, range(100) b(b)),
+d AS (SELECT size, m, b, CAST(floor({DRAW.format("'det-boot:' || size || ':' || m || ':' || b || ':' || i")} * size) AS BIGINT) AS i
+  FROM u, range(100) b(b)),
 w AS (SELECT d.size, d.m, d.b, avg(x) AS mean FROM d JOIN x USING (size, m, i) GROUP BY ALL),
 l AS (SELECT size, m, quantile_cont(mean, 0.025) AS bound FROM w GROUP BY ALL),
 c AS (SELECT e.e AS effect, s.s AS spread FROM (SELECT unnest([0.5, 1.0])::DOUBLE AS e) e, (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS s) s),
@@ -76,14 +81,18 @@ def detection_power(spark: SparkSession, sf: str) -> DataFrame:
 @query("cell_spread", 154, 167, 168, sql=f"""
 WITH c AS (SELECT c_mktsegment AS cell, c_custkey AS id, c_custkey % 2 AS fold, c_acctbal / 10000.0::DOUBLE AS x FROM customer),
 r AS (SELECT rep, cell, fold, x, x * x AS x2, x + 0.5::DOUBLE * x * x + {DRAW.format("'cell:' || rep || ':' || id")} AS y FROM c, range(6) p(rep)),
-f AS (SELECT rep, cell, fold, regr_slope(y, x) AS s1, regr_intercept(y, x) AS i1, regr_slope(y, x2) AS s2, regr_intercept(y, x2) AS i2 FROM r GROUP BY ALL),
+f AS (SELECT rep, cell, fold, regr_slope(y, x) AS s1, regr_intercept(y, x) AS i1, regr_slope(y, x2) AS s2, regr_intercept(y, x2) AS i2 FROM r
+  GROUP BY ALL),
 m AS (SELECT rep, cell, fold, avg(y) AS m FROM r GROUP BY ALL),
 q AS (SELECT r.rep, r.cell, r.fold, 1 - sum(power(y - i1 - s1 * x, 2)) / sum(power(y - m, 2)) AS a, 1 - sum(power(y - i2 - s2 * x2, 2)) / sum(power(y - m, 2)) AS b
-  FROM r JOIN f ON f.rep = r.rep AND f.cell = r.cell AND f.fold = 1 - r.fold JOIN m ON m.rep = r.rep AND m.cell = r.cell AND m.fold = r.fold GROUP BY ALL),
+  FROM r JOIN f ON f.rep = r.rep AND f.cell = r.cell AND f.fold = 1 - r.fold JOIN m ON m.rep = r.rep AND m.cell = r.cell AND m.fold = r.fold
+    GROUP BY ALL),
 d AS (SELECT rep, cell, avg(b) - avg(a) AS delta FROM q GROUP BY ALL),
 s AS (SELECT cell, stddev_samp(delta) AS sigma, count(*) AS pilots FROM d GROUP BY cell),
-n AS (SELECT cell, sigma, pilots, (SELECT min(g) FROM (SELECT unnest([5, 10, 20, 50])::BIGINT AS g) z WHERE 1.96 * sigma / sqrt(g) < 0.01) AS needed FROM s)
-SELECT cell, pilots, round(sigma, 9) AS sigma, needed, CASE WHEN count(*) FILTER (WHERE needed IS NULL) OVER () = 0 THEN max(needed) OVER () END AS formal FROM n""")
+n AS (SELECT cell, sigma, pilots, (SELECT min(g) FROM (SELECT unnest([5, 10, 20, 50])::BIGINT AS g) z WHERE 1.96 * sigma / sqrt(g) < 0.01) AS needed
+  FROM s)
+SELECT cell, pilots, round(sigma, 9) AS sigma, needed, CASE WHEN count(*) FILTER (WHERE needed IS NULL) OVER () = 0 THEN max(needed) OVER () END AS formal
+  FROM n""")
 def cell_spread(spark: SparkSession, sf: str) -> DataFrame:
     """Pilots of a difference of two arms' cross-fitted R2 by cell, its spread, and the replicates that a margin needs."""
     c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("cell"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2).alias("fold"), (F.col("c_acctbal") / 10000.0).alias("x"))
@@ -106,7 +115,8 @@ def cell_spread(spark: SparkSession, sf: str) -> DataFrame:
 WITH RECURSIVE m AS (SELECT c_nationkey AS nation, c_mktsegment AS seg, avg(c_acctbal) AS y FROM customer GROUP BY ALL),
 c AS (SELECT nation, list(y ORDER BY seg) AS vec, max(y) AS score FROM m GROUP BY nation HAVING count(*) = 5),
 o AS (SELECT *, row_number() OVER (ORDER BY score DESC, nation) AS i FROM c),
-p AS (SELECT a.nation, b.nation AS other, corr(x.y, z.y) AS r FROM c a JOIN c b ON a.nation <> b.nation JOIN m x ON x.nation = a.nation JOIN m z ON z.nation = b.nation AND z.seg = x.seg GROUP BY ALL),
+p AS (SELECT a.nation, b.nation AS other, corr(x.y, z.y) AS r FROM c a JOIN c b ON a.nation <> b.nation JOIN m x ON x.nation = a.nation
+  JOIN m z ON z.nation = b.nation AND z.seg = x.seg GROUP BY ALL),
 k AS (SELECT nation, list(other) AS bad FROM p WHERE abs(r) > 0.8 OR abs(nation - other) < 2 GROUP BY nation),
 s AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS chosen
   UNION ALL
@@ -142,7 +152,9 @@ _RANK = "rank() OVER (PARTITION BY rep ORDER BY {0}) + (count(*) OVER (PARTITION
 
 
 @query("paired_rank_bootstrap", 161, sql=f"""
-WITH n AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n, s_acctbal AS y, CAST(s_nationkey AS DOUBLE) AS a, CAST(s_suppkey % 13 AS DOUBLE) AS b FROM supplier),
+WITH n AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n, s_acctbal AS y, CAST(s_nationkey AS DOUBLE) AS a,
+    CAST(s_suppkey % 13 AS DOUBLE) AS b
+  FROM supplier),
 d AS (SELECT rep, CAST(floor({DRAW.format("'rank:' || rep || ':' || i")} * n) AS BIGINT) AS i FROM n, range(40) r(rep)),
 k AS (SELECT rep, {_RANK.format("y")} AS ry, {_RANK.format("a")} AS ra, {_RANK.format("b")} AS rb FROM d JOIN n USING (i)),
 s AS (SELECT rep, corr(ra, ry) - corr(rb, ry) AS difference FROM k GROUP BY rep)

@@ -49,8 +49,10 @@ def free_text_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("flag_codes", 49, 50, 105, 106, sql="""
-WITH u AS (SELECT 'nation' AS col, CAST(c_nationkey AS DOUBLE) AS x FROM customer UNION ALL SELECT 'thousands', floor(c_acctbal / 1000) FROM customer),
-h AS (SELECT col, CAST(CAST(x AS BIGINT) AS VARCHAR) AS code, CASE WHEN x < 0 THEN 'below' WHEN x > 0 THEN 'above' ELSE 'NA' END AS sign, count(*) AS n FROM u GROUP BY ALL)
+WITH u AS (SELECT 'nation' AS col, CAST(c_nationkey AS DOUBLE) AS x FROM customer UNION ALL SELECT 'thousands', floor(c_acctbal / 1000)
+  FROM customer),
+h AS (SELECT col, CAST(CAST(x AS BIGINT) AS VARCHAR) AS code, CASE WHEN x < 0 THEN 'below' WHEN x > 0 THEN 'above' ELSE 'NA' END AS sign, count(*) AS n
+  FROM u GROUP BY ALL)
 SELECT col, code, sign, n, round(n / sum(n) OVER (PARTITION BY col), 9) AS share FROM h""")
 def flag_codes(spark: SparkSession, sf: str) -> DataFrame:
     wide = table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("nation"), F.floor(F.col("c_acctbal") / 1000).cast("double").cast("string").alias("thousands"))
@@ -61,7 +63,8 @@ def flag_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("truth_and_xor", 51, sql="""
-SELECT count(*) FILTER (WHERE (l_returnflag = 'R') <> (l_linestatus = 'F')) AS exactly_one, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM lineitem""")
+SELECT count(*) FILTER (WHERE (l_returnflag = 'R') <> (l_linestatus = 'F')) AS exactly_one, count(*) FILTER (WHERE l_returnflag = 'R') AS returned
+  FROM lineitem""")
 def truth_and_xor(spark: SparkSession, sf: str) -> DataFrame:
     told = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", " TRUE").otherwise("no").alias("a"), F.when(F.col("l_linestatus") == "F", "True").otherwise(None).alias("b"))
     a, b = values.truth(F.col("a")), values.truth(F.col("b"))
@@ -76,7 +79,8 @@ def region_exclusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("biallelic_sites", 53, 15, views="variant", sql="""
-SELECT chrom, count(*) AS sites, count(*) FILTER (WHERE length(ref) = 1 AND length(alt) = 1) AS biallelic, min(pos) AS first, max(pos) AS last FROM variant GROUP BY chrom""")
+SELECT chrom, count(*) AS sites, count(*) FILTER (WHERE length(ref) = 1 AND length(alt) = 1) AS biallelic, min(pos) AS first, max(pos) AS last
+  FROM variant GROUP BY chrom""")
 def biallelic_sites(spark: SparkSession, sf: str) -> DataFrame:
     single = values.single_base(F.col("ref"), F.col("alt"))
     return v.variant(spark, sf).groupBy("chrom").agg(F.count("*").alias("sites"), F.count_if(single).alias("biallelic"), F.min("pos").alias("first"), F.max("pos").alias("last"))
@@ -85,7 +89,8 @@ def biallelic_sites(spark: SparkSession, sf: str) -> DataFrame:
 @query("dosage_decode", 54, 231, sql="""
 WITH a AS (SELECT l_linenumber % 3 AS x, CAST(l_quantity AS BIGINT) % 2 AS y FROM lineitem),
 d AS (SELECT CASE WHEN x IN (0, 1) AND y IN (0, 1) THEN x + y END AS dosage FROM a)
-SELECT CAST(dosage AS BIGINT) AS dosage, CASE WHEN dosage IS NULL THEN 'missing' WHEN dosage = 0 THEN 'ref' WHEN dosage = 1 THEN 'het' ELSE 'alt' END AS token, count(*) AS n FROM d GROUP BY ALL""")
+SELECT CAST(dosage AS BIGINT) AS dosage, CASE WHEN dosage IS NULL THEN 'missing' WHEN dosage = 0 THEN 'ref' WHEN dosage = 1 THEN 'het' ELSE 'alt' END AS token, count(*) AS n
+  FROM d GROUP BY ALL""")
 def dosage_decode(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "lineitem").select(values.dosage_of((F.col("l_linenumber") % 3).cast("bigint"), F.col("l_quantity").cast("bigint") % 2).alias("dosage"))
     token = F.when(F.col("dosage").isNull(), "missing").when(F.col("dosage") == 0, "ref").when(F.col("dosage") == 1, "het").otherwise("alt")
@@ -93,7 +98,8 @@ def dosage_decode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("manifest_violations", 59, 60, 62, 67, 69, 212, views="genotype sample", sql="""
-WITH t AS (SELECT 'missing_dosage' AS check, CAST(variant AS VARCHAR) AS key FROM genotype GROUP BY variant HAVING count(*) FILTER (WHERE dosage IS NULL) > 3
+WITH t AS (SELECT 'missing_dosage' AS check, CAST(variant AS VARCHAR) AS key FROM genotype
+  GROUP BY variant HAVING count(*) FILTER (WHERE dosage IS NULL) > 3
 UNION ALL SELECT 'unknown_sample', CAST(g.sample AS VARCHAR) FROM (SELECT DISTINCT sample FROM genotype) g ANTI JOIN sample s USING (sample)
 UNION ALL SELECT 'stratum_crosses_splits', stratum FROM sample GROUP BY stratum HAVING count(DISTINCT split) > 1
 UNION ALL SELECT 'stratum_size', stratum FROM sample GROUP BY stratum HAVING count(*) <> 4)
@@ -140,8 +146,10 @@ def _on_grid(orders: DataFrame) -> DataFrame:
 
 
 @query("counted_left_join", 81, sql="""
-WITH j AS (SELECT o_orderkey, c_custkey, n_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON n_nationkey = c_nationkey)
-SELECT CASE WHEN c_custkey IS NULL THEN 'no_customer' WHEN n_name IS NULL THEN 'no_nation' ELSE 'retained' END AS reason, count(*) AS n FROM j GROUP BY 1""")
+WITH j AS (SELECT o_orderkey, c_custkey, n_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey LEFT
+  JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON n_nationkey = c_nationkey)
+SELECT CASE WHEN c_custkey IS NULL THEN 'no_customer' WHEN n_name IS NULL THEN 'no_nation' ELSE 'retained' END AS reason, count(*) AS n FROM j
+  GROUP BY 1""")
 def counted_left_join(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", F.lit(1).alias("known"))
     n = table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
@@ -150,8 +158,10 @@ def counted_left_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("key_overlap", 82, 213, 215, sql="""
-WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 200000), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0)
-SELECT count(*) FILTER (WHERE b.k IS NULL) AS only_a, count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS both, count(*) FILTER (WHERE a.k IS NULL) AS only_b FROM a FULL JOIN b ON a.k = b.k""")
+WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 200000), b AS (SELECT DISTINCT c_custkey AS k
+  FROM customer WHERE c_acctbal > 0)
+SELECT count(*) FILTER (WHERE b.k IS NULL) AS only_a, count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS both, count(*) FILTER (WHERE a.k IS NULL) AS only_b
+  FROM a FULL JOIN b ON a.k = b.k""")
 def key_overlap(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("k"))
     return r.overlap_counts(a, table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")), "k")
@@ -167,7 +177,8 @@ def composite_join_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("exact_key_semi_join", 91, 158, views="genotype", sql="""
-SELECT sample, count(*) AS n, CAST(sum(dosage) AS BIGINT) AS dosage FROM genotype WHERE variant IN (SELECT p_partkey FROM part WHERE p_size < 10) AND sample IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY sample""")
+SELECT sample, count(*) AS n, CAST(sum(dosage) AS BIGINT) AS dosage FROM genotype WHERE variant IN (SELECT p_partkey
+  FROM part WHERE p_size < 10) AND sample IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY sample""")
 def exact_key_semi_join(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").where("p_size < 10").select(F.col("p_partkey").alias("variant"))
     samples = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("sample"))
@@ -175,7 +186,8 @@ def exact_key_semi_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("schema_union", 43, 217, sql="""
-SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(c_mktsegment, '') AS segment, '' AS size FROM customer UNION ALL SELECT CAST(p_partkey AS VARCHAR), '', CAST(p_size AS VARCHAR) FROM part""")
+SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(c_mktsegment, '') AS segment, '' AS size FROM customer
+  UNION ALL SELECT CAST(p_partkey AS VARCHAR), '', CAST(p_size AS VARCHAR) FROM part""")
 def schema_union(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
     return r.union_with_blanks([a, table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))])
@@ -189,7 +201,8 @@ def split_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("group_derangement", 95, sql="""
-WITH o AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+WITH o AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY s_nationkey) AS n
+  FROM supplier)
 SELECT a.s_suppkey, b.s_suppkey AS donor FROM o a JOIN o b ON a.s_nationkey = b.s_nationkey AND b.i = (a.i + a.n - 2) % a.n + 1 WHERE a.n > 1""")
 def group_derangement(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
@@ -218,7 +231,8 @@ def duplicate_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("field_presence", 155, 26, sql="""
 WITH f AS (SELECT event_type, user_id, 'k' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS VARCHAR) AS field FROM events)
-SELECT event_type, field, array_to_string(list_slice(list_sort(list(DISTINCT user_id)), 1, 6), ',') AS first_six, count(DISTINCT user_id) AS holders FROM f GROUP BY ALL""")
+SELECT event_type, field, array_to_string(list_slice(list_sort(list(DISTINCT user_id)), 1, 6), ',') AS first_six, count(DISTINCT user_id) AS holders
+  FROM f GROUP BY ALL""")
 def field_presence(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "events").select("event_type", "user_id", F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("bigint") % 10).cast("string")).alias("field")).distinct()
     return f.groupBy("event_type", "field").agg(F.array_join(F.slice(F.sort_array(F.collect_list("user_id")), 1, 6), ",").alias("first_six"), F.count("*").alias("holders"))
@@ -239,7 +253,9 @@ def build_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("kinship_thresholds", 12, 109, views="edges", sql="""
-SELECT count(*) AS pairs, count(*) FILTER (WHERE (a * 31 + b) % 1000 >= 354) AS first_degree, count(*) FILTER (WHERE (a * 31 + b) % 1000 >= 177) AS second_degree, min((a * 31 + b) % 1000) AS least, max((a * 31 + b) % 1000) AS most FROM edges""")
+SELECT count(*) AS pairs, count(*) FILTER (WHERE (a * 31 + b) % 1000 >= 354) AS first_degree,
+    count(*) FILTER (WHERE (a * 31 + b) % 1000 >= 177) AS second_degree, min((a * 31 + b) % 1000) AS least, max((a * 31 + b) % 1000) AS most
+  FROM edges""")
 def kinship_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return _kinship_counts(v.edges(spark, sf))
 
@@ -264,7 +280,9 @@ def readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("lineage_check", 63, 76, views="sample", sql="""
-WITH a AS (SELECT stratum, count(*) AS n FROM sample GROUP BY stratum), b AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS stratum, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey % 7 END AS n FROM nation)
+WITH a AS (SELECT stratum, count(*) AS n FROM sample GROUP BY stratum),
+    b AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS stratum, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey % 7 END AS n
+  FROM nation)
 SELECT b.stratum, a.n IS NOT DISTINCT FROM b.n AS matches FROM b LEFT JOIN a USING (stratum)""")
 def lineage_check(spark: SparkSession, sf: str) -> DataFrame:
     a = v.sample(spark, sf).groupBy("stratum").agg(F.count("*").alias("got"))
@@ -273,7 +291,9 @@ def lineage_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("ordered_equality", 214, 216, sql="""
-WITH a AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey AS k FROM customer WHERE c_acctbal > 0), b AS (SELECT row_number() OVER (ORDER BY o_custkey) AS i, o_custkey AS k FROM (SELECT DISTINCT o_custkey FROM orders))
+WITH a AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey AS k
+  FROM customer WHERE c_acctbal > 0), b AS (SELECT row_number() OVER (ORDER BY o_custkey) AS i, o_custkey AS k FROM (SELECT DISTINCT o_custkey
+  FROM orders))
 SELECT count(*) FILTER (WHERE a.k IS DISTINCT FROM b.k) AS differing, count(*) AS places FROM a FULL JOIN b USING (i)""")
 def ordered_equality(spark: SparkSession, sf: str) -> DataFrame:
     place = lambda df: numbering.numbered(df, "i", "k").select("i", "k")
@@ -284,13 +304,17 @@ def ordered_equality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("text_cleaning", 218, 219, 220, 66, 227, sql=r"""
 SELECT page_id, lower(coalesce(nullif(trim(regexp_replace(url, '[^0-9A-Za-z]+', '_', 'g'), '_'), ''), 'state')) AS slug,
-  regexp_extract(url, '([0-9]+)', 1) AS digits, regexp_matches(url, 'blog|news|wiki') AS named, CASE WHEN regexp_matches(url, '^https') THEN 'secure' ELSE 'other' END AS role FROM pages""")
+  regexp_extract(url, '([0-9]+)', 1) AS digits, regexp_matches(url, 'blog|news|wiki') AS named,
+      CASE WHEN regexp_matches(url, '^https') THEN 'secure' ELSE 'other' END AS role
+    FROM pages""")
 def text_cleaning(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", values.slug(F.col("url")).alias("slug"), F.regexp_extract("url", "([0-9]+)", 1).alias("digits"), F.col("url").rlike("blog|news|wiki").alias("named"), F.when(F.col("url").rlike("^https"), "secure").otherwise("other").alias("role"))
 
 
 @query("json_fields", 31, 225, 78, sql="""
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN value = floor(value) AND abs(value) < 1e15 THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE 'real' END AS value_text FROM events""")
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+    CASE WHEN value = floor(value) AND abs(value) < 1e15 THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE 'real' END AS value_text
+  FROM events""")
 def json_fields(spark: SparkSession, sf: str) -> DataFrame:
     parsed = F.from_json("props", "k bigint")
     text = values.number_text(F.col("value"))

@@ -27,7 +27,8 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 @query("variant_quality", 97, 98, 99, 55, 56, views="genotype sample", sql=f"""
 WITH g AS (SELECT g.* FROM genotype g JOIN sample USING (sample) WHERE split = 'train'),
 {QUALITY.replace('FROM genotype', 'FROM g')}
-SELECT variant, n, called, n0, n1, n2, round(af, 9) AS af, round(least(af, 1 - af), 9) AS maf, round(1 - called / n::DOUBLE, 9) AS missing_rate FROM q WHERE least(af, 1 - af) > 0.01""")
+SELECT variant, n, called, n0, n1, n2, round(af, 9) AS af, round(least(af, 1 - af), 9) AS maf, round(1 - called / n::DOUBLE, 9) AS missing_rate
+  FROM q WHERE least(af, 1 - af) > 0.01""")
 def variant_quality(spark: SparkSession, sf: str) -> DataFrame:
     train = v.sample(spark, sf).where("split = 'train'").select("sample")
     return rounded(stats.variant_quality(v.genotype(spark, sf).join(train, "sample", "left_semi")).where("maf > 0.01"))
@@ -35,7 +36,8 @@ def variant_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("imputed_dosage", 97, 136, views="genotype", sql=f"""
 WITH {QUALITY}
-SELECT sample, round(sum(coalesce(dosage, 2 * af)), 6) AS total, round(sum(coalesce((dosage - 2 * af) / sqrt(greatest(2 * af * (1 - af), 1e-12)), 0)), 6) AS z FROM genotype JOIN q USING (variant) GROUP BY sample""")
+SELECT sample, round(sum(coalesce(dosage, 2 * af)), 6) AS total, round(sum(coalesce((dosage - 2 * af) / sqrt(greatest(2 * af * (1 - af), 1e-12)), 0)), 6) AS z
+  FROM genotype JOIN q USING (variant) GROUP BY sample""")
 def imputed_dosage(spark: SparkSession, sf: str) -> DataFrame:
     g = v.genotype(spark, sf)
     quality = stats.variant_quality(g)
@@ -44,12 +46,18 @@ def imputed_dosage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("genotype_class_metrics", 100, 101, 102, 104, 239, views="genotype sample", sql=f"""
-WITH t AS (SELECT variant, count(*) FILTER (WHERE dosage = 0) AS n0, count(*) FILTER (WHERE dosage = 1) AS n1, count(*) FILTER (WHERE dosage = 2) AS n2, count(dosage) AS c, sum(dosage) / (2.0 * count(dosage)) AS af FROM genotype JOIN sample USING (sample) WHERE split = 'train' GROUP BY variant HAVING count(dosage) > 0),
-e AS (SELECT stratum, g.dosage AS d, (n0 + 0.5) / (c + 1.5) AS p0, (n1 + 0.5) / (c + 1.5) AS p1, (n2 + 0.5) / (c + 1.5) AS p2, (1 - af) * (1 - af) AS h0, 2 * af * (1 - af) AS h1, af * af AS h2 FROM genotype g JOIN sample USING (sample) JOIN t USING (variant) WHERE split = 'validation' AND dosage IS NOT NULL),
+WITH t AS (SELECT variant, count(*) FILTER (WHERE dosage = 0) AS n0, count(*) FILTER (WHERE dosage = 1) AS n1,
+    count(*) FILTER (WHERE dosage = 2) AS n2, count(dosage) AS c, sum(dosage) / (2.0 * count(dosage)) AS af
+  FROM genotype JOIN sample USING (sample) WHERE split = 'train' GROUP BY variant HAVING count(dosage) > 0),
+e AS (SELECT stratum, g.dosage AS d, (n0 + 0.5) / (c + 1.5) AS p0, (n1 + 0.5) / (c + 1.5) AS p1, (n2 + 0.5) / (c + 1.5) AS p2,
+    (1 - af) * (1 - af) AS h0, 2 * af * (1 - af) AS h1, af * af AS h2
+  FROM genotype g JOIN sample USING (sample) JOIN t USING (variant) WHERE split = 'validation' AND dosage IS NOT NULL),
 s AS (SELECT *, CASE d WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS p, CASE d WHEN 0 THEN h0 WHEN 1 THEN h1 ELSE h2 END AS h,
-  CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS bp, CASE WHEN h0 >= h1 AND h0 >= h2 THEN 0 WHEN h1 >= h2 THEN 1 ELSE 2 END AS bh FROM e)
+  CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS bp, CASE WHEN h0 >= h1 AND h0 >= h2 THEN 0 WHEN h1 >= h2 THEN 1 ELSE 2 END AS bh
+    FROM e)
 SELECT stratum, count(*) AS n, round(avg(-ln(greatest(p, 1e-12))), 9) AS cross_entropy, round(avg(CASE WHEN bp = d THEN 1.0 ELSE 0 END), 9) AS accuracy,
-  round(avg(-ln(greatest(h, 1e-12))), 9) AS hwe_cross_entropy, round(avg(CASE WHEN bp = d THEN 1.0 ELSE 0 END) - avg(CASE WHEN bh = d THEN 1.0 ELSE 0 END), 9) AS lift FROM s GROUP BY stratum""")
+  round(avg(-ln(greatest(h, 1e-12))), 9) AS hwe_cross_entropy, round(avg(CASE WHEN bp = d THEN 1.0 ELSE 0 END) - avg(CASE WHEN bh = d THEN 1.0 ELSE 0 END), 9) AS lift
+    FROM s GROUP BY stratum""")
 def genotype_class_metrics(spark: SparkSession, sf: str) -> DataFrame:
     g = v.genotype(spark, sf).join(v.sample(spark, sf), "sample")
     q = stats.variant_quality(g.where("split = 'train'")).where("called > 0")
@@ -83,7 +91,8 @@ WITH RECURSIVE u AS (SELECT a AS x, b AS y FROM edges UNION SELECT b, a FROM edg
 r AS (SELECT x AS node, x AS root FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node WHERE u.y > r.root),
 c AS (SELECT node, min(root) AS component FROM r GROUP BY node),
 n AS (SELECT c_custkey AS node, coalesce(component, c_custkey) AS component FROM customer LEFT JOIN c ON c.node = c_custkey),
-d AS (SELECT component, 'FC_' || substr(sha256(string_agg(CAST(node AS VARCHAR), chr(31) ORDER BY CAST(node AS VARCHAR))), 1, 16) AS component_id, count(*) AS size FROM n GROUP BY component)
+d AS (SELECT component, 'FC_' || substr(sha256(string_agg(CAST(node AS VARCHAR), chr(31) ORDER BY CAST(node AS VARCHAR))), 1, 16) AS component_id, count(*) AS size
+  FROM n GROUP BY component)
 SELECT node, component_id, size, CAST(0 AS BIGINT) AS differing FROM n JOIN d USING (component)""")
 def component_ids(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
@@ -94,8 +103,10 @@ def component_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("trait_description", 110, 113, sql="""
-SELECT l_returnflag, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sd, min(l_extendedprice) AS least, max(l_extendedprice) AS most,
-  round(quantile_cont(l_extendedprice, 0.01), 4) AS q01, round(quantile_cont(l_extendedprice, 0.5), 4) AS q5, round(quantile_cont(l_extendedprice, 0.999), 4) AS q999 FROM lineitem GROUP BY l_returnflag""")
+SELECT l_returnflag, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sd,
+    min(l_extendedprice) AS least, max(l_extendedprice) AS most,
+  round(quantile_cont(l_extendedprice, 0.01), 4) AS q01, round(quantile_cont(l_extendedprice, 0.5), 4) AS q5, round(quantile_cont(l_extendedprice, 0.999), 4) AS q999
+    FROM lineitem GROUP BY l_returnflag""")
 def trait_description(spark: SparkSession, sf: str) -> DataFrame:
     d = stats.described(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice")
     return rounded(d.select("l_returnflag", "n", "mean", "sd", "least", "most", "q01", "q5", "q999"), 4)
@@ -104,15 +115,21 @@ def trait_description(spark: SparkSession, sf: str) -> DataFrame:
 @query("trait_value_shape", 111, sql="""
 WITH k AS (SELECT l_linestatus, l_quantity AS val, count(*) AS k FROM lineitem GROUP BY ALL),
 m AS (SELECT l_linestatus, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY ALL),
-t AS (SELECT l_linestatus, count(*) FILTER (WHERE l_quantity < 0) AS negative, count(*) FILTER (WHERE abs(l_quantity - m) > 1.5 * s) AS far FROM lineitem JOIN m USING (l_linestatus) GROUP BY ALL)
-SELECT l_linestatus, CAST(sum(k) AS BIGINT) AS n, count(*) AS distinct, arg_max(val, (k, -val)) AS mode, round(max(k) / sum(k)::DOUBLE, 9) AS mode_share, any_value(negative) AS negative, any_value(far) AS far FROM k JOIN t USING (l_linestatus) GROUP BY l_linestatus""")
+t AS (SELECT l_linestatus, count(*) FILTER (WHERE l_quantity < 0) AS negative, count(*) FILTER (WHERE abs(l_quantity - m) > 1.5 * s) AS far
+  FROM lineitem JOIN m USING (l_linestatus) GROUP BY ALL)
+SELECT l_linestatus, CAST(sum(k) AS BIGINT) AS n, count(*) AS distinct, arg_max(val, (k, -val)) AS mode,
+    round(max(k) / sum(k)::DOUBLE, 9) AS mode_share, any_value(negative) AS negative, any_value(far) AS far
+  FROM k JOIN t USING (l_linestatus) GROUP BY l_linestatus""")
 def trait_value_shape(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.value_shape(table(spark, sf, "lineitem"), ["l_linestatus"], "l_quantity", far=1.5))
 
 
 @query("trait_screen", 112, sql="""
-WITH t AS (SELECT o_orderpriority AS trait, count(*) AS n, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s, count(DISTINCT o_custkey) AS k FROM orders GROUP BY 1)
-SELECT trait, n, array_to_string(list_filter([CASE WHEN n < 3000 THEN 'few' END, CASE WHEN m < 250000 THEN 'low' END, CASE WHEN k < 900 THEN 'narrow' END], lambda x: x IS NOT NULL), ',') AS reasons, NOT (n < 3000 OR m < 250000 OR k < 900) AS usable FROM t""")
+WITH t AS (SELECT o_orderpriority AS trait, count(*) AS n, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s, count(DISTINCT o_custkey) AS k
+  FROM orders GROUP BY 1)
+SELECT trait, n, array_to_string(list_filter([CASE WHEN n < 3000 THEN 'few' END, CASE WHEN m < 250000 THEN 'low' END,
+    CASE WHEN k < 900 THEN 'narrow' END], lambda x: x IS NOT NULL), ',') AS reasons, NOT (n < 3000 OR m < 250000 OR k < 900) AS usable
+  FROM t""")
 def trait_screen(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("trait")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("m"), F.count_distinct("o_custkey").alias("k"))
     broken = stats.failed_rules({"few": F.col("n") < 3000, "low": F.col("m") < 250000, "narrow": F.col("k") < 900})
@@ -128,9 +145,11 @@ def upper_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("out_of_sample_r2", 117, 118, sql="""
 WITH t AS (SELECT *, CASE WHEN o_orderkey % 5 < 4 THEN 'train' ELSE 'test' END AS part FROM orders),
-m AS (SELECT o_orderstatus, avg(o_totalprice) AS p FROM t WHERE part = 'train' GROUP BY 1), g AS (SELECT avg(o_totalprice) AS mu FROM t WHERE part = 'train'),
+m AS (SELECT o_orderstatus, avg(o_totalprice) AS p FROM t WHERE part = 'train' GROUP BY 1), g AS (SELECT avg(o_totalprice) AS mu
+  FROM t WHERE part = 'train'),
 s AS (SELECT o_orderpriority, o_totalprice AS y, p, mu FROM t JOIN m USING (o_orderstatus), g WHERE part = 'test')
-SELECT o_orderpriority, round(1 - sum((y - p) ** 2) / sum((y - mu) ** 2), 9) AS r2_train, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(y)), 9) AS r2_own FROM s GROUP BY 1""")
+SELECT o_orderpriority, round(1 - sum((y - p) ** 2) / sum((y - mu) ** 2), 9) AS r2_train, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(y)), 9) AS r2_own
+  FROM s GROUP BY 1""")
 def out_of_sample_r2(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     train = o.where("o_orderkey % 5 < 4")
@@ -146,7 +165,10 @@ def pearson_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("spearman_by_group", 120, sql="""
-WITH r AS (SELECT l_linestatus, rank() OVER (PARTITION BY l_linestatus ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linestatus, l_quantity) - 1) / 2.0 AS x, rank() OVER (PARTITION BY l_linestatus ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_linestatus, l_extendedprice) - 1) / 2.0 AS y FROM lineitem)
+WITH r AS (SELECT l_linestatus, rank() OVER (PARTITION BY l_linestatus ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linestatus,
+    l_quantity) - 1) / 2.0 AS x, rank() OVER (PARTITION BY l_linestatus ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_linestatus,
+    l_extendedprice) - 1) / 2.0 AS y
+  FROM lineitem)
 SELECT l_linestatus, round(corr(x, y), 9) AS rho FROM r GROUP BY 1""")
 def spearman_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.spearman(table(spark, sf, "lineitem"), ["l_linestatus"], "l_quantity", "l_extendedprice"))
@@ -154,7 +176,9 @@ def spearman_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rank_deciles", 121, sql="""
 WITH r AS (SELECT o_custkey % 3 AS g, o_orderkey % 50 AS x FROM orders),
-d AS (SELECT g, least(CAST(floor((rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 - 1) / count(*) OVER (PARTITION BY g) * 10) AS BIGINT), 9) AS decile FROM r)
+d AS (SELECT g, least(CAST(floor((rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g,
+    x) - 1) / 2.0 - 1) / count(*) OVER (PARTITION BY g) * 10) AS BIGINT), 9) AS decile
+  FROM r)
 SELECT g, decile, count(*) AS n FROM d GROUP BY ALL""")
 def rank_deciles(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select((F.col("o_custkey") % 3).alias("g"), (F.col("o_orderkey") % 50).alias("x"))
@@ -162,11 +186,13 @@ def rank_deciles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TWO = """WITH m AS (SELECT count(*) AS n, sum(l_quantity) AS x, sum(l_discount) AS z, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS xx, sum(l_discount * l_discount) AS zz, sum(l_quantity * l_discount) AS xz, sum(l_quantity * l_extendedprice) AS xy, sum(l_discount * l_extendedprice) AS zy FROM lineitem),
-c AS (SELECT n, x / n AS mx, z / n AS mz, y / n AS my, xx - x * x / n AS a, zz - z * z / n AS d, xz - x * z / n AS b, xy - x * y / n AS p, zy - z * y / n AS q FROM m)"""
+c AS (SELECT n, x / n AS mx, z / n AS mz, y / n AS my, xx - x * x / n AS a, zz - z * z / n AS d, xz - x * z / n AS b, xy - x * y / n AS p, zy - z * y / n AS q
+  FROM m)"""
 
 
 @query("least_squares", 122, 123, 228, sql=_TWO + """, s AS (SELECT *, (p * d - q * b) / (a * d - b * b) AS bx, (q * a - p * b) / (a * d - b * b) AS bz FROM c)
-SELECT 'l_quantity' AS term, round(bx, 4) AS coefficient FROM s UNION ALL SELECT 'l_discount', round(bz, 4) FROM s UNION ALL SELECT '1', round(my - bx * mx - bz * mz, 4) FROM s""")
+SELECT 'l_quantity' AS term, round(bx, 4) AS coefficient FROM s UNION ALL SELECT 'l_discount', round(bz, 4) FROM s
+  UNION ALL SELECT '1', round(my - bx * mx - bz * mz, 4) FROM s""")
 def least_squares(spark: SparkSession, sf: str) -> DataFrame:
     fit = regression.grams(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")[0].fit_report()
     return spark.createDataFrame([(k, round(b, 4)) for k, (b, _) in fit.items()], "term string, coefficient double")
@@ -195,9 +221,12 @@ def dual_ridge_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("marginal_scan", 130, views="genotype phenotype", sql="""
 WITH r AS (SELECT sample, y, CAST(sample % 7 AS DOUBLE) AS c FROM phenotype),
-s AS (SELECT variant, count(*) AS n, regr_slope(y, c) AS sy, regr_slope(dosage, c) AS sg, regr_intercept(y, c) AS iy, regr_intercept(dosage, c) AS ig FROM genotype JOIN r USING (sample) WHERE dosage IS NOT NULL GROUP BY variant),
-e AS (SELECT variant, n, dosage - ig - sg * c AS g, y - iy - sy * c AS t FROM genotype JOIN r USING (sample) JOIN s USING (variant) WHERE dosage IS NOT NULL),
-f AS (SELECT variant, any_value(n) AS n, sum(g * g) AS gg, sum(g * t) AS gt, sum(t * t) AS tt FROM e GROUP BY variant HAVING sum(g * g) > 1e-9 AND any_value(n) > 3)
+s AS (SELECT variant, count(*) AS n, regr_slope(y, c) AS sy, regr_slope(dosage, c) AS sg, regr_intercept(y, c) AS iy, regr_intercept(dosage, c) AS ig
+  FROM genotype JOIN r USING (sample) WHERE dosage IS NOT NULL GROUP BY variant),
+e AS (SELECT variant, n, dosage - ig - sg * c AS g, y - iy - sy * c AS t FROM genotype JOIN r USING (sample)
+  JOIN s USING (variant) WHERE dosage IS NOT NULL),
+f AS (SELECT variant, any_value(n) AS n, sum(g * g) AS gg, sum(g * t) AS gt, sum(t * t) AS tt FROM e
+  GROUP BY variant HAVING sum(g * g) > 1e-9 AND any_value(n) > 3)
 SELECT variant, n, round(gt / gg, 3) AS beta, round(sqrt((tt - gt * gt / gg) / (n - 3) / gg), 3) AS se FROM f WHERE n > 10""")
 def marginal_scan(spark: SparkSession, sf: str) -> DataFrame:
     response = v.phenotype(spark, sf).withColumn("c", (F.col("sample") % 7).cast("double"))
@@ -212,8 +241,10 @@ def association_p_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("threshold_scores", 132, views="genotype", sql="""
-WITH e AS (SELECT variant, (variant % 9 - 4) / 10.0::DOUBLE AS beta, (variant % 100) / 100.0::DOUBLE AS p FROM (SELECT DISTINCT variant FROM genotype)),
-s AS (SELECT sample, sum(CASE WHEN p < 0.05 THEN dosage * beta ELSE 0 END) AS s0, sum(CASE WHEN p < 0.5 THEN dosage * beta ELSE 0 END) AS s1 FROM genotype JOIN e USING (variant) WHERE dosage IS NOT NULL GROUP BY sample)
+WITH e AS (SELECT variant, (variant % 9 - 4) / 10.0::DOUBLE AS beta, (variant % 100) / 100.0::DOUBLE AS p FROM (SELECT DISTINCT variant
+  FROM genotype)),
+s AS (SELECT sample, sum(CASE WHEN p < 0.05 THEN dosage * beta ELSE 0 END) AS s0, sum(CASE WHEN p < 0.5 THEN dosage * beta ELSE 0 END) AS s1
+  FROM genotype JOIN e USING (variant) WHERE dosage IS NOT NULL GROUP BY sample)
 SELECT sample, round(s0, 9) + 0 AS score_0, round(s1, 9) + 0 AS score_1 FROM s""")
 def threshold_scores(spark: SparkSession, sf: str) -> DataFrame:
     g = v.genotype(spark, sf)
@@ -224,7 +255,9 @@ def threshold_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("design_matrix", 134, 137, sql="""
 WITH t AS (SELECT *, c_custkey % 10 < 7 AS train FROM customer), m AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM t WHERE train)
-SELECT c_custkey, round((c_acctbal - m) / s, 9) AS balance, round(((c_acctbal - m) / s) ** 2, 8) AS balance_2, CAST(c_mktsegment = 'BUILDING' AS INT) AS seg_BUILDING, CAST(c_mktsegment = 'MACHINERY' AS INT) AS seg_MACHINERY FROM t, m""")
+SELECT c_custkey, round((c_acctbal - m) / s, 9) AS balance, round(((c_acctbal - m) / s) ** 2, 8) AS balance_2,
+    CAST(c_mktsegment = 'BUILDING' AS INT) AS seg_BUILDING, CAST(c_mktsegment = 'MACHINERY' AS INT) AS seg_MACHINERY
+  FROM t, m""")
 def design_matrix(spark: SparkSession, sf: str) -> DataFrame:
     train = F.col("c_custkey") % 10 < 7
     scaled = stats.train_standardised(table(spark, sf, "customer"), ["c_acctbal"], train)
@@ -233,9 +266,13 @@ def design_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("phenotype_transforms", 135, sql="""
-WITH t AS (SELECT *, o_orderkey % 10 < 7 AS train FROM orders), m AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM t WHERE train),
-c AS (SELECT t.*, greatest(least(o_totalprice, m + 1.5 * s), m - 1.5 * s) AS y FROM t, m), n AS (SELECT avg(y) AS m, stddev_pop(y) AS s, count(*) AS k FROM c WHERE train),
-r AS (SELECT o_orderkey, round((y - m) / s, 8) AS z, (SELECT k FROM n) AS k, count(*) FILTER (WHERE train) OVER (ORDER BY o_totalprice RANGE UNBOUNDED PRECEDING) - count(*) FILTER (WHERE train) OVER (PARTITION BY o_totalprice) AS below FROM c, n)
+WITH t AS (SELECT *, o_orderkey % 10 < 7 AS train FROM orders), m AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s
+  FROM t WHERE train),
+c AS (SELECT t.*, greatest(least(o_totalprice, m + 1.5 * s), m - 1.5 * s) AS y FROM t, m), n AS (SELECT avg(y) AS m, stddev_pop(y) AS s, count(*) AS k
+  FROM c WHERE train),
+r AS (SELECT o_orderkey, round((y - m) / s, 8) AS z, (SELECT k FROM n) AS k,
+    count(*) FILTER (WHERE train) OVER (ORDER BY o_totalprice RANGE UNBOUNDED PRECEDING) - count(*) FILTER (WHERE train) OVER (PARTITION BY o_totalprice) AS below
+  FROM c, n)
 SELECT o_orderkey, z, round((below + 0.5) / (k + 1), 9) AS share FROM r""")
 def phenotype_transforms(spark: SparkSession, sf: str) -> DataFrame:
     train = F.col("o_orderkey") % 10 < 7
@@ -258,7 +295,8 @@ def train_principal_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("annotation_scores", 140, views="genotype", sql=f"""
-WITH {QUALITY}, z AS (SELECT variant, sample, coalesce((dosage - 2 * af) / sqrt(greatest(2 * af * (1 - af), 1e-12)), 0) AS z FROM genotype JOIN q USING (variant)),
+WITH {QUALITY}, z AS (SELECT variant, sample, coalesce((dosage - 2 * af) / sqrt(greatest(2 * af * (1 - af), 1e-12)), 0) AS z FROM genotype
+  JOIN q USING (variant)),
 w AS (SELECT variant, 't' || CAST(k AS VARCHAR) AS track, CAST((variant * (k + 1)) % 5 AS DOUBLE) AS w FROM q, range(3) r(k))
 SELECT sample, track, variant % 2 AS half, round(sum(z * w), 6) AS score FROM z JOIN w USING (variant) GROUP BY ALL""")
 def annotation_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,15 +333,19 @@ def subspace_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("distance_pooling", 145, sql="""
-SELECT l_partkey, round(avg(l_quantity), 9) AS uniform, round(sum(exp(-l_linenumber / 3.0) * l_quantity) / sum(exp(-l_linenumber / 3.0)), 9) AS decayed FROM lineitem GROUP BY 1""")
+SELECT l_partkey, round(avg(l_quantity), 9) AS uniform, round(sum(exp(-l_linenumber / 3.0) * l_quantity) / sum(exp(-l_linenumber / 3.0)), 9) AS decayed
+  FROM lineitem GROUP BY 1""")
 def distance_pooling(spark: SparkSession, sf: str) -> DataFrame:
     line = table(spark, sf, "lineitem").groupBy("l_partkey")
     return rounded(line.agg(F.avg("l_quantity").alias("uniform"), stats.decayed_mean(F.col("l_quantity"), F.col("l_linenumber"), 3.0).alias("decayed")))
 
 
 @query("wilson_intervals", 147, sql="""
-WITH k AS (SELECT l_returnflag, l_linestatus, count(*) FILTER (WHERE l_discount > 0.05)::DOUBLE AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), z AS (SELECT *, 1.959963984540054 AS z, k / n AS p FROM k)
-SELECT l_returnflag, l_linestatus, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS high FROM z""")
+WITH k AS (SELECT l_returnflag, l_linestatus, count(*) FILTER (WHERE l_discount > 0.05)::DOUBLE AS k, count(*)::DOUBLE AS n FROM lineitem
+  GROUP BY ALL), z AS (SELECT *, 1.959963984540054 AS z, k / n AS p FROM k)
+SELECT l_returnflag, l_linestatus, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low,
+    round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS high
+  FROM z""")
 def wilson_intervals(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count_if(F.col("l_discount") > 0.05).cast("double").alias("k"), F.count("*").cast("double").alias("n"))
     low, high = values.wilson(F.col("k"), F.col("n"))
@@ -311,7 +353,8 @@ def wilson_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("variance_proxy", 149, sql="""
-WITH s AS (SELECT n_regionkey AS region, c_mktsegment AS seg, CASE WHEN count(*) >= 2 THEN stddev_samp(c_acctbal) END AS sd, count(DISTINCT c_nationkey) AS seeds FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+WITH s AS (SELECT n_regionkey AS region, c_mktsegment AS seg, CASE WHEN count(*) >= 2 THEN stddev_samp(c_acctbal) END AS sd, count(DISTINCT c_nationkey) AS seeds
+  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
 SELECT a.region, a.seg, b.seg AS other, round(a.sd + b.sd, 6) AS total FROM s a JOIN s b ON a.region = b.region AND a.seg < b.seg""")
 def variance_proxy(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -320,16 +363,20 @@ def variance_proxy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("capacity_envelope", 151, sql="""
-SELECT round(sum(p_retailprice / 1000.0 * p_size * 12) / 3600.0 * 1.25, 6) AS hours, sum(p_retailprice / 1000.0 * p_size * 12) / 3600.0 * 1.25 <= 0.8 * 300 AS fits FROM part""")
+SELECT round(sum(p_retailprice / 1000.0 * p_size * 12) / 3600.0 * 1.25, 6) AS hours, sum(p_retailprice / 1000.0 * p_size * 12) / 3600.0 * 1.25 <= 0.8 * 300 AS fits
+  FROM part""")
 def capacity_envelope(spark: SparkSession, sf: str) -> DataFrame:
     grid = table(spark, sf, "part").select((F.col("p_retailprice") / 1000.0).alias("s"), F.col("p_size").alias("steps"), F.lit(12).alias("runs"))
     return rounded(gates.envelope(grid, "s", "steps", "runs", 1.25, 300.0), 6)
 
 
 @query("shared_level_choice", 152, 192, sql="""
-WITH s AS (SELECT CAST(l_linenumber AS DOUBLE) AS level, l_returnflag AS cell, avg(l_discount) AS score FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL),
-g AS (SELECT a.level, min(b.score - a.score) AS least, avg(b.score - a.score) AS mean, median(b.score - a.score) AS med FROM s a JOIN s b ON a.cell = b.cell AND b.level = 1 GROUP BY a.level HAVING min(b.score - a.score) >= -0.002)
-SELECT level, round(least, 9) AS least, round(mean, 9) AS mean, round(med, 9) AS median FROM g WHERE mean >= (SELECT max(mean) FROM g) - 0.0005 ORDER BY level LIMIT 1""")
+WITH s AS (SELECT CAST(l_linenumber AS DOUBLE) AS level, l_returnflag AS cell, avg(l_discount) AS score FROM lineitem WHERE l_linenumber <= 4
+  GROUP BY ALL),
+g AS (SELECT a.level, min(b.score - a.score) AS least, avg(b.score - a.score) AS mean, median(b.score - a.score) AS med FROM s a
+  JOIN s b ON a.cell = b.cell AND b.level = 1 GROUP BY a.level HAVING min(b.score - a.score) >= -0.002)
+SELECT level, round(least, 9) AS least, round(mean, 9) AS mean, round(med, 9) AS median FROM g WHERE mean >= (SELECT max(mean)
+  FROM g) - 0.0005 ORDER BY level LIMIT 1""")
 def shared_level_choice(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy(F.col("l_linenumber").cast("double").alias("level"), F.col("l_returnflag").alias("cell")).agg(F.avg("l_discount").alias("score"))
     return rounded(gates.shared_level(s, "level", "cell", "score", 1.0, 0.002, 0.0005))
@@ -337,7 +384,8 @@ def shared_level_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("power_and_replicates", 153, 154, sql=f"""
 WITH t AS (SELECT s.r AS sigma, n.r AS size, d.r AS draw FROM range(1, 4) s(r), range(1, 9) n(r), range(200) d(r)),
-p AS (SELECT sigma, size, avg(CASE WHEN {DRAW.format("'pow:' || sigma || ':' || size || ':' || draw")} > sigma / (size * 2.0::DOUBLE) THEN 1.0 ELSE 0 END) AS power FROM t GROUP BY ALL),
+p AS (SELECT sigma, size, avg(CASE WHEN {DRAW.format("'pow:' || sigma || ':' || size || ':' || draw")} > sigma / (size * 2.0::DOUBLE) THEN 1.0 ELSE 0 END) AS power
+  FROM t GROUP BY ALL),
 r AS (SELECT sigma, min(size) FILTER (WHERE power >= 0.8) AS needed FROM p GROUP BY sigma)
 SELECT sigma, needed, CASE WHEN count(*) FILTER (WHERE needed IS NULL) OVER () = 0 THEN max(needed) OVER () END AS formal FROM r""")
 def power_and_replicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -371,7 +419,8 @@ def _gain_interval(orders: DataFrame) -> DataFrame:
 
 
 @query("paired_row_bootstrap", 157, 163, sql=f"""
-WITH n AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n, s_acctbal AS y, s_nationkey * 100.0::DOUBLE AS b FROM supplier),
+WITH n AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n, s_acctbal AS y, s_nationkey * 100.0::DOUBLE AS b
+  FROM supplier),
 d AS (SELECT rep, CAST(floor({DRAW.format("'pair:' || rep || ':' || i")} * n) AS BIGINT) AS i FROM n, range(200) r(rep)),
 s AS (SELECT rep, (sum(y * y) - sum((y - b) * (y - b))) / nullif(sum((y - 4500) * (y - 4500)), 0) AS gain FROM d JOIN n USING (i) GROUP BY rep)
 SELECT round(quantile_cont(gain, 0.025), 8) AS low, round(quantile_cont(gain, 0.975), 8) AS high, count(gain) AS replicates FROM s""")
@@ -396,7 +445,8 @@ def _side_numbers(side: str) -> str:
 WITH cells AS (SELECT c_mktsegment, c_nationkey, avg(c_acctbal) AS y FROM customer GROUP BY ALL),
 {_side_numbers("c_mktsegment")}, {_side_numbers("c_nationkey")},
 a AS {_side_weights("c_mktsegment")}, b AS {_side_weights("c_nationkey")},
-v AS (SELECT a.rep, c_mktsegment, a.w, sum(b.w * y) / sum(b.w) AS val FROM cells JOIN a USING (c_mktsegment) JOIN b ON b.rep = a.rep AND b.c_nationkey = cells.c_nationkey GROUP BY ALL)
+v AS (SELECT a.rep, c_mktsegment, a.w, sum(b.w * y) / sum(b.w) AS val FROM cells JOIN a USING (c_mktsegment)
+  JOIN b ON b.rep = a.rep AND b.c_nationkey = cells.c_nationkey GROUP BY ALL)
 SELECT rep, round(sum(w * val) / sum(w), 7) AS mean FROM v GROUP BY rep""")
 def two_way_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     cells = table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.avg("c_acctbal").alias("y"))
@@ -407,7 +457,9 @@ def two_way_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 @query("stratified_permutation", 162, 163, sql="""
 WITH r AS (SELECT rep, s_nationkey AS g, s_suppkey AS id, s_acctbal AS y FROM supplier, range(20) t(rep)),
 k AS (SELECT *, row_number() OVER (PARTITION BY rep, g ORDER BY id) AS i FROM r),
-h AS (SELECT rep, g, y AS permuted, row_number() OVER (PARTITION BY rep, g ORDER BY sha256('perm' || chr(9) || CAST(rep AS VARCHAR) || chr(9) || CAST(id AS VARCHAR)), id) AS i FROM r)
+h AS (SELECT rep, g, y AS permuted, row_number() OVER (PARTITION BY rep,
+    g ORDER BY sha256('perm' || chr(9) || CAST(rep AS VARCHAR) || chr(9) || CAST(id AS VARCHAR)), id) AS i
+  FROM r)
 SELECT rep, round(corr(y, permuted), 9) AS r FROM k JOIN h USING (rep, g, i) GROUP BY rep""")
 def stratified_permutation(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("y"))
@@ -417,9 +469,11 @@ def stratified_permutation(spark: SparkSession, sf: str) -> DataFrame:
 @query("family_wise_p", 164, sql=f"""
 WITH t AS (SELECT l_returnflag AS candidate, l_suppkey AS unit, avg(l_discount - 0.05) AS term FROM lineitem GROUP BY ALL),
 o AS (SELECT candidate, abs(sum(term)) / sqrt(nullif(sum(term * term), 0)) AS statistic FROM t GROUP BY candidate),
-f AS (SELECT rep, candidate, abs(sum(CASE WHEN {DRAW.format("'flip:' || rep || ':' || unit")} < 0.5 THEN -term ELSE term END)) / sqrt(nullif(sum(term * term), 0)) AS s FROM t, range(99) r(rep) GROUP BY ALL),
+f AS (SELECT rep, candidate, abs(sum(CASE WHEN {DRAW.format("'flip:' || rep || ':' || unit")} < 0.5 THEN -term ELSE term END)) / sqrt(nullif(sum(term * term), 0)) AS s
+  FROM t, range(99) r(rep) GROUP BY ALL),
 m AS (SELECT rep, max(s) AS top FROM f GROUP BY rep)
-SELECT candidate, round(any_value(statistic), 7) AS statistic, (1 + count(*) FILTER (WHERE top >= statistic)) / 100.0::DOUBLE AS p FROM o, m GROUP BY candidate""")
+SELECT candidate, round(any_value(statistic), 7) AS statistic, (1 + count(*) FILTER (WHERE top >= statistic)) / 100.0::DOUBLE AS p FROM o, m
+  GROUP BY candidate""")
 def family_wise_p(spark: SparkSession, sf: str) -> DataFrame:
     terms = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("candidate"), F.col("l_suppkey").alias("unit")).agg(F.avg(F.col("l_discount") - 0.05).alias("term"))
     found = resample.largest_of_family(terms, "candidate", "unit", "term", 99, "flip")
@@ -427,8 +481,10 @@ def family_wise_p(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("keyed_mask", 169, 170, views="genotype", sql=f"""
-WITH f AS (SELECT sample, (row_number() OVER (ORDER BY sha256('fold' || chr(9) || CAST(sample AS VARCHAR))) - 1) % 5 AS fold FROM (SELECT DISTINCT sample FROM genotype))
-SELECT fold, count(*) AS masked FROM genotype JOIN f USING (sample) WHERE dosage IS NOT NULL AND {DRAW.format("'mask:' || variant || ':' || sample")} < 0.15 GROUP BY fold""")
+WITH f AS (SELECT sample, (row_number() OVER (ORDER BY sha256('fold' || chr(9) || CAST(sample AS VARCHAR))) - 1) % 5 AS fold
+  FROM (SELECT DISTINCT sample FROM genotype))
+SELECT fold, count(*) AS masked FROM genotype JOIN f USING (sample) WHERE dosage IS NOT NULL AND {DRAW.format("'mask:' || variant || ':' || sample")} < 0.15
+  GROUP BY fold""")
 def keyed_mask(spark: SparkSession, sf: str) -> DataFrame:
     g = v.genotype(spark, sf).where("dosage is not null")
     masked = g.where(resample.bernoulli(0.15, F.lit("mask"), "variant", "sample"))
@@ -436,7 +492,8 @@ def keyed_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("perturbation_score", 238, views="curve", sql="""
-SELECT cell, round(stddev_samp(metric - prev), 9) AS score FROM (SELECT cell, metric, lag(metric) OVER (PARTITION BY cell ORDER BY step) AS prev FROM curve) GROUP BY cell""")
+SELECT cell, round(stddev_samp(metric - prev), 9) AS score FROM (SELECT cell, metric, lag(metric) OVER (PARTITION BY cell ORDER BY step) AS prev
+  FROM curve) GROUP BY cell""")
 def perturbation_score(spark: SparkSession, sf: str) -> DataFrame:
     step = F.col("metric") - F.lag("metric").over(Window.partitionBy("cell").orderBy("step"))
     return rounded(v.curve(spark, sf).select("cell", step.alias("d")).groupBy("cell").agg(F.stddev_samp("d").alias("score")))
