@@ -62,7 +62,7 @@ LENGTH, ANCHOR = 100, 32
 PLACE = 24
 SEGMENT = 1 << 23
 #: Input rows a shard of stretches, and bounds of their number; bytes a sorted shard.
-SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 16_000, 16, 16_384
+SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 4_000, 16, 16_384
 SORTED_BYTES = 4 << 20
 #: Tuples that a queue of the sorter holds before it goes to disk.
 MEMORY = 1_000_000
