@@ -59,7 +59,7 @@ INJECTED, DISSOLVED = 24, 100
 TASKS = 10_000
 #: Bins with at most this much room left are final below the last level.
 NEARLY = 4
-#: Parts between white space whose ids a tokenizing process remembers.
+#: Parts between white space whose ids a tokenizing process remembers, in two halves: the older goes when the newer is full.
 REMEMBERED = 500_000
 # The words of the tokenizer's own pre-tokenizer, for texts of plain characters, on which no two libraries differ.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -74,6 +74,7 @@ class Ids:
 
         self.path, self.model = path, Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.splits = self._splits_words()
         if self.splits:
             # the same merges for words that are split and lower-cased already
@@ -116,13 +117,17 @@ class Ids:
 
     def _ids_of(self, parts: list[str]) -> list[bytes]:
         """Ids of distinct parts between white space, with new ones learned first."""
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
+        if len(self.parts) > REMEMBERED // 2:
+            self.older, self.parts = self.parts, {}
         known = self.parts
         known[""] = b""
         got = list(map(known.get, parts))
-        if None in got:
-            self._learn([w for w, ids in zip(parts, got, strict=True) if ids is None])
+        missing = [w for w, ids in zip(parts, got, strict=True) if ids is None]
+        if missing:
+            # those that the older half still has move over; the others are learned
+            older = list(map(self.older.get, missing))
+            known.update((w, ids) for w, ids in zip(missing, older, strict=True) if ids is not None)
+            self._learn([w for w, ids in zip(missing, older, strict=True) if ids is None])
             got = list(map(known.__getitem__, parts))
         return got
 
