@@ -73,8 +73,15 @@ def slices(at: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]
         lo = hi
 
 
-def release() -> None:
-    """Hand freed memory back to the system; a worker's heap otherwise keeps the largest block's."""
+#: What tasks of one operator remember for its next ones; those of another operator drop it.
+memos: list[dict] = []
+
+
+def release(own: dict | None = None) -> None:
+    """Drop the memos of other operators, and hand freed memory back to the system; a worker's heap otherwise keeps the largest block's."""
+    for memo in memos:
+        if memo is not own:
+            memo.clear()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

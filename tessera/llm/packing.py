@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import bounded_batches, release, text_frame
+from tessera.llm.blocks import bounded_batches, memos, release, text_frame
 from tessera.session import keep
 
 CAPACITY, END_ID = 4096, 1
@@ -60,7 +60,7 @@ TASKS = 10_000
 #: Bins with at most this much room left are final below the last level.
 NEARLY = 4
 #: Parts between white space whose ids a tokenizing process remembers, in two halves: the older goes when the newer is full.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 # The words of the tokenizer's own pre-tokenizer, for texts of plain characters, on which no two libraries differ.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0132-\u0148\u014a-\u017e]*")
@@ -152,6 +152,7 @@ class Ids:
 
 
 _loaded: dict[str, Ids] = {}
+memos.append(_loaded)
 
 
 def tokenizer(path: str) -> Ids:
@@ -180,7 +181,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: len(names)]
             yield pa.RecordBatch.from_arrays(made, names)
-        release()
+        release(_loaded)
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
