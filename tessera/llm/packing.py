@@ -155,6 +155,11 @@ _loaded: dict[str, Ids] = {}
 memos.append(_loaded)
 
 
+def _hand_back() -> None:
+    """As release(), but for this module's own memo. A function of the module, since a task's closure would hold a copy of the memo."""
+    release(_loaded)
+
+
 def tokenizer(path: str) -> Ids:
     if path not in _loaded:
         _loaded[path] = Ids(path)
@@ -181,7 +186,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: len(names)]
             yield pa.RecordBatch.from_arrays(made, names)
-        release(_loaded)
+        _hand_back()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
