@@ -59,4 +59,30 @@ s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER
 r AS (SELECT doc_id, count(*) AS n, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM s GROUP BY doc_id)
 SELECT h.doc_id, CAST(h.n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM h LEFT JOIN r USING (doc_id)""",
+    "op11_prefix_trie": """
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, xor(CAST(4294967295 AS BIGINT), list_reduce(
+        list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda b: [CAST(ascii(b) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) ELSE xor(s >> 1, 3988292384 * (s & 1)) END)) % 6 AS h
+      FROM (SELECT DISTINCT c FROM t)),
+u AS (
+  SELECT v.c, 0 AS own, t.p, t.r, t.x FROM v JOIN t ON t.c = v.c - v.c % 100 AND t.p <= v.h
+  UNION ALL SELECT v.c, 1, t.p, t.r, t.x FROM v JOIN t ON t.c = v.c AND t.p > v.h),
+w AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d, md5(md5(r) || md5(x)) AS turn, length(x) AS chars FROM u),
+q AS (
+  SELECT c, d, chars, string_agg(turn, '') OVER (PARTITION BY c ORDER BY d) AS node FROM w
+  UNION ALL SELECT c, 0, 0, '' FROM v),
+n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM q GROUP BY node, d),
+k AS (SELECT substr(node, 1, CAST(32 * (d - 1) AS BIGINT)) AS above, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.above = n.node),
+s AS (SELECT q.node, count(*) FILTER (WHERE m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.chars) AS BIGINT) AS saved_tokens
+      FROM m JOIN q ON q.c = m.conv_id AND q.d <= m.d GROUP BY q.node),
+e AS (SELECT node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends_sha256
+      FROM (SELECT c, arg_max(node, d) AS node FROM q GROUP BY c) GROUP BY node)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens,
+       coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM m JOIN s ON s.node = m.node LEFT JOIN e ON e.node = m.node LEFT JOIN n p ON m.d > 0 AND p.node = substr(m.node, 1, CAST(32 * (m.d - 1) AS BIGINT))""",
 }

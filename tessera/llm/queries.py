@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, contexts, hashing, language, mixing, mtree, packing, quality, simhash, suffixes
+from tessera.llm import chat, contexts, hashing, language, mixing, mtree, packing, prefixes, quality, simhash, suffixes
 from tessera.session import table
 
 
@@ -56,6 +56,10 @@ def op10_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.approximate(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
@@ -67,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_approximate_neighbours": op10_approximate_neighbours,
+    "op11_prefix_trie": op11_prefix_trie,
 }
