@@ -158,9 +158,9 @@ def span_words(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[n
     return one, (two >> np.uint64(32)).astype(np.uint32)
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and its text's number; words never cross texts."""
-    solid = ~SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and its text's number; words never cross texts. space marks the bytes that no word holds."""
+    solid = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     begins = solid.copy()

@@ -85,4 +85,21 @@ e AS (SELECT node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS end
 SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens,
        coalesce(e.ends_sha256, sha256('')) AS ends_sha256
 FROM m JOIN s ON s.node = m.node LEFT JOIN e ON e.node = m.node LEFT JOIN n p ON m.d > 0 AND p.node = substr(m.node, 1, CAST(32 * (m.d - 1) AS BIGINT))""",
+    "op12_ranked_search": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS place,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+z AS (SELECT doc_id, place, terms, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+g AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM z),
+f AS (SELECT place, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT place, unnest(terms) AS term FROM z) GROUP BY place, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, g GROUP BY term),
+i AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark WHERE text IS NOT NULL) GROUP BY item_id, term),
+s AS (SELECT item_id, z.doc_id, z.place,
+             CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM i JOIN w USING (term) JOIN f USING (term) JOIN z USING (place), g GROUP BY item_id, z.doc_id, z.place),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""",
 }
