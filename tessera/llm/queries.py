@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, contexts, hashing, language, lexical, mixing, mtree, packing, prefixes, quality, simhash, suffixes
+from tessera.llm import chat, contexts, hashing, labelling, language, lexical, mixing, mtree, packing, prefixes, quality, simhash, suffixes
 from tessera.session import table
 
 
@@ -64,6 +64,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelling.extract_main(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
@@ -77,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_approximate_neighbours": op10_approximate_neighbours,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_ranked_search": op12_ranked_search,
+    "op13_html_extraction": op13_html_extraction,
 }
