@@ -83,6 +83,17 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one, for files that Python opens; it goes with the driver."""
+    root = mounted_scratch(spark)
+    if root is None:
+        raise RuntimeError(f"{scratch_dir(spark)} is no path that Python can open")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    kept_paths.append(path)
+    return path
+
+
 _shipped: set[str] = set()
 
 
