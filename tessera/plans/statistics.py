@@ -497,3 +497,13 @@ SELECT cell, round(stddev_samp(metric - prev), 9) AS score FROM (SELECT cell, me
 def perturbation_score(spark: SparkSession, sf: str) -> DataFrame:
     step = F.col("metric") - F.lag("metric").over(Window.partitionBy("cell").orderBy("step"))
     return rounded(v.curve(spark, sf).select("cell", step.alias("d")).groupBy("cell").agg(F.stddev_samp("d").alias("score")))
+
+
+@query("leading_subspace_energy", 233, 146)
+def leading_subspace_energy(spark: SparkSession, sf: str) -> DataFrame:
+    from tessera.operators import subspace
+
+    rows = table(spark, sf, "embeddings")
+    space = subspace.leading_subspace(rows, "embedding", 4, oversample=28)
+    found = subspace.energies(rows, "vec_id", "embedding", space)
+    return found.select(F.col("id").alias("vec_id"), F.round("inside", 6).alias("inside"), F.round("outside", 6).alias("outside"))
