@@ -10,6 +10,7 @@ from tessera.plans import views as v
 from tessera.plans.registry import query
 from tessera.session import scratch_folder, table
 from tessera.sources.genotypes import read_npy
+from tessera.sources.indexed import read_indexed_vcf, write_indexed_vcf
 from tessera.sources.matrices import write_matrix
 from tessera.sources.pgen import read_head, read_pgen
 
@@ -69,3 +70,21 @@ def npy_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     write_matrix(rows, path, "npy", n, width, "row", "embedding", "<f4")
     back = read_npy(spark, path)
     return back.select("row", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.get("values", F.lit(0)).alias("first"), F.size("values").cast("bigint").alias("width"))
+
+
+@query("vcf_region_scan", 21, 87, views="genotype variant sample", sql="""
+WITH g AS (SELECT v.chrom, v.pos, count(g.dosage) AS called, CAST(sum(g.dosage) AS BIGINT) AS copies
+  FROM variant v LEFT JOIN genotype g ON g.variant = v.variant AND g.sample IN (SELECT sample FROM sample) GROUP BY v.chrom, v.pos),
+b AS (SELECT max(pos) // 4 AS low, max(pos) // 2 AS high FROM variant)
+SELECT chrom, pos, called, copies FROM g, b WHERE chrom IN ('chr1', 'chr3') AND pos >= low AND pos < high""")
+def vcf_region_scan(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _, _ = _hardcalls(spark, sf)
+    names = [str(r["sample"]) for r in v.sample(spark, sf).orderBy("sample").collect()]  # the file's header
+    call = lambda d: F.get(F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1")), d.cast("int"))
+    sites = rows.join(v.variant(spark, sf), "variant")
+    path = f"{scratch_folder(spark, 'vcf')}/calls"
+    write_indexed_vcf(sites.select("chrom", "pos", F.col("variant").cast("string").alias("id"), "ref", "alt", F.transform("values", call).alias("calls")), path, names)
+    far = v.variant(spark, sf).agg(F.max("pos")).first()[0]
+    region = read_indexed_vcf(spark, path).where(F.col("chrom").isin("chr1", "chr3") & (F.col("pos") >= far // 4) & (F.col("pos") < far // 2))
+    copies = F.transform(F.filter("calls", lambda c: c != "./."), lambda c: F.length(c) - F.length(F.replace(c, F.lit("1"), F.lit(""))))
+    return region.select("chrom", "pos", F.size(copies).cast("bigint").alias("called"), F.when(F.size(copies) > 0, F.aggregate(copies, F.lit(0), lambda s, x: s + x)).cast("bigint").alias("copies"))
