@@ -182,3 +182,34 @@ def interval_contract(spark: SparkSession, sf: str) -> DataFrame:
     spans = v.interval(spark, sf).select("chrom", "start", "stop")
     crossing = intervals.overlapping(spans, spans).where("start < r_start").select(F.lit("overlap").alias("problem"), "chrom", "start").distinct()
     return spans.where("start >= stop").select(F.lit("empty").alias("problem"), "chrom", "start").unionByName(crossing)
+
+
+@query("inventory_violations", 61, 218, sql="""
+WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, o_totalprice AS t FROM orders),
+l AS (SELECT l_orderkey AS k, list({'name': CAST(l_linenumber AS VARCHAR), 'digest': {'algorithm': CASE l_returnflag WHEN 'A' THEN 'md5' WHEN 'R' THEN 'none' ELSE 'sha256_full' END}} ORDER BY l_linenumber, translate(l_returnflag, 'ANR', '132')) AS files,
+    list(l_returnflag ORDER BY l_linenumber) AS flags FROM lineitem GROUP BY l_orderkey),
+j AS (SELECT CAST(o.k AS VARCHAR) AS id, s, p, files, flags FROM o LEFT JOIN l USING (k)),
+f AS (SELECT id, unnest(files) AS f, generate_subscripts(files, 1) - 1 AS i FROM j)
+SELECT id, 'unknown algorithm' AS problem, 'genotype_filesets[0].files[' || i || '].digest.algorithm' AS path FROM f WHERE f.digest.algorithm = 'md5'
+UNION ALL SELECT id, 'not false', 'identifiers_included' FROM j WHERE s = 'P'
+UNION ALL SELECT id, 'missing', 'blocking' FROM j WHERE p = '1-URGENT'
+UNION ALL SELECT id, 'not as declared', 'classification' FROM j WHERE s = 'F'
+UNION ALL SELECT id, 'forbidden key', 'kinship_files.parsed.members' FROM j WHERE len(flags) > 2
+UNION ALL SELECT id, 'long text list', 'kinship_files.parsed.members' FROM j WHERE len(flags) > 4""")
+def inventory_violations(spark: SparkSession, sf: str) -> DataFrame:
+    from tessera.operators.inventory import violations
+
+    line = table(spark, sf, "lineitem")
+    algorithm = F.when(F.col("l_returnflag") == "A", "md5").when(F.col("l_returnflag") == "R", "none").otherwise("sha256_full")
+    member = F.struct("l_linenumber", F.struct(F.col("l_linenumber").cast("string").alias("name"), F.struct(algorithm.alias("algorithm")).alias("digest")).alias("file"), F.col("l_returnflag").alias("flag"))
+    lines = line.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(member)).alias("m"))  # an order's lines
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")).join(lines, "k", "left")
+    body = F.struct(
+        F.when(F.col("s") == "F", "OTHER").otherwise("INVENTORY").alias("classification"),
+        (F.col("s") == "P").alias("identifiers_included"),
+        F.array(F.struct(F.transform("m", lambda x: x["file"]).alias("files"))).alias("genotype_filesets"),
+        F.struct(F.struct(F.when(F.size("m") > 2, F.transform("m", lambda x: x["flag"])).alias("members")).alias("parsed")).alias("kinship_files"),
+        F.when(F.col("p") != "1-URGENT", F.array().cast("array<string>")).alias("blocking"),
+    )
+    documents = o.select(F.col("k").cast("string").alias("id"), F.to_json(body).alias("body"))
+    return violations(documents, "id", "body", required=["blocking"], must_be_false=["identifiers_included"], constants={"classification": "INVENTORY"}, longest_list=4)

@@ -9,6 +9,7 @@ from tessera.operators.numbering import numbered
 from tessera.plans import views as v
 from tessera.plans.registry import query
 from tessera.session import scratch_folder, table
+from tessera.sources.fingerprints import content_fingerprint
 from tessera.sources.genotypes import read_npy
 from tessera.sources.indexed import read_indexed_vcf, write_indexed_vcf
 from tessera.sources.matrices import write_matrix
@@ -88,3 +89,14 @@ def vcf_region_scan(spark: SparkSession, sf: str) -> DataFrame:
     region = read_indexed_vcf(spark, path).where(F.col("chrom").isin("chr1", "chr3") & (F.col("pos") >= far // 4) & (F.col("pos") < far // 2))
     copies = F.transform(F.filter("calls", lambda c: c != "./."), lambda c: F.length(c) - F.length(F.replace(c, F.lit("1"), F.lit(""))))
     return region.select("chrom", "pos", F.size(copies).cast("bigint").alias("called"), F.when(F.size(copies) > 0, F.aggregate(copies, F.lit(0), lambda s, x: s + x)).cast("bigint").alias("copies"))
+
+
+@query("content_fingerprints", 222, 40, sql="""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, CAST(n AS BIGINT) AS bytes, CASE WHEN n <= 2000 THEN 'sha256_full' ELSE 'sha256_head_tail_size' END AS algorithm,
+    CASE WHEN n <= 2000 THEN sha256(x) ELSE sha256(encode(CAST(n AS VARCHAR)) || x[1 : 640] || x[greatest(n - 640, 640) + 1 : n]) END AS value
+  FROM d""")
+def content_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    content = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    algorithm, value = content_fingerprint(content, 2000, 640)
+    return table(spark, sf, "documents").select("doc_id", F.octet_length(content).cast("bigint").alias("bytes"), algorithm.alias("algorithm"), value.alias("value"))

@@ -308,3 +308,21 @@ def factorial_schedule(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"))
     grid = nation.crossJoin(table(spark, sf, "region").select(F.col("r_regionkey").alias("region"))).crossJoin(spark.range(4).select(F.col("id").alias("seed")))
     return s.schedule(grid, ["nation", "region", "seed"], "plan", 4)
+
+
+@query("stratified_group_folds", 170)
+def stratified_group_folds(spark: SparkSession, sf: str) -> DataFrame:
+    from tessera.operators import dealing
+
+    return dealing.stratified_group_folds(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", 5, "outer")
+
+
+@query("exact_allocation", 182)
+def exact_allocation(spark: SparkSession, sf: str) -> DataFrame:
+    from tessera.operators import dealing
+
+    member = table(spark, sf, "customer").select(F.concat_ws("-", F.col("c_nationkey").cast("string"), F.floor(F.col("c_custkey") / (F.col("c_nationkey") % 3 * 40 + 20)).cast("string")).alias("family"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("population"))
+    families = member.groupBy("family", "population").agg(F.count("*").alias("size"))
+    n = member.count()
+    targets = {"development": n * 35 // 100, "task_gate": n * 12 // 100}
+    return dealing.exact_allocation(families, "family", "population", "size", targets | {"bridge_test": n - sum(targets.values())}, "freeze").select("family", "size", "role")
