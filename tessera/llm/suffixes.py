@@ -9,10 +9,9 @@ the leftmost of its ANCHOR-byte strings with the least hash; equal windows
 have equal anchors. Neighbouring windows with one anchor form a stretch, and
 within a stretch no two windows are equal. Stretches, as hashes of anchor and
 content, meet in the anchor's shard, which settles what needs no sorting: an
-anchor that occurs once has no repeats, and of equal stretches those in copies
-of a whole text, told by its digest, and those beyond the second are counted
-before the sort, as copies of the ones that are sorted. All other stretches,
-the first two of every content, are fetched from their texts
+anchor that occurs once has no repeats, and of equal stretches those beyond the
+second are counted before the sort, as copies of the ones that are sorted. All
+other stretches, the first two of every content, are fetched from their texts
 and dealt by anchor into shards, where `induced.InducedSorter` sorts all
 suffixes, with disk-backed queues that carry common-prefix values; in each run
 of suffixes that share LENGTH bytes all windows but the earliest are repeats.
@@ -173,17 +172,8 @@ def cut_again(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, length: in
     return text[one], begin - at[text[one]], end - begin + 1, core, span_hash(prefix, begin, end + length)
 
 
-def _seconds(other: np.ndarray, lead: np.ndarray, new: np.ndarray, digests: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Which of the stretches of one content is the second: not the first itself, and no copy of a whole text before it.
-
-    Stretches stand by content, then by document; lead is the first of each content.
-    """
-    group = np.cumsum(new) - 1
-    order = np.lexsort((lo, digests, group))  # stable, so of one text at one place the least document comes first
-    same = (group[order][1:] == group[order][:-1]) & (digests[order][1:] == digests[order][:-1]) & (lo[order][1:] == lo[order][:-1])
-    whole_copy = np.zeros(len(other), bool)
-    whole_copy[order[1:][same]] = True
-    other = other & ~whole_copy
+def _seconds(other: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Which of the stretches that are not the first of their content come second. Stretches stand by content; lead is the first of each."""
     passed = np.cumsum(other)
     return other & (passed - passed[lead] == 1)
 
@@ -200,7 +190,7 @@ def _settle(ids, digests, lo, n, anchor, content, length: int, hot: int) -> Iter
     itself = (ids == ids[lead]) & (digests == digests[lead]) & (lo == lo[lead])
     group = np.cumsum(new_anchor) - 1
     contents = np.bincount(group, new)[group]
-    second = _seconds(~itself, lead, new, digests, lo)
+    second = _seconds(~itself, lead)
     copied = np.bincount(np.cumsum(new) - 1, second)[np.cumsum(new) - 1] > 0
     needed = second | (new & (copied | (contents > 1)))
     repeat, ask, much = ~itself & ~second, needed & (contents <= hot), needed & (contents > hot)
@@ -272,7 +262,7 @@ def find_stretches(docs: DataFrame, shards: int, length: int, held: int = HELD,
             new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])])
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             other = ~new & ~((ids[text[order]] == ids[text[lead]]) & (digests[text[order]] == digests[text[lead]]) & (lo[order] == lo[lead]))
-            second = _seconds(other, np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)), new, digests[text[order]], lo[order])
+            second = _seconds(other, np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)))
             again = order[other & ~second]
             rows = []
             if len(again):
