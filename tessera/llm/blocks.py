@@ -49,6 +49,11 @@ def text_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[c.alias(k) for k, c in more.items()])
 
 
+def whole_row(docs: DataFrame):
+    """All columns as one struct named row, whatever they are called."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary array and the n+1 offsets into them; null is empty."""
     if isinstance(column, pa.ChunkedArray):

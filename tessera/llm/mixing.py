@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import WORDS
+from tessera.llm.blocks import WORDS, whole_row
 from tessera.session import keep
 
 #: Leading hex digits of a key that name its range: 4096 ranges of a source.
@@ -76,21 +76,23 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     first words joined by single spaces. Rows that repeat (doc_id, source,
     size) are told apart by a digest of all their columns.
     """
-    names = docs.columns
-    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]), {"ignoreNullFields": "false"})
-    unique = docs.withColumn("__id", F.sha2(F.concat_ws("\u001f", others, F.col("text").isNull().cast("string"), F.coalesce(F.col("text"), F.lit(""))), 256))
-    plan = mix_to_weights(unique.select("__id", "text", "source"), weights, most, id_col="__id")
-    plan = plan.groupBy(F.col("doc_id").alias("__id")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
-    full = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(F.lit(0))
-    rest = F.col("__taken") - full * F.col("__size")
-    whole = full.cast("int")
+    text = F.col("row.text")
+    named = docs.select(whole_row(docs))
+    fields = named.schema["row"].dataType.fieldNames()
+    bare = F.col("row").dropFields("text") if len(fields) > 1 else F.lit(None)
+    digest = F.sha2(F.concat_ws("\u001f", F.to_json(F.struct(bare.alias("rest")), {"ignoreNullFields": "false"}), text.isNull().cast("string"), F.coalesce(text, F.lit(""))), 256)
+    unique = named.select("row", digest.alias("id"))
+    plan = mix_to_weights(unique.select("id", text.alias("text"), F.col("row.source").alias("source")), weights, most, id_col="id")
+    plan = plan.groupBy(F.col("doc_id").alias("id")).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
+    full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
+    rest = F.col("taken") - full * F.col("size")
     # equal rows share one total; the first of them carries all their copies
-    firsts = unique.dropDuplicates(["__id"]).join(plan, "__id")
-    lengths = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), whole), F.when(rest > 0, F.array(rest.cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
-    cut = firsts.select("*", F.explode(lengths).alias("__cut"))
-    words = F.regexp_extract_all("text", F.lit(f"({WORDS})"), F.lit(1))
-    text = F.when(F.col("__cut") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__cut").cast("int")), " "))
-    out = cut.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*names)
+    firsts = unique.dropDuplicates(["id"]).join(plan, "id")
+    lengths = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), full.cast("int")), F.when(rest > 0, F.array(rest.cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
+    cut = firsts.select("row", F.explode(lengths).alias("words"))
+    words = F.regexp_extract_all(text, F.lit(f"({WORDS})"), F.lit(1))
+    shown = F.when(F.col("words") < 0, text).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " "))
+    out = cut.withColumn("row", F.col("row").withField("text", shown))
+    if "n_chars" in fields:
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast(dict(docs.dtypes)["n_chars"])))
+    return out.select("row.*")

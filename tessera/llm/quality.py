@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import SPACE, blocks, bounded_batches, crc_mod, per_text, raw_bytes, release, slices, span_words, text_frame, word_spans
+from tessera.llm.blocks import SPACE, blocks, bounded_batches, crc_mod, per_text, raw_bytes, release, slices, span_words, text_frame, whole_row, word_spans
 from tessera.session import keep
 
 FEATURES = ("log_words", "letters", "upper", "digits", "symbols", "stops", "wide", "word_mean", "word_sd", "adjacent", "distinct", "bare", "glued", "capital", "long_words", "line_repeats", "worst_run", "bars")
@@ -192,7 +192,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int
         release()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
 
-    marked = keep(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"), measured(docs["text"].cast("string")).alias("x")), "quality-rows")
+    marked = keep(docs.select(whole_row(docs), docs["doc_id"].cast("bigint").alias("doc_id"), measured(docs["text"].cast("string")).alias("x")), "quality-rows")
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").where(crc_mod("doc_id", folds) != held_out)
     model = fit(marked.select("doc_id", "x"), known)
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import LOWER, blocks, bounded_batches, mix, raw_bytes, release, text_frame
+from tessera.llm.blocks import LOWER, blocks, bounded_batches, mix, raw_bytes, release, text_frame, whole_row
 from tessera.operators.graph import connected_components
 from tessera.session import keep
 
@@ -274,7 +274,7 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] |
         release()
         return pa.array(np.array(found, np.uint64).view(np.int64))
 
-    rows = keep(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), marked(docs["text"].cast("string")).alias("fp"), F.monotonically_increasing_id().alias("place"), docs["doc_id"].cast("bigint").alias("doc_id")), "simhash-rows")
+    rows = keep(docs.select(whole_row(docs), marked(docs["text"].cast("string")).alias("fp"), F.monotonically_increasing_id().alias("place"), docs["doc_id"].cast("bigint").alias("doc_id")), "simhash-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
     kept = keep(components(rows.groupBy("fp").agg(first)).select(F.col("least.place").alias("place")).distinct(), "simhash-kept")
     return rows.join(kept, "place", "left_semi").select("row.*")

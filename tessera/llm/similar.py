@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.blocks import BASE, LOWER, blocks, bounded_batches, distinct_sorted, mix, prefix_hash, raw_bytes, release, slices, span_hash, word_spans
+from tessera.llm.blocks import BASE, LOWER, blocks, bounded_batches, distinct_sorted, mix, prefix_hash, raw_bytes, release, slices, span_hash, whole_row, word_spans
 from tessera.operators.graph import connected_components
 from tessera.session import keep
 
@@ -377,7 +377,7 @@ def one_of_similar(docs: DataFrame, k: int = SHINGLE, limit: tuple[int, int] = L
     def signed(text: pa.Array) -> pa.Array:
         return pa.array([signature(s, limit) for s in _by_slices(text, k, shared.value)], pa.binary())
 
-    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    whole = whole_row(docs)
     rows = keep(docs.select(whole, signed(docs["text"].cast("string")).alias("marks"), F.monotonically_increasing_id().alias("node"), docs["doc_id"].cast("bigint").alias("doc_id")).withColumn("same", F.substring("marks", 1, 16)), "similar-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
     alone = keep(rows.groupBy("same").agg(F.min("node").alias("node"), F.min_by("marks", "node").alias("marks"), first).select("node", "marks", "first"), "similar-distinct")

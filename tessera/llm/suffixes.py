@@ -51,6 +51,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.blocks import BASE_INV, blocks, bounded_batches, mix, powers, prefix_hash, raw_bytes, release, span_hash
 from tessera.llm.induced import InducedSorter
@@ -463,7 +464,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     kept_text drops the characters all of whose bytes are removed.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("digest"), docs[text_col].cast("string").alias("text"), docs[id_col].cast("bigint").alias("doc_id"), F.struct(*[docs[c] for c in carry] if carry else [F.lit(1).alias("none")]).alias("rest"))
+    rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text_col]).alias("digest"), docs[text_col].cast("string").alias("text"), docs[id_col].cast("bigint").alias("doc_id"), F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in carry] if carry else [F.lit(1).alias("none")]).alias("rest"))
     spans = repeated_spans(rows, length, **limits).groupBy("id", "digest").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,7 +498,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *[pa.array(v, kinds[k]) for k, v in columns.items()]], ["doc_id", "rest", *columns])
 
     joined = rows.join(spans.hint("shuffle_hash"), ["id", "digest"], "left").select("doc_id", "text", "starts", "ends", "rest")
-    kind = joined.schema["rest"].dataType.simpleString()
-    schema = f"doc_id bigint, rest {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>" + (", kept_text string" if carry else "")
+    schema = StructType.fromDDL("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>" + (", kept_text string" if carry else ""))
+    schema = StructType([schema[0], joined.schema["rest"], *schema[1:]])
     out = joined.mapInArrow(cut, schema)
     return out if carry else out.drop("rest")

@@ -10,7 +10,8 @@ which then need no rows that score less than a query's k-th best there.
 
 Vectors that are null, empty, or hold null or non-finite components take no
 part, nor do rows without an id. Rows that repeat an id are candidates each,
-but never for a query of that id; queries that repeat an id give one ranking.
+but never for a query of that id. Queries that repeat an id give one ranking,
+that of the shortest vector, among these of the first by its components.
 Vectors are compared only with those of their own dimension. An empty table
 gives an empty result; other columns are ignored, whatever their names.
 """
@@ -80,7 +81,9 @@ def search(vectors: DataFrame, queries, k: int, make: Callable, probe: Callable,
     vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     rows = keep(usable(vectors, id_col, vector_col, nonzero).withColumn("place", F.monotonically_increasing_id()), "vectors")
     shards = _dealt(rows, SHARD_ROWS, make, "shards")
-    blocks = _dealt(rows.where(queries), BLOCK_ROWS, lambda ids, values: (ids, values), "query-blocks")
+    # the least row of each id, so that no ranking mixes two rows or two dimensions
+    asking = rows.where(queries).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "place")).alias("least")).select("vec_id", "least.*")
+    blocks = _dealt(asking, BLOCK_ROWS, lambda ids, values: (ids, values), "query-blocks")
     counts = shards.select("dim", F.col("parts").alias("shards")).distinct()
     sent = blocks.select("dim", F.col("part").alias("block"), F.col("blob").alias("asked")).join(counts, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("part"), "block", "asked")
     met = shards.select("dim", "part", "blob").join(sent, ["dim", "part"]).select("dim", "part", "block", "blob", "asked")

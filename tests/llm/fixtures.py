@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, digest long, fp long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, digest long, fp long, `a.b` int, __id string, __cut long, __taken long, row string, id string, rest string, words int"
+AWKWARD = (5, "own id", 6, 7, "own row", "own", "own rest", 8)
 SYLLABLES = ["ka", "lo", "mi", "ter", "an", "sho", "un", "ri", "vel", "do"]
 
 
@@ -21,9 +22,9 @@ def texts(seed: int = 1) -> list[str | None]:
 
 
 def documents(spark, extra_repeat: bool = True):
-    rows = [(i * 3 + 1, t, ["en", "fr", None][i % 3], ["s1", "s2", None, "S0"][i % 4], len(t or ""), 7, "k", 9, 11) for i, t in enumerate(texts())]
+    rows = [(i * 3 + 1, t, ["en", "fr", None][i % 3], ["s1", "s2", None, "S0"][i % 4], len(t or ""), 7, "k", 9, 11, *AWKWARD) for i, t in enumerate(texts())]
     if extra_repeat:
-        rows += [rows[8], rows[8], (None, "null id " * 20, "en", "s1", 1, 1, None, 1, 1), (rows[9][0], "another text under one id " * 8, None, "s2", 1, 1, "k", 2, 3)]
+        rows += [rows[8], rows[8], (None, "null id " * 20, "en", "s1", 1, 1, None, 1, 1, *AWKWARD), (rows[9][0], "another text under one id " * 8, None, "s2", 1, 1, "k", 2, 3, *AWKWARD)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

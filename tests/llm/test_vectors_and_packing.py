@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tests.llm.fixtures import documents, empty
+from tests.llm.fixtures import AWKWARD, SCHEMA, documents, empty
 
 
 def vector_table(spark, n=400, dim=16, extra=True):
@@ -32,6 +32,11 @@ def usable(rows, nonzero):
     return out
 
 
+def asked(own, q):
+    """The one vector that stands for a query id: the shortest, then the first by components."""
+    return min((x for i, x in own if i == q), key=lambda x: (len(x), x.tolist()))
+
+
 def test_mtree_is_exact(spark):
     from tessera.llm import mtree
 
@@ -39,7 +44,8 @@ def test_mtree_is_exact(spark):
     own = [(i, np.floor(1024 * v).astype(np.int64)) for i, v in usable(df.collect(), False)]
     want = set()
     for q in {i for i, _ in own if i % 100 == 0}:
-        ranked = sorted((-int(x @ y), c) for i, x in own for c, y in own if i == q and c != q and len(x) == len(y))
+        x = asked(own, q)
+        ranked = sorted((-int(x @ y), c) for c, y in own if c != q and len(x) == len(y))
         want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(ranked[:10])}
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(df).collect()} == want
 
@@ -142,8 +148,7 @@ def test_pipeline(spark, tmp_path):
     from tessera.llm import quality, suffixes
     from tests.llm.test_similar import brute_kept, stayed
 
-    docs = documents(spark).where("text is null or text not like 'another%'")  # two texts under one id would share a component id
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 90, 3)] + [(7, 0, 0), (10, 0, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     read = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -153,25 +158,42 @@ def test_pipeline(spark, tmp_path):
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, now, str(tmp_path))
         assert i == 4 or out.columns == read.columns
+        assert i == 4 or {tuple(r) for r in out.select("`a.b`", "__id", "__cut", "__taken", "row", "id", "rest", "words").collect()} == {AWKWARD}
         out.write.parquet(f"{tmp_path}/stage{i}")
         before, now = now, spark.read.parquet(f"{tmp_path}/stage{i}")
         if i == 1:
             assert stayed(now) == brute_kept([(r.doc_id, r.text) for r in before.collect()])
         if i == 2:
-            want = {r.doc_id: r for r in suffixes.remove_repeats(before).collect()}
-            assert all(len((r.text or "").encode()) >= want[r.doc_id].n_bytes - want[r.doc_id].n_removed for r in now.collect())
-            assert now.count() == before.count()
+            left = sorted((str(r.doc_id), r.n_bytes - r.n_removed) for r in suffixes.remove_repeats(before).collect())
+            assert all(i == j and kept <= n for (i, kept), (j, n) in zip(left, sorted((str(r.doc_id), len((r.text or "").encode())) for r in now.collect()), strict=True))
     good = {r.doc_id for r in quality.score_documents(read, labels).where("predicted = 1").collect()}
     assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/stage0").collect()} == good
     key = lambda r: (str(r.doc_id), r.piece, r.length, r.ids_crc32)
     assert sorted(map(key, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(key, now.collect()))
 
 
-def test_queries_have_all_eleven():
+def test_stages_of_an_empty_table_and_of_long_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = "doc_id long, quality int, toxic int"
+    spark.createDataFrame([], labels).write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty(spark), str(tmp_path))
+        assert out.count() == 0 and (stage is corpus_pipeline.STAGES[-1][1] or out.columns == empty(spark).columns)
+    long = "word after word " * 40_000
+    rows = [(1, long, "en", "s", 9, 7, "k", 9, 11, *AWKWARD), (2, "another text altogether", None, None, 1, 7, None, 9, 11, *AWKWARD)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:4]):
+        kept = stage(spark, docs, str(tmp_path)).collect()
+        assert {r.doc_id for r in kept} <= {1, 2} and kept
+        assert k or len(kept) == 2
+
+
+def test_queries_have_all_fourteen():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_rows_that_repeat_an_id_are_candidates_each(spark):
@@ -179,15 +201,33 @@ def test_rows_that_repeat_an_id_are_candidates_each(spark):
 
     rows = [(0, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [5.0, 0.0]), (7, [5.0, 0.0]), (0, [0.0, 2.0]), (3, [1.0, 2.0]), (5, [-1.0, 9.0]), (5, [-1.0, 8.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    pairs = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(x, y, strict=True)), c) for q, x in rows for c, y in rows if q == 0 and c != 0)
+    first = (0.0, 2.0)  # of the two rows of id 0
+    pairs = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(first, y, strict=True)), c) for c, y in rows if c != 0)
     got = [(r["rank"], r.vec_id, r.score) for r in mtree.top_k(df).orderBy("rank").collect()]
-    assert got == [(n + 1, c, -s) for n, (s, c) in enumerate(pairs[:10])]
+    assert got == [(n + 1, c, -s) for n, (s, c) in enumerate(pairs[:10])] and len(got) == 6
     cos = lambda x, y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
-    near = sorted((-round(cos(x, y), 9), c) for q, x in rows for c, y in rows if q == 0 and c != 0)
+    near = sorted((-round(cos(first, y), 9), c) for c, y in rows if c != 0)
     got = [(-round(r.score, 9), r.vec_id) for r in hashing.approximate(df).orderBy("rank").collect()]
     assert got == near[:5]
 
 
+def test_a_repeated_query_takes_no_candidate_twice(spark):
+    from tessera.llm import hashing, mtree
+
+    rows = [(r.vec_id, list(r.embedding)) for r in vector_table(spark, 300, extra=False).collect()]
+    more = [(100, rows[100][1]), (100, rows[7][1]), (200, [1.0, 2.0]), (200, rows[200][1]), (17, [3.0, 1.0]), (18, [-1.0, 1.0])]
+    df = spark.createDataFrame(rows + more, "vec_id long, embedding array<float>").repartition(3)
+    own = [(i, np.array(v, float)) for i, v in rows + more]
+    exact = [(r.query_id, r.vec_id, r.score) for r in mtree.top_k(df).collect()]
+    assert len(exact) == len(set(exact))
+    for q, k in ((100, 10), (200, 2)):
+        x = np.floor(1024 * asked(own, q)).astype(np.int64)
+        want = sorted((-int(x @ np.floor(1024 * y).astype(np.int64)), c) for c, y in own if c != q and len(y) == len(x))[:k]
+        assert sorted((-s, c) for i, c, s in exact if i == q) == want
+    near = [(r.query_id, r.vec_id) for r in hashing.approximate(df).collect()]
+    assert len(near) == len(set(near)) and {c for q, c in near if q == 200} == {17, 18}
+
+
 def test_thresholds_miss_no_code_within_the_radius():
     from tessera.llm import hashing
 
