@@ -271,9 +271,10 @@ def _names(text: np.ndarray, starts: np.ndarray, marks: np.ndarray, names: np.nd
     return total
 
 
-def _doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string in memory."""
+def _doubling(names: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix order of a string in memory; with a depth, by so many first symbols at least, then in any order."""
     n = len(names)
+    depth = n if depth is None else min(n, depth)
     rank, k = names.astype(np.int64), 1
     bits = n.bit_length()
     while True:
@@ -285,7 +286,7 @@ def _doubling(names: np.ndarray) -> np.ndarray:
             new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
             rank = np.empty(n, np.int64)
             rank[order] = new
-            if new[-1] == n - 1 or k >= n:
+            if new[-1] == n - 1 or k >= n or 2 * k >= depth:
                 return order
             k = min(2 * k, n)
             continue
@@ -293,16 +294,20 @@ def _doubling(names: np.ndarray) -> np.ndarray:
         new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if new[-1] == n - 1 or k >= n:
+        if new[-1] == n - 1 or k >= n or 2 * k >= depth:
             return order
         k = min(2 * k, n)
 
 
 class InducedSorter:
-    """Sorts the suffixes of texts that end with a symbol 0 that is nowhere else."""
+    """Sorts the suffixes of texts that end with a symbol 0 that is nowhere else.
 
-    def __init__(self, memory: int = 4_000_000, base: int = 8_000_000, folder: str | None = None):
-        self.memory, self.base = memory, base
+    A shallow sorter looks at no more symbols than the cap of common prefixes: suffixes that share so many stand
+    together in any order. Induction keeps such an order, and capped common prefixes are the same.
+    """
+
+    def __init__(self, memory: int = 4_000_000, base: int = 8_000_000, folder: str | None = None, shallow: bool = False):
+        self.memory, self.base, self.shallow = memory, base, shallow
         self.recursions, self.queues = 0, []
         self.folder = tempfile.mkdtemp(prefix="suffixes-", dir=folder)
 
@@ -328,15 +333,15 @@ class InducedSorter:
         os.unlink(path)
         return out
 
-    def order(self, text: np.ndarray) -> np.ndarray:
-        """All positions in suffix order."""
+    def order(self, text: np.ndarray, depth: int | None = None) -> np.ndarray:
+        """All positions in suffix order, of which the first `depth` symbols count."""
         if len(text) <= self.base:
-            return _doubling(np.array(text))
+            return _doubling(np.array(text), depth)
         self.recursions += 1
         last = iter([np.array([len(text) - 1])])
         return self.mapped(chain((pos for pos, _ in self.descending(text, 0)), last), np.int64, backwards=True)
 
-    def sorted_seeds(self, text: np.ndarray) -> np.ndarray:
+    def sorted_seeds(self, text: np.ndarray, cap: int = 0) -> np.ndarray:
         starts = self.mapped(leftmost_smaller(text), np.int64, backwards=True)
         if len(starts) == 1:
             return np.array(starts)
@@ -347,7 +352,8 @@ class InducedSorter:
             for lo in range(0, len(starts), CHUNK):
                 out[names[lo : lo + CHUNK]] = starts[lo : lo + CHUNK]
             return out
-        order = self.order(names)
+        # seeds lie two symbols apart at least, so half as many names tell them apart
+        order = self.order(names, (cap + 1) // 2 if self.shallow and cap else None)
         return self.mapped((starts[order[lo : lo + CHUNK]] for lo in range(0, len(order), CHUNK)), np.int64)
 
     def _queue(self, ascending: bool = True) -> SuffixQueue:
@@ -377,7 +383,7 @@ class InducedSorter:
         """
         if len(text) < 2:
             return
-        seeds = self.sorted_seeds(text)
+        seeds = self.sorted_seeds(text, cap)
         commons = self.mapped(_neighbours(text, seeds, cap), np.uint8) if cap else self.blank(len(seeds), np.uint8)
         symbols = int(text.max()) + 1
         up, larger = self._queue(), self._queue()

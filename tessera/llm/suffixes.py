@@ -392,7 +392,7 @@ def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int,
         span = n + length - 1
         starts = np.cumsum(span + 1) - span - 1
         contents = np.memmap(os.path.join(folder, "text"), np.uint8, "r")
-        with InducedSorter(memory, folder=folder) as sorter:
+        with InducedSorter(memory, folder=folder, shallow=True) as sorter:
             entry, offset = repeated_windows(contents, starts, n, (rank << 33) + lo, length, sorter)
         del contents
         release()

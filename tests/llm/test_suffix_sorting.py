@@ -44,3 +44,18 @@ def test_most_repeated_windows_come_from_the_sorter(spark):
     windows = lambda spans: spans.select(F.explode(F.arrays_zip("starts", "ends")).alias("s")).agg(F.sum(F.col("s.ends") - F.col("s.starts") - 99)).first()[0] or 0
     settled = windows(suffixes.find_stretches(rows, 16, 100))
     assert windows(suffixes.repeated_spans(rows)) - settled > settled
+
+
+def test_a_shallow_sorter_orders_by_the_cap():
+    rng = np.random.default_rng(8)
+    words = [rng.integers(2, 6, int(rng.integers(1, 6))).astype(np.uint8) for _ in range(40)]
+    part = np.concatenate([words[i] for i in rng.integers(0, 40, 3000)])
+    text = np.concatenate([part, [9], part[:2500], part[:2500], [8], part, np.full(700, 3), [0]]).astype(np.uint8)
+    data = text.tobytes()
+    for cap in (1, 7, 20, 100):
+        with induced.InducedSorter(memory=700, shallow=True) as sorter:
+            pos, common = (np.concatenate(x) for x in zip(*sorter.descending(text, cap), strict=True))
+        assert np.array_equal(np.sort(pos), np.arange(len(text) - 1))
+        heads = [data[p : p + cap] for p in pos.tolist()]
+        assert all(a >= b for a, b in zip(heads, heads[1:], strict=False))
+        assert [induced._common(text, int(a), int(b), cap) for a, b in zip(pos, pos[1:], strict=False)] == common[1:].tolist()
