@@ -7,14 +7,17 @@ turn, so that no conversation is ever gathered; `digest` streams over the
 fragments of a conversation in turn order and keeps running hashes only.
 
 The template is `<|turn|>role<|text|>content<|end|>`. In roles and texts a
-backslash becomes two, and `<|` becomes `<\\|`, which reads back exactly.
+backslash becomes two, and `<|` becomes `<\\|`, also where its two characters
+come from two parts, which reads back exactly.
 
 Defined cases: null text or role is empty; a null part list means one text
 part; an unknown part type is kept as an attachment of that type with one
 token; turns with equal numbers follow role, then text, with null as empty;
 repeated rows are turns of their own; rows with a null conv_id form one
 conversation; texts are handled whole, however long; an empty table gives no
-rows; other columns are ignored, whatever their names.
+rows; other columns are ignored, whatever their names; of a `parts` column of
+structs the known fields are read as far as they can be converted, and one of
+another shape counts as no part list.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, NumericType, StringType, StructType
 
 from tessera.llm.blocks import bounded_batches
 
@@ -41,8 +45,10 @@ FRAGMENT_SCHEMA = "conv_id bigint, turn bigint, role string, text string, fragme
 DIGEST_SCHEMA = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, attachment_tokens bigint"
 
 
-def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("<|", "<\\|")
+def escape(text: str, before: str = "") -> str:
+    """The text where it follows what has been written before: no control string begins in it or runs on into it."""
+    out = text.replace("\\", "\\\\").replace("<|", "<\\|")
+    return "\\" + out if before.endswith("<") and out.startswith("|") else out
 
 
 def unescape(text: str) -> str:
@@ -53,7 +59,7 @@ class PartVisitor:
     """Flattens one turn's parts; `start` is the fragment's length so far."""
 
     def __init__(self, start: int, trained: bool):
-        self.at, self.trained = start, trained
+        self.at, self.trained, self.last = start, trained, ""
         self.out: list[str] = []
         self.spans: list[dict] = []
         self.attachments: list[dict] = []
@@ -66,10 +72,11 @@ class PartVisitor:
         began = self.at
         self.out.append(piece)
         self.at += len(piece)
+        self.last = piece[-1:] or self.last
         return began
 
     def visit_text(self, index: int, kind: str, part: dict) -> None:
-        piece = escape(part.get("text") or "")
+        piece = escape(part.get("text") or "", self.last)
         began = self.emit(piece)
         if self.trained and piece:
             self.spans.append({"start": began, "length": len(piece)})
@@ -101,10 +108,26 @@ def format_turn(role: str | None, text: str | None, parts: list[dict] | None = N
     return {"fragment": head + "".join(visitor.out) + END, "loss_spans": visitor.spans, "attachments": visitor.attachments, "attachment_tokens": sum(a["tokens"] for a in visitor.attachments)}
 
 
+def _parts(conversations: DataFrame) -> Column:
+    """The part lists under the known fields, whatever shape the column has."""
+    kind = next((f.dataType for f in conversations.schema if f.name == "parts"), None)
+    if not (isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType)):
+        return F.lit(None).cast(PARTS)
+    have = {f.name: f.dataType for f in kind.elementType}
+    plain = (StringType, NumericType, BooleanType)
+
+    def field(part: Column, name: str, wanted: str) -> Column:
+        found = part[name].cast("string").try_cast(wanted) if isinstance(have.get(name), plain) else F.lit(None).cast(wanted)
+        return found.alias(name)
+
+    fields = [f.split(":") for f in PARTS.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    return F.transform("parts", lambda part: F.struct(*[field(part, n, k) for n, k in fields]))
+
+
 def format_turns(conversations: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """One formatted fragment for each row of (conv_id, turn, role, text[, parts])."""
     bounded_batches(conversations.sparkSession)
-    parts = F.col("parts").cast(PARTS) if dict(conversations.dtypes).get("parts", "").startswith("array<struct") else F.lit(None).cast(PARTS)
+    parts = _parts(conversations)
     rows = conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text", parts.alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
