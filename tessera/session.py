@@ -9,6 +9,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +59,21 @@ def mounted_scratch(spark: SparkSession) -> str | None:
 kept_paths: list[str] = []
 
 
+#: Where the tables that this thread keeps are noted besides, while it collects them.
+_collecting: ContextVar[list[str] | None] = ContextVar("collecting", default=None)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that this thread keeps meanwhile; those of other threads are not among them."""
+    paths: list[str] = []
+    before = _collecting.set(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.reset(before)
+
+
 @atexit.register
 def _forget_mounted() -> None:
     """At the end of the driver, remove the kept tables that are still there, where their folder is mounted."""
@@ -80,6 +98,8 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     kept_paths.append(path)
+    if (collecting := _collecting.get()) is not None:
+        collecting.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
