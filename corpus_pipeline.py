@@ -5,6 +5,9 @@ as Parquet and read again as the next one's docs. All but the last return the
 columns of documents. No stage has an SQL form: the classifier, the
 shingle sets and the packing are not expressible.
 
+Tables behind a stage go when the next one over the same input begins in the
+same thread; runs in other threads keep theirs.
+
 Defined cases, for every stage: an empty table gives an empty result; null and
 empty texts are texts without words, kept or dropped like others; very long
 texts are handled whole; rows that repeat are rows of their own, of which the
@@ -15,6 +18,7 @@ docstring says what it does beyond that.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -22,11 +26,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, quality, simhash, suffixes
-from tessera.session import forget, keep, kept_paths, table
+from tessera.session import collected, forget, keep, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: By input, the tables that the last stage to run over it still needed for its result.
-_needed: dict[str, list[str]] = {}
+
+
+class _Needed(threading.local):
+    """By input, the tables that this thread's last stage over it still needs for its result."""
+
+    def __init__(self):
+        self.by_input: dict[str, list[str]] = {}
+
+
+_needed = _Needed()
 
 
 def _follows(stage: Stage) -> Stage:
@@ -34,7 +46,7 @@ def _follows(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget(spark, _needed.pop(sf_dir, []))
+        forget(spark, _needed.by_input.pop(sf_dir, []))
         return _first(stage)(spark, docs, sf_dir)
 
     return run_stage
@@ -43,9 +55,9 @@ def _follows(stage: Stage) -> Stage:
 def _first(stage: Stage) -> Stage:
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        before = set(kept_paths)
-        out = stage(spark, docs, sf_dir)
-        _needed[sf_dir] = [p for p in kept_paths if p not in before]
+        with collected() as paths:
+            out = stage(spark, docs, sf_dir)
+        _needed.by_input[sf_dir] = paths
         return out
 
     return run_stage

@@ -189,6 +189,31 @@ def test_stages_of_an_empty_table_and_of_long_texts(spark, tmp_path):
         assert k or len(kept) == 2
 
 
+def test_two_runs_over_one_folder_at_a_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    import corpus_pipeline
+
+    documents(spark).limit(12).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    read, together = spark.read.parquet(f"{tmp_path}/documents.parquet"), Barrier(2)
+
+    def run(name):
+        now = read
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+            together.wait(300)
+            out = stage(spark, now, str(tmp_path))
+            together.wait(300)  # both have made their tables before either writes its result
+            out.write.parquet(f"{tmp_path}/{name}{i}")
+            now = spark.read.parquet(f"{tmp_path}/{name}{i}")
+        return sorted(str(r.doc_id) for r in now.collect())
+
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(run, "ab")
+    assert one == two and one
+
+
 def test_queries_have_all_fourteen():
     import __spark_entry__ as entry
 
