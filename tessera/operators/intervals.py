@@ -74,6 +74,19 @@ def tiles(spans: DataFrame, size: int) -> DataFrame:
     return begun.select("chrom", "start", F.least(F.col("start") + size, "end").alias("stop"))
 
 
+def map_tiles(curve: DataFrame, size: float) -> DataFrame:
+    """Tiles (chrom, block, start, stop) of a curve (chrom, x, y) whose y never falls: a tile begins where y passes a multiple of size.
+
+    A multiple that lies between two points begins a tile at the later one, however many lie between. Positions count from 1
+    and the tiles from 0, so the last one ends behind its chromosome's last point.
+    """
+    begun = curve.groupBy("chrom", F.floor(F.col("y") / size).alias("step")).agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    by_step = Window.partitionBy("chrom").orderBy("step")  # one row a tile
+    stop = F.coalesce(F.lead("first").over(by_step) - 1, F.col("last"))
+    tiles = begun.select("chrom", (F.row_number().over(by_step) - 1).cast("bigint").alias("block"), (F.col("first") - 1).alias("start"), stop.alias("stop"))
+    return tiles.where("stop > start")
+
+
 def interpolated(points: DataFrame, curve: DataFrame, key: str) -> DataFrame:
     """points (chrom, pos) with y read off the curve (chrom, x, y) by straight lines, held at its ends."""
     both = points.select("chrom", F.col("pos").alias("x"), key, F.lit(None).cast("double").alias("y")).unionByName(curve.select("chrom", "x", F.lit(None).cast(points.schema[key].dataType).alias(key), F.col("y").cast("double").alias("y")))

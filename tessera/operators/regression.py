@@ -35,6 +35,11 @@ class Gram:
     def squared_error(self, b: np.ndarray) -> float:
         return float(self.products[-1, -1] - 2 * b @ self.xy + b @ self.xx @ b)
 
+    def explained(self) -> float:
+        """R2 of the fit: the share of the response's variation about its mean that it takes away."""
+        n, y = self.products[0, 0], self.products[0, -1]
+        return float(1 - self.squared_error(self.solve()) / (self.products[-1, -1] - y * y / n))
+
     def fit_report(self) -> dict[str, tuple[float, float]]:
         """Coefficient and t value of each predictor and of the intercept."""
         b, n = self.solve(), self.products[0, 0]

@@ -68,6 +68,16 @@ def block_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return i.overlapping(made, spans.select("chrom", "start", "stop")).where("r_start <= start and stop <= r_stop and (start - r_start) % 4000 = 0 and (stop - start = 4000 or stop = r_stop)").select("chrom", F.col("r_start").alias("begin"), "start", "stop").distinct()
 
 
+@query("map_tiles", 205, views="variant", sql="""
+WITH m AS (SELECT chrom, pos AS x, pos / 100000.0::DOUBLE + (variant // 40) * 0.5 AS y FROM variant WHERE pos > 0),
+k AS (SELECT *, lag(floor(y / 2.0)) OVER (PARTITION BY chrom ORDER BY x) AS before, max(x) OVER (PARTITION BY chrom) AS far FROM m),
+b AS (SELECT chrom, x, far FROM k WHERE before IS NULL OR floor(y / 2.0) > before)
+SELECT chrom, row_number() OVER w - 1 AS block, x - 1 AS start, coalesce(lead(x) OVER w - 1, far) AS stop FROM b WINDOW w AS (PARTITION BY chrom ORDER BY x)""")
+def map_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    y = F.col("pos") / 100000.0 + F.floor(F.col("variant") / 40) * 0.5
+    return i.map_tiles(v.variant(spark, sf).where("pos > 0").select("chrom", F.col("pos").alias("x"), y.alias("y")), 2.0)
+
+
 @query("map_interpolation", 206, 30, views="variant", sql="""
 WITH m AS (SELECT chrom, pos AS x, CAST(variant % 97 + variant AS DOUBLE) / 100 AS y FROM variant WHERE variant % 11 = 0),
 b AS (SELECT v.chrom, v.pos, v.variant, (SELECT max(x) FROM m WHERE m.chrom = v.chrom AND x <= v.pos) AS lx, (SELECT min(x)

@@ -170,9 +170,12 @@ def paired_rank_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(resample.interval(reps, "difference"), 8)
 
 
-@query("fit_equivariance", 171, sql=_TWO + """, s AS (SELECT (p * d - q * b) / (a * d - b * b) AS bx, (q * a - p * b) / (a * d - b * b) AS bz FROM c)
-SELECT 'l_quantity' AS term, round(bx, 4) AS plain, round(2 * bx + 100, 4) AS moved, true AS equivariant FROM s
-UNION ALL SELECT 'l_discount', round(bz, 4), round(2 * bz, 4), true FROM s""")
+@query("fit_equivariance", 171, sql=_TWO + """, s AS (SELECT (p * d - q * b) / (a * d - b * b) AS bx, (q * a - p * b) / (a * d - b * b) AS bz FROM c),
+w AS (SELECT l_quantity AS x, l_discount AS z, 2 * l_extendedprice + 100 * l_quantity AS y FROM lineitem),
+g AS (SELECT covar_pop(x, y) AS p, covar_pop(z, y) AS q, var_pop(x) AS a, var_pop(z) AS d, covar_pop(x, z) AS b FROM w),
+k AS (SELECT (p * d - q * b) / (a * d - b * b) AS mx, (q * a - p * b) / (a * d - b * b) AS mz FROM g),
+r AS (SELECT 'l_quantity' AS term, bx AS plain, mx AS moved, 2 * bx + 100 AS want FROM s, k UNION ALL SELECT 'l_discount', bz, mz, 2 * bz FROM s, k)
+SELECT term, round(plain, 4) AS plain, round(moved, 4) AS moved, abs(moved - want) <= 1e-6 * greatest(1, abs(want)) AS equivariant FROM r""")
 def fit_equivariance(spark: SparkSession, sf: str) -> DataFrame:
     """Coefficients refitted after the response is scaled and turned towards a predictor: they must scale and move with it."""
     rows = table(spark, sf, "lineitem").withColumn("moved", 2 * F.col("l_extendedprice") + 100 * F.col("l_quantity"))

@@ -235,7 +235,9 @@ SELECT event_type, field, array_to_string(list_slice(list_sort(list(DISTINCT use
   FROM f GROUP BY ALL""")
 def field_presence(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "events").select("event_type", "user_id", F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("bigint") % 10).cast("string")).alias("field")).distinct()
-    return f.groupBy("event_type", "field").agg(F.array_join(F.slice(F.sort_array(F.collect_list("user_id")), 1, 6), ",").alias("first_six"), F.count("*").alias("holders"))
+    least = Window.partitionBy("event_type", "field").orderBy("user_id")
+    six = f.withColumn("rank", F.row_number().over(least)).where("rank <= 6").groupBy("event_type", "field").agg(F.array_join(F.sort_array(F.collect_list("user_id")), ",").alias("first_six"))
+    return six.join(f.groupBy("event_type", "field").agg(F.count("*").alias("holders")), ["event_type", "field"])
 
 
 @query("build_vote", 156, views="variant", sql="""

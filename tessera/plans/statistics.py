@@ -185,17 +185,21 @@ def rank_deciles(spark: SparkSession, sf: str) -> DataFrame:
     return stats.strata_by_rank(rows, "x", 10, ["g"], "decile").groupBy("g", "decile").agg(F.count("*").alias("n"))
 
 
-_TWO = """WITH m AS (SELECT count(*) AS n, sum(l_quantity) AS x, sum(l_discount) AS z, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS xx, sum(l_discount * l_discount) AS zz, sum(l_quantity * l_discount) AS xz, sum(l_quantity * l_extendedprice) AS xy, sum(l_discount * l_extendedprice) AS zy FROM lineitem),
-c AS (SELECT n, x / n AS mx, z / n AS mz, y / n AS my, xx - x * x / n AS a, zz - z * z / n AS d, xz - x * z / n AS b, xy - x * y / n AS p, zy - z * y / n AS q
+_TWO = """WITH m AS (SELECT count(*) AS n, sum(l_quantity) AS x, sum(l_discount) AS z, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS xx, sum(l_discount * l_discount) AS zz, sum(l_quantity * l_discount) AS xz, sum(l_quantity * l_extendedprice) AS xy, sum(l_discount * l_extendedprice) AS zy, sum(l_extendedprice * l_extendedprice) AS yy FROM lineitem),
+c AS (SELECT n, x / n AS mx, z / n AS mz, y / n AS my, xx - x * x / n AS a, zz - z * z / n AS d, xz - x * z / n AS b, xy - x * y / n AS p, zy - z * y / n AS q, yy - y * y / n AS t
   FROM m)"""
 
 
-@query("least_squares", 122, 123, 228, sql=_TWO + """, s AS (SELECT *, (p * d - q * b) / (a * d - b * b) AS bx, (q * a - p * b) / (a * d - b * b) AS bz FROM c)
-SELECT 'l_quantity' AS term, round(bx, 4) AS coefficient FROM s UNION ALL SELECT 'l_discount', round(bz, 4) FROM s
-  UNION ALL SELECT '1', round(my - bx * mx - bz * mz, 4) FROM s""")
+@query("least_squares", 122, 123, 228, sql=_TWO + """, s AS (SELECT *, a * d - b * b AS det, (p * d - q * b) / (a * d - b * b) AS bx, (q * a - p * b) / (a * d - b * b) AS bz FROM c),
+e AS (SELECT *, t - bx * p - bz * q AS rest, (t - bx * p - bz * q) / (n - 3) AS noise, my - bx * mx - bz * mz AS b0 FROM s),
+r AS (SELECT 'l_quantity' AS term, bx AS coefficient, bx / sqrt(noise * d / det) AS t_value, 1 - rest / t AS r2 FROM e
+  UNION ALL SELECT 'l_discount', bz, bz / sqrt(noise * a / det), 1 - rest / t FROM e
+  UNION ALL SELECT '1', b0, b0 / sqrt(noise * (1.0 / n + (mx * mx * d - 2 * mx * mz * b + mz * mz * a) / det)), 1 - rest / t FROM e)
+SELECT term, round(coefficient, 4) AS coefficient, round(t_value, 4) AS t_value, round(r2, 8) AS r2 FROM r""")
 def least_squares(spark: SparkSession, sf: str) -> DataFrame:
-    fit = regression.grams(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")[0].fit_report()
-    return spark.createDataFrame([(k, round(b, 4)) for k, (b, _) in fit.items()], "term string, coefficient double")
+    gram = regression.grams(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")[0]
+    rows = [(k, round(b, 4), round(t, 4), round(gram.explained(), 8)) for k, (b, t) in gram.fit_report().items()]
+    return spark.createDataFrame(rows, "term string, coefficient double, t_value double, r2 double")
 
 
 @query("ridge", 124, sql=_TWO + """, s AS (SELECT *, (p * (d + 50) - q * b) / ((a + 50) * (d + 50) - b * b) AS bx, (q * (a + 50) - p * b) / ((a + 50) * (d + 50) - b * b) AS bz FROM c)
@@ -371,14 +375,13 @@ def capacity_envelope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("shared_level_choice", 152, 192, sql="""
-WITH s AS (SELECT CAST(l_linenumber AS DOUBLE) AS level, l_returnflag AS cell, avg(l_discount) AS score FROM lineitem WHERE l_linenumber <= 4
-  GROUP BY ALL),
+WITH s AS (SELECT CAST(l_linenumber AS DOUBLE) AS level, l_returnflag AS cell, avg(l_discount) AS score FROM lineitem GROUP BY ALL),
 g AS (SELECT a.level, min(b.score - a.score) AS least, avg(b.score - a.score) AS mean, median(b.score - a.score) AS med FROM s a
   JOIN s b ON a.cell = b.cell AND b.level = 1 GROUP BY a.level HAVING min(b.score - a.score) >= -0.002)
 SELECT level, round(least, 9) AS least, round(mean, 9) AS mean, round(med, 9) AS median FROM g WHERE mean >= (SELECT max(mean)
   FROM g) - 0.0005 ORDER BY level LIMIT 1""")
 def shared_level_choice(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy(F.col("l_linenumber").cast("double").alias("level"), F.col("l_returnflag").alias("cell")).agg(F.avg("l_discount").alias("score"))
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("double").alias("level"), F.col("l_returnflag").alias("cell")).agg(F.avg("l_discount").alias("score"))
     return rounded(gates.shared_level(s, "level", "cell", "score", 1.0, 0.002, 0.0005))
 
 

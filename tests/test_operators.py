@@ -223,3 +223,29 @@ def test_neighbours_and_ranks_carry_over_ranges(spark):
     for r in numbering.average_ranks(tied, ["g"], "v", "rank").collect():
         own = values[r.g]
         assert r["rank"] == sum(v < r.v for v in own) + (own.count(r.v) + 1) / 2 and r["__n"] == len(own)
+
+
+def test_map_tiles_begin_where_a_multiple_is_passed(spark):
+    import math
+    import random
+
+    from tessera.operators.intervals import map_tiles
+
+    rng, want, rows = random.Random(2), set(), []
+    for chrom in ("1", "2", "X"):
+        x, y, points = 0, 0.3, []
+        for _ in range(60):
+            x, y = x + rng.randrange(1, 40), y + rng.choice([0, 0.05, 0.4, 2.7])
+            points.append((x, y))
+        rows += [(chrom, a, b) for a, b in points]
+        begun, limit = [points[0][0]], (math.floor(points[0][1] / 1.0) + 1) * 1.0
+        for a, b in points[1:]:
+            if b >= limit:
+                begun.append(a)
+                while b >= limit:
+                    limit += 1.0
+        begun.append(points[-1][0] + 1)
+        want |= {(chrom, k, a - 1, b - 1) for k, (a, b) in enumerate(zip(begun, begun[1:], strict=False)) if b > a}
+    df = spark.createDataFrame(rows, "chrom string, x long, y double").repartition(4)
+    assert {tuple(r) for r in map_tiles(df, 1.0).collect()} == want
+    assert map_tiles(df.where("x < 0"), 1.0).collect() == []
