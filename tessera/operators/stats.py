@@ -43,11 +43,33 @@ def macro(cells: DataFrame, values: list[str]) -> DataFrame:
 QUANTILES = (0.001, 0.01, 0.25, 0.5, 0.75, 0.99, 0.999)
 
 
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float], method: str = "linear") -> DataFrame:
+    """groups and, by name, the exact quantile of the values that are not null: interpolated, or the order statistic at or above its rank.
+
+    Ranks come from the counts of distinct values, summed up in ranges over all groups, and each quantile picks the two values
+    that it lies between; no task holds a group's values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__k"))
+    upto = numbering.running(counts, "__upto", F.col("__k"), *groups, value)
+    starts = upto.groupBy(*groups).agg(F.min(F.col("__upto") - F.col("__k")).alias("__start"), F.sum("__k").alias("__n"))
+    same = [F.col(f"u.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups]
+    ranked = upto.alias("u").join(starts.alias("s"), same).select(*[F.col(f"u.{g}").alias(g) for g in groups], F.col(f"u.{value}").alias("__v"), (F.col("__upto") - F.col("__k") - F.col("__start")).alias("__from"), (F.col("__upto") - F.col("__start") - 1).alias("__to"), "__n")
+    at = {name: (F.col("__n") - 1) * p for name, p in probs.items()}
+    pick = lambda rank: F.max(F.when((F.col("__from") <= rank) & (rank <= F.col("__to")), F.col("__v")))
+    ends = [c for name, h in at.items() for c in (pick(F.floor(h)).alias(f"__low_{name}"), pick(F.ceil(h)).alias(f"__high_{name}"))]
+    found = ranked.groupBy(*groups, "__n").agg(*ends)
+    low, high = (lambda name, side=side: F.col(f"__{side}_{name}") for side in ("low", "high"))
+    between = lambda name, h: high(name) if method == "higher" else low(name) + (high(name) - low(name)) * (h - F.floor(h))
+    return found.select(*groups, *[between(name, h).alias(name) for name, h in at.items()])
+
+
 def described(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Mean, population sd, extremes, exact quantiles, skewness and excess kurtosis by group."""
-    q = F.percentile(value, F.array(*map(F.lit, QUANTILES))).alias("q")
-    rows = df.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurtosis"), q)
-    return rows.select(*[c for c in rows.columns if c != "q"], *[F.col("q")[i].alias(f"q{str(p)[2:]}") for i, p in enumerate(QUANTILES)])
+    rows = df.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurtosis"))
+    names = {f"q{str(p)[2:]}": p for p in QUANTILES}
+    quantiles = exact_quantiles(df, groups, value, names)
+    same = [F.col(f"r.{g}").eqNullSafe(F.col(f"q.{g}")) for g in groups]
+    return rows.alias("r").join(quantiles.alias("q"), same, "left").select("r.*", *[f"q.{n}" for n in names])
 
 
 def value_shape(df: DataFrame, groups: list[str], value: str, digits: int = 6, far: float = 5.0) -> DataFrame:
@@ -64,12 +86,6 @@ def failed_rules(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()]))
 
 
-def upper_quantile(value: str, q: float) -> Column:
-    """The order statistic at or above rank (n - 1) q, as an aggregate."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, (F.ceil((F.count(value) - 1) * q) + 1).cast("int"))
-
-
 def spearman(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation by group; 0 where either side is constant."""
     ranked = numbering.average_ranks(df.select(*groups, x, y), groups, x, "rx").drop("__n")

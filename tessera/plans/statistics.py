@@ -140,7 +140,7 @@ def trait_screen(spark: SparkSession, sf: str) -> DataFrame:
 WITH r AS (SELECT cell, metric, row_number() OVER (PARTITION BY cell ORDER BY metric) AS i, count(*) OVER (PARTITION BY cell) AS n FROM curve)
 SELECT cell, max(metric) AS upper FROM r WHERE i = ceil((n - 1) * 0.9) + 1 GROUP BY cell""")
 def upper_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return v.curve(spark, sf).groupBy("cell").agg(stats.upper_quantile("metric", 0.9).alias("upper"))
+    return stats.exact_quantiles(v.curve(spark, sf), ["cell"], "metric", {"upper": 0.9}, "higher")
 
 
 @query("out_of_sample_r2", 117, 118, sql="""

@@ -249,3 +249,25 @@ def test_map_tiles_begin_where_a_multiple_is_passed(spark):
     df = spark.createDataFrame(rows, "chrom string, x long, y double").repartition(4)
     assert {tuple(r) for r in map_tiles(df, 1.0).collect()} == want
     assert map_tiles(df.where("x < 0"), 1.0).collect() == []
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    from tessera.operators.stats import described, exact_quantiles
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([1.5, 1.5, 2.0, None, rng.random() * 9])) for g in ["a", "b", None] for _ in range({"a": 301, "b": 7, None: 60}[g])] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, y double").repartition(5)
+    probs = {"p0": 0.0, "p1": 0.1, "p5": 0.5, "p97": 0.97, "top": 1.0}
+    for method in ("linear", "higher"):
+        got = {r.g: r for r in exact_quantiles(df, ["g"], "y", probs, method).collect()}
+        assert set(got) == {"a", "b", None, "one"}
+        for g, r in got.items():
+            own = np.array([y for h, y in rows if h == g and y is not None])
+            assert np.allclose([r[n] for n in probs], np.quantile(own, list(probs.values()), method=method), atol=1e-12)
+    table = {r.g: r for r in described(df, ["g"], "y").collect()}
+    assert len(table) == 5 and table["none"].q5 is None and table["none"].n == 0
+    assert abs(table["a"].q5 - np.median([y for g, y in rows if g == "a" and y is not None])) < 1e-12
