@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.keys import ranking_key, unit_draw
 from tessera.operators import numbering
+from tessera.session import keep
 
 
 def numbered(df: DataFrame, order: list[str], *groups: str) -> DataFrame:
@@ -32,9 +33,20 @@ def draw_weights(units: DataFrame, replicates: int, seed: str) -> DataFrame:
     return draws(units, replicates, seed).groupBy("rep", "i").agg(F.count("*").alias("w"))
 
 
+#: Units that are sent to every task.
+SENT_UNITS = 500_000
+
+
 def replicated(units: DataFrame, replicates: int, seed: str, statistics: list[Column], *by: str) -> DataFrame:
-    """Statistics of each replicate; aggregates may use w, a unit's weight."""
-    return units.join(draw_weights(units, replicates, seed), "i").groupBy("rep", *by).agg(*statistics)
+    """Statistics of each replicate; aggregates may use w, a unit's weight, and are sums over units.
+
+    Every draw is a row of weight 1, made and added up where it is made: up to SENT_UNITS units are broadcast, so that nothing
+    is shuffled but a row a replicate and task; of more units the draws are shuffled once.
+    """
+    own = keep(units, "units")
+    drawn = draws(own, replicates, seed)
+    sent = F.broadcast(own) if own.count() <= SENT_UNITS else own
+    return drawn.join(sent, "i").withColumn("w", F.lit(1)).groupBy("rep", *by).agg(*statistics)
 
 
 def interval(reps: DataFrame, value: str, level: float = 0.95) -> DataFrame:
