@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+from shutil import rmtree
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from tessera.plans import views as v
 from tessera.plans.registry import query
 from tessera.session import scratch_folder, table
 from tessera.sources.fingerprints import content_fingerprint
-from tessera.sources.genotypes import read_npy
+from tessera.sources.genotypes import read_bim, read_npy, read_plink
 from tessera.sources.indexed import read_indexed_vcf, write_indexed_vcf
 from tessera.sources.matrices import write_matrix
 from tessera.sources.pgen import read_head, read_pgen
@@ -35,7 +38,7 @@ def _pgen(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     return rows, path
 
 
-@query("pgen_variant_counts", 20, 14, 18, 19, views="genotype variant sample", sql="""
+@query("pgen_variant_counts", 20, 14, views="genotype variant sample", sql="""
 WITH c AS (SELECT g.variant, count(*) FILTER (WHERE dosage = 0) AS n0, count(*) FILTER (WHERE dosage = 1) AS n1, count(*) FILTER (WHERE dosage = 2) AS n2
   FROM genotype g JOIN sample USING (sample) GROUP BY g.variant),
 n AS (SELECT count(*) AS samples FROM sample)
@@ -48,6 +51,34 @@ def pgen_variant_counts(spark: SparkSession, sf: str) -> DataFrame:
     return calls.select("variant_index", of(0).alias("n0"), of(1).alias("n1"), of(2).alias("n2"), of(-1).alias("missing"))
 
 
+def _one_file(lines: DataFrame, path: str) -> None:
+    """Lines of text, in order, as the one file that a fileset has of its kind."""
+    lines.coalesce(1).write.text(f"{path}.parts")
+    (part,) = Path(f"{path}.parts").glob("part-*.txt")
+    part.rename(path)
+    rmtree(f"{path}.parts")
+
+
+@query("plink_variant_counts", 17, 18, 19, 16, views="genotype variant sample", sql="""
+WITH c AS (SELECT g.variant, count(*) FILTER (WHERE dosage = 0) AS n0, count(*) FILTER (WHERE dosage = 1) AS n1, count(*) FILTER (WHERE dosage = 2) AS n2
+  FROM genotype g JOIN sample USING (sample) GROUP BY g.variant),
+n AS (SELECT count(*) AS samples FROM sample)
+SELECT v.chrom, v.pos, CAST(v.variant AS VARCHAR) AS variant_id, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2,
+    samples - coalesce(n0, 0) - coalesce(n1, 0) - coalesce(n2, 0) AS missing
+  FROM variant v LEFT JOIN c USING (variant), n""")
+def plink_variant_counts(spark: SparkSession, sf: str) -> DataFrame:
+    rows, n, width = _hardcalls(spark, sf)
+    stem = f"{scratch_folder(spark, 'plink')}/calls"
+    write_matrix(rows.select("row", "values"), f"{stem}.bed", "bed", n, width)
+    line = F.concat_ws("\t", "chrom", F.col("variant").cast("string"), F.lit("0"), F.col("pos").cast("string"), "alt", "ref")
+    _one_file(v.variant(spark, sf).orderBy("variant").select(line), f"{stem}.bim")
+    _one_file(v.sample(spark, sf).orderBy("sample").select(F.concat_ws(" ", F.lit("f"), F.col("sample").cast("string"), F.lit("0 0 1 -9"))), f"{stem}.fam")
+    calls = read_plink(spark, stem).join(read_bim(spark, f"{stem}.bim"), "variant_index")
+    of = lambda code: F.size(F.filter("dosages", lambda d: d == code)).cast("bigint")
+    missing = F.size(F.filter("dosages", lambda d: d.isNull())).cast("bigint")
+    return calls.select("chrom", "pos", "variant_id", of(0).alias("n0"), of(1).alias("n1"), of(2).alias("n2"), missing.alias("missing"))
+
+
 @query("pgen_head_audit", 14, views="genotype variant sample", sql="""
 WITH f AS (SELECT variant FROM variant ORDER BY variant LIMIT 10),
 c AS (SELECT coalesce(g.dosage, -1) AS d FROM f, sample s LEFT JOIN genotype g ON g.variant = f.variant AND g.sample = s.sample)

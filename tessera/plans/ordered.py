@@ -268,7 +268,7 @@ def _left(part: str) -> str:
     return f"{{'e': round({' + '.join(f'{d} * {d}' for d in away)}, 6), 'h': sha256({key}), 'n': '{part}'}}"
 
 
-@query("greedy_component_split", 181, 182, 107, sql=f"""
+@query("greedy_component_split", 181, 107, sql=f"""
 WITH RECURSIVE u AS (SELECT o_custkey AS unit, count(*) AS size, o_custkey % 5 AS stratum FROM orders GROUP BY o_custkey),
 o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size DESC,
     sha256('seed' || chr(31) || CAST(stratum AS VARCHAR) || chr(31) || CAST(unit AS VARCHAR))) AS i,
