@@ -82,7 +82,10 @@ def nonincreasing_fit(curve: DataFrame) -> DataFrame:
 
 
 def acceleration(control: DataFrame, selected: DataFrame, targets: int = 5) -> DataFrame:
-    """By cell: median ratio of the first steps at which two fits reach levels inside their common range."""
+    """By cell: median ratio of the first steps at which two fits reach levels inside their common range.
+
+    Pairs that `unpaired` names have no such ratio, or none that compares like with like.
+    """
     ends = lambda df, n: df.groupBy("cell").agg(F.max("fit").alias(f"hi_{n}"), F.min("fit").alias(f"lo_{n}"))
     common = ends(control, "c").join(ends(selected, "s"), "cell").select("cell", F.least("hi_c", "hi_s").alias("hi"), F.greatest("lo_c", "lo_s").alias("lo")).where("hi > lo")
     levels = common.select("cell", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(targets)), lambda k: F.col("hi") - (F.col("hi") - F.col("lo")) * k / (targets + 1))).alias("n", "level"))
@@ -90,6 +93,15 @@ def acceleration(control: DataFrame, selected: DataFrame, targets: int = 5) -> D
     return reach(control, "c").join(reach(selected, "s"), ["cell", "n"]).groupBy("cell").agg(F.median(F.col("c") / F.col("s")).alias("speedup"), F.count("*").alias("levels"))
 
 
+def unpaired(control: DataFrame, selected: DataFrame) -> DataFrame:
+    """(cell, problem) of pairs of fits that cannot be compared: one is missing, their steps differ, or their ranges do not overlap."""
+    c, s = control.select("cell", "step", F.col("fit").alias("a")), selected.select("cell", "step", F.col("fit").alias("b"))
+    both = c.join(s, ["cell", "step"], "full").groupBy("cell")
+    ranges = both.agg(F.count("a").alias("n"), F.count("b").alias("m"), F.bool_or(F.col("a").isNull() | F.col("b").isNull()).alias("differ"), F.least(F.max("a"), F.max("b")).alias("hi"), F.greatest(F.min("a"), F.min("b")).alias("lo"))
+    problem = F.when((F.col("n") == 0) | (F.col("m") == 0), "one curve").when(F.col("differ"), "steps differ").when(F.col("hi") <= F.col("lo"), "no common range")
+    return ranges.select("cell", problem.alias("problem")).where("problem is not null")
+
+
 def step_violations(curve: DataFrame, start: int, by: int) -> DataFrame:
     """Cells whose steps are not start, start + by, and so on."""
     seen = curve.groupBy("cell").agg(F.sort_array(F.collect_list("step")).alias("steps"))

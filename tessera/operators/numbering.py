@@ -66,7 +66,7 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> Da
     upto = running(counts, "__upto", F.col("__k"), *groups, value)
     starts = upto.groupBy(*groups).agg(F.min(F.col("__upto") - F.col("__k")).alias("__start"), F.sum("__k").alias("__n"))
     same = lambda left, right, columns: [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
-    ranked = upto.alias("u").join(F.broadcast(starts).alias("s"), same("u", "s", groups))
+    ranked = upto.alias("u").join(starts.alias("s"), same("u", "s", groups))
     rank = F.col("__upto") - F.col("__start") - F.col("__k") + (F.col("__k") + 1) / 2.0
     table = ranked.select(*[F.col(f"u.{c}").alias(c) for c in (*groups, value)], rank.alias(name), "__n")
     return df.alias("d").join(table.alias("t"), same("d", "t", (*groups, value))).select("d.*", f"t.{name}", "t.__n")
@@ -86,6 +86,6 @@ def nearest_known(df: DataFrame, group: str, order: str, known: Column) -> DataF
     by_range = Window.partitionBy(group).orderBy("__range")
     before = F.last("__last", ignorenulls=True).over(by_range.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("__first", ignorenulls=True).over(by_range.rowsBetween(1, Window.unboundedFollowing))
-    carried = F.broadcast(ends.select("__range", group, before.alias("__before"), after.alias("__after")))
+    carried = ends.select("__range", group, before.alias("__before"), after.alias("__after"))
     found = ranges.withColumn("__in_back", back).withColumn("__in_ahead", ahead).join(carried, ["__range", group])
     return found.select(*df.columns, F.coalesce("__in_back", "__before").alias("__back"), F.coalesce("__in_ahead", "__after").alias("__ahead"))

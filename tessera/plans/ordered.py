@@ -153,12 +153,15 @@ def curve_nonincreasing_fit(spark: SparkSession, sf: str) -> DataFrame:
     return c.nonincreasing_fit(v.curve(spark, sf)).select("cell", "step", F.round("fit", 7).alias("fit"))
 
 
-@query("curve_acceleration", 199, 93, views="curve", sql="""
+_FITS = """
 WITH k AS (SELECT * FROM curve WHERE cell LIKE '%:view' OR cell LIKE '%:click'),
 s AS (SELECT a.cell, a.step AS lo, b.step AS hi, (SELECT avg(metric) FROM k WHERE k.cell = a.cell AND k.step BETWEEN a.step AND b.step) AS mean
   FROM k a JOIN k b ON a.cell = b.cell AND a.step <= b.step),
 t AS (SELECT i.cell, i.step, s.lo, max(s.mean) AS top FROM k i JOIN s ON s.cell = i.cell AND s.lo <= i.step AND s.hi >= i.step GROUP BY ALL),
-f AS (SELECT split_part(cell, ':', 1) AS cell, split_part(cell, ':', 2) AS kind, step, round(min(top), 9) AS fit FROM t GROUP BY ALL),
+f AS (SELECT split_part(cell, ':', 1) AS cell, split_part(cell, ':', 2) AS kind, step, round(min(top), 9) AS fit FROM t GROUP BY ALL),"""
+
+
+@query("curve_acceleration", 199, 93, views="curve", sql=_FITS + """
 e AS (SELECT cell, kind, max(fit) AS hi, min(fit) AS lo FROM f GROUP BY ALL),
 c AS (SELECT cell, min(hi) AS hi, max(lo) AS lo FROM e GROUP BY cell HAVING count(*) = 2 AND min(hi) > max(lo)),
 l AS (SELECT cell, n, hi - (hi - lo) * n / 6 AS level FROM c, range(1, 6) r(n)),
@@ -166,12 +169,25 @@ r AS (SELECT l.cell, l.n, f.kind, min(f.step) AS step FROM l JOIN f ON f.cell =
 SELECT x.cell, round(median(x.step / y.step), 9) AS speedup, count(*) AS levels FROM r x
   JOIN r y ON x.cell = y.cell AND x.n = y.n WHERE x.kind = 'view' AND y.kind = 'click' GROUP BY x.cell""")
 def curve_acceleration(spark: SparkSession, sf: str) -> DataFrame:
+    return c.acceleration(*_fit_pair(spark, sf)).select("cell", F.round("speedup", 9).alias("speedup"), "levels")
+
+
+def _fit_pair(spark: SparkSession, sf: str) -> list[DataFrame]:
     curve = v.curve(spark, sf)
     kind = F.substring_index("cell", ":", -1)
     control = curve.where(kind == "view").withColumn("cell", F.substring_index("cell", ":", 1))
     chosen = curve.where(kind == "click").withColumn("cell", F.substring_index("cell", ":", 1))
-    fits = [c.nonincreasing_fit(df).withColumn("fit", F.round("fit", 9)) for df in (control, chosen)]
-    return c.acceleration(*fits).select("cell", F.round("speedup", 9).alias("speedup"), "levels")
+    return [c.nonincreasing_fit(df).withColumn("fit", F.round("fit", 9)) for df in (control, chosen)]
+
+
+@query("curve_unpaired", 199, 200, views="curve", sql=_FITS + """
+p AS (SELECT cell, count(*) FILTER (WHERE kind = 'view') AS n, count(*) FILTER (WHERE kind = 'click') AS m, max(step) FILTER (WHERE kind = 'view') AS x,
+    max(step) FILTER (WHERE kind = 'click') AS y, least(max(fit) FILTER (WHERE kind = 'view'), max(fit) FILTER (WHERE kind = 'click')) AS hi,
+    greatest(min(fit) FILTER (WHERE kind = 'view'), min(fit) FILTER (WHERE kind = 'click')) AS lo FROM f GROUP BY cell),
+q AS (SELECT cell, CASE WHEN n = 0 OR m = 0 THEN 'one curve' WHEN n <> m OR x <> y THEN 'steps differ' WHEN hi <= lo THEN 'no common range' END AS problem FROM p)
+SELECT cell, problem FROM q WHERE problem IS NOT NULL""")
+def curve_unpaired(spark: SparkSession, sf: str) -> DataFrame:
+    return c.unpaired(*_fit_pair(spark, sf))
 
 
 @query("curve_step_check", 200, views="curve", sql="""

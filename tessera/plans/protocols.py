@@ -101,7 +101,7 @@ def cell_spread(spark: SparkSession, sf: str) -> DataFrame:
     fits = r.groupBy("rep", "cell", "fold").agg(*[f("y", x).alias(n) for x, k in (("x", 1), ("x2", 2)) for f, n in ((F.regr_slope, f"s{k}"), (F.regr_intercept, f"i{k}"))], F.avg("y").alias("m"))
     other = fits.select("rep", "cell", (1 - F.col("fold")).alias("fold"), "s1", "i1", "s2", "i2")
     own = fits.select("rep", "cell", "fold", "m")
-    joined = r.join(F.broadcast(other), ["rep", "cell", "fold"]).join(F.broadcast(own), ["rep", "cell", "fold"])
+    joined = r.join(other, ["rep", "cell", "fold"]).join(own, ["rep", "cell", "fold"])
     r2 = lambda i, s, x: 1 - F.sum((F.col("y") - F.col(i) - F.col(s) * F.col(x)) ** 2) / F.sum((F.col("y") - F.col("m")) ** 2)
     folds = joined.groupBy("rep", "cell", "fold").agg(r2("i1", "s1", "x").alias("a"), r2("i2", "s2", "x2").alias("b"))
     deltas = folds.groupBy("rep", "cell").agg((F.avg("b") - F.avg("a")).alias("delta"))
@@ -143,7 +143,7 @@ def feasibility_grid(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("stratum"), F.col("c_mktsegment").alias("cell"), (F.col("c_custkey") % 2 == 0).alias("null_row"), F.col("c_acctbal").alias("score"))
     thresholds = c.where("null_row").groupBy("stratum").agg(F.percentile("score", F.lit(0.95)).alias("threshold"))
     beyond = F.avg((F.col("score") > F.col("threshold")).cast("double"))
-    g = c.where("not null_row").join(F.broadcast(thresholds), "stratum").groupBy("stratum", "cell").agg(F.count("*").alias("n"), beyond.alias("exceeding"), F.percentile("score", F.lit(0.5)).alias("median"))
+    g = c.where("not null_row").join(thresholds, "stratum").groupBy("stratum", "cell").agg(F.count("*").alias("n"), beyond.alias("exceeding"), F.percentile("score", F.lit(0.5)).alias("median"))
     workable = F.avg(((F.col("exceeding") >= 0.05) & (F.col("n") >= 5)).cast("double")).over(Window.partitionBy("stratum"))
     return g.select("stratum", "cell", "n", F.round("exceeding", 9).alias("exceeding"), F.round("median", 6).alias("median"), F.round(workable, 9).alias("workable"))
 

@@ -271,3 +271,13 @@ def test_exact_quantiles(spark):
     table = {r.g: r for r in described(df, ["g"], "y").collect()}
     assert len(table) == 5 and table["none"].q5 is None and table["none"].n == 0
     assert abs(table["a"].q5 - np.median([y for g, y in rows if g == "a" and y is not None])) < 1e-12
+
+
+def test_pairs_of_curves_that_cannot_be_compared(spark):
+    from tessera.operators.curves import unpaired
+
+    fit = lambda rows: spark.createDataFrame([(c, s, float(y)) for c, points in rows.items() for s, y in points], "cell string, step long, fit double")
+    control = fit({"good": [(1, 5), (2, 3)], "steps": [(1, 5), (2, 3)], "more": [(1, 5), (2, 3), (3, 2)], "apart": [(1, 9), (2, 8)], "touch": [(1, 9), (2, 5)], "alone": [(1, 1)]})
+    selected = fit({"good": [(1, 4), (2, 2)], "steps": [(1, 5), (3, 3)], "more": [(1, 5), (2, 3)], "apart": [(1, 3), (2, 1)], "touch": [(1, 5), (2, 1)], "other": [(1, 1)]})
+    want = {"steps": "steps differ", "more": "steps differ", "apart": "no common range", "touch": "no common range", "alone": "one curve", "other": "one curve"}
+    assert {r.cell: r.problem for r in unpaired(control, selected).collect()} == want
