@@ -221,10 +221,29 @@ def _symbol_ranges(text: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int,
     yield from zip(cut[:-1], cut[1:], strict=True)
 
 
+#: Masks of the first k bytes of eight, the first one highest.
+_FIRST = np.array([0, *[((1 << 8 * k) - 1) << 8 * (8 - k) for k in range(1, 9)]], np.uint64)
+
+
+def _sevens(lanes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first seven bytes of each substring as one number, that orders them as their names.
+
+    A substring that ends sorts after all that begin with it and go on, so the rest of it counts as largest bytes. No substring
+    ends with the largest byte, since a start is smaller than the byte before it.
+    """
+    word = _eight(lanes, start) if len(start) and int(start.max()) >= len(lanes) else lanes[start]
+    first = _FIRST[np.minimum(end - start + 1, 7)]
+    word = word.byteswap() & first
+    ended = end - start < 7
+    word[ended] |= ~first[ended]
+    return word
+
+
 def _names(text: np.ndarray, starts: np.ndarray, marks: np.ndarray, names: np.ndarray) -> int:
     """Fills in order-preserving names of the substrings from each start to the next one, inclusive; how many there are."""
     wide = text.dtype.itemsize > 1
     step, bits = (1, 33) if wide else (6, 10)
+    lanes = _lanes(text) if text.dtype == np.uint8 and len(text) >= 8 else None
     for lo in range(0, len(starts), CHUNK):
         marks[starts[lo : lo + CHUNK]] = True
     total = 0
@@ -241,14 +260,18 @@ def _names(text: np.ndarray, starts: np.ndarray, marks: np.ndarray, names: np.nd
         open_ = np.arange(len(group))
         at = 0
         while len(open_):
-            word = np.zeros(len(open_), np.uint64)
             s, e = begin[open_], end[open_]
-            for k in range(step):
-                p = np.minimum(s + at + k, e)
-                inside = s + at + k <= e
-                # a substring's end is a start; marked, it sorts after the same symbol unmarked
-                value = (text[p].astype(np.uint64) << np.uint64(1)) | (marks[p] & ((at + k) > 0)).astype(np.uint64)
-                word = (word << np.uint64(bits)) | np.where(inside, value + np.uint64(1), np.uint64(0))
+            now = step if at or lanes is None else 7
+            if now == 7:
+                word = _sevens(lanes, s, e)
+            else:
+                word = np.zeros(len(open_), np.uint64)
+                for k in range(step):
+                    p = np.minimum(s + at + k, e)
+                    inside = s + at + k <= e
+                    # a substring's end is a start; marked, it sorts after the same symbol unmarked
+                    value = (text[p].astype(np.uint64) << np.uint64(1)) | (marks[p] & ((at + k) > 0)).astype(np.uint64)
+                    word = (word << np.uint64(bits)) | np.where(inside, value + np.uint64(1), np.uint64(0))
             order = np.argsort(word) if at == 0 else np.lexsort((word, rank[open_]))
             r, w = rank[open_][order], word[order]
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])
@@ -257,7 +280,7 @@ def _names(text: np.ndarray, starts: np.ndarray, marks: np.ndarray, names: np.nd
             within = np.arange(len(r)) - np.maximum.accumulate(np.where(base, np.arange(len(r)), 0))
             place = r + np.maximum.accumulate(np.where(new, np.arange(len(r)), 0)) - (np.arange(len(r)) - within)
             rank[open_[order]] = place
-            at += step
+            at += now
             size = np.bincount(np.cumsum(new) - 1)
             alone = np.zeros(len(open_), bool)
             alone[order] = size[np.cumsum(new) - 1] == 1

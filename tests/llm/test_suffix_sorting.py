@@ -59,3 +59,16 @@ def test_a_shallow_sorter_orders_by_the_cap():
         heads = [data[p : p + cap] for p in pos.tolist()]
         assert all(a >= b for a, b in zip(heads, heads[1:], strict=False))
         assert [induced._common(text, int(a), int(b), cap) for a, b in zip(pos, pos[1:], strict=False)] == common[1:].tolist()
+
+
+def test_names_order_substrings_of_any_bytes():
+    rng = np.random.default_rng(9)
+    for most, n in ((3, 400), (255, 3000), (4, 40), (2, 12), (255, 9), (200, 8), (5, 5)):
+        for repeat in (1, 3):
+            part = np.sort(rng.integers(1, most + 1, (n, 6)), axis=1)[:, :: -1 if most == 4 else 1].ravel() if most == 4 else rng.integers(1, most + 1, n)
+            text = np.append(np.tile(part, repeat), 0).astype(np.uint8)
+            with induced.InducedSorter() as sorter:
+                got = list(sorter.descending(text, 0))
+            order = np.concatenate([p for p, _ in got])[::-1]
+            data = text.tobytes()
+            assert order.tolist() == sorted(range(len(text) - 1), key=lambda i: data[i:])
