@@ -117,10 +117,12 @@ class _Minima:
 
     def pushed(self, values: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Common prefixes of the tuples pushed by entries `at` (grouped by symbol, ascending within one)."""
-        levels = [values]
-        while (1 << len(levels)) <= len(values):
-            half = 1 << (len(levels) - 1)
-            levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+        n = len(values)
+        levels = np.empty((n.bit_length(), n), np.uint8)  # row k: minima of 1 << k values, as far as these go
+        levels[0] = values
+        for k in range(1, len(levels)):
+            half, size = 1 << (k - 1), n - (1 << k) + 1
+            np.minimum(levels[k - 1, :size], levels[k - 1, half : half + size], out=levels[k, :size])
         first = np.concatenate([[True], symbol[1:] != symbol[:-1]])
         begin = np.where(first, 0, np.concatenate([[0], at[:-1] + 1]))
         least = self._ranges(levels, begin, at + 1)
@@ -138,13 +140,11 @@ class _Minima:
         self.since = np.minimum(self.since, values.min())
 
     @staticmethod
-    def _ranges(levels: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        level = _LOG[np.maximum(end - begin, 1)]
-        out = np.zeros(len(begin), np.uint8)
-        for n in np.flatnonzero(np.bincount(level)):
-            own = np.flatnonzero(level == n)
-            out[own] = np.minimum(levels[n][begin[own]], levels[n][end[own] - (1 << n)])
-        return out
+    def _ranges(levels: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        level = _LOG[np.maximum(end - begin, 1)].astype(np.int64)
+        row = level * levels.shape[1]
+        flat = levels.ravel()
+        return np.minimum(flat[row + begin], flat[row + end - (1 << level)])
 
 
 def _common(text: np.ndarray, p: int, q: int, cap: int) -> int:
