@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,10 +57,18 @@ def firewall(df: DataFrame, group: str, key: str, seeds: list[str], k: int) -> D
     return df.select("*", F.exists(F.array(*first), lambda x: x).alias("historic"))
 
 
+def half_up(x: float, digits: int) -> float:
+    """x >= 0 rounded as SQL engines do it: the scaled value to the nearest whole number, halves up. From 2^52 on the scaled value is whole itself."""
+    scaled = x * 10.0**digits
+    low = float(math.floor(scaled)) if math.isfinite(scaled) else scaled
+    out = (low + 1 if scaled - low >= 0.5 else low) / 10.0**digits
+    return out if math.isfinite(out) else x
+
+
 def greedy_split(units: DataFrame, stratum: str, unit: str, size: str, shares: dict[str, float], seed: str) -> DataFrame:
     """split of each unit: in every stratum larger units first, each where it leaves least squared deviation from the shares.
 
-    Units of one size follow a seeded hash, and so do splits that leave the same deviation to six digits. Each choice depends on those
+    Units of one size follow a seeded hash, and so do splits that leave the same deviation to six digits, rounded as in SQL. Each choice depends on those
     before it, so a stratum's units are handled in one group.
     """
     names = list(shares)
@@ -69,7 +79,7 @@ def greedy_split(units: DataFrame, stratum: str, unit: str, size: str, shares: d
         wanted = [shares[s] * total for s in names]
         for own, n in zip(frame[unit].tolist(), frame[size].tolist(), strict=True):
             away = [[held[j] + n * (i == j) - wanted[j] for j in range(len(names))] for i in range(len(names))]
-            left = [round(sum(d * d for d in a), 6) for a in away]
+            left = [half_up(reduce(lambda s, d: s + d * d, a, 0.0), 6) for a in away]  # sum() would carry what each addition rounds off, as SQL does not
             tied = [i for i in range(len(names)) if left[i] == min(left)]
             text = lambda i, own=own: UNIT.join(map(str, (seed, frame[stratum].iloc[0], own, names[i])))
             best = tied[0] if len(tied) == 1 else min(tied, key=lambda i: hashlib.sha256(text(i).encode()).hexdigest())
