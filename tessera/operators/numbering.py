@@ -75,17 +75,18 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> Da
 def nearest_known(df: DataFrame, group: str, order: str, known: Column) -> DataFrame:
     """df with __back and __ahead: the last known value at or before each row of its group, and the first at or after it.
 
-    Windows stay inside ranges of the order; each range's first and last known values, one row a range, carry over.
+    Windows stay inside ranges of the order and only look back, once in each direction: for a frame that ends with its
+    partition, Spark walks all rows ahead again at every row. Each range's first and last known values, one row a range, carry over.
     """
     ranges = in_ranges(df.withColumn("__known", known), group, order)
-    inside = Window.partitionBy("__range", group).orderBy(order)
-    back = F.last("__known", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__known", ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing))
+    inside, upto = Window.partitionBy("__range", group), (Window.unboundedPreceding, 0)
+    back = F.last("__known", ignorenulls=True).over(inside.orderBy(order).rangeBetween(*upto))
+    ahead = F.last("__known", ignorenulls=True).over(inside.orderBy(F.desc(order)).rangeBetween(*upto))
     placed = F.when(F.col("__known").isNotNull(), F.struct(F.col(order).alias("at"), F.col("__known").alias("known")))
     ends = ranges.groupBy("__range", group).agg(F.min(placed)["known"].alias("__first"), F.max(placed)["known"].alias("__last"))
-    by_range = Window.partitionBy(group).orderBy("__range")
-    before = F.last("__last", ignorenulls=True).over(by_range.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("__first", ignorenulls=True).over(by_range.rowsBetween(1, Window.unboundedFollowing))
+    by_range, earlier = Window.partitionBy(group), (Window.unboundedPreceding, -1)
+    before = F.last("__last", ignorenulls=True).over(by_range.orderBy("__range").rowsBetween(*earlier))
+    after = F.last("__first", ignorenulls=True).over(by_range.orderBy(F.desc("__range")).rowsBetween(*earlier))
     carried = ends.select("__range", group, before.alias("__before"), after.alias("__after"))
     found = ranges.withColumn("__in_back", back).withColumn("__in_ahead", ahead).join(carried, ["__range", group])
     return found.select(*df.columns, F.coalesce("__in_back", "__before").alias("__back"), F.coalesce("__in_ahead", "__after").alias("__ahead"))
