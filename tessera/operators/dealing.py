@@ -20,8 +20,8 @@ from tessera.functions.keys import stable_hex
 from tessera.operators.numbering import running_in_groups
 from tessera.session import kept_paths, scratch_dir
 
-#: Choices of a piece, and pieces that the driver holds.
-PIECE, HELD = 1 << 16, 64
+#: Choices of a piece, and choices and pieces that the driver holds: most kinds have few units, and a write costs the same for one piece as for thousands.
+PIECE, HELD, HELD_PIECES = 1 << 16, 1 << 22, 1 << 14
 
 
 def dealt(units: DataFrame, kind: list[str], order: list[Column], unit: str, seed: str, choose: Callable[[tuple], int], name: str) -> DataFrame:
@@ -36,6 +36,7 @@ def dealt(units: DataFrame, kind: list[str], order: list[Column], unit: str, see
     path = f"{scratch_dir(spark)}/dealt-{uuid.uuid4().hex}"
     kept_paths.append(path)
     held: list[tuple] = []
+    choices = 0
 
     def write() -> None:
         spark.createDataFrame(held, schema).coalesce(1).write.mode("append").parquet(path)
@@ -45,8 +46,10 @@ def dealt(units: DataFrame, kind: list[str], order: list[Column], unit: str, see
         own = tuple(row)[:-1]
         for piece, lo in enumerate(range(0, row["__n"], PIECE)):
             held.append((own, piece, bytes(choose(own) for _ in range(min(PIECE, row["__n"] - lo)))))
-            if len(held) == HELD:
+            choices += len(held[-1][2])
+            if choices >= HELD or len(held) == HELD_PIECES:
                 write()
+                choices = 0
     if held or not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
         write()
     pieces = spark.read.schema(schema).parquet(path)
