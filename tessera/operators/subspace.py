@@ -6,7 +6,8 @@ result, and reduces the first product by QR to a small triangle. Sums and
 triangles are combined over a tree of tasks, sixteen at a time; only the last
 ones, of columns x vectors and vectors x vectors, reach the driver. The
 triangle's singular vectors turn the vectors to the leading directions, and the
-passes end once these stand still.
+passes end once these stand still. Tables with at most twice as many columns
+as vectors take one pass with a vector a column.
 """
 
 from __future__ import annotations
@@ -134,7 +135,8 @@ def leading_subspace(table: DataFrame, vector_col: str, rank: int, oversample: i
         raise ValueError(f"vectors of {len(widths)} lengths")
     d = widths[0]
     n, mean = mean_of(rows)
-    k = min(d, rank + oversample)
+    k = rank + oversample
+    k = d if d <= 2 * k else k  # with as many vectors as columns the first pass is exact, and costs no more than two with half as many
     rank = min(rank, k)
     vectors = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, k)))[0]
     before = None
