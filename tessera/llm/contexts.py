@@ -210,6 +210,11 @@ def decisions(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
+def signed(chance: np.ndarray) -> np.ndarray:
+    """Chances of a one as 32 bits: the lesser of both chances, below zero if it is that of a zero. So no chance becomes 0 or 1, however many counts it has."""
+    return np.where(chance > 0.5, chance - 1, chance).astype(np.float32)
+
+
 def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log weighted probability, chance of a one, and weight of the node's own estimate."""
     own = log_kt(zeros, ones)
@@ -228,7 +233,7 @@ def subtree(key: np.ndarray, n: np.ndarray, down_to: int) -> tuple[dict[int, tup
         node, zeros, ones = decisions(k, c)
         mixed, chance, own = weigh(zeros, ones, below[1] if below else None)
         # the deepest nodes have all the weight themselves, and their counts are sums over ranges of strings
-        tables[depth] = (k, c) if depth == DEPTH else (node, chance.astype(np.float32), own.astype(np.float32))
+        tables[depth] = (k, c) if depth == DEPTH else (node, signed(chance), own.astype(np.float32))
         below = added(node & _U((1 << 8 * depth) - 1), mixed)
     k, c = added(key & _U((1 << 8 * down_to) - 1), n)
     node, zeros, ones = decisions(k, c)
@@ -256,7 +261,8 @@ def log10_of(key: np.ndarray, tables: dict[int, tuple]) -> np.ndarray:
             at[at == len(have)] = 0
             weight = own[at].astype(np.float64)
             said = chance[at].astype(np.float64)
-            p = np.where(have[at] == node, weight * np.where(one, said, 1 - said) + (1 - weight) * p, 0.5)
+            said = np.where(one == (said < 0), 1 - np.abs(said), np.abs(said))
+            p = np.where(have[at] == node, weight * said + (1 - weight) * p, 0.5)
         total += np.log10(p)
     return total
 
@@ -404,7 +410,7 @@ def pair_nodes(model: DataFrame, shards: int) -> DataFrame:
         for pair, parts in got.items():
             node, zeros, ones, below = added(*map(np.concatenate, zip(*parts, strict=True)))
             mixed, chance, own = weigh(zeros, ones, below)
-            table = (node, chance.astype(np.float32), own.astype(np.float32))
+            table = (node, signed(chance), own.astype(np.float32))
             yield _batch([*[(pair * SPREAD + s, PAIRS, 0, table) for s in range(SPREAD)], (0, TOP, 0, added(node & _U(0xFFFF), zeros, ones, mixed))])
 
     above = model.where(F.col("kind") == ABOVE)
@@ -427,7 +433,7 @@ def top_nodes(pairs: DataFrame) -> dict[int, tuple]:
     mixed, chance, own = weigh(zeros, ones, top.column("below").to_numpy())
     root, z, o, below = added(node & _U(255), zeros, ones, mixed)
     _, root_chance, root_own = weigh(z, o, below)
-    return {1: (node, chance.astype(np.float32), own.astype(np.float32)), 0: (root, root_chance.astype(np.float32), root_own.astype(np.float32))}
+    return {1: (node, signed(chance), own.astype(np.float32)), 0: (root, signed(root_chance), root_own.astype(np.float32))}
 
 
 class Shard:
