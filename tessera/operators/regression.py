@@ -126,21 +126,59 @@ def kernel_ridge(train: np.ndarray, y: np.ndarray, valid: np.ndarray, y_valid: n
     return best[1], best[2], float(center), mean, scale
 
 
+def ridge_from_sums(train: np.ndarray, valid: np.ndarray, penalties: list[float]) -> tuple[float, np.ndarray, float]:
+    """kernel_ridge from sums of products of (1, columns, y): the penalty, and weights and intercept for columns as they are."""
+    n = train[0, 0]
+    mean = train[0, 1:] / n
+    cov = train[1:, 1:] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0))
+    inverse = np.where(sd >= 1e-8, 1 / np.where(sd >= 1e-8, sd, 1.0), 0.0)
+    values, vectors = np.linalg.eigh(n * cov[:-1, :-1] * np.outer(inverse, inverse))
+    turned = vectors.T @ (n * cov[:-1, -1] * inverse)
+    best = None
+    for penalty in sorted(penalties):
+        w = inverse * (vectors @ (turned / (np.maximum(values, 0) + penalty)))
+        residual = np.concatenate([[mean[-1] - mean[:-1] @ w], w, [-1.0]])
+        error = float(residual @ valid @ residual / valid[0, 0])
+        if best is None or error <= best[0] + 1e-12:  # the larger of penalties that differ by no more
+            best = (error, penalty, residual)
+    return best[1], best[2], float(mean[-1])
+
+
 def grouped_ridge(df: DataFrame, group: str, features: str, y: str, role: str, penalties: list[float]) -> DataFrame:
-    """By group: the chosen penalty, and R2 on evaluation rows from the training mean; roles are train, validation, evaluation."""
+    """By group: the chosen penalty, and R2 on evaluation rows from the training mean; roles are train, validation, evaluation.
+
+    The dual's solution from sums of products, added up by group and role where the rows are, about the table's first row:
+    a group's own task sees columns x columns numbers, not its rows. Penalties are above 0.
+    """
+    kinds, roles = dict(df.dtypes), ("train", "validation", "evaluation")
+    rows = df.select(group, role, F.col(features).alias("__x"), F.col(y).cast("double").alias("__y"))
+    first = rows.where(F.col(role).isin(*roles)).first()
+    base = np.array([*first["__x"], first["__y"]], float) if first is not None else np.zeros(1)
+
+    def partial(frames):
+        for frame in frames:
+            for own, part in frame.groupby([group, role], dropna=False, sort=False):
+                if own[1] not in roles:  # the group is named all the same
+                    yield pd.DataFrame({group: part[group][:1], role: [own[1]], "q": [[0.0]]})
+                    continue
+                z = np.column_stack([np.ones(len(part)), np.vstack(part["__x"].to_list()).astype(float) - base[:-1], part["__y"].to_numpy(float) - base[-1]])
+                yield pd.DataFrame({group: part[group][:1], role: [own[1]], "q": [(z.T @ z).ravel().tolist()]})
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        part = {r: frame[frame[role] == r] for r in ("train", "validation", "evaluation")}
-        if any(len(p) < 2 for p in part.values()):
+        d = len(base) + 1
+        sums = {r: own.sort_values("i")["v"].to_numpy().reshape(d, d) for r, own in frame.groupby(role) if r in roles}
+        if any(r not in sums or sums[r][0, 0] < 2 for r in roles):
             return pd.DataFrame({group: frame[group][:1], "penalty": [np.nan], "r2": [np.nan]})
-        x = {r: np.vstack(p[features].to_list()) for r, p in part.items()}
-        t = {r: p[y].to_numpy(float) for r, p in part.items()}
-        penalty, w, center, mean, scale = kernel_ridge(x["train"], t["train"], x["validation"], t["validation"], penalties)
-        error = ((((x["evaluation"] - mean) / scale) @ w + center - t["evaluation"]) ** 2).sum()
-        spread = ((t["evaluation"] - t["train"].mean()) ** 2).sum()
+        penalty, residual, center = ridge_from_sums(sums["train"], sums["validation"], penalties)
+        last = sums["evaluation"]
+        error = residual @ last @ residual
+        spread = last[-1, -1] - 2 * center * last[0, -1] + center**2 * last[0, 0]
         return pd.DataFrame({group: frame[group][:1], "penalty": [penalty], "r2": [1 - error / spread if spread > 0 else np.nan]})
 
-    return df.groupBy(group).applyInPandas(fit, f"{group} {dict(df.dtypes)[group]}, penalty double, r2 double")
+    parts = rows.mapInPandas(partial, f"{group} {kinds[group]}, {role} {kinds[role]}, q array<double>")
+    sums = parts.select(group, role, F.posexplode("q").alias("i", "v")).groupBy(group, role, "i").agg(F.sum("v").alias("v"))
+    return sums.groupBy(group).applyInPandas(fit, f"{group} {kinds[group]}, penalty double, r2 double")
 
 
 def principal_axes(df: DataFrame, vector: str, k: int, sums: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
