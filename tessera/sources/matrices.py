@@ -6,6 +6,10 @@ offsets, in runs, and reports the runs. Only if these cover each row once is
 the scratch file renamed into place; otherwise, and when a task fails for good,
 it is removed. A task that runs twice writes the same bytes to the same place.
 The folder must be one that driver and executors share and can open.
+
+Calls of few samples a variant are written without a value for every other
+sample in memory: as PGEN records of the size that each needs, whose places are
+running sums of these sizes, or packed into the two bits a sample of a BED row.
 """
 
 from __future__ import annotations
@@ -21,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from tessera.operators.numbering import running
+from tessera.session import keep
+from tessera.sources import pgen
 from tessera.sources.genotypes import COPIES, MAGIC
-from tessera.sources.pgen import FIXED, PGEN_MAGIC
+from tessera.sources.pgen import FIXED, PGEN_MAGIC, VARIABLE
 
 #: Two-bit codes of dosages 0, 1, 2 and missing, by format.
 CODES = {"pgen": np.array([0, 1, 2, 3], np.uint8), "bed": np.array([COPIES.index(d) for d in (0, 1, 2, -1)], np.uint8)}
@@ -35,12 +42,21 @@ def header(kind: str, rows: int, width: int, dtype: str) -> bytes:
         return out.getvalue()
     if kind == "pgen":
         return PGEN_MAGIC + bytes([FIXED]) + rows.to_bytes(4, "little") + width.to_bytes(4, "little") + bytes([0x40])
+    if kind == "pgen-records":  # types of one byte each, then lengths
+        return PGEN_MAGIC + bytes([VARIABLE]) + rows.to_bytes(4, "little") + width.to_bytes(4, "little") + bytes([0x40 + 4 + length_bytes(width) - 1])
     if kind == "bed":
         return MAGIC
     raise ValueError(f"no matrix format {kind}")
 
 
+def length_bytes(width: int) -> int:
+    """Bytes of a PGEN record's length; no record that encoded_calls makes is longer than plain codes."""
+    return max(1, (int(-(-width // 4)).bit_length() + 7) // 8)
+
+
 def row_bytes(kind: str, width: int, dtype: str) -> int:
+    if kind == "pgen-records":
+        return 1 + length_bytes(width)
     return width * np.dtype(dtype).itemsize if kind == "npy" else -(-width // 4)
 
 
@@ -132,6 +148,87 @@ class MatrixWriter(DataSourceArrowWriter):
             os.unlink(self.scratch)
 
 
+class PgenWriter(MatrixWriter):
+    """(row, before, kind, record): PGEN records of any size, before being the bytes of all records of earlier rows."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        super().__init__({**options, "kind": "pgen-records"}, overwrite)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Runs:
+        runs: list[tuple[int, int]] = []
+        size, blocks = self.stride - 1, -(-self.rows // pgen.BLOCK)
+        table = len(self.head) + 8 * blocks
+        begin = table + self.stride * self.rows
+        file = os.open(self.scratch, os.O_WRONLY)
+
+        def put(data: bytes, place: int) -> None:
+            left = memoryview(data)
+            while len(left):
+                done = os.pwrite(file, left, place)
+                left, place = left[done:], place + done
+
+        try:
+            for batch in iterator:
+                at, before, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                records = batch.column(3).to_pylist()
+                if len(at) and (at.min() < 0 or at.max() >= self.rows):
+                    raise ValueError("a row lies outside the matrix")
+                lengths = np.array([len(r) for r in records], "<i8")
+                # a run ends with its block, whose records' types and lengths stand together
+                cuts = np.concatenate([[0], np.flatnonzero((np.diff(at) != 1) | (at[1:] % pgen.BLOCK == 0)) + 1, [len(at)]]) if len(at) else np.zeros(1, int)
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if (np.diff(before[lo:hi]) != lengths[lo : hi - 1]).any():
+                        raise ValueError(f"records from row {at[lo]} on do not follow one another")
+                    block, first = divmod(int(at[lo]), pgen.BLOCK)
+                    inside = min(pgen.BLOCK, self.rows - block * pgen.BLOCK)
+                    body = table + block * pgen.BLOCK * self.stride
+                    put(kinds[lo:hi].astype(np.uint8).tobytes(), body + first)
+                    put(lengths[lo:hi].view(np.uint8).reshape(-1, 8)[:, :size].tobytes(), body + inside + first * size)
+                    if first == 0:
+                        put((begin + int(before[lo])).to_bytes(8, "little"), len(self.head) + 8 * block)
+                    put(b"".join(records[lo:hi]), begin + int(before[lo]))
+                    runs.append((int(at[lo]), hi - lo))
+            os.fsync(file)
+        finally:
+            os.close(file)
+        return Runs(runs)
+
+
+class PgenSink(DataSource):
+    """df.write.format("pgen_records") of (row, before, kind, record), with options rows and width."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pgen_records"
+
+    def schema(self) -> str:
+        return "row bigint, before bigint, kind tinyint, record binary"
+
+    def writer(self, schema, overwrite: bool) -> PgenWriter:
+        return PgenWriter(self.options, overwrite)
+
+
+def write_called_pgen(calls: DataFrame, path: str, rows: int, width: int) -> None:
+    """(row, places, dosages), one row a variant, as a PGEN file: dosages 0, 1 or 2 of the samples at ascending places; the others are missing."""
+    spark = calls.sparkSession
+    spark.dataSource.register(PgenSink)
+    from pyspark.sql import functions as F
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, what = batch.column(1), batch.column(2)
+            ends = who.offsets.to_numpy() - who.offsets[0].as_py()
+            if who.null_count or what.null_count or (np.diff(what.offsets.to_numpy()) != np.diff(ends)).any():
+                raise ValueError("places and dosages of a row differ in number")
+            places, dosages = who.flatten().to_numpy(zero_copy_only=False).astype(np.int64), what.flatten().to_numpy(zero_copy_only=False)
+            made = [pgen.encoded_calls(places[a:b], dosages[a:b], width) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in made], pa.int8()), pa.array([r for _, r in made], pa.binary())], ["row", "kind", "record"])
+
+    records = calls.select(F.col("row").cast("bigint"), F.col("places").cast("array<int>"), F.col("dosages").cast("array<tinyint>")).mapInArrow(run, "row bigint, kind tinyint, record binary")
+    placed = running(keep(records, "records"), "upto", F.octet_length("record"), "row").select("row", (F.col("upto") - F.octet_length("record")).alias("before"), "kind", "record")
+    placed.repartitionByRange("row").sortWithinPartitions("row").write.format("pgen_records").options(rows=rows, width=width).mode("append").save(path)
+
+
 class MatrixSink(DataSource):
     """df.write.format("matrix") of (row, values), with options kind, rows, width and dtype."""
 

@@ -5,8 +5,9 @@ variants. A partition is a range of variants inside a block; its task reads the
 types and lengths of the block's records, moves both ends of its range on to
 the next record that is not coded against an earlier one, and so decodes every
 record once. Difference lists and records coded against the last such base are
-resolved on two-bit codes in numpy, some variants at a time. The path must be
-one that executors can open.
+resolved on two-bit codes in numpy, some variants at a time. Where only the
+called samples are asked for, records that list them are read as lists, without
+a value for every other sample. The path must be one that executors can open.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ PGEN_MAGIC, BLOCK = b"\x6c\x1b", 1 << 16
 PLINK1, FIXED, VARIABLE = 1, 2, 16
 #: Record types by their low three bits (fixed format): plain codes, two values and a list of others, against the base, that one with 0 and 2 exchanged; from 4 on one common value and a list of others.
 PLAIN, TWO_VALUES, AGAINST_BASE, EXCHANGED = 0, 1, 2, 3
-#: Values of a batch.
-BATCH_VALUES = 4 << 20
+#: Values of a batch, and the records of one of called samples.
+BATCH_VALUES, BATCH_RECORDS = 4 << 20, 4096
+#: The type of a record that lists the samples not missing, and the part of the samples that a list may hold (fixed format).
+MISSING_BUT, LIST_SHARE = 7, 8
 
 
 @dataclass
@@ -126,6 +129,40 @@ def difference_list(data: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndar
     return numbers, codes
 
 
+def _as_varints(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Variable-length numbers, none negative, and the bytes that each takes."""
+    size = np.ones(len(numbers), np.int64)
+    for bits in range(7, 35, 7):
+        size += numbers >> bits > 0
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    low = np.repeat(numbers, size) >> 7 * place & 127
+    return (low | np.where(place < np.repeat(size, size) - 1, 128, 0)).astype(np.uint8).tobytes(), size
+
+
+def encoded_calls(places: np.ndarray, codes: np.ndarray, samples: int) -> tuple[int, bytes]:
+    """Type and bytes of a record of called samples, by ascending number; the others are missing.
+
+    They are listed where the format allows lists, for up to an eighth of the samples, and that is shorter; else all codes follow plainly.
+    """
+    n = len(places)
+    if n and (places[0] < 0 or places[-1] >= samples or (np.diff(places) <= 0).any() or codes.min() < 0 or codes.max() > 2):
+        raise ValueError("calls are out of order, outside the samples, or not 0, 1 or 2")
+    if n <= samples // LIST_SHARE:
+        width, heads = (samples.bit_length() + 7) // 8, places[::64].astype("<i8")
+        steps, size = _as_varints(np.diff(places)[np.arange(1, n) % 64 != 0] if n else places)
+        groups = np.add.reduceat(size, np.arange(0, len(size), 63)) if len(size) else size
+        packed = np.zeros(-(-n // 4) * 4, np.uint8)
+        packed[:n] = codes
+        packed = (packed.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+        data = _as_varints(np.array([n]))[0] + heads.view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + (groups[: len(heads) - 1] - 63).astype(np.uint8).tobytes() + packed.tobytes() + steps
+        if len(data) <= -(-samples // 4):
+            return MISSING_BUT, data
+    plain = np.full(-(-samples // 4) * 4, 3, np.uint8)
+    plain[samples:] = 0
+    plain[places] = codes
+    return PLAIN, (plain.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
 def decode_record(kind: int, data: np.ndarray, samples: int, base: np.ndarray | None) -> np.ndarray:
     """Two-bit codes (alternate alleles, 3 for missing) of one record's hardcalls; tracks after them are not read."""
     kind &= 7
@@ -170,9 +207,9 @@ class PgenReader(DataSourceReader):
         sizes = [min(BLOCK, self.head.variants - b * BLOCK) for b in range(self.head.blocks)]
         return [_Variants(b, at[b], lo, min(lo + self.rows, n)) for b, n in enumerate(sizes) for lo in range(0, n, self.rows)]
 
-    def records(self, part: _Variants) -> Iterator[tuple[int, np.ndarray]]:
-        """(variant, codes) of the partition."""
-        n, first, stop = self.head.samples, part.first, part.stop
+    def _raw(self, part: _Variants) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(variant, type, bytes) of the partition's records."""
+        first, stop = part.first, part.stop
         with open(self.path, "rb") as f:
             if self.head.mode == FIXED:
                 types, lengths = np.zeros(stop, np.uint8), np.full(stop, self.head.stride, np.int64)
@@ -185,15 +222,37 @@ class PgenReader(DataSourceReader):
                 first, stop = (int(on[np.searchsorted(on, x)]) for x in (first, stop))
             at = np.concatenate([[0], np.cumsum(lengths)])
             f.seek(part.offset + int(at[first]))
-            base = None
             for i in range(first, stop):
                 data = np.frombuffer(f.read(int(lengths[i])), np.uint8)
                 if len(data) < lengths[i]:
                     raise ValueError("the file ends early")
-                codes = decode_record(int(types[i]), data, n, base)
-                if (int(types[i]) & 6) != AGAINST_BASE:
-                    base = codes
-                yield part.block * BLOCK + i, codes
+                yield part.block * BLOCK + i, int(types[i]), data
+
+    def records(self, part: _Variants) -> Iterator[tuple[int, np.ndarray]]:
+        """(variant, codes) of the partition."""
+        base = None
+        for variant, kind, data in self._raw(part):
+            codes = decode_record(kind, data, self.head.samples, base)
+            if (kind & 6) != AGAINST_BASE:
+                base = codes
+            yield variant, codes
+
+    def called(self, part: _Variants) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(variant, samples, codes) of the samples that are not missing; all samples' codes are made only for records that do not list these."""
+        n, base, held = self.head.samples, None, None
+        for variant, kind, data in self._raw(part):
+            if kind & 7 == MISSING_BUT:
+                base, held = None, (kind, data)
+                who, what = difference_list(data, n)
+            else:
+                if base is None and held is not None and (kind & 6) == AGAINST_BASE:
+                    base = decode_record(*held, n, None)
+                all_codes = decode_record(kind, data, n, base)
+                if (kind & 6) != AGAINST_BASE:
+                    base, held = all_codes, None
+                who, what = np.arange(n), all_codes
+            known = what != 3
+            yield variant, who[known], what[known]
 
     def read(self, part: _Variants) -> Iterator[pa.RecordBatch]:
         most, ids, rows = max(1, BATCH_VALUES // max(1, self.head.samples)), [], []
@@ -227,6 +286,48 @@ class PgenSource(DataSource):
         return PgenReader(self.options)
 
 
+class CalledReader(PgenReader):
+    def read(self, part: _Variants) -> Iterator[pa.RecordBatch]:
+        ids, who, what, values = [], [], [], 0
+        for variant, places, codes in self.called(part):
+            ids.append(variant)
+            who.append(places)
+            what.append(codes)
+            values += len(places)
+            if values >= BATCH_VALUES or len(ids) == BATCH_RECORDS:
+                yield _called_batch(ids, who, what)
+                ids, who, what, values = [], [], [], 0
+        if ids:
+            yield _called_batch(ids, who, what)
+
+
+def _called_batch(ids: list[int], who: list[np.ndarray], what: list[np.ndarray]) -> pa.RecordBatch:
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(w) for w in who])]).astype(np.int32))
+    places = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(who).astype(np.int32)))
+    dosages = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(what).astype(np.int8)))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), places, dosages], ["variant_index", "places", "dosages"])
+
+
+class CalledSource(DataSource):
+    """format("pgen_called"): variant_index, places (the numbers, from 0, of the samples called), dosages (theirs)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pgen_called"
+
+    def schema(self) -> str:
+        return "variant_index bigint, places array<int>, dosages array<tinyint>"
+
+    def reader(self, schema) -> CalledReader:
+        return CalledReader(self.options)
+
+
+def read_called(spark: SparkSession, path: str, rows: int = 4096) -> DataFrame:
+    """The calls of a PGEN file, without a value for samples that are missing."""
+    spark.dataSource.register(CalledSource)
+    return spark.read.format("pgen_called").option("rows", rows).load(path)
+
+
 def read_pgen(spark: SparkSession, path: str, rows: int = 4096, missing: str = "-1") -> DataFrame:
     spark.dataSource.register(PgenSource)
     return spark.read.format("pgen").option("rows", rows).option("missing", missing).load(path)
