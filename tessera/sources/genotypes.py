@@ -22,6 +22,8 @@ from tessera.functions.values import dosage_of
 #: First bytes of a variant-major matrix, and copies of the first allele by two-bit code; -1 is missing (fixed values).
 MAGIC = bytes([0x6C, 0x1B, 0x01])
 COPIES = (2, -1, 1, 0)
+#: A byte of four missing samples (fixed format), and the bytes of a matrix that a task looks through at a time.
+ALL_MISSING, CHUNK = 0x55, 4 << 20
 #: Lengths of a BGEN file's fixed header fields (fixed format): offset, header length, variants, samples, magic.
 BGEN_HEAD = "<IIII4s"
 
@@ -81,6 +83,45 @@ class PlinkSource(DataSource):
         return _PlinkReader(self.options)
 
 
+class _CalledReader(_PlinkReader):
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        stride, most = max(1, self.stride), max(1, CHUNK // max(1, self.stride))
+        with open(f"{self.stem}.bed", "rb") as f:
+            f.seek(3 + self.stride * part.first)
+            for first in range(part.first, part.first + part.count, most):
+                rows = min(most, part.first + part.count - first)
+                packed = np.frombuffer(f.read(self.stride * rows), np.uint8)
+                at = np.flatnonzero(packed != ALL_MISSING)
+                copies = np.array(COPIES, np.int8)[packed[at][:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3]
+                place = (at % stride * 4)[:, None] + np.arange(4)
+                known = (copies >= 0) & (place < self.samples)  # a row's last byte is filled up
+                ends = np.zeros(rows + 1, np.int64)
+                np.cumsum(np.bincount(np.repeat(at // stride, known.sum(axis=1)), minlength=rows), out=ends[1:])
+                offsets = pa.array(ends.astype(np.int32))
+                places, dosages = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (place[known].astype(np.int32), copies[known]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + rows)), places, dosages], ["variant_index", "places", "dosages"])
+
+
+class PlinkCalledSource(DataSource):
+    """format("plink_called"): variant_index, places (the numbers, from 0, of the samples called), dosages (theirs)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "plink_called"
+
+    def schema(self) -> str:
+        return "variant_index bigint, places array<int>, dosages array<tinyint>"
+
+    def reader(self, schema) -> _CalledReader:
+        return _CalledReader(self.options)
+
+
+def read_plink_called(spark: SparkSession, stem: str, rows: int = 4096) -> DataFrame:
+    """The calls of a PLINK set, without a value for samples that are missing; the packed bytes are all read."""
+    spark.dataSource.register(PlinkCalledSource)
+    return spark.read.format("plink_called").option("rows", rows).load(stem)
+
+
 def read_plink(spark: SparkSession, stem: str, rows: int = 4096) -> DataFrame:
     spark.dataSource.register(PlinkSource)
     return spark.read.format("plink").option("rows", rows).load(stem)

@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from tessera.operators.numbering import running
 from tessera.session import keep
 from tessera.sources import pgen
-from tessera.sources.genotypes import COPIES, MAGIC
+from tessera.sources.genotypes import ALL_MISSING, CHUNK, COPIES, MAGIC
 from tessera.sources.pgen import FIXED, PGEN_MAGIC, VARIABLE
 
 #: Two-bit codes of dosages 0, 1, 2 and missing, by format.
@@ -102,29 +102,36 @@ class MatrixWriter(DataSourceArrowWriter):
             f.write(self.head)
             f.truncate(len(self.head) + self.rows * self.stride)
 
+    def _placed(self, batch: pa.RecordBatch) -> np.ndarray:
+        at = batch.column(0).to_numpy(zero_copy_only=False)
+        if len(at) and (at.min() < 0 or at.max() >= self.rows):
+            raise ValueError("a row lies outside the matrix")
+        return at
+
+    def _packed(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers, and the rows' bytes."""
+        lists = batch.column(1)
+        if lists.null_count or (np.diff(lists.offsets.to_numpy()) != self.width).any():
+            raise ValueError(f"a row has not {self.width} values")
+        at = self._placed(batch)
+        yield at, encoded(self.kind, lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), self.width), self.dtype)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Runs:
         runs: list[tuple[int, int]] = []
         file = os.open(self.scratch, os.O_WRONLY)
         try:
             for batch in iterator:
-                at = batch.column(0).to_numpy(zero_copy_only=False)
-                lists = batch.column(1)
-                if lists.null_count or (np.diff(lists.offsets.to_numpy()) != self.width).any():
-                    raise ValueError(f"a row has not {self.width} values")
-                if len(at) and (at.min() < 0 or at.max() >= self.rows):
-                    raise ValueError("a row lies outside the matrix")
-                values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), self.width)
-                raw = encoded(self.kind, values, self.dtype)
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]]) if len(at) else np.zeros(1, int)
-                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    data, place = memoryview(raw[lo:hi].tobytes()), len(self.head) + int(at[lo]) * self.stride
-                    while len(data):
-                        done = os.pwrite(file, data, place)
-                        data, place = data[done:], place + done
-                    if runs and sum(runs[-1]) == at[lo]:
-                        runs[-1] = (runs[-1][0], runs[-1][1] + hi - lo)
-                    else:
-                        runs.append((int(at[lo]), hi - lo))
+                for at, raw in self._packed(batch):
+                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]]) if len(at) else np.zeros(1, int)
+                    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        data, place = memoryview(raw[lo:hi].tobytes()), len(self.head) + int(at[lo]) * self.stride
+                        while len(data):
+                            done = os.pwrite(file, data, place)
+                            data, place = data[done:], place + done
+                        if runs and sum(runs[-1]) == at[lo]:
+                            runs[-1] = (runs[-1][0], runs[-1][1] + hi - lo)
+                        else:
+                            runs.append((int(at[lo]), hi - lo))
             os.fsync(file)
         finally:
             os.close(file)
@@ -148,6 +155,62 @@ class MatrixWriter(DataSourceArrowWriter):
             os.unlink(self.scratch)
 
 
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (row, places, dosages): where the rows' lists end, from 0 on, and what they hold."""
+    who, what = batch.column(1), batch.column(2)
+    ends = who.offsets.to_numpy() - who.offsets[0].as_py()
+    if who.null_count or what.null_count or (np.diff(what.offsets.to_numpy()) != np.diff(ends)).any():
+        raise ValueError("places and dosages of a row differ in number")
+    return ends, who.flatten().to_numpy(zero_copy_only=False).astype(np.int64), what.flatten().to_numpy(zero_copy_only=False)
+
+
+class CalledBedWriter(MatrixWriter):
+    """(row, places, dosages): calls packed into two bits a sample, some rows at a time."""
+
+    def _packed(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at, (ends, places, dosages) = self._placed(batch), _listed(batch)
+        if len(places) and (places.min() < 0 or places.max() >= self.width or dosages.min() < 0 or dosages.max() > 2):
+            raise ValueError("calls are outside the samples, or not 0, 1 or 2")
+        row, shift = np.repeat(np.arange(len(at)), np.diff(ends)), (places % 4 * 2).astype(np.uint8)
+        turned = (CODES["bed"][dosages] ^ CODES["bed"][3]) << shift  # from missing to the call
+        most = max(1, CHUNK // max(1, self.stride))
+        for lo in range(0, len(at), most):
+            hi = min(lo + most, len(at))
+            raw = np.full((hi - lo, self.stride), ALL_MISSING, np.uint8)
+            if self.width % 4:
+                raw[:, -1] &= (1 << self.width % 4 * 2) - 1
+            own = slice(int(ends[lo]), int(ends[hi]))
+            np.bitwise_xor.at(raw, (row[own] - lo, places[own] // 4), turned[own])
+            yield at[lo:hi], raw
+
+
+class CalledBedSink(DataSource):
+    """df.write.format("bed_called") of (row, places, dosages), with options rows and width."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bed_called"
+
+    def schema(self) -> str:
+        return "row bigint, places array<int>, dosages array<tinyint>"
+
+    def writer(self, schema, overwrite: bool) -> CalledBedWriter:
+        return CalledBedWriter({**self.options, "kind": "bed"}, overwrite)
+
+
+def write_called_bed(calls: DataFrame, path: str, rows: int, width: int) -> None:
+    """(row, places, dosages), one row a variant, as a PLINK matrix: dosages 0, 1 or 2 of the samples at these places; the others are missing.
+
+    The format takes two bits a sample of each variant; no task holds more than some rows of it.
+    """
+    spark = calls.sparkSession
+    spark.dataSource.register(CalledBedSink)
+    from pyspark.sql import functions as F
+
+    placed = keep(calls.select(F.col("row").cast("bigint"), F.col("places").cast("array<int>"), F.col("dosages").cast("array<tinyint>")), "calls")
+    placed.repartitionByRange("row").sortWithinPartitions("row").write.format("bed_called").options(rows=rows, width=width).mode("append").save(path)
+
+
 class PgenWriter(MatrixWriter):
     """(row, before, kind, record): PGEN records of any size, before being the bytes of all records of earlier rows."""
 
@@ -169,10 +232,8 @@ class PgenWriter(MatrixWriter):
 
         try:
             for batch in iterator:
-                at, before, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-                records = batch.column(3).to_pylist()
-                if len(at) and (at.min() < 0 or at.max() >= self.rows):
-                    raise ValueError("a row lies outside the matrix")
+                at, records = self._placed(batch), batch.column(3).to_pylist()
+                before, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
                 lengths = np.array([len(r) for r in records], "<i8")
                 # a run ends with its block, whose records' types and lengths stand together
                 cuts = np.concatenate([[0], np.flatnonzero((np.diff(at) != 1) | (at[1:] % pgen.BLOCK == 0)) + 1, [len(at)]]) if len(at) else np.zeros(1, int)
@@ -216,11 +277,7 @@ def write_called_pgen(calls: DataFrame, path: str, rows: int, width: int) -> Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, what = batch.column(1), batch.column(2)
-            ends = who.offsets.to_numpy() - who.offsets[0].as_py()
-            if who.null_count or what.null_count or (np.diff(what.offsets.to_numpy()) != np.diff(ends)).any():
-                raise ValueError("places and dosages of a row differ in number")
-            places, dosages = who.flatten().to_numpy(zero_copy_only=False).astype(np.int64), what.flatten().to_numpy(zero_copy_only=False)
+            ends, places, dosages = _listed(batch)
             made = [pgen.encoded_calls(places[a:b], dosages[a:b], width) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in made], pa.int8()), pa.array([r for _, r in made], pa.binary())], ["row", "kind", "record"])
 
