@@ -244,20 +244,32 @@ def subspace_features(df: DataFrame, groups: list[str], vector: str, rank: int)
     return df.groupBy(*groups).applyInPandas(made, ", ".join(f"{g} {kinds[g]}" for g in groups) + ", projector array<double>, spectrum array<double>")
 
 
+def squared_distances(a: np.ndarray, b: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Squared distances of all rows of a and b, from their products; if exact, near ones from differences, so that equal rows have none."""
+    squares, others = (a * a).sum(1), (b * b).sum(1)
+    far = a @ b.T
+    far *= -2
+    far += squares[:, None]
+    far += others
+    np.maximum(far, 0, out=far)
+    if exact and far.size:
+        near = np.flatnonzero(far.ravel() <= 1e-10 * (squares.max() + others.max()))
+        for at in range(0, len(near), 50_000):
+            i, j = np.divmod(near[at : at + 50_000], len(b))
+            far[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    return far
+
+
 def kernel_axes(x: np.ndarray, train: np.ndarray, k: int) -> np.ndarray:
     """Scores of all rows on the k leading axes of a Gaussian kernel over the training rows.
 
     The width is the median of the positive squared distances; axes with an eigenvalue of 1e-10 or less score zero.
-    Memory is rows x training rows.
+    Memory is rows x training rows; kernels.kernel_scores takes larger tables.
     """
-
-    def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
-
-    own = distance(train, train)
+    own = squared_distances(train, train, True)
     pairs = own[np.triu_indices(len(own), 1)]
     gamma = 1 / np.median(pairs[pairs > 0]) if (pairs > 0).any() else 1.0
-    kernel, cross = np.exp(-gamma * own), np.exp(-gamma * distance(x, train))
+    kernel, cross = np.exp(-gamma * own), np.exp(-gamma * squared_distances(x, train))
     row, mean = kernel.mean(0), kernel.mean()
     centered = kernel - row - row[:, None] + mean
     values, vectors = np.linalg.eigh((centered + centered.T) / 2)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import values
 from tessera.functions.keys import unit_draw
-from tessera.operators import components, gates, graph, regression, relational, resample, stats
+from tessera.operators import components, gates, graph, kernels, numbering, regression, relational, resample, stats
 from tessera.plans import views as v
 from tessera.plans.registry import query
 from tessera.session import table
@@ -313,14 +312,12 @@ def annotation_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("kernel_components", 141)
 def kernel_components(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select((F.col("label") % 4).cast("bigint").alias("g"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
-
-    def project(frame):
-        x = np.vstack(frame["x"].to_list())
-        scores = regression.kernel_axes(x, x[: max(3, len(x) // 2)], 2)
-        return frame[["g", "vec_id"]].assign(k1=scores[:, 0], k2=scores[:, 1])
-
-    return e.groupBy("g").applyInPandas(project, "g bigint, vec_id bigint, k1 double, k2 double")
+    """Axes from the first half of a label group's vectors by vec_id, three at least; scores of all."""
+    e = table(spark, sf, "embeddings").where("embedding IS NOT NULL").select((F.col("label") % 4).cast("bigint").alias("g"), "vec_id", F.col("embedding").alias("x"))
+    e = e.withColumn("key", F.coalesce(F.col("g").cast("string"), F.lit("")))
+    sizes = e.groupBy("key").agg(F.count("*").alias("n"))
+    placed = numbering.running_in_groups(e, "key", [F.col("vec_id"), F.col("x")], {"place": F.lit(1)}).join(F.broadcast(sizes), "key")
+    return kernels.kernel_scores(placed, "g", "vec_id", "x", "place", F.col("place") <= F.greatest(F.lit(3), F.floor(F.col("n") / 2)), 2)
 
 
 @query("canonical_correlation", 142)
