@@ -1,19 +1,21 @@
-"""JSON documents of any nesting checked value by value, with VARIANT.
+"""JSON documents of any nesting checked value by value.
 
-Documents are walked level by level: each step explodes the containers that the
-last one found, so a document is never handled by Python, and there are as many
-steps as the deepest document has levels. Rules look at the walked values and
-give one row a violation.
+Spark parses the documents (VARIANT) and writes them out again, so what is JSON
+and what is not is its parser's matter; one pass then walks each document and
+gives one row a violation. Nothing is shuffled or written between, and a task
+holds a batch of documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import keep
+from tessera.session import ship
 
 #: Names of keys that would carry identifiers, and the digest algorithms that are known (fixed values).
 FORBIDDEN = frozenset("sample_ids sample_id_list eid eids iids members individual_ids participant_ids".split())
@@ -21,33 +23,37 @@ ALGORITHMS = ("sha256_full", "sha256_head_tail_size", "none")
 PROBLEM = "id string, problem string, path string"
 
 
-def walked(documents: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, parent, path, key, kind, text, value) of every value inside the documents; the whole document has an empty path.
+class Number(str):
+    """A number as the document writes it."""
 
-    kind is OBJECT, ARRAY, or the scalar's; key is null for members of lists; text is a scalar's. Only containers keep their value.
-    Text that is no JSON has the kind INVALID.
-    """
-    value = F.try_parse_json(json_col)
-    whole = documents.select(F.col(id_col).cast("string").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), value.alias("value"))
-    level = keep(_shaped(whole), "walk")
-    found = level
-    while True:
-        inner = level.where(F.col("kind").isin("OBJECT", "ARRAY")).select("id", F.col("path").alias("parent"), F.col("value").alias("whole"))
-        spark = documents.sparkSession
-        rows = inner.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
-        dot = F.when(F.col("parent") == "", "").otherwise(".")
-        path = F.when(F.col("key").isNull(), F.concat("parent", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("parent", dot, "key"))
-        level = keep(_shaped(rows.select("id", "parent", path.alias("path"), "key", "value")), "walk")
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-
-
-def _shaped(rows: DataFrame) -> DataFrame:
-    shape = F.schema_of_variant("value")
-    kind = F.when(F.col("value").isNull(), "INVALID").when(shape.startswith("OBJECT"), "OBJECT").when(shape.startswith("ARRAY"), "ARRAY").otherwise(F.regexp_extract(shape, r"^\w+", 0))
-    holds = F.col("kind").isin("OBJECT", "ARRAY")
-    return rows.withColumn("kind", kind).select("id", "parent", "path", "key", "kind", F.when(~holds, F.try_variant_get("value", "$", "string")).alias("text"), F.when(holds, F.col("value")).alias("value"))
+
+def _text(value: object) -> str | None:
+    """A scalar's text; none for null and containers."""
+    return str(value).lower() if isinstance(value, bool) else value if isinstance(value, str) else None
+
+
+def _walked(document: object, long: int, digest_key: str, algorithms: frozenset[str], forbidden: frozenset[str]) -> Iterator[tuple[str, str]]:
+    """(problem, path) of forbidden keys, unknown algorithms and long lists of texts at any depth, without recursion."""
+    left = [("", document)]
+    while left:
+        path, node = left.pop()
+        if type(node) is dict:
+            dot = path + "." if path else ""
+            for key, value in node.items():
+                at = dot + key
+                if key in forbidden:
+                    yield "forbidden key", at
+                if key == digest_key and _text(value) not in algorithms:
+                    yield "unknown algorithm", at
+                if type(value) is list:
+                    if len(value) > long and all(type(x) is str for x in value):
+                        yield "long text list", at
+                    else:
+                        left.append((at, value))
+                elif type(value) is dict:
+                    left.append((at, value))
+        elif type(node) is list:
+            left += [(f"{path}[{i}]", x) for i, x in enumerate(node) if type(x) is dict or type(x) is list]
 
 
 def violations(documents: DataFrame, id_col: str, json_col: str, required: Iterable[str] = (), must_be_false: Iterable[str] = (), constants: dict[str, str] | None = None, longest_list: int = 200, digest_key: str = "algorithm", algorithms: Iterable[str] = ALGORITHMS, forbidden: Iterable[str] = FORBIDDEN) -> DataFrame:
@@ -56,22 +62,23 @@ def violations(documents: DataFrame, id_col: str, json_col: str, required: Itera
     Keys that must be there, or be false, or have a given text, stand at the top. Forbidden keys, lists of more than longest_list
     members that are all texts, and unknown digest algorithms are looked for at any depth.
     """
-    nodes = walked(documents, id_col, json_col)
-    text = F.col("text")
-    tops = nodes.where("parent = '' and key is not null")
-    expected = [("missing", k, F.lit(True)) for k in required]
-    expected += [("not false", k, F.coalesce((F.col("kind") == "BOOLEAN") & (text == "false"), F.lit(False))) for k in must_be_false]
-    expected += [("not as declared", k, F.coalesce(text == v, F.lit(False))) for k, v in (constants or {}).items()]
-    roots = nodes.where("parent is null")
-    out = roots.where("kind != 'OBJECT'").select("id", F.lit("no object").alias("problem"), "path")
-    if expected:
-        rules = F.array(*[F.struct(F.lit(p).alias("problem"), F.lit(k).alias("path")) for p, k, _ in expected])
-        asked = roots.where("kind = 'OBJECT'").select("id", F.explode(rules).alias("rule")).select("id", "rule.*")
-        fulfilled = tops.select("id", F.explode(F.array(*[F.when((F.col("key") == k) & good, F.struct(F.lit(p).alias("problem"), F.lit(k).alias("path"))) for p, k, good in expected])).alias("rule")).where("rule is not null").select("id", "rule.*")
-        out = out.unionByName(asked.join(fulfilled, ["id", "problem", "path"], "left_anti"))
-    keyed = nodes.where("key is not null")
-    out = out.unionByName(keyed.where(F.col("key").isin(*forbidden)).select("id", F.lit("forbidden key").alias("problem"), "path"))
-    out = out.unionByName(keyed.where((F.col("key") == digest_key) & ~F.coalesce(text.isin(*algorithms), F.lit(False))).select("id", F.lit("unknown algorithm").alias("problem"), "path"))
-    lists = keyed.where("kind = 'ARRAY'").select("id", "path")
-    texts = nodes.where("key is null and parent is not null").groupBy("id", F.col("parent").alias("path")).agg(F.count("*").alias("n"), F.bool_and(F.col("kind") == "STRING").alias("all_text")).where((F.col("n") > longest_list) & F.col("all_text"))
-    return out.unionByName(lists.join(texts, ["id", "path"]).select("id", F.lit("long text list").alias("problem"), "path"))
+    must, false, declared = list(required), list(must_be_false), dict(constants or {})
+    known, names = frozenset(algorithms), frozenset(forbidden)
+    ship(documents.sparkSession)
+
+    def found(document: object) -> Iterator[tuple[str, str]]:
+        if type(document) is not dict:
+            yield "no object", ""
+        else:
+            yield from (("missing", k) for k in must if k not in document)
+            yield from (("not false", k) for k in false if document.get(k) is not False)
+            yield from (("not as declared", k) for k, v in declared.items() if _text(document.get(k)) != v)
+        yield from _walked(document, longest_list, digest_key, known, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: Callable[[str], object] = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=Number).decode
+        for batch in batches:
+            out = [(name, *p) for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in found(None if body is None else read(body))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else ([], [], []))], ["id", "problem", "path"])
+
+    return documents.select(F.col(id_col).cast("string").alias("id"), F.to_json(F.try_parse_json(json_col)).alias("body")).mapInArrow(run, PROBLEM)
