@@ -84,7 +84,8 @@ class SuffixQueue:
                     yield from _read(path, *index.pop(symbol))
             parts = self.held.pop(symbol, [])
             while parts:
-                n = 1 + int(np.searchsorted(np.cumsum([len(p) for p, _ in parts]), CHUNK))
+                # parts come from chunks, so none is longer than one
+                n = max(1, int(np.searchsorted(np.cumsum([len(p) for p, _ in parts]), CHUNK, "right")))
                 pos, common = (np.concatenate(x) for x in zip(*parts[:n], strict=True))
                 parts = parts[n:]
                 self.count -= len(pos)

@@ -72,3 +72,33 @@ def test_names_order_substrings_of_any_bytes():
             order = np.concatenate([p for p, _ in got])[::-1]
             data = text.tobytes()
             assert order.tolist() == sorted(range(len(text) - 1), key=lambda i: data[i:])
+
+
+def test_a_queue_gives_no_more_than_a_chunk_at_once(tmp_path):
+    queue = induced.SuffixQueue(str(tmp_path), 4 * induced.CHUNK)
+    part = np.arange(induced.CHUNK - 1000)
+    for k in range(3):
+        queue.push(5, part + k, np.full(len(part), k, np.uint8))
+    got = list(queue.take(5))
+    assert max(len(p) for p, _ in got) <= induced.CHUNK
+    assert np.array_equal(np.concatenate([p - c for p, c in got]), np.tile(part, 3)) and queue.count == 0
+
+
+def test_a_shard_with_over_a_chunk_of_one_byte_and_a_rare_one():
+    """Spaces fill more than a chunk of their queue; the one tab before a space comes at its beginning."""
+    rng = np.random.default_rng(1)
+    entries, length = 10_400, 100
+    pieces = np.full((entries, 133), 32, np.uint8)
+    pieces[:, ::2] = rng.integers(97, 122, (entries, 67))
+    pieces[entries // 2 :: 2] = pieces[: entries // 2 : 2]
+    pieces[77, 40], pieces[77, 42:72:2] = 9, 122
+    text = np.append(np.column_stack([pieces + np.uint8(1), np.full(entries, 255, np.uint8)]).ravel(), np.uint8(0))
+    with induced.InducedSorter(suffixes.MEMORY, shallow=True) as sorter:
+        entry, offset = suffixes.repeated_windows(text, np.arange(entries) * 134, np.full(entries, 34), np.arange(entries) << 33, length, sorter)
+    seen, want = set(), set()
+    for i, data in enumerate(pieces):
+        for k in range(34):
+            window = data[k : k + length].tobytes()
+            want |= {(i, k)} if window in seen else set()
+            seen.add(window)
+    assert len(want) > 50_000 and want == set(zip(entry.tolist(), offset.tolist(), strict=True))
