@@ -64,6 +64,8 @@ SEGMENT = 1 << 23
 #: Input rows a shard of stretches, and bounds of their number; bytes a sorted shard.
 SHARD_ROWS, FEW_SHARDS, MANY_SHARDS = 4_000, 16, 16_384
 SORTED_BYTES = 4 << 20
+#: Bytes of stretches that a task gathers before it deals them to the shards, so that a shard gets few large pieces.
+FETCHED = 32 << 20
 #: Tuples that a queue of the sorter holds before it goes to disk.
 MEMORY = 1_000_000
 #: Stretches of a shard held in memory; beyond this they go to local files by hash, one of which is held at a time.
@@ -365,24 +367,37 @@ def repeated_windows(contents: np.ndarray, starts: np.ndarray, n: np.ndarray, ke
     return np.concatenate(entry_out), np.concatenate(offset_out)
 
 
-def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int, memory: int) -> DataFrame:
+def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int, memory: int, fetched: int = FETCHED) -> DataFrame:
     """SPANS rows: the windows that repeat among the stretches that are to be sorted."""
 
+    def dealt(ids: np.ndarray, digests: np.ndarray, text: np.ndarray, lo: np.ndarray, n: np.ndarray, shard: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        """Stretches in the order of their texts, one row for each shard; data holds their bytes one after the other."""
+        span = n + length - 1
+        begin = np.cumsum(span) - span
+        order = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]]))
+        blobs = []
+        for k in np.split(order, cut[1:]):
+            place = np.repeat(begin[k] - (np.cumsum(span[k]) - span[k]), span[k]) + np.arange(span[k].sum())
+            blobs.append(_pack(ids, digests, text[k], _narrow(lo[k]), n[k].astype(np.uint16), pa.compress(data[place].tobytes(), "zstd", asbytes=True)))
+        return pa.RecordBatch.from_arrays([pa.array(shard[order][cut], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, size = [], 0, 0
         for part, data, at in blocks(batches):
             text, records = _records(part.column(part.schema.get_field_index("ask")), ASK)
             order = np.lexsort((records["lo"], text))
             text, lo, n = text[order], records["lo"][order].astype(np.int64), records["n"][order].astype(np.int64)
             shard = (records["anchor"][order] % shards).astype(np.int64)
-            ids, digests = part.column(0).to_numpy(), part.column(1).to_numpy()
-            rows = []
-            for s in np.unique(shard).tolist():
-                k = np.flatnonzero(shard == s)
-                span = n[k] + length - 1
-                place = np.repeat(at[text[k]] + lo[k] - (np.cumsum(span) - span), span) + np.arange(span.sum())
-                rows.append((s, _pack(ids, digests, text[k], _narrow(lo[k]), n[k].astype(np.uint16), pa.compress(data[place].tobytes(), "zstd", asbytes=True))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
+            span = n + length - 1
+            place = np.repeat(at[text] + lo - (np.cumsum(span) - span), span) + np.arange(span.sum())
+            held.append((part.column(0).to_numpy().copy(), part.column(1).to_numpy().copy(), text + texts, lo, n, shard, data[place]))
+            texts, size = texts + part.num_rows, size + len(place)
+            if size > fetched:
+                yield dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, texts, size = [], 0, 0
+        if size:
+            yield dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def finish(parts: list, folder: str) -> Iterator[pa.RecordBatch]:
         ids, digests, lo, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -434,7 +449,7 @@ def sort_stretches(docs: DataFrame, asked: DataFrame, shards: int, length: int,
     return texts.mapInArrow(fetch, ROWS).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(sort, SPANS)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, sorted_bytes: int = SORTED_BYTES, memory: int = MEMORY, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, sorted_bytes: int = SORTED_BYTES, memory: int = MEMORY, hot: int = HOT, fetched: int = FETCHED) -> DataFrame:
     """SPANS rows, several for a text and overlapping, from docs (id, digest, text)."""
     shards = min(MANY_SHARDS, max(FEW_SHARDS, -(-docs.count() // SHARD_ROWS)))
     found = keep(find_stretches(docs, shards, length, held, hot), "stretches")
@@ -446,7 +461,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, held: int = HELD, sort
     spans = found.where(F.size("starts") > 0).select("id", "digest", "starts", "ends")
     if not size:
         return spans
-    return spans.unionByName(sort_stretches(docs, named(found, "ask"), max(FEW_SHARDS, -(-size // sorted_bytes)), length, memory))
+    return spans.unionByName(sort_stretches(docs, named(found, "ask"), max(FEW_SHARDS, -(-size // sorted_bytes)), length, memory, fetched))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -102,3 +102,9 @@ def test_a_shard_with_over_a_chunk_of_one_byte_and_a_rare_one():
             want |= {(i, k)} if window in seen else set()
             seen.add(window)
     assert len(want) > 50_000 and want == set(zip(entry.tolist(), offset.tolist(), strict=True))
+
+
+def test_stretches_gathered_over_several_blocks_or_none_give_one_result(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = [sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs, fetched=n).collect()) for n in (0, 20_000, suffixes.FETCHED)]
+    assert got[0] == got[1] == got[2] and sum(r[1] for r in got[0]) > 10_000
